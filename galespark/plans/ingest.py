@@ -6,20 +6,12 @@ from pyspark.sql import functions as F
 
 from galespark.functions import text as text_fn
 from galespark.operators import catalog, ensemble, microwave, winds
+from galespark.plans.base import basin_case, hav, registry
+from galespark.session import scratch_path
 from galespark.sources import advisory, deck, dims, files, grid, tracker
 from galespark.sources.adapters import oracle_view, tables, view, with_views
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 # ---------------------------------------------------------------- tracker text
@@ -45,7 +37,10 @@ def tracker_lines(spark, sf_dir):
 
 
 def parsed(spark, sf_dir):
-    rows = tracker.parse_tracker(tracker_lines(spark, sf_dir))
+    # through real text files, so the reader and its width check run too
+    path = scratch_path(spark)
+    tracker_lines(spark, sf_dir).write.text(path)
+    rows = tracker.read_tracker(spark, path)
     return rows.withColumn("event_id", F.element_at(F.split("cyclogenesis_id", "_"), -1).cast("long"))
 
 
@@ -53,15 +48,6 @@ LAT = "(case when ns='N' then lat10/10.0e0 else -(lat10/10.0e0) end)"
 LON = "(case when ew='E' then lon10/10.0e0 else -(lon10/10.0e0) end)"
 
 
-def basin_case(lat: str, lon: str) -> str:
-    whens = " ".join(
-        f"when {lon} between {min(x for x, _ in ring)} and {max(x for x, _ in ring)} "
-        f"and {lat} between {min(y for _, y in ring)} and {max(y for _, y in ring)} then '{name}'"
-        for name, ring in dims.BASINS
-    )
-    return f"(case {whens} end)"
-
-
 @query(
     "src_tracker_text",
     with_views("tracker_rows")
@@ -421,13 +407,6 @@ def eps_rows(spark, sf_dir):
     )
 
 
-def hav(a, b, c, d):
-    return (
-        f"2*6371008.8e0*asin(least(1.0e0, sqrt(pow(sin(radians({c}-({a}))/2),2)+cos(radians({a}))*cos(radians({c}))*"
-        f"pow(sin(radians({d}-({b}))/2),2))))"
-    )
-
-
 EPS_MEMBER = "case ftype when 4 then concat('EE', case when num<10 then '0' else '' end, cast(num as string)) when 1 then 'ECME' else 'ECHR' end"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ingest"]
+MODULES = ["ingest", "project", "runs"]
 
 
 def _load():

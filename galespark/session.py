@@ -39,6 +39,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name below the shared folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -47,7 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     only what is proven small.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

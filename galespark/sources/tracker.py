@@ -29,8 +29,9 @@ def read_tracker(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_tracker(lines: DataFrame, column: str = "value") -> DataFrame:
     """Add the typed and derived columns of a tracker line to its row."""
-    f = F.split(F.col(column), ",")
-    text = lines.withColumns({n: F.trim(f[i]) for i, n in enumerate(COLUMNS)})
+    schema = ", ".join(f"{n} string" for n in COLUMNS)
+    trim = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    text = lines.withColumn("fields", F.from_csv(F.col(column), schema, trim)).select(*lines.columns, "fields.*")
 
     def num(name, missing=-999):
         return units.clean(F.col(name).try_cast("double"), missing)
@@ -106,7 +107,7 @@ def prune_open(points: DataFrame, min_delta: float = 2.0, need_warm_core: bool =
     known = F.col("pressure_last_closed") > 100
     delta = F.when(known, F.col("pressure_last_closed") - F.col("min_mslp"))
     kept = points.withColumn("closed_isobar_delta", delta).filter(
-        F.col("closed_isobar_delta").isNull() | (F.col("closed_isobar_delta") >= min_delta)
+        F.coalesce(F.col("closed_isobar_delta") >= min_delta, F.lit(True))
     )
     if need_warm_core:
         kept = kept.filter(F.coalesce(F.col("warm_core_flag") != "N", F.lit(True)))
