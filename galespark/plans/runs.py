@@ -25,10 +25,10 @@ def at():
     with_views("track_points")
     + """, fresh as (select * from track_points where event_id%3=0), kept as (select * from track_points o where event_id%2=1
         and not exists (select 1 from fresh f where f.model_name=o.model_name and f.init_time=o.init_time and f.time_step=o.time_step)),
-      both as (select *, 1 as version from fresh union all select *, 0 from kept)
+      merged as (select *, 1 as version from fresh union all select *, 0 from kept)
       select model_name, init_time, time_step, max(version) as version, count(*) as candidates, round(sum(mslp),3) as mslp_sum,
-        (select count(distinct time_step) from both b where b.model_name=a.model_name and b.init_time=a.init_time)=24 as is_complete
-      from both a group by 1,2,3""",
+        (select count(distinct time_step) from merged b where b.model_name=a.model_name and b.init_time=a.init_time)=24 as is_complete
+      from merged a group by 1,2,3""",
 )
 def upsert_step(spark, sf_dir):
     p = view(spark, sf_dir, "track_points")
@@ -223,7 +223,7 @@ def cycle_neighbours(spark, sf_dir):
     return catalog.cycle_neighbours(view(spark, sf_dir, "runs_completed"), at())
 
 
-@query("latest_cycle", with_views("runs_completed") + ", n as (" + NEIGHBOURS.lstrip(", ").replace("a as", "with a as", 1) + ") select coalesce(next, at) as cycle from n")
+@query("latest_cycle", with_views("runs_completed") + ", n as (" + NEIGHBOURS.lstrip(", ").replace("a as", "with a as", 1) + ") select coalesce(n.next, n.\"at\") as cycle from n")
 def latest_cycle(spark, sf_dir):
     return catalog.latest_cycle(view(spark, sf_dir, "runs_completed"), at())
 
