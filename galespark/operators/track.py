@@ -185,21 +185,27 @@ def both_ways(same: DataFrame) -> DataFrame:
     return same.select("src", "dst").unionByName(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def _reach(members: DataFrame, local: DataFrame) -> DataFrame:
+def _spread(members: DataFrame, local: DataFrame) -> DataFrame:
+    key = ["owner", "side"]
+    reached = (
+        local.join(members.filter("hit").select(*key, F.col("id").alias("src")), [*key, "src"], "left_semi")
+        .select(*key, F.col("dst").alias("id")).distinct().withColumn("new", F.lit(True))
+    )
+    return members.join(reached, [*key, "id"], "left").select(
+        *key, "id", F.col("hit").alias("old"), (F.col("hit") | F.coalesce("new", F.lit(False))).alias("hit")
+    )
+
+
+def _reach(members: DataFrame, local: DataFrame, per_round: int = 1) -> DataFrame:
     """Spread the ``hit`` flag over local edges until nothing changes.
 
-    ``members``: (owner, side, id, hit); ``local``: (owner, side, src, dst)."""
-    key = ["owner", "side"]
+    ``members``: (owner, side, id, hit); ``local``: (owner, side, src, dst).
+    The last hop of a job tells whether another job is due."""
     while True:
-        spread = (
-            local.join(members.filter("hit").select(*key, F.col("id").alias("src")), [*key, "src"], "left_semi")
-            .select(*key, F.col("dst").alias("id")).distinct().withColumn("new", F.lit(True))
-        )
-        nxt = cut(
-            members.join(spread, [*key, "id"], "left").select(
-                *key, "id", F.col("hit").alias("old"), (F.col("hit") | F.coalesce("new", F.lit(False))).alias("hit")
-            )
-        )
+        for _ in range(per_round):
+            nxt = _spread(members, local)
+            members = nxt.drop("old")
+        nxt = cut(nxt)
         members = nxt.drop("old")
         if nxt.filter(F.col("hit") & ~F.col("old")).isEmpty():
             return members
@@ -209,23 +215,24 @@ def _reducible(waiting: DataFrame, around: DataFrame, local: DataFrame) -> DataF
     """Owners whose lowest node alone keeps all neighbours in one piece: each
     neighbour is linked to it, or hangs on one that is."""
     key = ["owner", "side"]
-    members = cut(around.join(waiting, "owner", "left_semi"))
-    edges = local.join(waiting, "owner", "left_semi")
+    members = around.join(waiting, "owner", "left_semi")
     present = members.select(*key, "id")
+    edges = local.join(waiting, "owner", "left_semi")
     edges = edges.join(present.withColumnRenamed("id", "src"), [*key, "src"], "left_semi").join(
         present.withColumnRenamed("id", "dst"), [*key, "dst"], "left_semi"
     )
-    loose = _reach(members, cut(edges)).filter(~F.col("hit")).select("owner").distinct()
+    loose = _reach(members, edges).filter(~F.col("hit")).select("owner").distinct()
     return waiting.join(loose, "owner", "left_anti")
 
 
 def _reduce_pass(nodes: DataFrame, same: DataFrame, links: DataFrame) -> DataFrame | None:
     """Ids of nodes removed by one pass over the steps in order of time.
 
-    A group looks only at the steps next to its own, so groups that do not
-    touch through links are independent. They run together in waves: a group
-    waits for the touching groups of the step before, which is the order of a
-    pass step by step."""
+    Whether a group falls depends on what the pass has left of the step before
+    and on the untouched step after. All groups decide at once and decide
+    again with the outcome of the groups before them until no decision
+    changes. Decisions only look back in time, so this rests at the one
+    outcome of a pass step by step, mostly within a few rounds."""
     clusters = cut(
         nodes.select("node_id", "mslp").join(step_clusters(nodes, same), "node_id")
     )
@@ -249,24 +256,18 @@ def _reduce_pass(nodes: DataFrame, same: DataFrame, links: DataFrame) -> DataFra
         .join(ends.withColumnRenamed("id", "dst"), ["owner", "side", "dst"], "left_semi")
         .select("owner", "side", "src", "dst")
     )
-    touch = (
-        around.filter("side = 'before'").select("owner", F.col("id").alias("node_id"))
-        .join(inside.select("node_id", F.col("owner").alias("earlier")), "node_id")
-        .select(F.col("earlier").alias("dst"), F.col("owner").alias("src")).distinct()
-    )
-    depth = longest_path(touch).withColumnRenamed("node_id", "owner")
-    waves = cut(multi.join(depth, "owner", "left").select("owner", F.coalesce("length", F.lit(0)).alias("wave")))
-    last = waves.agg(F.max("wave")).first()[0]
-    removed = None
-    for wave in range(last + 1):
-        now = waves.filter(F.col("wave") == wave).select("owner")
+    owners = multi.select("owner")
+    fit, gone = owners.limit(0), None
+    while True:
         left = around
-        if removed is not None:
-            left = around.join(removed.withColumnRenamed("node_id", "id"), "id", "left_anti")
-        fit = _reducible(now, left, local)
+        if gone is not None:
+            left = around.join(gone.select(F.col("node_id").alias("id"), F.lit("before").alias("side")), ["id", "side"], "left_anti")
+        again = cut(_reducible(owners, left, local))
+        changed = again.join(fit, "owner", "left_anti").unionByName(fit.join(again, "owner", "left_anti"))
+        if changed.isEmpty():
+            return gone if gone is not None else inside.select("node_id").limit(0)
+        fit = again
         gone = cut(inside.join(fit, "owner", "left_semi").filter("node_id <> low").select("node_id"))
-        removed = gone if removed is None else removed.unionByName(gone)
-    return removed
 
 
 def without(nodes: DataFrame, same: DataFrame, links: DataFrame, gone: DataFrame):

@@ -38,22 +38,25 @@ COMPONENTS = """, e as materialized (select src, dst from links where src in (se
   comp as materialized (select k.*, num.component_id from kept k join lab on lab.id=k.node_id join num using (model_name, init_time, label))"""
 BASE = with_views("track_points", recursive=True) + NODES
 FULL = BASE + SAME + NEXT + PERSIST + COMPONENTS
+# two neighbouring storms with points between them, so that groups part and meet
+PAIRS = with_views("pair_points", recursive=True) + NODES.replace("track_points", "pair_points")
+PAIRS_FULL = PAIRS + SAME + NEXT + PERSIST + COMPONENTS
 
 
-def graph(spark, sf_dir):
+def graph(spark, sf_dir, points="track_points"):
     """Nodes with both kinds of links; cut, since everything reads them again."""
-    nodes = cut(link.nodes(view(spark, sf_dir, "track_points").drop("ts")))
+    nodes = cut(link.nodes(view(spark, sf_dir, points)))
     return nodes, cut(link.same_step(nodes)), cut(link.next_step(nodes))
 
 
-def kept_graph(spark, sf_dir):
-    nodes, same, links = graph(spark, sf_dir)
+def kept_graph(spark, sf_dir, points="track_points"):
+    nodes, same, links = graph(spark, sf_dir, points)
     kept = cut(track.keep_persistent(nodes, links))
     return kept, cut(track.induced(same, kept)), cut(track.induced(links, kept))
 
 
-def labelled(spark, sf_dir):
-    kept, same, links = kept_graph(spark, sf_dir)
+def labelled(spark, sf_dir, points="track_points"):
+    kept, same, links = kept_graph(spark, sf_dir, points)
     return track.track_components(kept, same, links), same, links
 
 
@@ -166,11 +169,11 @@ CLUSTERS = """, sreach as (select node_id as id, node_id as root from kept union
 
 @query(
     "disjoint_segments",
-    FULL + CLUSTERS + """ select model_name, init_time, component_id, min(time_step) as first_step, max(time_step) as last_step, count(*) as n_steps
+    PAIRS_FULL + CLUSTERS + """ select model_name, init_time, component_id, min(time_step) as first_step, max(time_step) as last_step, count(*) as n_steps
       from isl group by model_name, init_time, component_id, island having count(*)>=2""",
 )
 def disjoint_segments(spark, sf_dir):
-    comp, same, _ = labelled(spark, sf_dir)
+    comp, same, _ = labelled(spark, sf_dir, "pair_points")
     comp = cut(comp)
     seg = track.disjoint_segments(comp, track.step_clusters(comp, same), 2)
     return seg.select("model_name", "init_time", "component_id", "first_step", "last_step", "n_steps")
@@ -178,20 +181,20 @@ def disjoint_segments(spark, sf_dir):
 
 @query("reduce_same_step")
 def reduce_same_step(spark, sf_dir):
-    kept, same, links = kept_graph(spark, sf_dir)
+    kept, same, links = kept_graph(spark, sf_dir, "pair_points")
     nodes, _, _ = track.reduce_same_step(kept, same, links)
     return nodes.select("node_id", "model_name", "init_time", "time_step", "mslp")
 
 
 @query("split_mergers")
 def split_mergers(spark, sf_dir):
-    comp, same, links = labelled(spark, sf_dir)
+    comp, same, links = labelled(spark, sf_dir, "pair_points")
     return track.merger_cuts(cut(comp), track.both_ways(same), links, 2)
 
 
 @query(
     "predecessor_fit",
-    BASE + SAME + NEXT + f""", se as materialized (select src, dst from same union select dst, src from same),
+    PAIRS + SAME + NEXT + f""", se as materialized (select src, dst from same union select dst, src from same),
       preach as (select dst as n, src as id, src as root from links union select r.n, se.dst, r.root from preach r join se on se.src=r.id
         join links l on l.dst=r.n and l.src=se.dst),
       pc as (select n, id, min(root) as part from preach group by 1,2),
@@ -201,14 +204,14 @@ def split_mergers(spark, sf_dir):
       select g.id as src, g.n as dst from g join good on good.n=g.n and good.part<>g.part""",
 )
 def predecessor_fit(spark, sf_dir):
-    nodes, same, links = graph(spark, sf_dir)
+    nodes, same, links = graph(spark, sf_dir, "pair_points")
     return track.predecessor_cuts(nodes, same, links)
 
 
 @query("simplify_tracks")
 def simplify_tracks(spark, sf_dir):
     """Headers of the tracks left after reduction, splitting and fitting."""
-    comp, same, links = labelled(spark, sf_dir)
+    comp, same, links = labelled(spark, sf_dir, "pair_points")
     nodes, same, links = track.simplify(comp, same, links)
     again = track.track_components(nodes.drop("label", "component_id"), same, links)
     return track.summary(track.min_pressure(again))

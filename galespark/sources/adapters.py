@@ -21,6 +21,13 @@ VIEWS = {
           cast(20000+(event_id%10)*5000 as int) as rmw, cast(100000+(event_id%7)*20000 as int) as roci,
           case when event_type='click' then 'Y' when event_type='view' then 'N' else 'U' end as core_flag
         from {events}""",
+    "pair_points": """
+        select concat('M', cast(cast(floor(user_id/60) as bigint) as string)) as model_name,
+          date_trunc('day', ts) as init_time, 6*cast(extract(hour from ts) as int) as time_step, event_id,
+          8.0e0+(user_id%2)*20+(event_id%20)/10.0e0 as lat,
+          -150.0e0+(user_id%2)*80+((event_id*3)%5)/10.0e0+case when event_id%7=0 then 3 else (event_id%2)*6 end as lon,
+          round(1010-value/10,3) as mslp, round(15+value/10,3) as vmax
+        from {events}""",
     "tracker_rows": """
         select event_id, concat('M', cast(cast(floor(user_id/30) as bigint) as string)) as member,
           date_trunc('day', ts) as init_time, 6*cast(extract(hour from ts) as int) as time_step,
