@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: WGS84 semi-major axis and flattening
 AXIS = 6378137.0
@@ -88,13 +89,13 @@ def direct(lat1, lon1, az, dist):
     return np.degrees(lat2), lon2
 
 
-@F.pandas_udf("distance_m double, azimuth double")
+@F.pandas_udf(T.StructType().add("distance_m", T.DoubleType()).add("azimuth", T.DoubleType()))
 def wgs84_inverse(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.DataFrame:
     dist, az = inverse(lat1, lon1, lat2, lon2)
     return pd.DataFrame({"distance_m": dist, "azimuth": az})
 
 
-@F.pandas_udf("lat double, lon double")
+@F.pandas_udf(T.StructType().add("lat", T.DoubleType()).add("lon", T.DoubleType()))
 def wgs84_direct(lat: pd.Series, lon: pd.Series, az: pd.Series, dist: pd.Series) -> pd.DataFrame:
     lat2, lon2 = direct(lat, lon, az, dist)
     return pd.DataFrame({"lat": lat2, "lon": lon2})
