@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from galespark.functions import geo
 from galespark.functions.geo import EARTH_RADIUS_M
-from galespark.session import broadcast_if_small
+from galespark.session import broadcast_if_small, cut
 from galespark.sources.dims import basin_of
 
 RUN = ["model_name", "init_time", "time_step"]
@@ -326,9 +326,9 @@ def detect(cells: DataFrame, grid: Grid, limits: DataFrame) -> DataFrame:
             cells = cells.withColumn(name, F.col(name[0]))
     speed = lambda s: F.sqrt(F.col(f"u{s}") * F.col(f"u{s}") + F.col(f"v{s}") * F.col(f"v{s}"))
     cells = cells.withColumns({"wind925": speed(925), "wind10": speed(10), "thickness": F.col("gh250") - F.col("gh850")})
-    field = strips(cells, ["lon", "mslp", "u", "v", "thickness", "wind925", "wind10"])
-    found = closed_isobar(local_minima(field), field, grid)
-    found = assign_basin(found)
+    # strips are written once; each stage reads back only the columns it needs
+    field = cut(strips(cells, ["lon", "mslp", "u", "v", "thickness", "wind925", "wind10"]))
+    found = cut(assign_basin(closed_isobar(local_minima(field), field, grid)))
     found = box_extreme(found, vorticity(field, grid), "vort", "rv850max", grid.cells(2), grid.rows, by_hemisphere=True)
     found = box_extreme(found, field, "thickness", "gp250_850_thickness", grid.cells(2), grid.rows)
     found = box_extreme(found, field, "wind925", "vmax925", grid.cells(5), grid.rows)

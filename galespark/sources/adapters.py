@@ -28,6 +28,15 @@ VIEWS = {
           -150.0e0+(user_id%2)*80+((event_id*3)%5)/10.0e0+case when event_id%7=0 then 3 else (event_id%2)*6 end as lon,
           round(1010-value/10,3) as mslp, round(15+value/10,3) as vmax
         from {events}""",
+    "storm_points": """
+        select model_name, init_time, storm_no, time_step, init_time + interval '1' hour * time_step as valid_time, event_id, lat, lon, vmax, rmw, roci
+        from (select *, row_number() over (partition by model_name, init_time, storm_no, time_step order by event_id) as r
+          from (select concat('M', cast(cast(floor(user_id/30) as bigint) as string)) as model_name, date_trunc('day', ts) as init_time,
+            cast(user_id%4 as int) as storm_no, 6*cast(extract(hour from ts) as int) as time_step, event_id,
+            8.0e0+(user_id%4)*9+(event_id%20)/10.0e0 as lat, -150.0e0+(user_id%4)*80+((event_id*3)%20)/10.0e0 as lon,
+            round(15+value/10,3) as vmax, cast(20000+(event_id%10)*5000 as int) as rmw,
+            case when event_id%6<>0 then cast(100000+(event_id%7)*20000 as int) end as roci
+            from {events}) p) t where r=1""",
     "tracker_rows": """
         select event_id, concat('M', cast(cast(floor(user_id/30) as bigint) as string)) as member,
           date_trunc('day', ts) as init_time, 6*cast(extract(hour from ts) as int) as time_step,
