@@ -168,3 +168,11 @@ def regrid_nearest(samples: DataFrame, mesh: DataFrame, keys: list[str], payload
         if open_points.isEmpty():
             return done
         tile *= 2
+
+
+def product(samples: DataFrame, lat: Column, lon: Column, frequency: int, bits: dict[str, int], theta: Column | None = None) -> DataFrame:
+    """Scene round a centre: quality, box, corrected temperature, colours."""
+    s = box(pixel_quality(samples, bits), lat, lon)
+    weight = F.lit(THETA[frequency]) if theta is None else theta
+    s = s.withColumn("pct", corrected(F.col("tb_v"), F.col("tb_h"), weight))
+    return s.withColumns(colour(F.col("pct"), F.col("tb_v"), F.col("tb_h"), frequency))

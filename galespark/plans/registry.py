@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ingest", "project", "runs", "tracks", "verification", "grids", "swaths"]
+MODULES = ["ingest", "project", "runs", "tracks", "verification", "grids", "swaths", "instruments", "streams"]
 
 
 def _load():
