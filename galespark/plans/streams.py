@@ -109,9 +109,10 @@ def stream_dedupe(spark, sf_dir):
 def stream_trigger(spark, sf_dir):
     """Completed runs start their follow-up, here a table of requests."""
     root = scratch_path(spark)
+    spark.createDataFrame([], streams.RUN_STATE).write.parquet(f"{root}/requests")
     follow = lambda done: done.select("model_name", "init_time").write.mode("append").parquet(f"{root}/requests")
     streams.run_to_end(streams.run_steps(arriving(spark, sf_dir)), streams.when_complete(24, follow), f"{root}/state")
-    return spark.read.schema(streams.RUN_STATE).parquet(f"{root}/request[s]").distinct()
+    return spark.read.schema(streams.RUN_STATE).parquet(f"{root}/requests").distinct()
 
 
 @query("stream_changed_only", "select concat('/data/', event_id) as path, ts as modificationTime from events where event_id%5=0 or event_id%5=1")

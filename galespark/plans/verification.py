@@ -122,12 +122,12 @@ def verify_interpolate(spark, sf_dir):
 
 @query(
     "verify_join",
-    VIEWS + " select d.storm_id, model_id, init_time, tau, vmax, vmax_kt, round(vmax-vmax_kt,3) as diff from deck_points d join advisories a on a.storm_id=d.storm_id and a.advisory_time=d.valid_time",
+    VIEWS + " select d.storm_id, model_id, init_time, tau, vmax, round(vmax_kt,6) as vmax_kt, round(vmax-vmax_kt,6) as diff from deck_points d join advisories a on a.storm_id=d.storm_id and a.advisory_time=d.valid_time",
 )
 def verify_join(spark, sf_dir):
     a = view(spark, sf_dir, "advisories").select("storm_id", F.col("advisory_time").alias("valid_time"), "vmax_kt")
     j = view(spark, sf_dir, "deck_points").join(a, ["storm_id", "valid_time"])
-    return j.select("storm_id", "model_id", "init_time", "tau", "vmax", "vmax_kt", F.round(F.col("vmax") - F.col("vmax_kt"), 3).alias("diff"))
+    return j.select("storm_id", "model_id", "init_time", "tau", "vmax", F.round("vmax_kt", 6).alias("vmax_kt"), F.round(F.col("vmax") - F.col("vmax_kt"), 6).alias("diff"))
 
 
 @query(

@@ -60,8 +60,8 @@ VIEWS = {
         select concat('S', cast(cast(floor(o_orderkey/300) as bigint) as string)) as storm_id,
           timestamp '2024-01-01 03:00:00' + interval '6' hour * cast(o_orderkey%60 as int) as advisory_time,
           round(min(10+(o_orderkey%300)/10.0e0),1) as lat, round(min(-90+(o_orderkey%500)/10.0e0),1) as lon,
-          round(avg(20+o_totalprice/5000),2) as vmax_kt, round(avg(1010-o_totalprice/10000),2) as mslp_hpa,
-          round(avg((o_custkey*7)%360),1) as heading, round(avg(o_custkey%30),1) as speed_kt
+          avg(20+o_totalprice/5000)*0.539956803e0 as vmax_kt, 1010-50*abs(sin(avg(o_totalprice)/50000)) as mslp_hpa,
+          180+180*sin(avg(o_custkey)/700) as heading, avg(o_custkey%30)*0.539956803e0 as speed_kt
         from {orders} group by 1,2""",
     "deck_points": """
         select concat('S', cast(cast(floor(l_orderkey/300) as bigint) as string)) as storm_id,
