@@ -94,8 +94,8 @@ def counter_clockwise(ring: Column) -> Column:
 
 
 def unwrap_ring(ring: Column) -> Column:
-    """Shift every vertex to within 180 degrees of the first vertex."""
-    first = F.element_at(ring, 1)["lon"]
+    """First vertex into -180..180, every other one to within 180 of it."""
+    first = signed_lon(F.element_at(ring, 1)["lon"])
     return F.transform(
         ring,
         lambda p: F.struct(
