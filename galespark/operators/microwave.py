@@ -23,7 +23,7 @@ ABNORMAL = -9991.0
 
 def scale(samples: DataFrame, attributes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Integer samples times the scale factor of their file."""
-    out = samples.join(attributes, key)
+    out = samples.join(broadcast_if_small(attributes, 10_000), key)
     return out.withColumns({c: F.col(c) * F.col("scale_factor") for c in columns})
 
 
@@ -103,7 +103,7 @@ def coregister(samples: DataFrame, a1: float, a2: float, keys: list[str] = ["sca
         }
     )
     v = v.withColumn("norm", F.sqrt(c("nx") * c("nx") + c("ny") * c("ny") + c("nz") * c("nz")))
-    v = v.withColumns({f"n{k}": c(f"n{k}") / c("norm") for k in "xyz"})
+    v = v.withColumns({f"n{k}": c(f"n{k}") / F.nullif(c("norm"), F.lit(0.0)) for k in "xyz"})
     v = v.withColumns(
         {
             "sx": c("ny") * c("pz") - c("nz") * c("py"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galespark.functions import geo, units
 from galespark.operators.sequence import islands, running_sum, with_previous
+from galespark.session import cut
 
 # fixed values: satellite -> nadir gap and swath width to each side, metres
 SWATHS = {
@@ -217,7 +218,7 @@ def dedupe_sensing(matches: DataFrame, compat: bool = False) -> DataFrame:
 
 def predict(points: DataFrame, nadir: DataFrame, swaths: dict = SWATHS, compat: bool = False) -> DataFrame:
     """Which pass sees which storm, and when."""
-    quads = swath_quads(nadir, swaths)
+    quads = cut(swath_quads(nadir, swaths))
     span = quads.agg(F.min("valid_time").alias("t0"), F.max("valid_time").alias("t1"))
     m = minutes(points, span.select("t0").scalar(), span.select("t1").scalar())
     return dedupe_sensing(sensed(m, quads), compat)

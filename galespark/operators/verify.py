@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galespark.functions import geo
 from galespark.operators.ranking import quantiles
+from galespark.session import cut
 
 RUN = ["storm_id", "model_id", "init_time"]
 VALUES = ["lat", "lon", "vmax", "mslp", "dir", "speed"]
@@ -133,7 +134,8 @@ def _by_weighting(stats: DataFrame) -> DataFrame:
 
 def model_statistics(stats: DataFrame) -> DataFrame:
     """Spread of the runs' errors per model, and over models (model NULL)."""
-    long = _by_weighting(stats)
+    # a few rows per run, read by two aggregations: written once
+    long = cut(_by_weighting(stats))
     keys = ["metric", "weighting", "model_id"]
     plain = long.groupBy(*keys).agg(F.min("rmse").alias("low"), F.avg("rmse").alias("mean"), F.max("rmse").alias("high"))
     per_model = plain.join(quantiles(long, keys, "rmse", {"median": 0.5}), keys)
@@ -151,7 +153,7 @@ def best_runs(stats: DataFrame, excluded: dict[str, list[str]] = EXCLUDED) -> Da
     for metric, models in excluded.items():
         long = long.filter(~((F.col("metric") == metric) & F.col("model_id").isin(models)))
     pick = F.min(F.struct("rmse", "model_id", "init_time", "storm_id")).alias("b")
-    per_model = long.groupBy("metric", "weighting", F.col("model_id").alias("m")).agg(pick)
+    per_model = cut(long.groupBy("metric", "weighting", F.col("model_id").alias("m")).agg(pick))
     overall = per_model.groupBy("metric", "weighting").agg(F.min("b").alias("b")).withColumn("m", F.lit(None).cast("string"))
     return per_model.unionByName(overall).select(
         "metric", "weighting", F.col("m").alias("of_model"), "b.model_id", "b.init_time", "b.storm_id", "b.rmse"

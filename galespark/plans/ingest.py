@@ -167,7 +167,11 @@ def deck_lines(spark, sf_dir):
         F.when(F.col("dir") % 11 == 0, "x").otherwise(F.col("speed").cast("string")),
         F.lit("0"), F.lit("0"), F.lit(""), F.lit("0"), F.lit(""), F.col("dir").cast("string"), F.col("speed").cast("string"),
     )
-    return d.select(F.when(F.col("dir") % 17 == 0, F.concat_ws(", ", F.lit("AL"), number, init)).otherwise(full).alias("value"))
+    lines = d.select(F.when(F.col("dir") % 17 == 0, F.concat_ws(", ", F.lit("AL"), number, init)).otherwise(full).alias("value"))
+    # real text files, as decks come
+    path = scratch_path(spark)
+    lines.write.text(path)
+    return spark.read.text(path)
 
 
 @query(

@@ -24,6 +24,20 @@ def local_session(cores: int | str = "*", app: str = "galespark") -> SparkSessio
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return prepare(spark)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let measured sizes alone decide on broadcasts.
+
+    Estimates do not see how far an explode multiplies its rows, so a side
+    that looks small may be huge. Planned broadcasts are therefore off; the
+    adaptive planner still turns a join into a broadcast once a finished
+    shuffle shows that a side is small. Explicit hints follow a count."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
 
 

@@ -37,12 +37,11 @@ def _signed(text: Column, plus: str) -> Column:
 
 def decode(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed fields of a line; fields past the end of the line are NULL."""
-    parts = F.split(F.col(column), ",")
-    cols = {}
-    for i, name in enumerate(FIELDS):
-        value = F.trim(F.get(parts, F.lit(i)))
-        cols[name] = value.try_cast("int") if name in INTEGERS else value
-    out = lines.filter(F.size(parts) > 4).withColumns(cols)
+    schema = ", ".join(f"{n} string" for n in FIELDS)
+    trim = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    long_enough = F.size(F.split(F.col(column), ",")) > 4
+    rows = lines.filter(long_enough).withColumn("fields", F.from_csv(F.col(column), schema, trim))
+    out = rows.select(*lines.columns, "fields.*").withColumns({n: F.col(n).try_cast("int") for n in INTEGERS})
     return out.withColumns({"lat": _signed(F.col("lat_text"), "N"), "lon": _signed(F.col("lon_text"), "E")})
 
 
