@@ -160,10 +160,11 @@ def storm_box(lat: Column, lon: Column, radius: Column) -> dict[str, Column]:
 def sensed(storms: DataFrame, quads: DataFrame, radius: str = "rmw") -> DataFrame:
     """Storm minutes whose circle meets a swath of the same minute.
 
-    An equi-join on the minute; a minute has a few swaths only. Bounding boxes
+    An equi-join on the minute. A minute has a few swaths only, so they are
+    the side to hash and the many storm minutes need no sort. Bounding boxes
     come first, then the centre inside the convex area or an edge of it
     within the radius, on the local plane round the storm."""
-    hits = storms.join(quads.drop("valid_time"), "interp_id")
+    hits = storms.join(quads.drop("valid_time").hint("shuffle_hash"), "interp_id")
     lat, lon, r = F.col("lat"), F.col("lon"), F.col(radius)
     turn = F.lit(360.0) * F.round((lon - F.col("a_lon")) / 360)
     scale = F.lit(units.M_PER_DEGREE)

@@ -290,13 +290,16 @@ def reduce_same_step(nodes: DataFrame, same: DataFrame, links: DataFrame):
         nodes, same, links = without(nodes, same, links, gone)
 
 
-def merger_cuts(labelled: DataFrame, same_directed: DataFrame, links: DataFrame, min_length: int = MIN_SEGMENT) -> DataFrame:
+def merger_cuts(
+    labelled: DataFrame, same_directed: DataFrame, links: DataFrame, min_length: int = MIN_SEGMENT, clusters: DataFrame | None = None
+) -> DataFrame:
     """Directed same-step links to drop where a long disjoint stretch merges.
 
     At the last step of the stretch, a successor all of whose predecessors lie
     in one group belongs to that group; its links to nodes that are no
     successors of the group are bridges."""
-    clusters = cut(step_clusters(labelled, same_directed))
+    if clusters is None:
+        clusters = step_clusters(labelled, same_directed)
     segments = disjoint_segments(labelled, clusters, min_length).filter(F.col("last_step") < F.col("component_end"))
     ends = segments.select(*RUN, "component_id", F.col("last_step").alias("time_step")).distinct()
     at_end = labelled.join(ends, [*RUN, "component_id", "time_step"], "left_semi").select("node_id")
@@ -374,12 +377,13 @@ def simplify(labelled: DataFrame, same: DataFrame, links: DataFrame):
         nodes, directed, links = reduce_same_step(nodes, directed, links)
         changed = nodes.count() < before
         while True:
-            bridges = cut(merger_cuts(nodes, directed, links))
+            clusters = step_clusters(nodes, directed)
+            bridges = cut(merger_cuts(nodes, directed, links, clusters=clusters))
             if not bridges.isEmpty():
                 directed = cut(directed.join(bridges, ["src", "dst"], "left_anti"))
                 changed = True
                 continue
-            segments = disjoint_segments(nodes, step_clusters(nodes, directed))
+            segments = disjoint_segments(nodes, clusters)
             runs = cut(segments.select(*RUN).distinct())
             if runs.isEmpty():
                 break
