@@ -43,11 +43,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a temporary one is set
-    only where a session (a test, a laptop) names none."""
+    only where a local session (a test, a laptop) names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="galespark-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root
