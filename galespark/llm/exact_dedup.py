@@ -72,6 +72,7 @@ def track(rows: DataFrame, checkpoint: str, sink: str) -> None:
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores; no space ahead of need
     }
     with _settings(rows.sparkSession, memory):
         query = (
