@@ -36,3 +36,36 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galespark.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_embedding_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galespark.llm import embed_dedup
+
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from galespark.llm import token_counts
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from galespark.llm import packing
+
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
