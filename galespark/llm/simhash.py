@@ -182,15 +182,16 @@ def _signed(x: int) -> int:
 def link_edges(codes: DataFrame, distance: int = DISTANCE, max_node: int = MAX_NODE) -> DataFrame:
     """Spanning edges (a, b) of all links between the distinct ``codes(fp)``."""
     spark = codes.sparkSession
-    edges, level = [], {0: None}
+    edges, masks = [], [0]
+    if max_node < 1 << distance:
+        raise ValueError("nodes with no more than `distance` free bits are taken whole and cannot be split")
     rows = codes.select("fp", F.lit(0).cast("bigint").alias("mask"))
     while True:
         kids = [
             (_signed(m), _signed(m | block))
-            for m in level for block in _blocks([b for b in range(64) if not m >> b & 1], distance + 1) if block
+            for m in masks for block in _blocks([b for b in range(64) if not m >> b & 1], distance + 1) if block
         ]
-        level = {k % (1 << 64): None for _, k in kids}
-        fixed = spark.createDataFrame(kids, "mask bigint, deeper bigint")  # (d + 1)^depth rows
+        fixed = spark.createDataFrame(kids, "mask bigint, deeper bigint")  # a row per mask and block, not per node
         rows = rows.join(F.broadcast(fixed), "mask").select(
             F.col("deeper").alias("mask"), F.col("fp").bitwiseAND(F.col("deeper")).alias("bits"), "fp"
         ).distinct()
@@ -203,6 +204,7 @@ def link_edges(codes: DataFrame, distance: int = DISTANCE, max_node: int = MAX_N
         if not n:
             break
         rows = cut(rows.join(hint, ["mask", "bits"], "left_semi").select("fp", "mask"))
+        masks = [r.mask % (1 << 64) for r in large.select("mask").distinct().collect()]
     out = edges[0]
     for more in edges[1:]:
         out = out.unionByName(more)
