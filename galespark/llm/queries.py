@@ -69,3 +69,45 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galespark.llm import packing
 
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galespark.llm import langid
+    from galespark.llm.vectors import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), langid.learn(docs.filter(remainder(3) != 1)))
+    return out.select(
+        "doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected")
+    )
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galespark.llm import quality
+    from galespark.llm.vectors import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0))
+    out = quality.score(docs, model)
+    return out.select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galespark.llm import secret_scan
+
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galespark.llm import lm
+    from galespark.llm.vectors import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    out = lm.score(docs, *lm.learn(docs.filter(remainder(7) != 2)))
+    return out.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
