@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from galespark.llm import vectors
 
 PER_LANGUAGE, CENTROIDS, ROUNDS = 300, 4, 12
-LIMIT = 0.9  # cosine distance from which a document is in no known language
+LIMIT = 0.95  # cosine distance from which a document is in no known language
 UNKNOWN = "und"
 FOLD = bytes(
     b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256)
