@@ -118,3 +118,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op6_piece_sampling")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from galespark.llm import piece_sampling
+
+    out = piece_sampling.sample(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "draw", "n_pieces", "log_prob", "log_inclusion", F.crc32("ids").alias("ids_crc32"), "round_trip")
