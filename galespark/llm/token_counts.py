@@ -88,8 +88,9 @@ class Memory(dict):
 
     def __missing__(self, key):
         value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        return self.put(key, self.make(key) if value is None else value)
+
+    def put(self, key, value):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
