@@ -47,14 +47,17 @@ def inverse(lat1, lon1, lat2, lon2):
             nxt = gap + (1 - c) * FLAT * sin_a * (
                 sigma + c * sin_s * (cos_2m + c * cos_s * (-1 + 2 * cos_2m**2))
             )
-            done = np.nanmax(np.abs(nxt - lam), initial=0.0) < 1e-13
+            step = np.abs(nxt - lam)
             lam = nxt
-            if done:
+            if np.nanmax(step, initial=0.0) < 1e-13:
                 break
         a, b = _series_terms(cos2_a)
         dist = MINOR * a * (sigma - _delta_sigma(b, sin_s, cos_s, cos_2m))
         az = np.degrees(np.arctan2(cu2 * np.sin(lam), cu1 * su2 - su1 * cu2 * np.cos(lam)))
-    return np.where(sin_s == 0, np.where(cos_s > 0, 0.0, dist), dist), az
+    # nearly opposite points do not settle: no value rather than a wrong one
+    settled = step < 1e-12
+    dist = np.where((sin_s == 0) & (cos_s > 0), 0.0, dist)
+    return np.where(settled, dist, np.nan), np.where(settled, az, np.nan)
 
 
 def direct(lat1, lon1, az, dist):
@@ -72,9 +75,9 @@ def direct(lat1, lon1, az, dist):
     for _ in range(200):
         cos_2m = np.cos(2 * sigma1 + sigma)
         nxt = base + _delta_sigma(b, np.sin(sigma), np.cos(sigma), cos_2m)
-        done = np.nanmax(np.abs(nxt - sigma), initial=0.0) < 1e-13
+        step = np.abs(nxt - sigma)
         sigma = nxt
-        if done:
+        if np.nanmax(step, initial=0.0) < 1e-13:
             break
     cos_2m = np.cos(2 * sigma1 + sigma)
     ss, cs = np.sin(sigma), np.cos(sigma)
@@ -86,7 +89,8 @@ def direct(lat1, lon1, az, dist):
     c = FLAT / 16 * cos2_a * (4 + FLAT * (4 - 3 * cos2_a))
     gap = lam - (1 - c) * FLAT * sin_a * (sigma + c * ss * (cos_2m + c * cs * (-1 + 2 * cos_2m**2)))
     lon2 = (np.degrees(lon1 + gap) + 180) % 360 - 180
-    return np.degrees(lat2), lon2
+    settled = step < 1e-11
+    return np.where(settled, np.degrees(lat2), np.nan), np.where(settled, lon2, np.nan)
 
 
 @F.pandas_udf(T.StructType().add("distance_m", T.DoubleType()).add("azimuth", T.DoubleType()))

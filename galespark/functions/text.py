@@ -11,6 +11,10 @@ from galespark.sources.dims import MODELS, literal_map
 CHANNELS = ["6G", "7G", "10G", "18G", "23G", "36G"]
 
 
+# layout of a wind product's file name
+WIND_FILE = r"^\w\w(\d{8})[^_]*?(\w)_(as|ds)\b"
+
+
 def coefficient_map(text: Column) -> Column:
     """'6G-1.518,7G--1.4' -> {6G: 1.518, 7G: -1.4}; the first dash separates."""
     entries = F.transform(
@@ -38,11 +42,14 @@ def last_step(model: Column) -> Column:
 
 
 def wind_product_title(name: Column) -> Column:
-    """Platform, orbit direction and stamp named by a wind product file."""
-    platform = F.when(name.contains("_"), F.right(F.element_at(F.split(name, "_"), 1), F.lit(1)))
-    platform = F.when(platform == "B", "METOP B").when(platform == "C", "METOP C").otherwise("Unknown")
-    way = F.when(name.contains("ds"), "Descending").when(name.contains("as"), "Ascending").otherwise("Unknown")
-    return F.concat_ws(" ", platform, way, F.substring(name, 3, 8))
+    """Title of a wind product from its file name: two letters, the day, the
+    platform's letter before the first underscore, the orbit's direction after it."""
+
+    def named(group: int, words: dict[str, str]) -> Column:
+        return F.coalesce(literal_map(words)[F.regexp_extract(name, WIND_FILE, group)], F.lit("Unknown"))
+
+    platform, way = named(2, {"B": "METOP B", "C": "METOP C"}), named(3, {"as": "Ascending", "ds": "Descending"})
+    return F.concat_ws(" ", platform, way, F.regexp_extract(name, WIND_FILE, 1))
 
 
 def pass_label(satellite: Column, ascending: Column) -> Column:

@@ -98,3 +98,10 @@ def normalise(v: Column, low: float, high: float) -> Column:
 
 def any_bit(value: Column, mask: int) -> Column:
     return value.bitwiseAND(F.lit(mask)) != 0
+
+
+def lead_day_bin(hours: Column, legend: int | None = None) -> Column:
+    """Day of the lead time, -1 before the valid day. A legend of some days has
+    no bin (NULL) for what lies beyond it; without one every day has its bin."""
+    day = F.when(hours < 0, -1).otherwise(F.floor(hours / 24)).cast("int")
+    return day if legend is None else F.when(day < legend, day)

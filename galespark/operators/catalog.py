@@ -46,11 +46,21 @@ def replace_steps(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return existing.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
 
 
-def insert_absent(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows whose key is not stored; stored rows never change."""
+def absent(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Incoming rows whose key is not stored."""
     return incoming.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
+def insert_absent(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] = []) -> DataFrame:
+    """One incoming row for each key that is not stored, the first in ``order``
+    (then by the other columns); stored rows never change."""
+    rest = [*order, *(c for c in incoming.columns if c not in {*keys, *order})]
+    if not rest:
+        return absent(existing, incoming, keys).select(*keys).distinct()
+    first = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r"))
+    return absent(existing, first, keys).select(*(c if c in keys else f"r.{c}" for c in incoming.columns))
+
+
 def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The row of the highest version per key. ``max_by`` folds on the map
     side, so a key with many versions sends one row per task."""

@@ -24,7 +24,6 @@ from galespark.sources.dims import basin_of
 RUN = ["model_name", "init_time", "time_step"]
 CELL = [*RUN, "x", "y"]
 RAYS = 576
-MAX_DELTA = 199
 
 
 @dataclass(frozen=True)
@@ -42,10 +41,10 @@ class Grid:
 
 
 def derived(cells: DataFrame) -> DataFrame:
-    """Thickness and wind speed of each cell."""
-    return cells.withColumns(
-        {"thickness": F.col("gh250") - F.col("gh850"), "wind": F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))}
-    )
+    """Thickness of each cell and the wind speeds of the levels that it has."""
+    speed = lambda level: F.sqrt(F.col(f"u{level}") * F.col(f"u{level}") + F.col(f"v{level}") * F.col(f"v{level}"))
+    levels = [x for x in ("", "925", "10") if f"u{x}" in cells.columns]
+    return cells.withColumns({"thickness": F.col("gh250") - F.col("gh850")} | {f"wind{x}": speed(x) for x in levels})
 
 
 def strips(cells: DataFrame, fields: list[str]) -> DataFrame:
@@ -230,7 +229,7 @@ def roci_function(grid: Grid, radius: int):
 def _outermost(box: np.ndarray, x: np.ndarray, y: np.ndarray, grid: Grid, points: np.ndarray) -> pd.DataFrame:
     rise = _rise(box)
     c = box.shape[1] // 2
-    delta = np.minimum(np.floor(_barrier(rise, 1)), MAX_DELTA)
+    delta = np.floor(_barrier(rise, 1))
     core = rise < 1.0
     weight = core.sum(axis=(1, 2))
     axis = np.arange(box.shape[1])
@@ -301,9 +300,9 @@ def assign_basin(candidates: DataFrame) -> DataFrame:
 
 
 def threshold_flags(candidates: DataFrame, limits: DataFrame) -> DataFrame:
-    """Criteria map by the thresholds of model and basin; the vorticity limit
-    is in 1e-5/s and turns its sign south of the equator."""
-    c = candidates.join(broadcast_if_small(limits, 1000), ["model_name", "basin"])
+    """Criteria map by the thresholds of model and basin, NULL where there are
+    none; the vorticity limit is in 1e-5/s and turns its sign south of the equator."""
+    c = candidates.join(broadcast_if_small(limits.withColumn("known", F.lit(True)), 1000), ["model_name", "basin"], "left")
     sign = F.when(F.col("lat") < 0, -1.0).otherwise(1.0)
     met = {
         "vmax925": F.col("vmax925") >= F.col("ws"),
@@ -313,26 +312,27 @@ def threshold_flags(candidates: DataFrame, limits: DataFrame) -> DataFrame:
     pairs = F.create_map(*[e for k, b in met.items() for e in (F.lit(k), F.coalesce(b, F.lit(False)))])
     c = c.withColumn("criteria", pairs)
     whole = F.forall(F.map_values("criteria"), lambda b: b)
-    return c.withColumn("criteria", F.map_concat("criteria", F.create_map(F.lit("all"), whole))).drop("ws", "rv", "thkn")
+    every = F.map_concat("criteria", F.create_map(F.lit("all"), whole))
+    return c.withColumn("criteria", F.when(F.col("known"), every)).drop("ws", "rv", "thkn", "known")
 
 
 def detect(cells: DataFrame, grid: Grid, limits: DataFrame) -> DataFrame:
     """Disturbances of every field, cheap tests first.
 
-    ``cells`` carries mslp, u, v, gh250, gh850 and, where they differ from u and
-    v, the winds u925, v925, u10, v10."""
-    for name in ("u925", "v925", "u10", "v10"):
-        if name not in cells.columns:
-            cells = cells.withColumn(name, F.col(name[0]))
-    speed = lambda s: F.sqrt(F.col(f"u{s}") * F.col(f"u{s}") + F.col(f"v{s}") * F.col(f"v{s}"))
-    cells = cells.withColumns({"wind925": speed(925), "wind10": speed(10), "thickness": F.col("gh250") - F.col("gh850")})
+    ``cells`` carries mslp, gh250, gh850 and the winds u, v at 850 hPa, u925,
+    v925 and u10, v10, and the vorticity vort850 where the files have it."""
+    if gone := {"mslp", "gh250", "gh850", "u", "v", "u925", "v925", "u10", "v10"} - set(cells.columns):
+        raise ValueError(f"fields missing from the grid: {', '.join(sorted(gone))}")
+    given = ["vort850"] if "vort850" in cells.columns else []
     # strips are written once; each stage reads back only the columns it needs
-    field = cut(strips(cells, ["lon", "mslp", "u", "v", "thickness", "wind925", "wind10"]))
-    found = cut(assign_basin(closed_isobar(local_minima(field), field, grid)))
-    found = box_extreme(found, vorticity(field, grid), "vort", "rv850max", grid.cells(2), grid.rows, by_hemisphere=True)
+    field = cut(strips(derived(cells), ["lon", "mslp", "u", "v", "thickness", "wind925", "wind10", *given]))
+    found = cut(closed_isobar(assign_basin(local_minima(field)), field, grid))
+    spin = field.withColumnRenamed("vort850", "vort") if given else vorticity(field, grid)
+    found = box_extreme(found, spin, "vort", "rv850max", grid.cells(2), grid.rows, by_hemisphere=True)
     found = box_extreme(found, field, "thickness", "gp250_850_thickness", grid.cells(2), grid.rows)
     found = box_extreme(found, field, "wind925", "vmax925", grid.cells(5), grid.rows)
-    found = threshold_flags(found, limits).filter(F.col("criteria")["all"])
+    # candidates of a model or basin without thresholds have no criteria to meet
+    found = threshold_flags(found, limits).filter(F.coalesce(F.col("criteria")["all"], F.lit(False)))
     found = radius_of_closed_isobar(found, field, grid)
     found = found.withColumn("r10", F.bround("roci_grid_units").cast("int"))
     return box_extreme(found, field, "wind10", "vmax10m_in_roci", "r10", grid.rows).drop("r10")

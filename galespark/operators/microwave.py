@@ -22,8 +22,8 @@ ABNORMAL = -9991.0
 
 
 def scale(samples: DataFrame, attributes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Integer samples times the scale factor of their file."""
-    out = samples.join(broadcast_if_small(attributes, 10_000), key)
+    """Integer samples times the scale factor of their file, NULL where it has none."""
+    out = samples.join(broadcast_if_small(attributes, 10_000), key, "left")
     return out.withColumns({c: F.col(c) * F.col("scale_factor") for c in columns})
 
 
@@ -60,13 +60,14 @@ def theta_lookup(rows: DataFrame, theta: DataFrame, lat: str = "lat", month: str
     """Coefficient at the table latitude nearest to the row.
 
     The table folds to one list per month, so rows meet at most twelve keys
-    by an equi-join and the argmin runs inside the row."""
+    by an equi-join and the argmin runs inside the row; NULL without a month."""
     per_month = theta.groupBy("month").agg(F.sort_array(F.collect_list(F.struct("lat", "theta")), asc=False).alias("steps"))
     per_month = per_month.withColumnRenamed("month", month)
     gaps = F.transform(
         "steps", lambda s, i: F.struct(F.abs(s["lat"] - F.col(lat)).alias("gap"), i.alias("i"), s["theta"].alias("theta"))
     )
-    return rows.join(broadcast_if_small(per_month, 12), month).withColumn("theta", F.array_min(gaps)["theta"]).drop("steps")
+    per_month = F.broadcast(cut(per_month))  # twelve rows at most
+    return rows.join(per_month, month, "left").withColumn("theta", F.array_min(gaps)["theta"]).drop("steps")
 
 
 def nearest_sample(samples: DataFrame, keys: list[str], lat: Column, lon: Column, payload: list[str]) -> DataFrame:
@@ -143,10 +144,16 @@ def regrid_nearest(samples: DataFrame, mesh: DataFrame, keys: list[str], payload
     Points look in the 3x3 tiles round their own. What is found within one
     tile length cannot be beaten from outside and is final; the rest goes on
     with tiles twice as wide, so rounds grow with the logarithm of the widest
-    gap. Samples at one position collapse before they meet the mesh."""
-    sites = samples.groupBy(*keys, "lat", "lon").agg(F.min(F.struct(*payload)).alias("payload"))
-    done, open_points = None, mesh
-    while True:
+    gap. Samples at one position collapse before they meet the mesh. Points
+    without a position or in a group without usable samples get NULL."""
+    usable = lambda a, b: F.abs(a).between(0, 1e6) & F.abs(b).between(0, 1e6)  # NULL and NaN are neither
+    sites = samples.filter(usable(F.col("lat"), F.col("lon"))).groupBy(*keys, "lat", "lon").agg(F.min(F.struct(*payload)).alias("payload"))
+    with_sites = mesh.filter(usable(F.col("mlat"), F.col("mlon"))).join(sites.select(*keys).distinct(), keys, "left_semi")
+    open_points = cut(with_sites.select(*keys, "i", "j", "mlat", "mlon"))
+    kinds = {f.name: f.dataType for f in samples.schema}
+    bare = mesh.select(*keys, "i", "j").join(open_points.select(*keys, "i", "j"), [*keys, "i", "j"], "left_anti")
+    done = cut(bare.select(*keys, "i", "j", *(F.lit(None).cast(kinds[c]).alias(c) for c in payload)))
+    while not open_points.isEmpty():
         def index(c):
             return F.floor(F.col(c) / tile)
 
@@ -163,11 +170,10 @@ def regrid_nearest(samples: DataFrame, mesh: DataFrame, keys: list[str], payload
         best = hits.groupBy(*keys, "i", "j").agg(F.min(F.struct(d2.alias("d2"), "payload")).alias("best"))
         final = best.filter(F.col("best.d2") <= tile * tile)
         found = cut(final.select(*keys, "i", "j", "best.payload.*"))
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(found)
         open_points = cut(open_points.join(found.select(*keys, "i", "j"), [*keys, "i", "j"], "left_anti"))
-        if open_points.isEmpty():
-            return done
         tile *= 2
+    return done
 
 
 def product(samples: DataFrame, lat: Column, lon: Column, frequency: int, bits: dict[str, int], theta: Column | None = None) -> DataFrame:

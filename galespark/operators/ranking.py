@@ -18,7 +18,9 @@ def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     give the offset where the group goes on in the next partition."""
     spot = F.monotonically_increasing_id()
     rows = cut(
-        df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+        # the hash splits equal values of a group between range partitions
+        df.withColumn("tie", F.xxhash64(*df.columns, F.rand(7)))
+        .repartitionByRange(*keys, *order, "tie").sortWithinPartitions(*keys, *order, "tie").drop("tie")
         .withColumns({"part": F.shiftright(spot, ROW_BITS), "place": spot.bitwiseAND(F.lit((1 << ROW_BITS) - 1))})
     )
     pieces = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("here"), F.min("place").alias("first_place"))

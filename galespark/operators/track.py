@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +73,10 @@ def longest_path(links: DataFrame, per_round: int = 4) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): label is the smallest id of the weakly connected component.
 
-    Every round takes the smallest label among neighbours and then jumps to the
-    label's own label, so rounds grow with the logarithm of the diameter. The
-    minimum folds before the shuffle; labels shared by very many vertices are
-    split by the adaptive skew join."""
+    For graphs of any size: every round takes the smallest label among the
+    neighbours and then jumps to the label's own label, so there are at most as
+    many rounds as links on a path. Tracks never leave their run and go through
+    :func:`components_of_runs` in one shuffle."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = cut(both)
     near = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
@@ -92,13 +93,50 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _labels_of_run(key: tuple, ids: pa.Table, links: pa.Table) -> pa.Table:
+    """Smallest reachable id of each vertex, by union-find over the run's links."""
+    name = ids["id"].to_pylist()
+    place = {x: i for i, x in enumerate(sorted(set(name)))}
+    root = list(range(len(place)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in zip(links["src"].to_pylist(), links["dst"].to_pylist()):
+        if a in place and b in place:
+            a, b = sorted((find(place[a]), find(place[b])))
+            root[b] = a
+    back = sorted(place)
+    return pa.table({"id": ids["id"], "label": pa.array([back[find(place[x])] for x in name], ids["id"].type)})
+
+
+def components_of_runs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label) like :func:`components` where no link leaves a run: one
+    shuffle by run, all rounds inside it. A run has the nodes of its forecast
+    steps, so it is small however many runs there are."""
+    kind = nodes.schema["node_id"].dataType.simpleString()
+    ids = nodes.select(*RUN, F.col("node_id").alias("id")).distinct()
+    return (
+        ids.groupBy(*RUN).cogroup(edges.select(*RUN, "src", "dst").groupBy(*RUN))
+        .applyInArrow(_labels_of_run, f"id {kind}, label {kind}")
+    )
+
+
 def track_components(nodes: DataFrame, *edges: DataFrame) -> DataFrame:
     """Nodes with the component they belong to, numbered within the run by
     earliest step; equal starts go by smallest node id."""
-    linked = edges[0].select("src", "dst")
+    per_run = all({*RUN} <= {*e.columns} for e in edges)
+    columns = [*RUN, "src", "dst"] if per_run else ["src", "dst"]
+    linked = edges[0].select(*columns)
     for e in edges[1:]:
-        linked = linked.unionByName(e.select("src", "dst"))
-    labels = components(nodes.select(F.col("node_id").alias("id")), linked)
+        linked = linked.unionByName(e.select(*columns))
+    if per_run:
+        labels = components_of_runs(nodes, linked)
+    else:
+        labels = components(nodes.select(F.col("node_id").alias("id")), linked)
     labelled = nodes.join(labels.withColumnRenamed("id", "node_id"), "node_id")
     starts = labelled.groupBy(*RUN, "label").agg(F.min("time_step").alias("start"))
     number = F.row_number().over(Window.partitionBy(*RUN).orderBy("start", "label")) - 1

@@ -103,24 +103,24 @@ def box_thickness(spark, sf_dir):
     return out.select(*grid.CELL, F.round("best", 4).alias("thickness"))
 
 
-@query("box_wind925", CELLS + MINIMA + CAND + f" select * from {box(5, 'round(max(sqrt(g.u*g.u+g.v*g.v)),6) as vmax925')} b")
+@query("box_wind925", CELLS + MINIMA + CAND + f" select * from {box(5, 'round(max(sqrt(g.u925*g.u925+g.v925*g.v925)),6) as vmax925')} b")
 def box_wind925(spark, sf_dir):
-    c, f = minima_of(spark, sf_dir, ["wind"])
-    out = grid.box_extreme(c, f, "wind", "best", 5, NX)
+    c, f = minima_of(spark, sf_dir, ["wind925"])
+    out = grid.box_extreme(c, f, "wind925", "best", 5, NX)
     return out.select(*grid.CELL, F.round("best", 6).alias("vmax925"))
 
 
 @query(
     "box_wind_roci",
-    CELLS + MINIMA + f""" select c.model_name, c.init_time, c.time_step, c.x, c.y, round(max(sqrt(g.u*g.u+g.v*g.v)),6) as vmax10m from minima c
+    CELLS + MINIMA + f""" select c.model_name, c.init_time, c.time_step, c.x, c.y, round(max(sqrt(g.u10*g.u10+g.v10*g.v10)),6) as vmax10m from minima c
       left join (range(-3,4) dx(i) cross join range(-3,4) dy(j)) on abs(dx.i)<=(c.x+c.y)%4 and abs(dy.j)<=(c.x+c.y)%4 and (c.x+c.y)%4>0
       left join grid_cells g on {same('c', 'g')} and g.x=((c.x+dx.i)%{NX}+{NX})%{NX} and g.y=((c.y+dy.j)%{NY}+{NY})%{NY} group by 1,2,3,4,5""",
 )
 def box_wind_roci(spark, sf_dir):
     """Half-size from each candidate's own radius; none, no value."""
-    c, f = minima_of(spark, sf_dir, ["wind"])
+    c, f = minima_of(spark, sf_dir, ["wind10"])
     r = (F.col("x") + F.col("y")) % 4
-    out = grid.box_extreme(c.withColumn("r_own", F.when(r > 0, r).cast("int")), f, "wind", "best", "r_own", NX)
+    out = grid.box_extreme(c.withColumn("r_own", F.when(r > 0, r).cast("int")), f, "wind10", "best", "r_own", NX)
     return out.select(*grid.CELL, F.round("best", 6).alias("vmax10m"))
 
 

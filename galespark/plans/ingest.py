@@ -370,23 +370,25 @@ def long_grid(spark, sf_dir):
             for p, lv, u, c, k in (
                 ("prmsl", 0, "Pa", "mslp", 100.0), ("u", 850, "m/s", "u", 1.0), ("v", 850, "knots", "v", 2.0),
                 ("gh", 250, "gpm", "gh250", 1.0), ("gh", 850, "gpm", "gh850", 1.0), ("t", 850, "K", "u", 1.0),
+                ("u", 925, "m/s", "u925", 1.0), ("v", 925, "knots", "v925", 2.0), ("u", 10, "m/s", "u10", 1.0), ("v", 10, "m/s", "v10", 1.0),
             )
         ]
     )
     long = g.select(*grid.RUN, "x", "y", F.explode(rows).alias("r")).select(*grid.RUN, "x", "y", "r.*")
-    gap = (F.col("model_name") == "ECM") & (F.col("time_step") == 12) & (F.col("x") == 0) & (F.col("param") == "v")
+    gap = (F.col("model_name") == "ECM") & (F.col("time_step") == 12) & (F.col("x") == 0) & (F.col("param") == "v") & (F.col("level") == 850)
     return long.filter(~gap)
 
 
 @query(
     "grid_select_fields",
     with_views("grid_cells")
-    + """ select model_name, init_time, time_step, x, y, round(mslp,3) as mslp, u, round(v*2*0.514444e0,5) as v, gh250, gh850
+    + """ select model_name, init_time, time_step, x, y, round(mslp,3) as mslp, u, round(v*2*0.514444e0,5) as v, gh250, gh850,
+      u925, round(v925*2*0.514444e0,5) as v925, u10, v10
       from grid_cells where not (model_name='ECM' and time_step=12)""",
 )
 def grid_select_fields(spark, sf_dir):
     g = grid.select_fields(long_grid(spark, sf_dir))
-    return g.withColumns({"mslp": F.round("mslp", 3), "v": F.round("v", 5)})
+    return g.withColumns({"mslp": F.round("mslp", 3), "v": F.round("v", 5), "v925": F.round("v925", 5)}).drop("vort850")
 
 
 EPS_VIEW = """, raw as (select *, case event_id%6 when 0 then 0 when 1 then 1 else 4 end as ftype, cast(event_id%50+1 as int) as num,

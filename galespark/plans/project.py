@@ -111,9 +111,8 @@ def lead_hours(spark, sf_dir):
       from (select event_id, {LEAD} as h from track_points) t where h<456""",
 )
 def lead_day_bin(spark, sf_dir):
-    p = lead_hours(spark, sf_dir).filter(F.col("hours_after") < 456)
-    day = F.when(F.col("hours_after") < 0, -1).otherwise(F.least(F.floor(F.col("hours_after") / 24), F.lit(19)))
-    return p.select("event_id", "hours_after", day.cast("int").alias("day_bin"))
+    p = lead_hours(spark, sf_dir)
+    return p.withColumn("day_bin", units.lead_day_bin(F.col("hours_after"), 19)).filter("day_bin is not null").select("event_id", "hours_after", "day_bin")
 
 
 @query(

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 import importlib
 
-from galespark.session import prepare
-
 MODULES = ["ingest", "project", "runs", "tracks", "verification", "grids", "swaths", "instruments", "streams"]
 
 
@@ -14,16 +11,9 @@ def _load():
     return [importlib.import_module(f"galespark.plans.{m}") for m in MODULES]
 
 
-def _prepared(fn):
-    @functools.wraps(fn)
-    def run(spark, sf_dir):
-        return fn(prepare(spark), sf_dir)
-
-    return run
-
-
 def queries() -> dict:
-    return {k: _prepared(v) for m in _load() for k, v in m.QUERIES.items()}
+    """The caller's session keeps its settings."""
+    return {k: v for m in _load() for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:

@@ -23,7 +23,7 @@ def at():
 @query(
     "upsert_step",
     with_views("track_points")
-    + """, fresh as (select * from track_points where event_id%3=0), kept as (select * from track_points o where event_id%2=1
+    + """, fresh as (select * from track_points where event_id%3=0), kept as (select * from track_points o where event_id%3<>0
         and not exists (select 1 from fresh f where f.model_name=o.model_name and f.init_time=o.init_time and f.time_step=o.time_step)),
       merged as (select *, 1 as version from fresh union all select *, 0 from kept)
       select model_name, init_time, time_step, max(version) as version, count(*) as candidates, round(sum(mslp),3) as mslp_sum,
@@ -32,7 +32,7 @@ def at():
 )
 def upsert_step(spark, sf_dir):
     p = view(spark, sf_dir, "track_points")
-    stored = p.filter("event_id%2=1").withColumn("version", F.lit(0))
+    stored = p.filter("event_id%3<>0").withColumn("version", F.lit(0))
     fresh = p.filter("event_id%3=0").withColumn("version", F.lit(1))
     both = catalog.replace_steps(stored, fresh, ["model_name", "init_time", "time_step"])
     steps = both.groupBy("model_name", "init_time", "time_step").agg(
@@ -46,14 +46,16 @@ def upsert_step(spark, sf_dir):
     "insert_if_absent",
     with_views("tc_candidates")
     + """ select model_name, init_date, component_id, ws_max_10m from tc_candidates where component_id<2
-      union all select model_name, init_date, component_id, ws_max_10m+100 from tc_candidates n where n_points>5 and not exists
+      union all select model_name, init_date, component_id, ws_max_10m+100 from tc_candidates n where not exists
         (select 1 from tc_candidates e where e.component_id<2 and e.model_name=n.model_name and e.init_date=n.init_date and e.component_id=n.component_id)""",
 )
 def insert_if_absent(spark, sf_dir):
-    t = view(spark, sf_dir, "tc_candidates").select("model_name", "init_date", "component_id", "ws_max_10m", "n_points")
-    stored = t.filter("component_id<2").drop("n_points")
-    incoming = t.filter("n_points>5").withColumn("ws_max_10m", F.col("ws_max_10m") + 100).drop("n_points")
-    return stored.unionByName(catalog.insert_absent(stored, incoming, ["model_name", "init_date", "component_id"]))
+    """Every candidate comes in twice; the first of a key that is not stored stays."""
+    t = view(spark, sf_dir, "tc_candidates").select("model_name", "init_date", "component_id", "ws_max_10m")
+    stored = t.filter("component_id<2")
+    again = [t.withColumn("ws_max_10m", F.col("ws_max_10m") + late) for late in (100, 200)]
+    keys = ["model_name", "init_date", "component_id"]
+    return stored.unionByName(catalog.insert_absent(stored, again[1].unionByName(again[0]), keys, ["ws_max_10m"]))
 
 
 @query(
@@ -66,7 +68,7 @@ def tc_by_step(spark, sf_dir):
     """Tracks re-keyed by step without those of components stored before."""
     p = view(spark, sf_dir, "track_points").withColumn("component_id", F.col("event_id") % 4)
     stored = p.filter("component_id=0").select("model_name", "init_time", "component_id")
-    new = catalog.insert_absent(stored, p, ["model_name", "init_time", "component_id"])
+    new = catalog.absent(stored, p, ["model_name", "init_time", "component_id"])
     return new.groupBy("model_name", F.col("init_time").alias("init_date"), "time_step").agg(
         F.count(F.lit(1)).alias("points"), F.count_distinct("component_id").alias("n_components"), F.round(F.min("mslp"), 3).alias("deepest")
     )
@@ -91,10 +93,10 @@ def completed_append(spark, sf_dir):
     with_views("track_points")
     + """ select ensemble_name, init_date, n as num_files_processed, coalesce(e, -1) as expected_num_files_processed, n=coalesce(e,-1) as completed from
       (select event_id%3 as k, concat('E', event_id%3) as ensemble_name, init_time as init_date, count(distinct time_step) as n,
-        case when extract(day from init_time)%5<>0 then 24 end as e from track_points where event_id%2=0 group by 1,2,3,5) t""",
+        case when extract(day from init_time)%5<>0 then 24 end as e from track_points group by 1,2,3,5) t""",
 )
 def ens_status(spark, sf_dir):
-    p = view(spark, sf_dir, "track_points").filter("event_id%2=0")
+    p = view(spark, sf_dir, "track_points")
     processed = p.select(
         F.concat(F.lit("E"), (F.col("event_id") % 3).cast("string")).alias("ensemble_name"), F.col("init_time").alias("init_date"),
         F.concat(F.lit("/run/f"), F.col("time_step").cast("string")).alias("path"),

@@ -148,14 +148,14 @@ def track_points_nested(spark, sf_dir):
 @query(
     "track_point_index",
     FULL + MIN_SQL + """ select node_id, model_name, init_time, component_id, row_number() over (partition by model_name, init_time, component_id order by time_step)-1
-      as point_index from low qualify lat between 15 and 40""",
+      as point_index from low""",
 )
 def track_point_index(spark, sf_dir):
-    """Which track a point in a box belongs to, and at which place."""
+    """Which track a point belongs to, and at which place."""
     comp, _, _ = labelled(spark, sf_dir)
     n = track.nested(track.min_pressure(comp))
     rows = n.select("model_name", "init_time", "component_id", F.posexplode("points").alias("point_index", "p"))
-    return rows.filter(F.col("p.lat").between(15, 40)).select("p.node_id", "model_name", "init_time", "component_id", "point_index")
+    return rows.select("p.node_id", "model_name", "init_time", "component_id", "point_index")
 
 
 CLUSTERS = """, sreach as (select node_id as id, node_id as root from kept union

@@ -81,11 +81,10 @@ def ace_by_run(spark, sf_dir):
 
 @query(
     "storms_verifiable",
-    VIEWS + " select distinct storm_id from deck_points where dir%2=0 and storm_id in (select storm_id from advisories where cast(substring(storm_id,2) as int)%3=0)",
+    VIEWS + " select distinct storm_id from deck_points where storm_id in (select storm_id from advisories)",
 )
 def storms_verifiable(spark, sf_dir):
-    a = view(spark, sf_dir, "advisories").filter(F.substring("storm_id", 2, 10).cast("int") % 3 == 0)
-    return verify.verifiable(view(spark, sf_dir, "deck_points").filter("dir%2=0"), a)
+    return verify.verifiable(view(spark, sf_dir, "deck_points"), view(spark, sf_dir, "advisories"))
 
 
 @query("advisory_weight", VIEWS + WEIGHTS + " select storm_id, advisory_time, duration from wt")

@@ -136,6 +136,10 @@ GRID_FIELDS = {
     "v": "round(18*sin(2*pi()*(y+time_step/3)/16)+coalesce(d_v,0),3)",
     "gh250": "round(10940+coalesce(d_gh250,0),3)",
     "gh850": "round(1390+coalesce(d_gh850,0),3)",
+    "u925": "round(-20*sin(2*pi()*(x+run_no+1)/12)+coalesce(d_u,0),3)",
+    "v925": "round(21*sin(2*pi()*(y+2+time_step/3)/16)+coalesce(d_v,0),3)",
+    "u10": "round(-12*sin(2*pi()*(x+run_no+2)/12)+coalesce(d_v,0),3)",
+    "v10": "round(13*sin(2*pi()*(y+1+time_step/3)/16)+coalesce(d_u,0),3)",
 }
 GRID_HEAD = {
     "model_name": "case run_no%5 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(GRID_MODELS)) + " end",

@@ -16,14 +16,21 @@ FIELDS = {
     ("v", 850): "v",
     ("gh", 250): "gh250",
     ("gh", 850): "gh850",
+    ("u", 925): "u925",
+    ("v", 925): "v925",
+    ("u", 10): "u10",
+    ("v", 10): "v10",
 }
+# fixed value: computed from the wind where a file lacks it
+OPTIONAL = {("absv", 850): "vort850"}
 
 
-def select_fields(long: DataFrame, fields: dict = FIELDS) -> DataFrame:
+def select_fields(long: DataFrame, fields: dict = FIELDS, optional: dict = OPTIONAL) -> DataFrame:
     """Pick the wanted parameters, bring units together and lay them side by
-    side. A step whose fields differ in shape is rejected whole."""
+    side. A step that lacks a field or whose fields differ in shape is rejected
+    whole; an optional field may be missing, and is NULL then."""
     field = F.lit(None).cast("string")
-    for (name, level), out in fields.items():
+    for (name, level), out in (fields | optional).items():
         field = F.when((F.col("param") == name) & (F.col("level") == level), F.lit(out)).otherwise(field)
     wanted = (
         long.withColumn("field", field)
@@ -34,9 +41,9 @@ def select_fields(long: DataFrame, fields: dict = FIELDS) -> DataFrame:
     shape = wanted.groupBy(*RUN, "field").agg(F.count(F.lit(1)).alias("cells"))
     odd = (
         shape.groupBy(*RUN)
-        .agg(F.min("cells").alias("low"), F.max("cells").alias("high"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("cells").alias("low"), F.max("cells").alias("high"), F.count_if(F.col("field").isin(list(fields.values()))).alias("n"))
         .filter((F.col("low") != F.col("high")) | (F.col("n") != len(set(fields.values()))))
     )
     kept = wanted.join(odd, RUN, "left_anti")
-    names = list(dict.fromkeys(fields.values()))
+    names = list(dict.fromkeys([*fields.values(), *optional.values()]))
     return kept.groupBy(*RUN, "x", "y").agg(*[F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in names])

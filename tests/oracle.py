@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from datetime import datetime
@@ -73,7 +74,7 @@ def main(argv):
     from __spark_entry__ import oracle_sql, queries
     from galespark.session import local_session
 
-    spark = local_session(8)
+    spark = local_session(os.environ.get("TEST_CPUS", "8"))
     con = connect(sf_dir)
     qs, sqls = queries(), oracle_sql()
     prefix = [a for a in argv if not a.startswith("-")]

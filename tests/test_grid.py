@@ -22,7 +22,7 @@ def cells(spark, mslp, u=None, v=None, lat0=20.0, dlat=-1.0):
     ]
     return spark.createDataFrame(
         data, "model_name string, init_time timestamp, time_step int, x int, y int, lat double, lon double, mslp double, u double, v double, gh250 double, gh850 double"
-    )
+    ).selectExpr("*", "u as u925", "v as v925", "u as u10", "v as v10")
 
 
 def bowl(rows=41, cols=41, cut=False):

@@ -311,3 +311,75 @@ def test_unchanged_listing_does_nothing(spark, tmp_path):
     assert streams.changed_only(listing, path, sink) and not streams.changed_only(listing, path, sink)
     newer = listing.withColumn("modificationTime", F.lit(datetime(2024, 1, 2)))
     assert streams.changed_only(newer, path, sink) and seen == [1, 1]
+
+
+def test_mesh_of_a_file_without_positions_gets_null(spark):
+    from galespark.operators import microwave
+
+    rows = [("a", 0.0, 0.0, 1.0), ("a", 2.0, 2.0, 5.0), ("b", None, None, 3.0), ("b", float("nan"), 1.0, 4.0)]
+    samples = spark.createDataFrame(rows, "file string, lat double, lon double, tb double")
+    mesh = microwave.mesh_of(samples, ["file"], 2, 2)
+    got = {(r.file, r.i, r.j): r.tb for r in microwave.regrid_nearest(samples, mesh, ["file"], ["tb"]).collect()}
+    assert len(got) == 8 and {v for (f, _, _), v in got.items() if f == "b"} == {None}
+    assert got["a", 0, 0] == 1.0 and got["a", 1, 1] == 5.0
+
+
+def test_samples_without_attributes_or_month_stay(spark):
+    from galespark.operators import microwave
+
+    samples = spark.createDataFrame([("a", 10, 7), ("b", 20, None)], "file string, tb int, month int").withColumn("lat", F.lit(3.0))
+    scaled = microwave.scale(samples, spark.createDataFrame([("a", 0.5)], "file string, scale_factor double"), "file", ["tb"])
+    assert {r.file: r.tb for r in scaled.collect()} == {"a": 5.0, "b": None}
+    theta = spark.createDataFrame([(7, 0.0, 0.8), (7, 10.0, 0.9)], "month int, lat double, theta double")
+    assert {r.file: r.theta for r in microwave.theta_lookup(samples, theta).collect()} == {"a": 0.8, "b": None}
+
+
+def test_one_row_of_a_new_key_is_inserted(spark):
+    from galespark.operators import catalog
+
+    stored = spark.createDataFrame([(1, 5)], "k int, v int")
+    new = spark.createDataFrame([(1, 0), (2, 9), (2, 3), (3, 1)], "k int, v int")
+    assert sorted(map(tuple, catalog.insert_absent(stored, new, ["k"], ["v"]).collect())) == [(2, 3), (3, 1)]
+    assert len(catalog.absent(stored, new, ["k"]).collect()) == 3
+
+
+def test_nearly_opposite_points_have_no_geodesic_rather_than_a_wrong_one():
+    import numpy as np
+    from galespark.functions import geodesic
+
+    dist, az = geodesic.inverse([0.0, 10.0], [0.0, 20.0], [0.5, 11.0], [179.7, 20.0])
+    assert np.isnan(dist[0]) and np.isnan(az[0]) and 110_000 < dist[1] < 111_500
+
+
+def test_detection_names_a_missing_field(spark):
+    from galespark.operators import grid
+
+    cells = spark.createDataFrame([], "mslp double, u double, v double, gh250 double, gh850 double, u10 double, v10 double")
+    with pytest.raises(ValueError, match="u925, v925"):
+        grid.detect(cells, grid.Grid(3, 3, 0.0, 1.0, 1.0), cells)
+
+
+def test_queries_leave_the_settings_alone(spark):
+    from galespark.plans import registry
+
+    before = spark.conf.getAll
+    for name in ("track_summary", "stream_watermark"):
+        registry.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert spark.conf.getAll == before
+
+
+def test_lead_days_without_a_legend():
+    from galespark.functions import units
+
+    assert units.lead_day_bin(F.lit(1000)) is not None
+
+
+def test_components_of_runs_on_an_adverse_path(spark):
+    from galespark.operators import track
+
+    n, t = 1024, "timestamp'2024-01-01'"
+    order = [0, *range(n - 1, 0, -1)]
+    nodes = spark.range(n).selectExpr("'M' as model_name", f"{t} as init_time", "lpad(cast(id as string), 5, '0') as node_id", "cast(id as int) as time_step")
+    links = spark.createDataFrame([(f"{a:05}", f"{b:05}") for a, b in zip(order, order[1:])], "src string, dst string")
+    out = track.track_components(nodes, links.selectExpr("'M' as model_name", f"{t} as init_time", "src", "dst"))
+    assert {r.label for r in out.select("label").distinct().collect()} == {"00000"} and out.count() == n
