@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galespark.functions import geo
@@ -92,16 +92,20 @@ def interpolate(brackets: DataFrame, compat: bool = False) -> DataFrame:
     ).drop("prior", "future")
 
 
-def errors(forecasts: DataFrame) -> DataFrame:
-    """One row per metric: signed difference of forecast and advisory, the
-    distance in metres for the position."""
-    diffs = {
+def _differences() -> dict[str, Column]:
+    """Signed difference of forecast and advisory by metric, the distance in metres for the position."""
+    return {
         "position": geo.distance_m(F.col("pos_lat"), F.col("pos_lon"), F.col("lat"), F.col("lon")),
         "wind": F.col("f_vmax") - F.col("vmax_kt"),
         "pressure": F.col("f_mslp") - F.col("mslp_hpa"),
         "heading": F.col("f_dir") - F.col("heading"),
         "speed": F.col("f_speed") - F.col("speed_kt"),
     }
+
+
+def errors(forecasts: DataFrame) -> DataFrame:
+    """One row per metric and pair of forecast and advisory."""
+    diffs = _differences()
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), d.alias("diff")) for m, d in diffs.items()])
     base = [*RUN, "advisory_time", "duration", "weight"]
     return forecasts.select(*base, F.explode(rows).alias("r")).select(*base, "r.*")
@@ -118,10 +122,27 @@ def statistics(errs: DataFrame) -> DataFrame:
     )
 
 
+def run_statistics(forecasts: DataFrame) -> DataFrame:
+    """The same as ``statistics(errors(forecasts))``, with all metrics of a run
+    in one aggregation; only the few result rows are laid out by metric."""
+    w, weighted = F.col("weight"), _differences()
+    rows = []
+    for metric in weighted:
+        d = F.col(f"d_{metric}")
+        mse, w_mse = F.avg(d * d), F.sum(d * d * w)
+        rows.append(F.struct(
+            F.lit(metric).alias("metric"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"), mse.alias("mse"), F.sqrt(mse).alias("rmse"),
+            F.count(F.lit(1)).alias("cases"), F.sum("duration").alias("duration"), F.sum(F.abs(d * w)).alias("w_mae"),
+            F.sum(d * w).alias("w_bias"), w_mse.alias("w_mse"), F.sqrt(w_mse).alias("w_rmse"),
+        ))
+    wide = forecasts.select(*RUN, "duration", "weight", *(d.alias(f"d_{m}") for m, d in weighted.items()))
+    return wide.groupBy(*RUN).agg(F.array(*rows).alias("rows")).select(*RUN, F.explode("rows").alias("r")).select(*RUN, "r.*")
+
+
 def verify(deck: DataFrame, advisories: DataFrame, compat: bool = False) -> DataFrame:
     """Statistics of every run; ``deck`` holds one point per valid time."""
     weighted = advisory_weights(advisories)
-    return statistics(errors(interpolate(bracket(deck, weighted, compat), compat)))
+    return run_statistics(interpolate(bracket(deck, weighted, compat), compat))
 
 
 def _by_weighting(stats: DataFrame) -> DataFrame:

@@ -14,17 +14,31 @@ QUERIES, ORACLE, query = registry()
 POINTS = with_views("track_points")
 
 
-def arriving(spark, sf_dir):
-    """Track points derived from the event file as it streams in."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # a file source lists a folder; the pattern names the one table
-    events = streams.files(spark, f"{sf_dir}/event[s].parquet", schema)
-    # event time must carry a zone
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+def points_of(spark, path, schema):
+    """Track points derived from event files as they stream in; event time must carry a zone."""
+    events = streams.files(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp"))
     return spark.sql(VIEWS["track_points"], events=events)
 
 
+def arriving(spark, sf_dir):
+    """The event table as it lies; a file source lists a folder, so a pattern names the one table."""
+    return points_of(spark, f"{sf_dir}/event[s].parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
+
+
+LATE = "event_id%97=0"
+
+
+def in_parts(spark, sf_dir, build, sink, root, mode="update"):
+    """Run a stream three times as files arrive: most events, some recent
+    ones, then a part that comes late, some of it past every cut-off."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    recent = F.col("ts") > events.agg(F.timestamp_add("DAY", F.lit(-5), F.max("ts"))).scalar()
+    second = F.expr("event_id%97=1") & recent
+    for part in (events.filter(~second & ~F.expr(LATE)), events.filter(second), events.filter(LATE)):
+        part.write.mode("append").parquet(f"{root}/in")
+        streams.run_to_end(build(points_of(spark, f"{root}/in", events.schema)), sink, f"{root}/state", mode)
+
+
 def finish(spark, stream, mode="append"):
     """Run a stream to its end and read what it wrote."""
     root = scratch_path(spark)
@@ -32,12 +46,14 @@ def finish(spark, stream, mode="append"):
     return spark.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
 
 
-def final_state(spark, stream, keys, version):
-    """Run an updating stream and keep the last row per key."""
+def final_state(spark, sf_dir, build, keys, version):
+    """Run an updating stream over files that arrive and keep the last row per
+    key; the table is partitioned by a hash of the key, so that a batch rewrites
+    only the parts that it touches."""
     root = scratch_path(spark)
-    stream = stream.withColumn("part", F.lit(0))
-    streams.run_to_end(stream, streams.merge_latest(f"{root}/out", keys, version, "part"), f"{root}/state")
-    return spark.read.schema(stream.schema).parquet(f"{root}/out").drop("part")
+    parted = lambda points: build(points).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(4)))
+    in_parts(spark, sf_dir, parted, streams.merge_latest(f"{root}/out", keys, version, "part"), root)
+    return spark.read.parquet(f"{root}/out").drop("part")
 
 
 @query("stream_files", POINTS + " select event_id, model_name, time_step from track_points")
@@ -50,8 +66,7 @@ def stream_files(spark, sf_dir):
     POINTS + " select model_name, init_time, count(distinct time_step) as n_steps, max(time_step) as last_step, count(distinct time_step)=24 as is_complete from track_points group by 1,2",
 )
 def stream_run_complete(spark, sf_dir):
-    runs = streams.run_steps(arriving(spark, sf_dir))
-    return final_state(spark, runs, ["model_name", "init_time"], "n_steps").withColumn("is_complete", F.col("n_steps") == 24)
+    return final_state(spark, sf_dir, streams.run_steps, ["model_name", "init_time"], "n_steps").withColumn("is_complete", F.col("n_steps") == 24)
 
 
 @query(
@@ -60,19 +75,21 @@ def stream_run_complete(spark, sf_dir):
 )
 def stream_reprocess(spark, sf_dir):
     """Each arrival makes a new version of its run; the newest one stays."""
-    runs = arriving(spark, sf_dir).groupBy("model_name", "init_time").agg(
+    runs = lambda points: streams.late_cutoff(points, days=40).groupBy("model_name", "init_time").agg(
         F.count(F.lit(1)).alias("version"), F.round(F.max("vmax"), 3).alias("vmax")
     )
-    return final_state(spark, runs, ["model_name", "init_time"], "version")
+    return final_state(spark, sf_dir, runs, ["model_name", "init_time"], "version")
 
 
 @query(
     "stream_watermark",
-    POINTS + " select model_name, init_time, count(*) as n from track_points group by 1,2",
+    POINTS + f""" select model_name, init_time, count(*) as n from track_points where not ({LATE})
+      or init_time > (select max(init_time) from track_points where not ({LATE})) - interval '10' day group by 1,2""",
 )
 def stream_watermark(spark, sf_dir):
-    runs = streams.late_cutoff(arriving(spark, sf_dir)).groupBy("model_name", "init_time").agg(F.count(F.lit(1)).alias("n"))
-    return final_state(spark, runs, ["model_name", "init_time"], "n")
+    """Of the part that comes late, what is ten days behind or more is left out (a watermark counts as late itself)."""
+    runs = lambda points: streams.late_cutoff(points).groupBy("model_name", "init_time").agg(F.count(F.lit(1)).alias("n"))
+    return final_state(spark, sf_dir, runs, ["model_name", "init_time"], "n")
 
 
 @query(
@@ -80,8 +97,8 @@ def stream_watermark(spark, sf_dir):
     POINTS + " select model_name, time_bucket(interval '6' hour, ts, timestamp '2024-01-01 00:00:00') as cycle, count(*) as n, max(vmax) as vmax from track_points group by 1,2",
 )
 def stream_tumbling(spark, sf_dir):
-    counts = streams.cycle_counts(streams.late_cutoff(arriving(spark, sf_dir), "ts"), 6)
-    return final_state(spark, counts, ["model_name", "cycle"], "n")
+    counts = lambda points: streams.cycle_counts(streams.late_cutoff(points, "ts", 40), 6)
+    return final_state(spark, sf_dir, counts, ["model_name", "cycle"], "n")
 
 
 @query(
@@ -107,12 +124,13 @@ def stream_dedupe(spark, sf_dir):
     POINTS + " select model_name, init_time from track_points group by 1,2 having count(distinct time_step)=24",
 )
 def stream_trigger(spark, sf_dir):
-    """Completed runs start their follow-up, here a table of requests."""
+    """Completed runs start their follow-up, here a table of requests, once
+    each although events of a completed run go on arriving."""
     root = scratch_path(spark)
     spark.createDataFrame([], streams.RUN_STATE).write.parquet(f"{root}/requests")
     follow = lambda done: done.select("model_name", "init_time").write.mode("append").parquet(f"{root}/requests")
-    streams.run_to_end(streams.run_steps(arriving(spark, sf_dir)), streams.when_complete(24, follow), f"{root}/state")
-    return spark.read.schema(streams.RUN_STATE).parquet(f"{root}/requests").distinct()
+    in_parts(spark, sf_dir, streams.run_steps, streams.when_complete(24, follow, f"{root}/log"), root)
+    return spark.read.schema(streams.RUN_STATE).parquet(f"{root}/requests")
 
 
 @query("stream_changed_only", "select concat('/data/', event_id) as path, ts as modificationTime from events where event_id%5=0 or event_id%5=1")

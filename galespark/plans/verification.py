@@ -61,7 +61,7 @@ def forecasts(spark, sf_dir):
 
 
 def stats(spark, sf_dir):
-    return verify.statistics(verify.errors(forecasts(spark, sf_dir)))
+    return verify.run_statistics(forecasts(spark, sf_dir))
 
 
 @query("deck_dedupe", VIEWS + DEDUPE + " select * from dd")

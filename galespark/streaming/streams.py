@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galespark.operators.catalog import upsert_latest
+from galespark.session import remove
 from galespark.sinks.writers import overwrite_partitions
 
 RUN_STATE = T.StructType().add("model_name", T.StringType()).add("init_time", T.TimestampType())
@@ -47,10 +48,11 @@ def first_seen(points: DataFrame, keys: list[str], column: str, delay: str) -> D
     return points.withWatermark(column, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_steps(points: DataFrame, init: str = "init_time") -> DataFrame:
+def run_steps(points: DataFrame, init: str = "init_time", days: int = 40) -> DataFrame:
     """Steps seen so far per run. Steps are a short fixed list, so the set
-    kept in state is bounded by the forecast length."""
-    return points.groupBy("model_name", init).agg(
+    kept in state is bounded by the forecast length; a run leaves the state
+    once newer runs are ``days`` ahead."""
+    return points.withWatermark(init, f"{days} days").groupBy("model_name", init).agg(
         F.size(F.collect_set("time_step")).alias("n_steps"), F.max("time_step").alias("last_step")
     )
 
@@ -88,17 +90,31 @@ def merge_latest(path: str, keys: list[str], version: str, partition: str) -> Ca
         side = f"{path}_side/batch={n}"
         upsert_latest(stored, df, keys, version).write.mode("overwrite").parquet(side)
         overwrite_partitions(spark.read.parquet(side), path, [partition])
+        remove(spark, side)
 
     return sink
 
 
-def when_complete(expected: int, follow_up: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """Hand completed runs to a follow-up job."""
+def when_complete(expected: int, follow_up: Callable[[DataFrame], None], log: str) -> Callable[[DataFrame, int], None]:
+    """Hand each run to a follow-up job once, when it is complete.
+
+    ``log`` keeps the runs handed over, a folder per batch: later updates of a
+    run find it there, and a repeated batch writes over its own folder."""
 
     def sink(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
         done = df.filter(F.col("n_steps") == expected)
-        if not done.isEmpty():
-            follow_up(done)
+        try:
+            known = spark.read.schema(T.StructType([*RUN_STATE.fields, T.StructField("batch", T.LongType())])).parquet(log)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            known = spark.createDataFrame([], RUN_STATE).withColumn("batch", F.lit(-1))
+        fresh = done.join(known.filter(F.col("batch") != n), RUN_STATE.fieldNames(), "left_anti").persist()
+        if not fresh.isEmpty():
+            follow_up(fresh)
+            fresh.select(*RUN_STATE.fieldNames()).write.mode("overwrite").parquet(f"{log}/batch={n}")
+        fresh.unpersist()
 
     return sink
 

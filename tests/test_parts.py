@@ -383,3 +383,25 @@ def test_components_of_runs_on_an_adverse_path(spark):
     links = spark.createDataFrame([(f"{a:05}", f"{b:05}") for a, b in zip(order, order[1:])], "src string, dst string")
     out = track.track_components(nodes, links.selectExpr("'M' as model_name", f"{t} as init_time", "src", "dst"))
     assert {r.label for r in out.select("label").distinct().collect()} == {"00000"} and out.count() == n
+
+
+def test_a_completed_run_is_handed_over_once(spark, tmp_path):
+    runs, handed = "model_name string, init_time timestamp, n_steps int", []
+    t = datetime(2024, 1, 1)
+    sink = streams.when_complete(2, lambda d: handed.append(sorted(r.model_name for r in d.collect())), f"{tmp_path}/log")
+    for n, rows in enumerate([[("A", t, 1), ("B", t, 2)], [("A", t, 2), ("B", t, 2)], [("A", t, 2)]]):
+        sink(spark.createDataFrame(rows, runs), n)
+    sink(spark.createDataFrame([("A", t, 2), ("B", t, 2)], runs), 1)  # a repeated batch repeats its own
+    assert handed == [["B"], ["A"], ["A"]]
+
+
+def test_parsed_tables_come_back_as_saved(spark, tmp_path):
+    from galespark.session import remove
+    from galespark.sinks import writers
+
+    table = spark.createDataFrame([("a", 1, [1.5, None], datetime(2024, 1, 2)), ("b", None, None, None)], "k string, n int, v array<double>, t timestamp")
+    writers.append(table, f"{tmp_path}/saved", ["k"])
+    back = spark.read.schema(table.schema).parquet(f"{tmp_path}/saved").select(*table.columns)
+    assert back.schema == table.schema and sorted(back.collect(), key=lambda r: r.k) == table.collect()
+    remove(spark, f"{tmp_path}/saved")
+    assert not (tmp_path / "saved").exists()
