@@ -159,17 +159,50 @@ def grid_closed_isobar_touching(spark, sf_dir):
     return grid.closed_isobar(c, f, GRID, touching=True).select(*grid.CELL, "mslp")
 
 
+def outer(r: int, cand: str) -> str:
+    """CTE ``ob``: outermost whole-number isobar of the rows of ``cand``, flooded
+    threshold by threshold in boxes of half-size r, and the mean of 576 rays."""
+    me = f"{KEY}, x, y"
+    ray = f"list_reduce(list_concat([{r}.0e0], list_transform(range(k), lambda z: {{}}(2*pi()/576*a))), lambda p, q: p+q)"
+    at = "o.model_name={0}.model_name and o.init_time={0}.init_time and o.time_step={0}.time_step and o.x={0}.x and o.y={0}.y"
+    end = f"({GRID.lat0}e0+({GRID.dlat}e0)*((mass_x+ex-{r}+{NX})%{NX}))"
+    start = f"({GRID.lat0}e0+({GRID.dlat}e0)*mass_x)"
+    return f""", wb as (select c.*, dx.i, dy.j, g.mslp as v from {cand} c, range({-r},{r + 1}) dx(i), range({-r},{r + 1}) dy(j), grid_cells g
+    where {same('c', 'g')} and g.x=((c.x+dx.i)%{NX}+{NX})%{NX} and g.y=((c.y+dy.j)%{NY}+{NY})%{NY}),
+  wl as materialized (select {me}, t, i, j from wb, range(1,21) th(t) where v-mslp-t<0),
+  wf as (select {me}, t, 0::bigint as i, 0::bigint as j from {cand}, range(1,21) th(t) union select l.model_name, l.init_time, l.time_step, l.x, l.y, l.t, l.i, l.j
+    from wf f join wl l on {same('l', 'f')} and l.x=f.x and l.y=f.y and l.t=f.t and abs(l.i-f.i)+abs(l.j-f.j)=1),
+  wfm as materialized (select * from wf),
+  od as (select {me}, count(*) filter (where not reached) as delta from (select {me}, t, bool_or(abs(i)>={r - 1} or abs(j)>={r - 1}) as reached from wfm group by all) q group by all),
+  oc as (select {me}, (x+cast(round_even(avg(i+{r}),0) as int)-{r}+{NX})%{NX} as mass_x, (y+cast(round_even(avg(j+{r}),0) as int)-{r}+{NY})%{NY} as mass_y
+    from wfm where t=1 group by 1,2,3,4,5),
+  o1 as materialized (select * from od join oc using (model_name, init_time, time_step, x, y)),
+  rays as materialized (select a, k, {ray.format('cos')} as px, {ray.format('sin')} as py from range(576) r1(a), range(1,{2 * r + 3}) r2(k)),
+  cellray as materialized (select a, k, cast(trunc(px) as int)-{r} as i, cast(trunc(py) as int)-{r} as j, px>-1 and py>-1 as ok from rays),
+  filled as materialized (select f.* from wfm f join o1 o on {at.format('f')} and f.t=o.delta),
+  lit as (select o.model_name, o.init_time, o.time_step, o.x, o.y, a, k from cellray c join filled o on c.i=o.i and c.j=o.j where c.ok),
+  legs as (select {me}, a, max(k) filter (where k=n) as legs from (select *, row_number() over (partition by {me}, a order by k) as n from lit) q group by all),
+  ends as (select o.*, s.a, coalesce(legs,0) as legs, coalesce(c.i,0)+{r} as ex, coalesce(c.j,0)+{r} as ey from o1 o cross join range(576) s(a)
+    left join legs l on {at.format('l')} and l.a=s.a left join cellray c on c.a=s.a and c.k=legs where delta>=2),
+  ob as (select o.model_name, o.init_time, o.time_step, o.x, o.y, case when o.delta>=2 then cast(o.delta as int) end as closed_isobar_delta, o.mass_x, o.mass_y, e.roci, e.roci_grid_units
+    from o1 o left join (select {me}, avg(2*6371008.8e0*asin(least(1.0e0, sqrt(pow(sin(radians({end}-{start})/2),2)+cos(radians({start}))*cos(radians({end}))
+      *pow(sin(radians((((mass_y+ey-{r}+{NY})%{NY})-mass_y)*{GRID.dlon}e0)/2),2))))) as roci, avg(legs) as roci_grid_units from ends group by all) e on {at.format('e')})"""
+
+
+CLOSED_ONLY = f", closed as materialized (select m.* from minima m where not exists (select 1 from open_ o where {same('o', 'm')} and o.x=m.x and o.y=m.y))"
+
+
 def radii(spark, sf_dir):
     c, f = minima_of(spark, sf_dir, [])
     return grid.radius_of_closed_isobar(grid.closed_isobar(c, f, GRID), f, GRID, degrees=10)
 
 
-@query("outermost_isobar")
+@query("outermost_isobar", CELLS + MINIMA + CLOSED + CLOSED_ONLY + outer(10, "closed") + f" select {KEY}, x, y, closed_isobar_delta, mass_x, mass_y from ob")
 def outermost_isobar(spark, sf_dir):
     return radii(spark, sf_dir).select(*grid.CELL, "closed_isobar_delta", "mass_x", "mass_y")
 
 
-@query("roci")
+@query("roci", CELLS + MINIMA + CLOSED + CLOSED_ONLY + outer(10, "closed") + f" select {KEY}, x, y, round(roci,3) as roci, round(roci_grid_units,6) as roci_grid_units from ob")
 def roci(spark, sf_dir):
     return radii(spark, sf_dir).select(*grid.CELL, F.round("roci", 3).alias("roci"), F.round("roci_grid_units", 6).alias("roci_grid_units"))
 
@@ -198,7 +231,26 @@ def threshold_flags(spark, sf_dir):
     )
 
 
-@query("detect_disturbances")
+DETECT = (
+    CELLS + MINIMA + VORT + CLOSED + CLOSED_ONLY
+    + f""", cand as materialized (select * from (select *, {basin_case('lat', 'lon')} as basin from closed) t where basin is not null),
+  dr as {box(2, 'case when any_value(c.lat)<0 then min(g.vort) else max(g.vort) end as rv', 'vort')},
+  dt as {box(2, 'max(g.gh250-g.gh850) as thick')}, dw as {box(5, 'max(sqrt(g.u925*g.u925+g.v925*g.v925)) as wind')},
+  strong as materialized (select cand.* from cand join dr using (model_name, init_time, time_step, x, y) join dt using (model_name, init_time, time_step, x, y)
+    join dw using (model_name, init_time, time_step, x, y) join {LIMITS} on lim.model_name=cand.model_name and lim.basin=cand.basin
+    where wind>=lim.ws and dr.rv*(case when lat<0 then -1 else 1 end)>=lim.rv*0.00001e0 and thick>=lim.thkn)"""
+    + outer(15, "strong")
+)
+
+
+@query(
+    "detect_disturbances",
+    DETECT + f""" select s.model_name, s.init_time, s.time_step, s.x, s.y, s.lat, s.lon, s.basin, s.mslp, round(any_value(roci),3) as roci, any_value(closed_isobar_delta) as closed_isobar_delta,
+      round(max(sqrt(g.u10*g.u10+g.v10*g.v10)),6) as vmax10m_in_roci from strong s join ob using (model_name, init_time, time_step, x, y)
+      left join (range(-15,16) dx(i) cross join range(-15,16) dy(j)) on greatest(abs(dx.i),abs(dy.j))<=round_even(roci_grid_units,0)
+      left join grid_cells g on g.model_name=s.model_name and g.init_time=s.init_time and g.time_step=s.time_step
+        and g.x=((s.x+dx.i)%{NX}+{NX})%{NX} and g.y=((s.y+dy.j)%{NY}+{NY})%{NY} group by 1,2,3,4,5,6,7,8,9""",
+)
 def detect_disturbances(spark, sf_dir):
     found = grid.detect(view(spark, sf_dir, "grid_cells"), GRID, dims.thresholds(spark))
     return found.select(
