@@ -171,7 +171,41 @@ def swath_quads(spark, sf_dir):
     return q.select("satellite", "pass_number", "ascending", "side", "interp_id", *[F.round(c, 5).alias(c) for c in CORNER_COLS])
 
 
-@query("ring_antimeridian")
+CORNERS4 = ["l1", "l2", "l3", "l4"]
+
+
+def _parts() -> str:
+    """Parts of a convex quad by the meridian at 180 east or west: corners
+    inside, two crossings, and the corner that closes the ring."""
+
+    def inside(side):
+        return "+".join(f"({c}{side})::int" for c in CORNERS4)
+
+    def cuts(side):
+        ends = zip(CORNERS4, CORNERS4[1:] + CORNERS4[:1])
+        return "+".join(f"(({a}{side})<>({b}{side}))::int" for a, b in ends)
+
+    def part(no, where, side, west, east):
+        return (
+            f"select satellite, side, interp_id, {no} as poly_num, {inside(side)}+{cuts(side)}+1 as n_points, {west} as west, {east} as east "
+            f"from unrolled where {where}"
+        )
+
+    over, under = "low<180 and high>180", "low<-180 and high>-180"
+    return " union all ".join([
+        f"select satellite, side, interp_id, 0 as poly_num, 5 as n_points, low as west, high as east from unrolled where not ({over}) and not ({under})",
+        part(0, over, "<=180", "low", "180.0e0"), part(1, over, ">=180", "-180.0e0", "high-360"),
+        part(0, under, ">=-180", "-180.0e0", "high"), part(1, under, "<=-180", "low+360", "180.0e0"),
+    ])
+
+
+@query(
+    "ring_antimeridian",
+    NV + QUADS + f""", base as (select *, {signed('a_lon')} as l1 from quads),
+  unrolled as (select *, least(l1,l2,l3,l4) as low, greatest(l1,l2,l3,l4) as high from (select satellite, side, interp_id, l1,
+    {', '.join(f"{k}_lon+360.0e0*round((l1-{k}_lon)/360.0e0) as l{i}" for i, k in enumerate('bcd', 2))} from base) t)
+  select satellite, side, interp_id, poly_num, cast(n_points as int) as n_points, round(west,5) as west, round(east,5) as east from ({_parts()}) p""",
+)
 def ring_antimeridian(spark, sf_dir):
     r = passes.split_rings(quads(spark, sf_dir))
     lons = F.transform("ring", lambda p: p["lon"])

@@ -186,7 +186,23 @@ def reduce_same_step(spark, sf_dir):
     return nodes.select("node_id", "model_name", "init_time", "time_step", "mslp")
 
 
-@query("split_mergers")
+KEPT = "src in (select node_id from kept) and dst in (select node_id from kept)"
+SAME_TRACK = "s.model_name=c.model_name and s.init_time=c.init_time and s.component_id=c.component_id"
+
+
+@query(
+    "split_mergers",
+    PAIRS_FULL + CLUSTERS + f""", seg as (select model_name, init_time, component_id, max(time_step) as last_step from isl
+      group by model_name, init_time, component_id, island having count(*)>=2),
+  until as (select model_name, init_time, component_id, max(time_step) as component_end from apart group by 1,2,3),
+  tail as (select c.node_id, cl.cluster from comp c join seg s on {SAME_TRACK} and s.last_step=c.time_step
+    join until u on u.model_name=c.model_name and u.init_time=c.init_time and u.component_id=c.component_id and c.time_step<u.component_end join cl on cl.id=c.node_id),
+  succ as (select distinct t.cluster, l.dst as node_id from (select src, dst from links where {KEPT}) l join tail t on t.node_id=l.src),
+  owned as (select node_id, min(cluster) as cluster from succ group by 1 having min(cluster)=max(cluster)),
+  near as (select src, dst from same where {KEPT} union select dst, src from same where {KEPT})
+  select distinct n.src, n.dst from near n join owned o on o.node_id=n.src
+    where not exists (select 1 from succ x where x.cluster=o.cluster and x.node_id=n.dst)""",
+)
 def split_mergers(spark, sf_dir):
     comp, same, links = labelled(spark, sf_dir, "pair_points")
     return track.merger_cuts(cut(comp), track.both_ways(same), links, 2)
