@@ -19,6 +19,7 @@ SWATHS = {
 }
 TRACK = ["model_name", "init_time", "storm_no"]
 MINUTES_PER_CHUNK = 1440
+SLOT_SECONDS = 600
 CORNERS = ["a", "b", "c", "d"]
 
 
@@ -116,9 +117,12 @@ def time_window(swaths: DataFrame, as_of: Column, before_hours: int, after_hours
 # ---------------------------------------------------------------- minute tracks
 
 
-def minutes(points: DataFrame, start: Column | None = None, end: Column | None = None, epoch: str = "2024-01-01") -> DataFrame:
+def minutes(
+    points: DataFrame, start: Column | None = None, end: Column | None = None, epoch: str = "2024-01-01", near: DataFrame | None = None
+) -> DataFrame:
     """Tracks at every minute, end points left out. A missing closed-isobar
-    radius counts as 0. With a time span, minutes outside are never made."""
+    radius counts as 0. With a time span, minutes outside are never made, and
+    with swath areas ``near`` neither are those far from all of them."""
     w = Window.partitionBy(*TRACK).orderBy("valid_time")
     cols = ["valid_time", "lat", "lon", "vmax", "rmw", "roci"]
     p = points.select(*TRACK, *cols).withColumn("z", F.lead(F.struct(*cols)).over(w)).filter(F.col("z").isNotNull())
@@ -132,6 +136,9 @@ def minutes(points: DataFrame, start: Column | None = None, end: Column | None =
         first, last = F.col("i0"), F.col("i1")
     a, z = [F.col("lat"), F.col("lon")], [F.col("z.lat"), F.col("z.lon")]
     p = p.withColumns({"dist": geo.distance_m(*a, *z), "az": geo.azimuth_deg(*a, *z)})
+    if near is not None:
+        p = close_pieces(p.withColumns({"i0": first, "i1": last}), near, epoch)
+        first, last = F.col("i0"), F.col("i1")
     p = p.withColumn("i", F.explode(F.sequence(first, last))).withColumn("share", F.col("i") / F.col("n"))
     blend = lambda x, y: x + F.col("share") * (y - x)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -148,6 +155,35 @@ def minutes(points: DataFrame, start: Column | None = None, end: Column | None =
     )
 
 
+def close_pieces(pieces: DataFrame, quads: DataFrame, epoch: str) -> DataFrame:
+    """Track pieces cut into slots of ten minutes, less the slots in which no
+    swath comes near.
+
+    A slot has a few boxes only, one for each satellite and side, so this is a
+    semi-join on the slot with a test of boxes. The piece's box is its start
+    grown by the way it goes and its radius; it holds every minute of it."""
+    corner = {c: [F.col(f"{k}_{c}") for k in CORNERS] for c in ("lat", "lon")}
+    boxes = quads.groupBy(F.floor(F.col("interp_id") / SLOT_SECONDS).alias("slot"), "satellite", "side").agg(
+        F.min(F.least(*corner["lat"])).alias("south"), F.max(F.greatest(*corner["lat"])).alias("north"),
+        F.min(F.least(*corner["lon"])).alias("west"), F.max(F.greatest(*corner["lon"])).alias("east"),
+    )
+    reach = (F.col("dist") + F.greatest("rmw", "z.rmw")) * 1.01 + 1000
+    since = F.unix_timestamp("valid_time") - F.unix_timestamp(F.lit(epoch).cast("timestamp"))
+    slot = lambda i: F.floor((since + 60 * F.col(i)) / SLOT_SECONDS)
+    p = pieces.withColumns({"since": since, "dlat": reach / units.M_PER_DEGREE * 1.01})
+    narrow = F.cos(F.radians(F.least(F.lit(89.9), F.abs("lat") + F.col("dlat"))))
+    p = p.withColumn("dlon", F.col("dlat") / narrow).withColumn("slot", F.explode(F.sequence(slot("i0"), slot("i1"))))
+    middle, half = (F.col("west") + F.col("east")) / 2, (F.col("east") - F.col("west")) / 2
+    meet = (F.col("lat") - F.col("dlat") <= F.col("north")) & (F.col("lat") + F.col("dlat") >= F.col("south")) & (
+        F.abs(units.signed_lon(F.col("lon") - middle)) <= half + F.col("dlon")
+    )
+    p = p.join(boxes.withColumnRenamed("slot", "at"), (F.col("slot") == F.col("at")) & meet, "left_semi")
+    first = F.ceil((F.col("slot") * SLOT_SECONDS - F.col("since")) / 60).cast("int")
+    last = F.floor(((F.col("slot") + 1) * SLOT_SECONDS - 1 - F.col("since")) / 60).cast("int")
+    p = p.withColumns({"i0": F.greatest("i0", first), "i1": F.least("i1", last)})
+    return p.filter("i0 <= i1").drop("since", "dlat", "dlon", "slot")
+
+
 def storm_box(lat: Column, lon: Column, radius: Column) -> dict[str, Column]:
     """Bounding box of a radius: geodesic north and south, cosine east and west."""
     dlon = geo.metres_to_lon_degrees(lat, radius)
@@ -160,11 +196,9 @@ def storm_box(lat: Column, lon: Column, radius: Column) -> dict[str, Column]:
 def sensed(storms: DataFrame, quads: DataFrame, radius: str = "rmw") -> DataFrame:
     """Storm minutes whose circle meets a swath of the same minute.
 
-    An equi-join on the minute. A minute has a few swaths only, so they are
-    the side to hash and the many storm minutes need no sort. Bounding boxes
-    come first, then the centre inside the convex area or an edge of it
+    An equi-join on the minute. Bounding boxes come first, then the centre inside the convex area or an edge of it
     within the radius, on the local plane round the storm."""
-    hits = storms.join(quads.drop("valid_time").hint("shuffle_hash"), "interp_id")
+    hits = storms.join(quads.drop("valid_time"), "interp_id")
     lat, lon, r = F.col("lat"), F.col("lon"), F.col(radius)
     turn = F.lit(360.0) * F.round((lon - F.col("a_lon")) / 360)
     scale = F.lit(units.M_PER_DEGREE)
@@ -220,9 +254,13 @@ def dedupe_sensing(matches: DataFrame, compat: bool = False) -> DataFrame:
 def predict(points: DataFrame, nadir: DataFrame, swaths: dict = SWATHS, compat: bool = False) -> DataFrame:
     """Which pass sees which storm, and when."""
     quads = cut(swath_quads(nadir, swaths))
+    return dedupe_sensing(sensed_tracks(points, quads), compat)
+
+
+def sensed_tracks(points: DataFrame, quads: DataFrame) -> DataFrame:
+    """Storm minutes that a swath meets; minutes are made only where one is near."""
     span = quads.agg(F.min("valid_time").alias("t0"), F.max("valid_time").alias("t1"))
-    m = minutes(points, span.select("t0").scalar(), span.select("t1").scalar())
-    return dedupe_sensing(sensed(m, quads), compat)
+    return sensed(minutes(points, span.select("t0").scalar(), span.select("t1").scalar(), near=quads), quads)
 
 
 def time_overlap(storms: DataFrame, passes: DataFrame, hours: int = 6) -> DataFrame:

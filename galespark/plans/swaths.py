@@ -296,10 +296,7 @@ SENSED = QUADS + MIN_PAIRS + minute_rows(
 
 
 def matched(spark, sf_dir):
-    q = cut(quads(spark, sf_dir))
-    span = q.agg(F.min("valid_time").alias("t0"), F.max("valid_time").alias("t1"))
-    m = passes.minutes(view(spark, sf_dir, "storm_points"), span.select("t0").scalar(), span.select("t1").scalar())
-    return passes.sensed(m, q)
+    return passes.sensed_tracks(view(spark, sf_dir, "storm_points"), cut(quads(spark, sf_dir)))
 
 
 PASS_KEY = ["model_name", "init_time", "storm_no", "satellite", "pass_number"]
