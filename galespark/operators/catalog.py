@@ -87,6 +87,25 @@ def retain(table: DataFrame, newest_of: DataFrame, date: str, days: int = 10) ->
     return table.filter(F.col(date) >= cutoff.scalar())
 
 
+def retain_all(tables: dict[str, DataFrame], leading: str, date: str, days: int = 10) -> dict[str, DataFrame]:
+    """Every table less the rows older than the leading table's newest date by
+    more than some days."""
+    return {name: retain(table, tables[leading], date, days) for name, table in tables.items()}
+
+
+def run_documents(points: DataFrame, fields: list[str]) -> DataFrame:
+    """One JSON document per run and forecast hour, its candidates in order. A
+    document holds the candidates of one hour, a bounded list."""
+    listed = F.sort_array(F.collect_list(F.struct(*fields)))
+    return points.groupBy("model_name", "init_date", "time_step").agg(F.to_json(listed).alias("data"))
+
+
+def from_documents(documents: DataFrame, schema: str) -> DataFrame:
+    """Rows of the documents' candidates."""
+    parts = F.explode(F.from_json("data", f"array<struct<{schema}>>")).alias("p")
+    return documents.select("model_name", "init_date", "time_step", parts).select("p.*", "model_name", "init_date", "time_step")
+
+
 # ---------------------------------------------------------------- as-of and cycles
 
 

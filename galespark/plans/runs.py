@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from galespark.operators import catalog, ensemble
 from galespark.plans.base import registry
+from galespark.session import scratch_path
+from galespark.sinks import writers
 from galespark.sources import files
 from galespark.sources.adapters import tables, view, with_views
 
@@ -111,12 +113,15 @@ def ens_status(spark, sf_dir):
 @query(
     "retention_by_data_time",
     with_views("tc_candidates", "runs_completed")
-    + """ select model_name, init_date, component_id from tc_candidates
-      where init_date >= (select max(init_date) from runs_completed) - interval '10' day""",
+    + """ select 'tracks' as kind, model_name, init_date, component_id from tc_candidates
+      where init_date >= (select max(init_date) from runs_completed) - interval '10' day
+      union all select 'completed', model_name, init_date, null from runs_completed where init_date >= (select max(init_date) from runs_completed) - interval '10' day""",
 )
 def retention_by_data_time(spark, sf_dir):
-    kept = catalog.retain(view(spark, sf_dir, "tc_candidates"), view(spark, sf_dir, "runs_completed"), "init_date", 10)
-    return kept.select("model_name", "init_date", "component_id")
+    tables_ = {"tracks": view(spark, sf_dir, "tc_candidates"), "completed": view(spark, sf_dir, "runs_completed")}
+    kept = catalog.retain_all(tables_, "completed", "init_date", 10)
+    rows = [t.withColumn("kind", F.lit(k)) for k, t in kept.items()]
+    return rows[0].unionByName(rows[1], allowMissingColumns=True).select("kind", "model_name", "init_date", "component_id")
 
 
 @query(
@@ -369,12 +374,10 @@ def ens_dedupe_first(spark, sf_dir):
     + """ select event_id, model_name, init_time as init_date, time_step, mslp as mslp_value, vmax as vmax10m_in_roci from track_points""",
 )
 def run_documents(spark, sf_dir):
-    """Candidates as JSON documents by (member, run, hour) and back again."""
-    p = view(spark, sf_dir, "track_points")
-    doc = F.to_json(F.struct("event_id", F.col("mslp").alias("mslp_value"), F.col("vmax").alias("vmax10m_in_roci")))
-    docs = p.select("model_name", F.col("init_time").alias("init_date"), "time_step", doc.alias("data"))
-    back = F.from_json("data", "event_id long, mslp_value double, vmax10m_in_roci double")
-    return docs.withColumn("p", back).select("p.*", "model_name", "init_date", "time_step")
+    """Candidates as one JSON document per run and hour, and back again."""
+    p = view(spark, sf_dir, "track_points").withColumnsRenamed({"init_time": "init_date", "mslp": "mslp_value", "vmax": "vmax10m_in_roci"})
+    docs = catalog.run_documents(p, ["event_id", "mslp_value", "vmax10m_in_roci"])
+    return catalog.from_documents(docs, "event_id: bigint, mslp_value: double, vmax10m_in_roci: double")
 
 
 @query(
@@ -386,9 +389,11 @@ def run_documents(spark, sf_dir):
 def passes_log(spark, sf_dir):
     """A rerun resets the days it covers and leaves the others as stored."""
     n = view(spark, sf_dir, "nadir").withColumn("init_date", F.date_trunc("day", "valid_time"))
-    rerun = n.filter(F.dayofmonth("valid_time") % 3 == 1)
-    stored = n.filter("minute_id%2=0")
-    log = catalog.replace_steps(stored, rerun, ["init_date"])
+    path = scratch_path(spark)
+    key = n.withColumn("day", F.date_format("init_date", "yyyy-MM-dd"))
+    writers.overwrite_partitions(key.filter("minute_id%2=0"), path, ["day"])
+    writers.overwrite_partitions(key.filter(F.dayofmonth("valid_time") % 3 == 1), path, ["day"])
+    log = spark.read.parquet(path)
     return log.groupBy("satellite", "init_date").agg(F.count(F.lit(1)).alias("passes"), F.min("minute_id").alias("first_pass"))
 
 

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galespark.session import remove
+
 
 def overwrite_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     """Replace only the partitions that occur in ``df``."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, before: str) -> list[str]:
+    """Delete the partitions of a table whose ``column`` lies before a value;
+    returns them. Only names of partitions are read, one row each."""
+    values = [r[0] for r in spark.read.parquet(path).select(F.col(column).cast("string")).distinct().collect() if r[0] is not None]
+    old = sorted(v for v in values if v < before)
+    for v in old:
+        remove(spark, f"{path}/{column}={v}")
+    return old
+
+
 def append(df: DataFrame, path: str, keys: list[str] = []) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)

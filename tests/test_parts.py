@@ -405,3 +405,11 @@ def test_parsed_tables_come_back_as_saved(spark, tmp_path):
     assert back.schema == table.schema and sorted(back.collect(), key=lambda r: r.k) == table.collect()
     remove(spark, f"{tmp_path}/saved")
     assert not (tmp_path / "saved").exists()
+
+
+def test_old_partitions_are_dropped(spark, tmp_path):
+    table = spark.createDataFrame([(i, f"2024-01-{i:02}") for i in range(1, 6)], "v int, day string")
+    writers.overwrite_partitions(table, f"{tmp_path}/t", ["day"])
+    assert writers.drop_partitions(spark, f"{tmp_path}/t", "day", "2024-01-03") == ["2024-01-01", "2024-01-02"]
+    assert sorted(r.v for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [3, 4, 5]
+    assert writers.drop_partitions(spark, f"{tmp_path}/t", "day", "2024-01-03") == []
