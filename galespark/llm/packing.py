@@ -45,21 +45,27 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.chunk = re.compile(f"[^{SPACE}]+")
+        self.odd = re.compile(r"[\x1c-\x1f]")  # str.split() takes them for white space, the vocabulary does not
         self.known = Memory(lambda chunk: self._encode([chunk])[0], REMEMBERED)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Many chunks in one call, which spares the library's cost per call."""
-        got = self.library.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        """Many chunks as one text, which spares the library's cost per call;
+        the tokens' offsets tell which chunk each came from."""
+        got = self.library.encode(" ".join(chunks), add_special_tokens=False)
         raw = np.array(got.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(chunks) + 1))).tolist()
+        starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
+        ends = (4 * np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), starts)).tolist()
         return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [self.chunk.findall(t or "") for t in texts]
-        new = list(set().union(*chunks) - self.known.keys() - self.known.old.keys())
-        for c, ids in zip(new, self._encode(new)):
-            self.known.put(c, ids)
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        chunks = [(t or "").split() if not self.odd.search(t or "") else self.chunk.findall(t) for t in texts]
+        known, old = self.known, self.known.old
+        new = [c for c in set().union(*chunks) if c not in known and c not in old]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for c, ids in zip(part, self._encode(part)):
+                known.put(c, ids)
+        return [b"".join(map(known.__getitem__, c)) for c in chunks]
 
 
 @functools.lru_cache(maxsize=2)
