@@ -119,8 +119,9 @@ def components_of_runs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     steps, so it is small however many runs there are."""
     kind = nodes.schema["node_id"].dataType.simpleString()
     ids = nodes.select(*RUN, F.col("node_id").alias("id")).distinct()
+    links = edges.select(*(F.col(c).alias(c) for c in (*RUN, "src", "dst")))  # columns of its own, whatever it came from
     return (
-        ids.groupBy(*RUN).cogroup(edges.select(*RUN, "src", "dst").groupBy(*RUN))
+        ids.groupBy(*RUN).cogroup(links.groupBy(*RUN))
         .applyInArrow(_labels_of_run, f"id {kind}, label {kind}")
     )
 
@@ -190,7 +191,10 @@ def nested(track: DataFrame) -> DataFrame:
 
 def step_clusters(labelled: DataFrame, same: DataFrame) -> DataFrame:
     """(node_id, cluster): groups joined by links of one step."""
-    labels = components(labelled.select(F.col("node_id").alias("id")), same)
+    if not {*RUN} <= {*same.columns}:
+        runs = labelled.select(*(F.col(c).alias(c) for c in RUN), F.col("node_id").alias("src"))
+        same = same.select(F.col("src").alias("src"), "dst").join(runs, "src")
+    labels = components_of_runs(labelled, same)
     return labels.select(F.col("id").alias("node_id"), F.col("label").alias("cluster"))
 
 
