@@ -83,6 +83,9 @@ class Pieces:
         self.keys = np.array(sorted(trie), np.int64)
         self.next = np.array([trie[k] for k in self.keys.tolist()], np.int64)
         self.piece = np.array(self.piece, np.int64)
+        first = self.keys[self.keys < 1 << 21]  # characters from the root, looked up directly
+        self.root = np.zeros(int(first.max()) + 1, np.int64)
+        self.root[first] = self.next[: len(first)]
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", b.decode("utf-8", "ignore")) for b in self.bytes_of)
         self.chunk = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
 
@@ -114,10 +117,15 @@ class Lattice:
         single = np.zeros(len(code), bool)
         length = 1
         while len(pos):
-            key = node << 21 | code[pos + length - 1]
-            at = np.minimum(np.searchsorted(voc.keys, key), len(voc.keys) - 1)
-            on = voc.keys[at] == key
-            pos, node = pos[on], voc.next[at[on]]
+            if length == 1:
+                node = np.where(code < len(voc.root), voc.root[np.minimum(code, len(voc.root) - 1)], 0)
+                on = node > 0
+                pos, node = pos[on], node[on]
+            else:
+                key = node << 21 | code[pos + length - 1]
+                at = np.minimum(np.searchsorted(voc.keys, key), len(voc.keys) - 1)
+                on = voc.keys[at] == key
+                pos, node = pos[on], voc.next[at[on]]
             whole = voc.piece[node] >= 0
             found.append((pos[whole], np.full(int(whole.sum()), length), voc.piece[node[whole]]))
             if length == 1:
@@ -129,11 +137,11 @@ class Lattice:
         bare = np.flatnonzero(~single)  # characters as bytes
         self.spelled = [[voc.byte_id[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in code[bare].tolist()]
         n_bytes = np.array([len(x) for x in self.spelled], np.float64)
-        w = np.concatenate([voc.weight[piece], n_bytes * voc.weight[voc.byte_id[0]]])
-        src, span = np.concatenate([src, bare]), np.concatenate([span, np.ones(len(bare), np.int64)])
-        piece = np.concatenate([piece, -1 - np.arange(len(bare))])
+        w = np.concatenate([n_bytes * voc.weight[voc.byte_id[0]], voc.weight[piece]])
+        src, span = np.concatenate([bare, src]), np.concatenate([np.ones(len(bare), np.int64), span])
+        piece = np.concatenate([-1 - np.arange(len(bare)), piece])
         s = src + owner[src]
-        order = np.lexsort((span, s))
+        order = np.argsort(s, kind="stable")  # edges were found by growing length
         self.src, self.dst, self.piece, w = s[order], (s + span)[order], piece[order], w[order]
         nodes = len(code) + len(chunks)
         self.start = np.searchsorted(self.src, np.arange(nodes + 1))
@@ -156,8 +164,11 @@ class Lattice:
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node by its conditional probabilities."""
-        e = np.searchsorted(self.up_to, node + u, side="right")
-        return np.clip(e, self.start[node], self.start[node + 1] - 1)
+        low, high = self.start[node], self.start[node + 1] - 1
+        several = np.flatnonzero(low < high)
+        edge = low.copy()
+        edge[several] = np.clip(np.searchsorted(self.up_to, node[several] + u[several], side="right"), low[several], high[several])
+        return edge
 
 
 def _sample(lattice, key, occ_doc, occ_rank, occ_end, occ, node, step, draw):
@@ -209,8 +220,7 @@ def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -
             if old is not None:
                 o, s, e = kept[old]
                 here = lat.src[e[t]]
-                edges = np.arange(lat.start[here], lat.start[here + 1])
-                edges = edges[~np.isin(edges, banned)]
+                edges = np.array([x for x in range(lat.start[here], lat.start[here + 1]) if x not in banned])
                 p = np.cumsum(np.exp(lat.logp[edges] - lat.logp[edges].max()))
                 pick = edges[min(np.searchsorted(p, mixed(keys[d], r, -2, t) * p[-1]), len(edges) - 1)]
                 head[d] = np.r_[o[:t], o[t]], np.r_[s[:t], s[t]], np.r_[e[:t], pick]
@@ -238,7 +248,8 @@ def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -
             places = np.arange(t, len(edge))
             left = lat.left[edge[t:]]
             out = (*banned, int(edge[t]))
-            rest = np.setdiff1d(np.arange(lat.start[lat.src[edge[t]]], lat.start[lat.src[edge[t]] + 1]), out)
+            here = lat.src[edge[t]]
+            rest = [x for x in range(lat.start[here], lat.start[here + 1]) if x not in out]
             left[0] = np.logaddexp.reduce(lat.logp[rest]) if len(rest) else -np.inf
             mass = upto[t:] - logp[t:] + left
             free = mass - np.log(-np.log(mixed(keys[d], r, -3, places)))  # Gumbel maxima, and in the same order truncated at g
