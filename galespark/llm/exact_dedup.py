@@ -152,7 +152,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are found again by identifier and digest; whole rows repeated under
     one identifier come back once."""
-    verdict = dedup(docs).select("doc_id", "digest", "kept", "locator")
+    # written, so that the join by digest stands alone and a hot digest can be split
+    verdict = cut(dedup(docs).select("doc_id", "digest", "kept"))
     drop = cut(verdict.groupBy("doc_id", "digest").agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("n")).filter("not any or n > 1"))
     key = F.col("doc_id").cast("bigint"), sha256(normalised(F.col("text")))
     keyed = docs.withColumns({"__id": key[0], "__digest": key[1]})
