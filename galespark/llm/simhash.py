@@ -185,14 +185,18 @@ def link_edges(codes: DataFrame, distance: int = DISTANCE, max_node: int = MAX_N
     edges, masks = [], [0]
     if max_node < 1 << distance:
         raise ValueError("nodes with no more than `distance` free bits are taken whole and cannot be split")
-    rows = codes.select("fp", F.lit(0).cast("bigint").alias("mask"))
+    rows = codes.select("fp")
     while True:
         kids = [
             (_signed(m), _signed(m | block))
             for m in masks for block in _blocks([b for b in range(64) if not m >> b & 1], distance + 1) if block
         ]
-        fixed = spark.createDataFrame(kids, "mask bigint, deeper bigint")  # a row per mask and block, not per node
-        rows = rows.join(F.broadcast(fixed), "mask").select(
+        if masks == [0]:
+            wider = rows.withColumn("deeper", F.explode(F.array(*(F.lit(k) for _, k in kids))))
+        else:
+            fixed = spark.createDataFrame(kids, "mask bigint, deeper bigint")  # a row per mask and block, not per node
+            wider = rows.join(F.broadcast(fixed), "mask")
+        rows = wider.select(
             F.col("deeper").alias("mask"), F.col("fp").bitwiseAND(F.col("deeper")).alias("bits"), "fp"
         ).distinct()
         large = cut(rows.groupBy("mask", "bits").count().filter(F.col("count") > max_node).select("mask", "bits"))
