@@ -224,14 +224,22 @@ def swath_time_window(spark, sf_dir):
     return n.select("satellite", "minute_id")
 
 
-@query("swath_geojson", NV + QUADS + " select satellite, interp_id, count(*) as features from quads group by 1,2")
+@query(
+    "swath_geojson",
+    NV + QUADS + """ select satellite, interp_id, count(*) as features, max(ascending) as ascending, round(min(a_lon),5) as first_lon, round(max(a_lat),5) as first_lat,
+      round(min(least(a_lat,b_lat,c_lat,d_lat)),5) as south from quads group by 1,2""",
+)
 def swath_geojson(spark, sf_dir):
     """Features written as JSON lines and counted by what they carry."""
     q = passes.ring(quads(spark, sf_dir)).withColumnRenamed("satellite", "satellite_name")
     lines = writers.swath_features(q)
     prop = lambda p: F.get_json_object("value", f"$.properties.{p}")
+    ring = F.from_json(F.get_json_object("value", "$.geometry.coordinates[0]"), "array<array<double>>")
+    point = lambda i: ring[0][i]
     return lines.groupBy(prop("satellite_name").alias("satellite"), prop("interp_id").cast("long").alias("interp_id")).agg(
-        F.count(F.lit(1)).alias("features")
+        F.count(F.lit(1)).alias("features"), F.max(prop("ascending").cast("int")).alias("ascending"),
+        F.round(F.min(point(0)), 5).alias("first_lon"), F.round(F.max(point(1)), 5).alias("first_lat"),
+        F.round(F.min(F.array_min(F.transform(ring, lambda p: p[1]))), 5).alias("south"),
     )
 
 

@@ -78,12 +78,12 @@ def link_next_step(spark, sf_dir):
 
 @query(
     "radius_bins",
-    BASE + SAME + f""" select src, dst, {' + '.join(f"case when {NEAR(r)} then 1 else 0 end" for r in (1, 3, 5))} as n_radii from same
+    BASE + SAME + f""" select src, dst, concat_ws(',', {', '.join(f"case when {NEAR(r)} then '{r}' end" for r in (1, 3, 5))}) as radii from same
       join nodes a on a.node_id=src join nodes b on b.node_id=dst""",
 )
 def radius_bins(spark, sf_dir):
     bins = link.radius_bins(link.nodes(view(spark, sf_dir, "track_points")), [1, 3, 5])
-    return bins.select("src", "dst", F.size("radii").alias("n_radii"))
+    return bins.select("src", "dst", F.concat_ws(",", F.transform("radii", lambda r: r.cast("int").cast("string"))).alias("radii"))
 
 
 @query("persist_24h", BASE + NEXT + PERSIST + " select node_id, model_name, init_time, time_step from kept")
