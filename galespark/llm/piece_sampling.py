@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, SEED = 2, 11
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 3_000_000
 SPACE = "▁"
 U64 = np.uint64
 
@@ -146,7 +146,8 @@ class Lattice:
         nodes = len(code) + len(chunks)
         self.start = np.searchsorted(self.src, np.arange(nodes + 1))
         far = np.repeat(self.last, size + 1)[self.src] - self.src  # characters to the chunk's end
-        by = np.argsort(far, kind="stable")  # nodes stay together inside a distance
+        narrow = np.int16 if len(far) and far.max() < 1 << 15 else np.int64  # sixteen bits sort by radix
+        by = np.argsort(far.astype(narrow), kind="stable")  # nodes stay together inside a distance
         cuts = np.searchsorted(far[by], np.arange(1, int(far.max()) + 2)) if len(by) else []
         beta = np.zeros(nodes)
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -175,7 +176,7 @@ def _sample(lattice, key, occ_doc, occ_rank, occ_end, occ, node, step, draw):
     """Walk to the end of each chunk; (place in text order, step, edge) of every piece."""
     out = []
     while len(occ):
-        edge = lattice.draw(node, mixed(key[occ_doc[occ]], draw, occ_rank[occ], step))
+        edge = lattice.draw(node, mixed(draw, key[occ_doc[occ]], occ_rank[occ] << 24 | step))
         out.append((occ, step, edge))
         node = lattice.dst[edge]
         on = node < occ_end[occ]
@@ -183,7 +184,7 @@ def _sample(lattice, key, occ_doc, occ_rank, occ_end, occ, node, step, draw):
     if not out:
         return (np.zeros(0, np.int64),) * 3
     occ, step, edge = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((step, occ))
+    order = np.argsort(occ << 24 | step)
     return occ[order], step[order], edge[order]
 
 
@@ -287,9 +288,9 @@ def sample(docs: DataFrame, path: str, k: int = K) -> DataFrame:
             key = np.array([i or 0 for i in ids], np.int64)
             rows = []
             for i, t, found in zip(ids, texts, segmentations(voc, texts, key, k)):
-                want = voc.normalised(t).replace(SPACE, " ")[1:]
+                want = voc.normalised(t).encode("utf-8", "surrogatepass")
                 rows += [
-                    (i, j + 1, lp, q, x.astype("<i4").tobytes(), len(x), voc.decode(x.tolist()) == want) for j, (lp, q, x) in enumerate(found)
+                    (i, j + 1, lp, q, x.astype("<i4").tobytes(), len(x), b"".join(map(voc.bytes_of.__getitem__, x.tolist())) == want) for j, (lp, q, x) in enumerate(found)
                 ]
             kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
