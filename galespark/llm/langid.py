@@ -4,7 +4,10 @@ A text becomes the TF-IDF vector of its byte bigrams and trigrams (ASCII folded
 to lower case, everything in ASCII but letters to a space). The training sample
 of each language is clustered by spherical k-means; a document goes to the
 language of the centroid with the largest cosine, and is rejected where even
-that one is farther away than ``limit``.
+that one is farther away than documents of that language are: the least cosine
+is ``SLACK`` times the ``QUANTILE`` of what each half of the sample reaches on
+centroids of the other half. It is lowered in proportion for texts with fewer
+than ``ENOUGH`` different n-grams, which say little; ``limit`` holds for all.
 
 The classifier is fitted on a sample bounded by ``PER_LANGUAGE`` documents (in
 expectation) of each language; it is applied to every whole text.
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from galespark.llm import vectors
 
 PER_LANGUAGE, CENTROIDS, ROUNDS = 300, 4, 12
-LIMIT = 0.95  # cosine distance from which a document is in no known language
+LIMIT = 0.95  # cosine distance from which a document of any length is in no known language
+QUANTILE, SLACK, ENOUGH = 0.05, 0.55, 128
 UNKNOWN = "und"
 FOLD = bytes(
     b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256)
@@ -50,18 +54,22 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # unit rows
     owner: np.ndarray  # language of each centroid
+    least: np.ndarray  # cosine that documents of each language reach
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, cosine, and the cosine that the text should have."""
+        names, score, least = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         rows = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
         for at in range(0, len(rows), 128):
             part = rows[at : at + 128]
-            near = vectors.tf_idf(np.stack([count(texts[i]) for i in part]), self.idf) @ self.centroids.T
+            counts = np.stack([count(texts[i]) for i in part])
+            near = vectors.tf_idf(counts, self.idf) @ self.centroids.T
             best = near.argmax(axis=1)
+            least[part] = self.least[self.owner[best]] * np.minimum(1, (counts > 0).sum(axis=1) / ENOUGH)
             score[part] = np.clip(near[np.arange(len(part)), best], 0, 1)
             for i, b in zip(part, best):
                 names[i] = self.languages[self.owner[b]]
-        return names, score
+        return names, score, least
 
 
 def clusters(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -77,33 +85,42 @@ def clusters(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centre
 
 
+def reached(x: np.ndarray, k: int) -> float:
+    """Low quantile of the cosines of rows to the centroids of the other half; 0 where a half is empty."""
+    if len(x) < 2:
+        return 0.0
+    halves = x[::2], x[1::2]
+    best = [(a @ clusters(b, k).T).max(axis=1) for a, b in (halves, halves[::-1])]
+    return float(np.quantile(np.concatenate(best), QUANTILE))
+
+
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS) -> Model:
     """``docs`` are the rows that may be learned from."""
     known = docs.filter("lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
     if not sizes:
-        return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0, int))
+        return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0, int), np.zeros(0))
     share = F.coalesce(*(F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))) for name, n in sizes.items()))
     label, counts = vectors.learned_from(known.filter(vectors.spread() < share), "lang", count)
     languages, idf = sorted(set(label)), vectors.idf_of(counts)
     x = vectors.tf_idf(counts, idf)
     own = [clusters(x[label == name], k) for name in languages]
-    return Model(languages, idf, np.vstack(own).astype(np.float32), np.repeat(np.arange(len(own)), [len(c) for c in own]))
+    least = SLACK * np.array([reached(x[label == name], k) for name in languages])
+    return Model(languages, idf, np.vstack(own).astype(np.float32), np.repeat(np.arange(len(own)), [len(c) for c in own]), least)
 
 
 def identify(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_rejected``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids per language
-    schema = docs.drop("lang_pred", "lang_score").schema.add("lang_pred", "string").add("lang_score", "double")
-    at = docs.drop("lang_pred", "lang_score").columns.index("text")
+    rest = docs.drop("lang_pred", "lang_score", "lang_rejected")
+    schema = rest.select("*").schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
+    at = rest.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            names, score = shared.value(texts)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[f"c{i}" for i in range(b.num_columns)] + ["p", "s"]
-            )
-
-    out = docs.drop("lang_pred", "lang_score").mapInArrow(run, schema)
-    return out.withColumn("lang_rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("lang_score") < 1 - limit))
+            names, score, least = shared.value(b.column(at).to_pylist())
+            rejected = (np.array(names, object) == UNKNOWN) | (score < np.maximum(1 - limit, least))
+            new = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[f"c{i}" for i in range(b.num_columns)] + ["p", "s", "r"])
+
+    return rest.mapInArrow(run, schema)

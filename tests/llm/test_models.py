@@ -40,6 +40,20 @@ def test_language_odd_rows(spark):
     assert langid.identify(table.limit(0), model).collect() == []
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n)) for n in (300, 1000, 4000) for _ in range(20)]
+    noise += ["".join(rng.choice("\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438 ") for _ in range(1000))]
+    drawn = spark.createDataFrame([(i, t, None) for i, t in enumerate(noise)], table.schema)
+    assert all(r.lang_rejected for r in langid.identify(drawn, langid.learn(table)).collect())
+    for left in ("de", "es", "fr"):
+        out = langid.identify(table, langid.learn(table.filter(f"lang <> '{left}'"))).collect()
+        of = [r.lang_rejected for r in out if r.lang == left and len(set(r.text.split())) > 30]
+        kept = [r.lang_rejected for r in out if r.lang != left]
+        assert len(of) > 20 and np.mean(of) > 0.9 and np.mean(kept) < 0.005, (left, np.mean(of), np.mean(kept))
+
+
 def test_quality_held_out(spark):
     rows = QUERIES["op1_quality"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
