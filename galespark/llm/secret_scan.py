@@ -5,8 +5,10 @@ access identifiers and long hexadecimal runs. Looser patterns find weak
 candidates: named identifiers, named or bare secret values, endpoints. A weak
 candidate says little alone, so it is reported only where a complementary part
 (a secret for an identifier or an endpoint, an identifier or an endpoint for a
-secret) lies at most ``SCOPE`` code points away in the same text. That is an
-interval join on (row, bucket of positions) with a residual overlap test, run
+secret) lies at most ``SCOPE`` code points away in the same text. Names may have
+prefixes (``DB_USER``); a weak candidate that overlaps a strong span is not
+reported again, but is a part for others. A URL with a user and a password is
+both an endpoint and a secret. The search for parts is an interval join on (row, bucket of positions) with a residual overlap test, run
 as semi joins, so pairs are never listed.
 
 Everything is built from DataFrame functions. Spans are code points, end
@@ -33,10 +35,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # a greedy run of 16 or more; shorter runs hold no longer one
 HEX = r"[0-9a-f]{32,}"
 VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=@-]+)"""
-NAMED_ID = r"\b((?i:access_?key_?id|client_?id|user_?name|user|login|account))" + VALUE
-NAMED_SECRET = r"\b((?i:pass|passphrase|pwd|auth|credential|private_?key|secret_?access_?key))" + VALUE
+NAMED_ID = r"(?<![A-Za-z0-9])((?i:access_?key_?id|client_?id|user_?name|user|login|account))" + VALUE
+NAMED_SECRET = r"(?<![A-Za-z0-9])((?i:pass|passphrase|pwd|auth|credential|private_?key|secret_?access_?key))" + VALUE
 BARE_SECRET = r"(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+])"
-ENDPOINT = r"""https?://[^\s"'<>|,;)]+|\b(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+"""
+SCHEME = r"(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]++://"
+IN_URL = SCHEME + r"""[^\s"'<>|/@:]*:[^\s"'<>|/@]+@"""
+ENDPOINT = SCHEME + r"""[^\s"'<>|/@]+@[^\s"'<>|,;)]+|https?://[^\s"'<>|,;)]+|(?<![A-Za-z0-9])(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+"""
 KINDS = ["assign", "access", "hex", "id", "secret", "endpoint"]
 STRONG = 3  # the first kinds
 SECRETS = [0, 2, 4]  # kinds that are the secret part of a credential
@@ -86,21 +90,24 @@ def weak(text) -> F.Column:
         found(text, NAMED_ID, 3, _value(NAMED_ID, 2, 3)),
         found(text, NAMED_SECRET, 4, _value(NAMED_SECRET, 2, 6)),
         found(text, BARE_SECRET, 4, _mixed),
+        found(text, IN_URL, 4),
         found(text, ENDPOINT, 5),
     )
 
 
 def _parts(docs: DataFrame, *columns) -> DataFrame:
-    """``columns`` with a row key, strong spans, and weak spans that cross no strong one."""
+    """``columns`` with a row key, strong spans, weak spans that cross no strong one, and those that do."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(*columns, strong(text).alias("__strong"), weak(text).alias("__loose"), F.monotonically_increasing_id().alias("__key"))
     crosses = lambda w: F.exists("__strong", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
-    return rows.withColumn("__weak", F.filter("__loose", lambda w: ~crosses(w))).drop("__loose")
+    return rows.withColumns({"__weak": F.filter("__loose", lambda w: ~crosses(w)), "__cross": F.filter("__loose", crosses)}).drop("__loose")
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(__key, __linked): weak spans with a complementary part in scope."""
-    spans = parts.filter(F.size("__weak") > 0).select("__key", F.explode(F.concat("__strong", "__weak")).alias("x")).select("__key", "x.*")
+    part = lambda spans, weak: F.transform(spans, lambda x: F.struct(x["start"], x["kind"], x["end"], F.lit(weak).alias("weak")))
+    spans = F.concat(part("__strong", False), part("__cross", False), part("__weak", True))
+    spans = parts.filter(F.size("__weak") > 0).select("__key", F.explode(spans).alias("x")).select("__key", "x.*")
     secret = F.col("kind").isin(SECRETS)
     sides = []
     for side, reach in ((spans.filter(secret), scope), (spans.filter(~secret), 0)):
@@ -111,7 +118,7 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         near = other.select(F.col("__key").alias("k"), F.col("bucket").alias("b"), F.col("start").alias("s"), F.col("end").alias("e"))
         within = (F.col("s") <= F.col("end") + scope) & (F.col("e") + scope >= F.col("start"))
         same = (F.col("__key") == F.col("k")) & (F.col("bucket") == F.col("b"))
-        hits.append(own.filter(F.col("kind") >= STRONG).join(near, same & within, "left_semi").select("__key", "start", "kind", "end"))
+        hits.append(own.filter("weak").join(near, same & within, "left_semi").select("__key", "start", "kind", "end"))
     return hits[0].unionByName(hits[1]).groupBy("__key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("__linked"))
 
 
@@ -139,7 +146,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span replaced by a mark; other texts stay as they are."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    some = reduce(lambda a, b: a | b, (text.rlike(p) for p in (ASSIGN, ACCESS, HEX, NAMED_ID, NAMED_SECRET, BARE_SECRET, ENDPOINT)))
+    some = reduce(lambda a, b: a | b, (text.rlike(p) for p in (ASSIGN, ACCESS, HEX, NAMED_ID, NAMED_SECRET, BARE_SECRET, IN_URL, ENDPOINT)))
     parts = cut(_parts(docs.filter(some), *(F.col(f"`{c}`") for c in docs.columns)))
     rows = parts.join(linked(parts, scope), "__key", "left")
     spans = _all(F.col("__strong"), F.col("__linked"))
