@@ -137,6 +137,18 @@ def test_scores_equal_plain_computation(spark, size):
         assert r.base_score == pytest.approx(base, rel=1e-9) and abs(r.score - score) <= 0.003 * len(x)
 
 
+def test_pair_seen_once_is_kept(spark):
+    table = docs(spark, ["a b", "a c", "d b", "b"])
+    voc, model = lm.learn(table.filter("doc_id < 3"))
+    got = {r.doc_id: r.score for r in lm.score(table, voc, model).collect()}
+    # counts: a 2, b 2, c 1, d 1, begin and end 3; N = 9; the pairs of (begin, a) and (b, end) are seen twice
+    n = 10
+    after_begin = (2 - 0.75) / 3 + (1 - (1.25 + 0.25) / 3) * 2 / n
+    b_after_a, end_after_b = 0.25 / 2 + (1 - 0.5 / 2) * 2 / n, 1.25 / 2 + (1 - 1.25 / 2) * 3 / n
+    assert abs(got[0] - math.log10(after_begin * b_after_a * end_after_b)) < 0.01
+    assert abs(got[3] - math.log10((1 - 1.5 / 3) * 2 / n * end_after_b)) < 0.01
+
+
 def test_model_of_nothing(spark):
     table = docs(spark, ODD)
     voc, model = lm.learn(table.limit(0))
