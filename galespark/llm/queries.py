@@ -128,3 +128,72 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = piece_sampling.sample(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", "draw", "n_pieces", "log_prob", "log_inclusion", F.crc32("ids").alias("ids_crc32"), "round_trip")
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galespark.llm import periodic_runs
+
+    out = periodic_runs.find(periodic_runs.repeat_tails(table(spark, sf_dir, "documents")))
+    # the longest run; of equally long ones the first, then the one of the least period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    out = out.withColumn("longest", longest)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.expr("-longest.start").alias("start"),
+        F.col("longest.length"),
+        F.expr("-longest.period").alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galespark.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_decontaminate",
+    r"""
+    with d as (
+      select row_number() over () rid, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+      from documents),
+    b as (
+      select item_id::varchar item_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+      from benchmark),
+    bi as (select item_id, w, least(10, len(w)) k, unnest(range(1, len(w) - least(10, len(w)) + 2)) i from b where len(w) > 0),
+    bw as (select distinct item_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') s from bi),
+    di as (select rid, w, k, unnest(range(1, len(w) - k + 2)) i from d, (select distinct k from bw) where len(w) >= k),
+    dw as (select rid, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') s from di),
+    m as (select rid, k, i, item_id from dw join bw using (k, s)),
+    h as (select rid, count(distinct p) n_hit from (select rid, unnest(range(i, i + k)) p from (select distinct rid, k, i from m)) group by rid),
+    t as (select rid, count(*) n_items, string_agg(item_id, ',' order by item_id) items from (select distinct rid, item_id from m) group by rid)
+    select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+           sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+    from d left join h using (rid) left join t using (rid)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galespark.llm import decontaminate
+
+    out = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.start)
+    return out.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
