@@ -81,18 +81,6 @@ def ensemble_status(processed: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def retain(table: DataFrame, newest_of: DataFrame, date: str, days: int = 10) -> DataFrame:
-    """Rows no older than the newest date of the leading table less some days."""
-    cutoff = newest_of.agg(F.max(date).alias("newest")).select(F.timestamp_add("DAY", F.lit(-days), "newest"))
-    return table.filter(F.col(date) >= cutoff.scalar())
-
-
-def retain_all(tables: dict[str, DataFrame], leading: str, date: str, days: int = 10) -> dict[str, DataFrame]:
-    """Every table less the rows older than the leading table's newest date by
-    more than some days."""
-    return {name: retain(table, tables[leading], date, days) for name, table in tables.items()}
-
-
 def run_documents(points: DataFrame, fields: list[str]) -> DataFrame:
     """One JSON document per run and forecast hour, its candidates in order. A
     document holds the candidates of one hour, a bounded list."""
@@ -106,6 +94,39 @@ def from_documents(documents: DataFrame, schema: str) -> DataFrame:
     return documents.select("model_name", "init_date", "time_step", parts).select("p.*", "model_name", "init_date", "time_step")
 
 
+def step_documents(points: DataFrame, fields: list[str]) -> DataFrame:
+    """One document per run: its candidates by step, and the components it is
+    made of. A run holds one simplified point per component and step."""
+    listed = points.groupBy(*RUN, F.col("time_step").cast("string").alias("step")).agg(
+        F.sort_array(F.collect_list(F.struct("component_id", *fields))).alias("candidates"), F.collect_set("component_id").alias("some")
+    )
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("step", "candidates"))))
+    done = F.array_sort(F.array_distinct(F.flatten(F.collect_list("some"))))
+    return listed.groupBy(*RUN).agg(entries.alias("data"), done.alias("done_components"))
+
+
+def merge_step_documents(stored: DataFrame, points: DataFrame, fields: list[str]) -> DataFrame:
+    """Documents that ``points`` change, whole. Components that a stored
+    document names as done are skipped; others join its steps and its list.
+
+    Only runs among ``points`` are touched, so a caller rewrites their
+    partitions and no others."""
+    known = stored.select(*RUN, F.col("done_components").alias("__done"))
+    new = points.join(known, RUN, "left").filter(~F.coalesce(F.array_contains("__done", F.col("component_id")), F.lit(False))).drop("__done")
+    fresh = step_documents(new, fields).withColumnsRenamed({"data": "__data", "done_components": "__new"})
+    both = lambda a, b: F.array_sort(F.concat(F.coalesce(a, F.array()), F.coalesce(b, F.array())))
+    data = F.when(F.col("data").isNull(), F.col("__data")).otherwise(F.map_zip_with("data", "__data", lambda _, a, b: both(a, b)))
+    done = F.array_sort(F.array_union(F.coalesce("done_components", F.array().cast(stored.schema["done_components"].dataType)), "__new"))
+    return fresh.join(stored, RUN, "left").select(*RUN, data.alias("data"), done.alias("done_components"))
+
+
+def opened(documents: DataFrame) -> DataFrame:
+    """A row per candidate, with the components its document has done."""
+    steps = documents.select(*RUN, "done_components", F.explode("data").alias("step", "candidates"))
+    rows = steps.select(*RUN, "done_components", F.col("step").cast("int").alias("time_step"), F.explode("candidates").alias("c"))
+    return rows.select(*RUN, "time_step", "c.*", "done_components")
+
+
 # ---------------------------------------------------------------- as-of and cycles
 
 

@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galespark.functions import geo
+from galespark.operators import separate
+from galespark.operators.components import ONE_TASK, components, distinct, forest, least_of_each, places
 from galespark.operators.link import RUN
-from galespark.session import cut
+from galespark.session import broadcast_if_small, cut
 from galespark.sources.dims import basin_of
 
 MIN_LINKS = 4
 MIN_SEGMENT = 5
+LARGE_RUNS = 100_000  # keys of runs too large for one task that may be broadcast
 
 
 # ---------------------------------------------------------------- persistence
@@ -70,72 +73,49 @@ def longest_path(links: DataFrame, per_round: int = 4) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): label is the smallest id of the weakly connected component.
+def _labels_of_run(key: tuple, ids: pa.Table, links: pa.Table) -> pa.Table:
+    """Smallest reachable id of each vertex; links to other vertices do not count."""
+    values = distinct(ids["id"])
+    a, b = places(values, links["src"]), places(values, links["dst"])
+    inside = (a >= 0) & (b >= 0)
+    label = values.take(pa.array(least_of_each(len(values), a[inside], b[inside])[places(values, ids["id"])]))
+    return pa.table({"id": ids["id"], "label": label})
 
-    For graphs of any size: every round takes the smallest label among the
-    neighbours and then jumps to the label's own label, so there are at most as
-    many rounds as links on a path. Tracks never leave their run and go through
-    :func:`components_of_runs` in one shuffle."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = cut(both)
-    near = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
-    labels = cut(vertices.select("id").distinct().join(near, "id", "left").select("id", F.least("id", "m").alias("label")))
-    while True:
-        incoming = (
-            both.join(labels, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m"))
-        )
-        lower = labels.join(incoming, "id", "left").select("id", "label", F.least("label", "m").alias("low"))
-        roots = labels.select(F.col("id").alias("low"), F.col("label").alias("root"))
-        nxt = cut(lower.join(roots, "low", "left").select("id", F.col("label").alias("old"), F.least("low", "root").alias("label")))
-        labels = nxt.select("id", "label")
-        if nxt.filter(F.col("old") != F.col("label")).isEmpty():
-            return labels
 
+def components_of_runs(nodes: DataFrame, edges: DataFrame, closed: bool = False, one_task: int = ONE_TASK) -> DataFrame:
+    """(id, label) like :func:`components` where no link leaves a run.
 
-def _labels_of_run(key: tuple, ids: pa.Table, links: pa.Table) -> pa.Table:
-    """Smallest reachable id of each vertex, by union-find over the run's links."""
-    name = ids["id"].to_pylist()
-    place = {x: i for i, x in enumerate(sorted(set(name)))}
-    root = list(range(len(place)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, b in zip(links["src"].to_pylist(), links["dst"].to_pylist()):
-        if a in place and b in place:
-            a, b = sorted((find(place[a]), find(place[b])))
-            root[b] = a
-    back = sorted(place)
-    return pa.table({"id": ids["id"], "label": pa.array([back[find(place[x])] for x in name], ids["id"].type)})
-
-
-def components_of_runs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label) like :func:`components` where no link leaves a run: one
-    shuffle by run, all rounds inside it. A run has the nodes of its forecast
-    steps, so it is small however many runs there are."""
+    One shuffle by run brings its links together. With ``closed`` links, whose
+    ends are all among the nodes, map tasks first fold theirs to spanning
+    forests. Runs of more than ``one_task`` links (counted) go through the
+    contraction instead."""
     kind = nodes.schema["node_id"].dataType.simpleString()
     ids = nodes.select(*RUN, F.col("node_id").alias("id")).distinct()
     links = edges.select(*(F.col(c).alias(c) for c in (*RUN, "src", "dst")))  # columns of its own, whatever it came from
-    return (
-        ids.groupBy(*RUN).cogroup(links.groupBy(*RUN))
-        .applyInArrow(_labels_of_run, f"id {kind}, label {kind}")
-    )
-
-
-def track_components(nodes: DataFrame, *edges: DataFrame) -> DataFrame:
+    large = links.groupBy(*RUN).count().filter(F.col("count") > one_task).select(*RUN)
+    wide = None
+    if not large.isEmpty():
+        large = broadcast_if_small(cut(large), LARGE_RUNS)
+        own = ids.join(large, RUN, "left_semi")
+        ends = own.select("id")
+        inside = links.join(large, RUN, "left_semi").join(ends, F.col("src") == F.col("id"), "left_semi")
+        wide = components(ends, inside.join(ends, F.col("dst") == F.col("id"), "left_semi"), one_task)
+        ids, links = ids.join(large, RUN, "left_anti"), links.join(large, RUN, "left_anti")
+    out = ids.groupBy(*RUN).cogroup((forest(links) if closed else links).groupBy(*RUN)).applyInArrow(_labels_of_run, f"id {kind}, label {kind}")
+    return out if wide is None else out.unionByName(wide)
+
+
+def track_components(nodes: DataFrame, *edges: DataFrame, closed: bool = False) -> DataFrame:
     """Nodes with the component they belong to, numbered within the run by
-    earliest step; equal starts go by smallest node id."""
+    earliest step; equal starts go by smallest node id. ``closed`` says that
+    links have both ends among the nodes."""
     per_run = all({*RUN} <= {*e.columns} for e in edges)
     columns = [*RUN, "src", "dst"] if per_run else ["src", "dst"]
     linked = edges[0].select(*columns)
     for e in edges[1:]:
         linked = linked.unionByName(e.select(*columns))
     if per_run:
-        labels = components_of_runs(nodes, linked)
+        labels = components_of_runs(nodes, linked, closed)
     else:
         labels = components(nodes.select(F.col("node_id").alias("id")), linked)
     labelled = nodes.join(labels.withColumnRenamed("id", "node_id"), "node_id")
@@ -322,9 +302,65 @@ def without(nodes: DataFrame, same: DataFrame, links: DataFrame, gone: DataFrame
     return nodes, cutoff(same), cutoff(links)
 
 
-def reduce_same_step(nodes: DataFrame, same: DataFrame, links: DataFrame):
+def _by_run(nodes: DataFrame, same: DataFrame, links: DataFrame, work, one_task: int):
+    """Nodes and links of runs that one task may hold, after ``work``, and what
+    belongs to larger runs (None where there are none), by counts of rows."""
+    kind = nodes.schema["node_id"].dataType.simpleString()
+    point = ["time_step", "lat", "lon", "mslp"]
+    component = F.col("component_id") if "component_id" in nodes.columns else F.lit(0)
+    rows = nodes.select(*RUN, F.lit(separate.NODE).alias("kind"), F.col("node_id").alias("a"), F.col("node_id").alias("b"), *point, component.cast("bigint").alias("component_id"))
+    runs = nodes.select(*RUN, F.col("node_id").alias("src"))
+    for k, edges in ((separate.SAME, same), (separate.LINK, links)):
+        if not {*RUN} <= {*edges.columns}:
+            edges = edges.select("src", "dst").join(runs, "src")
+        rows = rows.unionByName(edges.select(*RUN, F.lit(k).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")), allowMissingColumns=True)
+    large = rows.groupBy(*RUN).count().filter(F.col("count") > one_task).select(*RUN)
+    rest = None
+    if not large.isEmpty():
+        large = broadcast_if_small(cut(large), LARGE_RUNS)
+        whole = cut(rows.join(large, RUN, "left_semi"))
+        edges = lambda k: whole.filter(F.col("kind") == k).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        rest = cut(nodes.join(large, RUN, "left_semi")), edges(separate.SAME), edges(separate.LINK)
+        rows = rows.join(large, RUN, "left_anti")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.select(*RUN).schema)
+    done = cut(rows.groupBy(*RUN).applyInArrow(work, f"{types}, kind int, a {kind}, b {kind}"))
+    left = lambda k: done.filter(F.col("kind") == k).select(*RUN, F.col("a").alias("src"), F.col("b").alias("dst"))
+    stay = done.filter(F.col("kind") == separate.NODE).select(F.col("a").alias("node_id"))
+    return (nodes.join(stay, "node_id", "left_semi"), left(separate.SAME), left(separate.LINK)), rest
+
+
+def _with_runs(nodes: DataFrame, same: DataFrame, links: DataFrame):
+    runs = nodes.select(*RUN, F.col("node_id").alias("src"))
+    return nodes, *(e.select("src", "dst").join(runs, "src").select(*RUN, "src", "dst") for e in (same, links))
+
+
+def _both(small, wide):
+    return small if wide is None else tuple(a.unionByName(b) for a, b in zip(small, _with_runs(*wide)))
+
+
+def reduce_same_step(nodes: DataFrame, same: DataFrame, links: DataFrame, one_task: int = ONE_TASK):
     """Keep only the lowest node of a same-step group wherever that leaves its
-    neighbours connected; passes repeat until nothing is removed."""
+    neighbours connected; passes repeat until nothing is removed.
+
+    A run is one group, with a worklist over its steps; runs of more than
+    ``one_task`` nodes and links together go by :func:`reduce_wide`."""
+    small, rest = _by_run(nodes, same, links, separate.reducer(RUN), one_task)
+    return _both(small, None if rest is None else reduce_wide(*rest))
+
+
+def simplify(labelled: DataFrame, same: DataFrame, links: DataFrame, min_length: int = MIN_SEGMENT, one_task: int = ONE_TASK):
+    """Reduce, split mergers and fit predecessors until the graph rests; links
+    come back directed. Runs of more than ``one_task`` nodes and links together
+    go by :func:`simplify_wide`."""
+    columns = [*RUN, "src", "dst"] if {*RUN} <= {*same.columns} else ["src", "dst"]
+    turned = same.withColumns({"src": F.col("dst"), "dst": F.col("src")})
+    directed = same.select(*columns).unionByName(turned.select(*columns))
+    small, rest = _by_run(labelled, directed, links, separate.simplifier(RUN, min_length), one_task)
+    return _both(small, None if rest is None else simplify_wide(*rest, min_length))
+
+
+def reduce_wide(nodes: DataFrame, same: DataFrame, links: DataFrame):
+    """:func:`reduce_same_step` for runs of any size: all groups decide at once."""
     while True:
         gone = _reduce_pass(nodes, same, links)
         if gone is None or gone.isEmpty():
@@ -364,15 +400,15 @@ def predecessor_groups(same: DataFrame, links: DataFrame) -> DataFrame:
     e = links.select("src", "dst").distinct()
     many = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("dst")
     e = cut(e.join(many, "dst", "left_semi"))
-    pair = F.struct(F.col("dst").alias("of"), F.col("src").alias("p"))
+    pair = lambda p: F.concat_ws("|", "dst", p)
     other = e.select("dst", F.col("src").alias("peer"))
     near = (
         e.join(both_ways(same).distinct().select("src", F.col("dst").alias("peer")), "src")
         .join(other, ["dst", "peer"], "left_semi")
-        .select(pair.alias("src"), F.struct(F.col("dst").alias("of"), F.col("peer").alias("p")).alias("dst"))
+        .select(pair("src").alias("src"), pair("peer").alias("dst"))
     )
-    labels = components(e.select(pair.alias("id")), near)
-    parts = labels.select(F.col("id.of").alias("dst"), F.col("id.p").alias("src"), F.col("label.p").alias("part"))
+    pairs = e.select(pair("src").alias("id"), "dst", "src")
+    parts = pairs.join(components(pairs.select("id"), near), "id").select("dst", "src", F.col("label").alias("part"))
     apart = parts.groupBy("dst").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("dst")
     return parts.join(apart, "dst", "left_semi")
 
@@ -406,26 +442,26 @@ def predecessor_cuts(nodes: DataFrame, same: DataFrame, links: DataFrame) -> Dat
     return gaps.join(fits, "dst").filter(F.col("part") != F.col("best")).select("src", "dst")
 
 
-def simplify(labelled: DataFrame, same: DataFrame, links: DataFrame):
-    """Reduce, split mergers and fit predecessors until the graph rests.
+def simplify_wide(labelled: DataFrame, same: DataFrame, links: DataFrame, min_length: int = MIN_SEGMENT):
+    """:func:`simplify` for runs of any size.
 
     All components advance together; predecessors of a run are fitted once
     none of its stretches can be split further."""
     keep = [c for c in labelled.columns]
     nodes, links = cut(labelled), cut(links.select("src", "dst"))
-    directed = cut(both_ways(same))
+    directed = cut(both_ways(same).distinct())
     while True:
         before = nodes.count()
-        nodes, directed, links = reduce_same_step(nodes, directed, links)
+        nodes, directed, links = reduce_wide(nodes, directed, links)
         changed = nodes.count() < before
         while True:
             clusters = step_clusters(nodes, directed)
-            bridges = cut(merger_cuts(nodes, directed, links, clusters=clusters))
+            bridges = cut(merger_cuts(nodes, directed, links, min_length, clusters))
             if not bridges.isEmpty():
                 directed = cut(directed.join(bridges, ["src", "dst"], "left_anti"))
                 changed = True
                 continue
-            segments = disjoint_segments(nodes, clusters)
+            segments = disjoint_segments(nodes, clusters, min_length)
             runs = cut(segments.select(*RUN).distinct())
             if runs.isEmpty():
                 break

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from galespark.operators import catalog, ensemble
+from galespark.operators import catalog, ensemble, passes
+from galespark.plans import swaths
 from galespark.plans.base import registry
-from galespark.session import scratch_path
+from galespark.session import cut, scratch_path
 from galespark.sinks import writers
 from galespark.sources import files
 from galespark.sources.adapters import tables, view, with_views
@@ -63,17 +66,29 @@ def insert_if_absent(spark, sf_dir):
 @query(
     "tc_by_step",
     with_views("track_points")
-    + """ select model_name, init_time as init_date, time_step, count(*) as points, count(distinct event_id%4) as n_components,
-      round(min(mslp),3) as deepest from track_points where event_id%4<>0 group by 1,2,3""",
+    + """, p as (select model_name, init_time as init_date, time_step, event_id%4 as component_id, event_id, mslp, extract(day from init_time)%5=0 as late from track_points),
+      d as (select model_name, init_date, string_agg(distinct cast(component_id as varchar), ',' order by cast(component_id as varchar)) as done from p where not (late and component_id=3) group by 1,2)
+      select model_name, init_date, time_step, component_id, event_id, mslp, done from p join d using (model_name, init_date) where not (late and component_id=3)""",
 )
 def tc_by_step(spark, sf_dir):
-    """Tracks re-keyed by step without those of components stored before."""
-    p = view(spark, sf_dir, "track_points").withColumn("component_id", F.col("event_id") % 4)
-    stored = p.filter("component_id=0").select("model_name", "init_time", "component_id")
-    new = catalog.absent(stored, p, ["model_name", "init_time", "component_id"])
-    return new.groupBy("model_name", F.col("init_time").alias("init_date"), "time_step").agg(
-        F.count(F.lit(1)).alias("points"), F.count_distinct("component_id").alias("n_components"), F.round(F.min("mslp"), 3).alias("deepest")
+    """Documents of runs by step. They come in twice: first two components, then
+    more of them, and the first again with other values, which change nothing."""
+    path = scratch_path(spark)
+    p = view(spark, sf_dir, "track_points").select(
+        "model_name", F.col("init_time").alias("init_date"), "time_step", (F.col("event_id") % 4).alias("component_id"), "event_id", "mslp"
     )
+    fields = ["event_id", "mslp"]
+    put = lambda docs: writers.overwrite_partitions(docs.withColumn("run", writers.run_name("init_date")), path, ["run"])
+    put(catalog.step_documents(p.filter("component_id<2"), fields))
+    again = p.withColumn("mslp", F.when(F.col("component_id") < 2, F.col("mslp") + 100).otherwise(F.col("mslp")))
+    again = again.filter("component_id<3 or dayofmonth(init_date)%5<>0")
+    stored = spark.read.parquet(path)
+    # partitions are replaced whole, so runs beside the changed ones in them go along
+    merged = catalog.merge_step_documents(stored.drop("run"), again, fields)
+    rest = stored.drop("run").join(merged, catalog.RUN, "left_anti")
+    put(cut(merged.unionByName(rest)))
+    out = catalog.opened(spark.read.parquet(path).drop("run"))
+    return out.withColumn("done", F.concat_ws(",", F.transform("done_components", lambda c: c.cast("string")))).drop("done_components")
 
 
 @query(
@@ -118,10 +133,17 @@ def ens_status(spark, sf_dir):
       union all select 'completed', model_name, init_date, null from runs_completed where init_date >= (select max(init_date) from runs_completed) - interval '10' day""",
 )
 def retention_by_data_time(spark, sf_dir):
-    tables_ = {"tracks": view(spark, sf_dir, "tc_candidates"), "completed": view(spark, sf_dir, "runs_completed")}
-    kept = catalog.retain_all(tables_, "completed", "init_date", 10)
-    rows = [t.withColumn("kind", F.lit(k)) for k, t in kept.items()]
-    return rows[0].unionByName(rows[1], allowMissingColumns=True).select("kind", "model_name", "init_date", "component_id")
+    """Written tables of runs, pruned by the names of their partitions; the
+    second call of the day finds its mark."""
+    root = scratch_path(spark)
+    rows = {"tracks": view(spark, sf_dir, "tc_candidates"), "completed": view(spark, sf_dir, "runs_completed").withColumn("component_id", F.lit(None).cast("int"))}
+    at_ = {k: f"{root}/{k}" for k in rows}
+    for k, t in rows.items():
+        writers.append(t.select("model_name", "init_date", "component_id", writers.run_name("init_date").alias("run")), at_[k], ["run"])
+    for _ in range(2):
+        writers.retain(spark, at_, "completed", f"{root}/ledger", date(2024, 2, 1), 10)
+    left = [spark.read.parquet(at_[k]).withColumn("kind", F.lit(k)) for k in rows]
+    return left[0].unionByName(left[1]).select("kind", "model_name", "init_date", "component_id")
 
 
 @query(
@@ -382,19 +404,21 @@ def run_documents(spark, sf_dir):
 
 @query(
     "passes_log",
-    with_views("nadir")
-    + """ select satellite, date_trunc('day', valid_time) as init_date, count(*) as passes, min(minute_id) as first_pass from nadir
-      where extract(day from valid_time)%3=1 or minute_id%2=0 group by 1,2""",
+    "with " + swaths.PREDICTED + """ select r.model_name, r.init_time, p.storm_no, satellite, ascending, pass_number, interp_id, round(vmax,3) as vmax
+      from (select distinct model_name, init_time from storm_points) r left join (select * from predicted where storm_no<>3 or extract(day from init_time)%3=1) p
+        on p.model_name=r.model_name and p.init_time=r.init_time""",
 )
 def passes_log(spark, sf_dir):
-    """A rerun resets the days it covers and leaves the others as stored."""
-    n = view(spark, sf_dir, "nadir").withColumn("init_date", F.date_trunc("day", "valid_time"))
+    """Predicted passes by run. At first one storm is not known; when the runs
+    of some days are done again with it, their log is reset, the rest stays."""
     path = scratch_path(spark)
-    key = n.withColumn("day", F.date_format("init_date", "yyyy-MM-dd"))
-    writers.overwrite_partitions(key.filter("minute_id%2=0"), path, ["day"])
-    writers.overwrite_partitions(key.filter(F.dayofmonth("valid_time") % 3 == 1), path, ["day"])
+    points = view(spark, sf_dir, "storm_points")
+    runs = cut(points.select("model_name", "init_time").distinct())
+    predicted = cut(passes.predict(points, cut(view(spark, sf_dir, "nadir")), swaths.SWATHS))
+    writers.log_passes(runs, predicted.filter("storm_no<>3"), path)
+    writers.log_passes(runs.filter(F.dayofmonth("init_time") % 3 == 1), predicted, path)
     log = spark.read.parquet(path)
-    return log.groupBy("satellite", "init_date").agg(F.count(F.lit(1)).alias("passes"), F.min("minute_id").alias("first_pass"))
+    return log.select("model_name", "init_time", "storm_no", "satellite", "ascending", "pass_number", "interp_id", F.round("vmax", 3).alias("vmax"))
 
 
 @query(

@@ -10,7 +10,7 @@ from galespark.operators.ranking import quantiles
 from galespark.plans.base import azimuth, dest_lat, dest_lon, hav, registry, signed
 from galespark.session import cut
 from galespark.sinks import writers
-from galespark.sources.adapters import view, with_views
+from galespark.sources.adapters import oracle_view, view, with_views
 
 QUERIES, ORACLE, query = registry()
 SWATHS = {"SAT0": (336000, 550000), "SAT1": (0, 900000)}
@@ -323,6 +323,11 @@ DEDUPED = f""", cm as (select *, {CORNER_M} as corner_m from sensed),
     count(*) over (partition by model_name, init_time, storm_no, satellite, pass_number, island) as n_minutes from il)"""
 
 
+# tables to go on with after another WITH clause
+PREDICTED = ", ".join(f"{n} as materialized ({oracle_view(n)})" for n in ("storm_points", "nadir")) + SENSED + DEDUPED + """,
+  predicted as materialized (select * from best where r=1)"""
+
+
 @query(
     "dedupe_sensing",
     SP + SENSED + DEDUPED + " select model_name, init_time, storm_no, satellite, pass_number, interp_id, n_minutes, round(corner_m/1000,2) as corner_km from best where r=1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galespark.operators import link, track
+from galespark.plans import separation
 from galespark.plans.base import basin_case, hav, registry
 from galespark.session import cut
 from galespark.sources.adapters import view, with_views
@@ -57,7 +58,7 @@ def kept_graph(spark, sf_dir, points="track_points"):
 
 def labelled(spark, sf_dir, points="track_points"):
     kept, same, links = kept_graph(spark, sf_dir, points)
-    return track.track_components(kept, same, links), same, links
+    return track.track_components(kept, same, links, closed=True), same, links
 
 
 @query("track_nodes", BASE + " select node_id, model_name, init_time, time_step, lat, lon, mslp, vmax from nodes")
@@ -118,14 +119,14 @@ def track_min_pressure(spark, sf_dir):
     return track.min_pressure(comp).select("model_name", "init_time", "component_id", "time_step", "node_id", "mslp")
 
 
-@query(
-    "track_summary",
-    FULL + MIN_SQL + f""" select model_name, init_time, component_id, start_time_step, init_time + interval '1' hour * start_time_step as start_valid_time,
-      {basin_case('start_lat', 'start_lon')} as start_basin, start_lat, start_lon, last_time_step, last_lat, last_lon, ws_max_10m, min_mslp, n_points from
-      (select model_name, init_time, component_id, min(time_step) as start_time_step, min_by(lat, time_step) as start_lat, min_by(lon, time_step) as start_lon,
-        max(time_step) as last_time_step, max_by(lat, time_step) as last_lat, max_by(lon, time_step) as last_lon, max(vmax) as ws_max_10m,
-        min(mslp) as min_mslp, count(*) as n_points from low group by 1,2,3) t""",
-)
+HEADERS = f""" select model_name, init_time, component_id, start_time_step, init_time + interval '1' hour * start_time_step as start_valid_time,
+  {basin_case('start_lat', 'start_lon')} as start_basin, start_lat, start_lon, last_time_step, last_lat, last_lon, ws_max_10m, min_mslp, n_points from
+  (select model_name, init_time, component_id, min(time_step) as start_time_step, min_by(lat, time_step) as start_lat, min_by(lon, time_step) as start_lon,
+    max(time_step) as last_time_step, max_by(lat, time_step) as last_lat, max_by(lon, time_step) as last_lon, max(vmax) as ws_max_10m,
+    min(mslp) as min_mslp, count(*) as n_points from low group by 1,2,3) t"""
+
+
+@query("track_summary", FULL + MIN_SQL + HEADERS)
 def track_summary(spark, sf_dir):
     comp, _, _ = labelled(spark, sf_dir)
     return track.summary(track.min_pressure(comp))
@@ -179,14 +180,23 @@ def disjoint_segments(spark, sf_dir):
     return seg.select("model_name", "init_time", "component_id", "first_step", "last_step", "n_steps")
 
 
-@query("reduce_same_step")
+# both directions of the links of one step, as the separation keeps them
+START = """, n0 as materialized (select * from {nodes}), s0 as materialized (select src, dst from same where {kept} union select dst, src from same where {kept}),
+  l0 as materialized (select src, dst from links where {kept})"""
+KEPT = "src in (select node_id from kept) and dst in (select node_id from kept)"
+
+
+@query(
+    "reduce_same_step",
+    PAIRS + SAME + NEXT + PERSIST + START.format(nodes="kept", kept=KEPT) + separation.reduction("0", "z")
+    + " select node_id, model_name, init_time, time_step, mslp from nz",
+)
 def reduce_same_step(spark, sf_dir):
     kept, same, links = kept_graph(spark, sf_dir, "pair_points")
     nodes, _, _ = track.reduce_same_step(kept, same, links)
     return nodes.select("node_id", "model_name", "init_time", "time_step", "mslp")
 
 
-KEPT = "src in (select node_id from kept) and dst in (select node_id from kept)"
 SAME_TRACK = "s.model_name=c.model_name and s.init_time=c.init_time and s.component_id=c.component_id"
 
 
@@ -224,7 +234,21 @@ def predecessor_fit(spark, sf_dir):
     return track.predecessor_cuts(nodes, same, links)
 
 
-@query("simplify_tracks")
+ROUNDS = 6  # in the SQL, which has no loop; it raises an error where they are not enough
+AGAIN = """, fe as materialized (select src, dst from l union select dst, src from l union select src, dst from s union select dst, src from s),
+  freach as (select node_id as id, node_id as root from n union select fe.dst, r.root from freach r join fe on fe.src=r.id),
+  flab as (select id, min(root) as label from freach group by 1),
+  fstart as (select model_name, init_time, label, min(time_step) as start from n join flab on id=node_id group by 1,2,3),
+  fnum as (select *, row_number() over (partition by model_name, init_time order by start, label)-1 as component_id from fstart),
+  fcomp as materialized (select k.* exclude (component_id), fnum.component_id from n k join flab on flab.id=k.node_id
+    join fnum using (model_name, init_time, label))"""
+
+
+@query(
+    "simplify_tracks",
+    PAIRS_FULL + START.format(nodes="comp", kept=KEPT) + separation.simplified(ROUNDS, track.MIN_SEGMENT) + AGAIN
+    + MIN_SQL.replace("from comp)", "from fcomp)") + HEADERS,
+)
 def simplify_tracks(spark, sf_dir):
     """Headers of the tracks left after reduction, splitting and fitting."""
     comp, same, links = labelled(spark, sf_dir, "pair_points")

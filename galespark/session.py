@@ -73,10 +73,35 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system that a path lies in, and the path as it names it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data, in whatever store it lies."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _store(spark, path)
+    fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _store(spark, path)
+    return fs.exists(at)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, whose presence marks something as done."""
+    fs, at = _store(spark, path)
+    fs.create(at, True).close()
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, sorted; none where there is no such folder."""
+    fs, at = _store(spark, path)
+    if not fs.exists(at):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory())
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date, datetime, timedelta
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galespark.session import remove
+from galespark.session import exists, folders, remove, touch
+
+RUN_FORMAT = "yyyy-MM-dd'T'HHmm"
 
 
 def overwrite_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -13,14 +18,61 @@ def overwrite_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def log_passes(runs: DataFrame, passes: DataFrame, path: str) -> None:
+    """Replace the passes logged for some runs, one partition per run.
+
+    A run that no pass sees gets one row without a pass, which clears what was
+    logged for it and tells a run without passes from one not predicted yet."""
+    keys = ["model_name", "init_time"]
+    rows = runs.select(*keys).distinct().join(passes, keys, "left")
+    overwrite_partitions(rows.withColumn("run", run_name("init_time")), path, ["model_name", "run"])
+
+
+def partitions(spark: SparkSession, path: str, column: str) -> list[tuple[str, str]]:
+    """(value, folder) of a table's partitions by ``column``, on whatever level
+    it stands, from the listing of folders alone."""
+    out = []
+    for name in folders(spark, path):
+        key, _, value = name.partition("=")
+        if key == column:
+            out.append((unquote(value), f"{path}/{name}"))
+        elif value:
+            out += partitions(spark, f"{path}/{name}", column)
+    return sorted(out)
+
+
 def drop_partitions(spark: SparkSession, path: str, column: str, before: str) -> list[str]:
     """Delete the partitions of a table whose ``column`` lies before a value;
-    returns them. Only names of partitions are read, one row each."""
-    values = [r[0] for r in spark.read.parquet(path).select(F.col(column).cast("string")).distinct().collect() if r[0] is not None]
-    old = sorted(v for v in values if v < before)
-    for v in old:
-        remove(spark, f"{path}/{column}={v}")
-    return old
+    returns the values. No row is read."""
+    old = [(value, folder) for value, folder in partitions(spark, path, column) if value < before]
+    for _, folder in old:
+        remove(spark, folder)
+    return sorted({value for value, _ in old})
+
+
+def run_name(time: str) -> Column:
+    """Name of a run's partition; names sort as times do."""
+    return F.date_format(time, RUN_FORMAT)
+
+
+def retain(spark: SparkSession, tables: dict[str, str], leading: str, ledger: str, today: date, days: int = 10, column: str = "run") -> dict[str, list[str]] | None:
+    """Once a day, drop every table's runs that start more than some days
+    before the newest run of the leading table.
+
+    Tables are folders partitioned by run; names alone decide, no row is read.
+    The ledger keeps a mark per day. None is returned where the day has its
+    mark, else the runs that went, by table."""
+    mark = f"{ledger}/{today.isoformat()}.done"
+    if exists(spark, mark):
+        return None
+    names = [value for value, _ in partitions(spark, tables[leading], column)]
+    gone: dict[str, list[str]] = {}
+    if names:
+        cutoff = datetime.strptime(max(names), "%Y-%m-%dT%H%M") - timedelta(days=days)
+        for name, path in tables.items():
+            gone[name] = drop_partitions(spark, path, column, cutoff.strftime("%Y-%m-%dT%H%M"))
+    touch(spark, mark)
+    return gone
 
 
 def append(df: DataFrame, path: str, keys: list[str] = []) -> None:

@@ -28,6 +28,16 @@ VIEWS = {
           -150.0e0+(user_id%2)*80+((event_id*3)%5)/10.0e0+case when event_id%7=0 then 3 else (event_id%2)*6 end as lon,
           round(1010-value/10,3) as mslp, round(15+value/10,3) as vmax
         from {events}""",
+    "file_arrivals": """
+        select event_id, concat('M', cast(cast(floor(user_id/30) as bigint) as string)) as model_name, date_trunc('day', ts) as init_time,
+          6*cast(extract(hour from ts) as int) as time_step, cast(user_id%30 as string) as member, concat('f', cast(event_id as string)) as path,
+          event_id%61=0 as is_marker, cast(case when event_id%97=0 then 3 when extract(day from ts)+(event_id%5)*2<=12 then 1
+            when extract(day from ts)+(event_id%5)*2<=22 then 2 else 3 end as int) as part
+        from {events}""",
+    "schedule": """
+        select distinct model_name, init_time, cast(45+8*(n%4) as int) as expected_files, cast(22+n%3 as int) as expected_members
+        from (select concat('M', cast(cast(floor(user_id/30) as bigint) as string)) as model_name, date_trunc('day', ts) as init_time,
+          cast(floor(user_id/30) as int) as n from {events}) p where n%5<>4""",
     "storm_points": """
         select model_name, init_time, storm_no, time_step, init_time + interval '1' hour * time_step as valid_time, event_id, lat, lon, vmax, rmw, roci
         from (select *, row_number() over (partition by model_name, init_time, storm_no, time_step order by event_id) as r

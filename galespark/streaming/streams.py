@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galespark.operators.catalog import upsert_latest
-from galespark.session import remove
+from galespark.session import exists, remove, touch
 from galespark.sinks.writers import overwrite_partitions
 
 RUN_STATE = T.StructType().add("model_name", T.StringType()).add("init_time", T.TimestampType())
@@ -37,10 +39,22 @@ def cycle_counts(points: DataFrame, hours: int = 6, column: str = "ts") -> DataF
 
 
 def sensing_sessions(points: DataFrame, keys: list[str], column: str = "ts", gap: str = "61 seconds") -> DataFrame:
-    """Stretches of sensing without a break longer than a minute."""
-    return points.groupBy(*keys, F.session_window(column, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(
-        *keys, F.col("w.start").alias("first"), F.col("w.end").alias("closed"), "n"
-    )
+    """Stretches of sensing without a break longer than a minute, as windows
+    ``w``. In append mode a stretch is given once, when the watermark has passed
+    its end, and leaves the state."""
+    return points.groupBy(*keys, F.session_window(column, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def storms_in_sessions(sessions: DataFrame, storms: DataFrame, keys: list[str], time: str, margin: str = "30 minutes") -> DataFrame:
+    """Storm points next to a stretch of sensing, by an interval join of two
+    streams. Both carry a watermark, so that each side's state goes once the
+    other can no longer reach it; stretches come in when they are closed."""
+    own = [F.col(f"s.{k}") == F.col(f"p.{k}") for k in keys]
+    gap = F.expr(f"interval {margin}")
+    near = (F.col(f"p.{time}") >= F.col("s.w.start") - gap) & (F.col(f"p.{time}") <= F.col("s.w.end") + gap)
+    hits = sessions.alias("s").join(storms.alias("p"), reduce(and_, own, near))
+    rest = [F.col(f"p.{c}") for c in storms.columns if c not in keys]
+    return hits.select(*(F.col(f"s.{k}") for k in keys), F.col("s.w.start").alias("first"), F.col("s.w.end").alias("closed"), "s.n", *rest)
 
 
 def first_seen(points: DataFrame, keys: list[str], column: str, delay: str) -> DataFrame:
@@ -80,12 +94,9 @@ def merge_latest(path: str, keys: list[str], version: str, partition: str) -> Ca
     def sink(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
         touched = df.select(partition).distinct()
-        try:
-            # partition values are read back as text
+        if exists(spark, path):
             stored = spark.read.schema(df.schema).parquet(path).join(touched, partition, "left_semi")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        else:
             stored = df.limit(0)
         side = f"{path}_side/batch={n}"
         upsert_latest(stored, df, keys, version).write.mode("overwrite").parquet(side)
@@ -95,26 +106,32 @@ def merge_latest(path: str, keys: list[str], version: str, partition: str) -> Ca
     return sink
 
 
-def when_complete(expected: int, follow_up: Callable[[DataFrame], None], log: str) -> Callable[[DataFrame, int], None]:
-    """Hand each run to a follow-up job once, when it is complete.
+def hand_over(job: Callable[[DataFrame], None], log: str, wanted: str = "status = 'complete'") -> Callable[[DataFrame, int], None]:
+    """Give runs to a follow-up job, each in one batch only, whatever is repeated.
 
-    ``log`` keeps the runs handed over, a folder per batch: later updates of a
-    run find it there, and a repeated batch writes over its own folder."""
+    A batch first writes down which runs it hands over (those that no earlier
+    batch has), then does the job, then marks itself as done. A batch repeated
+    after a crash finds its own list and gives the job the very same runs, or
+    finds its mark and does nothing. The job must replace what it wrote for a
+    run before, as :func:`galespark.sinks.writers.log_passes` does."""
+    keys = RUN_STATE.fieldNames()
 
     def sink(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        done = df.filter(F.col("n_steps") == expected)
-        try:
-            known = spark.read.schema(T.StructType([*RUN_STATE.fields, T.StructField("batch", T.LongType())])).parquet(log)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], RUN_STATE).withColumn("batch", F.lit(-1))
-        fresh = done.join(known.filter(F.col("batch") != n), RUN_STATE.fieldNames(), "left_anti").persist()
-        if not fresh.isEmpty():
-            follow_up(fresh)
-            fresh.select(*RUN_STATE.fieldNames()).write.mode("overwrite").parquet(f"{log}/batch={n}")
-        fresh.unpersist()
+        listed, done = f"{log}/runs/batch={n}", f"{log}/marks"
+        if exists(spark, f"{done}/{n}.done"):
+            return
+        if not exists(spark, f"{done}/{n}.listed"):
+            runs = df.filter(wanted).select(*keys).distinct()
+            if exists(spark, f"{log}/runs"):
+                known = spark.read.schema(T.StructType([*RUN_STATE.fields, T.StructField("batch", T.LongType())])).parquet(f"{log}/runs")
+                runs = runs.join(known.filter(F.col("batch") != n), keys, "left_anti")
+            runs.write.mode("overwrite").parquet(listed)
+            touch(spark, f"{done}/{n}.listed")
+        runs = spark.read.schema(RUN_STATE).parquet(listed)
+        if not runs.isEmpty():
+            job(runs)
+        touch(spark, f"{done}/{n}.done")
 
     return sink
 
@@ -122,11 +139,9 @@ def when_complete(expected: int, follow_up: Callable[[DataFrame], None], log: st
 def changed_only(listing: DataFrame, seen_path: str, sink: Callable[[DataFrame], None]) -> bool:
     """Run the sink on files that are new or newer than at the last call."""
     spark = listing.sparkSession
-    try:
+    if exists(spark, seen_path):
         seen = spark.read.schema("path string, seen timestamp").parquet(seen_path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    else:
         seen = spark.createDataFrame([], "path string, seen timestamp")
     last = seen.groupBy("path").agg(F.max("seen").alias("seen"))
     fresh = listing.join(last, "path", "left").filter(F.col("seen").isNull() | (F.col("modificationTime") > F.col("seen")))

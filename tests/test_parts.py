@@ -385,16 +385,6 @@ def test_components_of_runs_on_an_adverse_path(spark):
     assert {r.label for r in out.select("label").distinct().collect()} == {"00000"} and out.count() == n
 
 
-def test_a_completed_run_is_handed_over_once(spark, tmp_path):
-    runs, handed = "model_name string, init_time timestamp, n_steps int", []
-    t = datetime(2024, 1, 1)
-    sink = streams.when_complete(2, lambda d: handed.append(sorted(r.model_name for r in d.collect())), f"{tmp_path}/log")
-    for n, rows in enumerate([[("A", t, 1), ("B", t, 2)], [("A", t, 2), ("B", t, 2)], [("A", t, 2)]]):
-        sink(spark.createDataFrame(rows, runs), n)
-    sink(spark.createDataFrame([("A", t, 2), ("B", t, 2)], runs), 1)  # a repeated batch repeats its own
-    assert handed == [["B"], ["A"], ["A"]]
-
-
 def test_parsed_tables_come_back_as_saved(spark, tmp_path):
     from galespark.session import remove
     from galespark.sinks import writers

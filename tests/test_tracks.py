@@ -1,13 +1,13 @@
 """Drawn cases and brute force for links and track separation."""
 
+import math
 import random
-from collections import defaultdict
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from galespark.operators import link, track
+from galespark.operators import components, link, separate, track
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "event_id long, model_name string, init_time timestamp, time_step int, lat double, lon double, mslp double, vmax double"
@@ -79,6 +79,48 @@ def test_components_do_not_depend_on_row_order(spark):
         assert {r.id: r.label for r in track.components(v, e).collect()} == want
 
 
+@pytest.mark.parametrize("one_task", [0, 40, 1 << 20])
+def test_contraction_equals_one_task(spark, one_task):
+    """Long rising chains, a star, loops and single vertices, with links repeated."""
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(300)] + [(500, 501 + i) for i in range(60)] + [(700, 700)]
+    edges += [(rng.randrange(800, 900), rng.randrange(800, 900)) for _ in range(70)]
+    edges += [(b, a) for a, b in edges[::3]]
+    rng.shuffle(edges)
+    label = list(range(900))
+    for _ in range(900):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    e = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    got = {r.id: r.label for r in components.components(spark.range(900), e, one_task).collect()}
+    assert got == dict(enumerate(label))
+    folded = components.forest(e.coalesce(1)).collect()
+    assert len(folded) == sum(i != x for i, x in enumerate(label))  # a forest: vertices less components
+    text = e.select(*(F.lpad(F.col(c).cast("string"), 4, "0").alias(c) for c in ("src", "dst")))
+    named = components.components(spark.range(900).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("id")), text, one_task)
+    assert {int(r.id): int(r.label) for r in named.collect()} == got
+
+
+@pytest.mark.parametrize("one_task", [50, 1 << 20])
+def test_a_run_with_a_third_of_all_rows(spark, one_task):
+    """Many small runs and one large one, by run and by contraction."""
+    nodes = spark.range(900).selectExpr(
+        "id as node_id", "if(id < 300, 'big', concat('m', cast(id % 60 as string))) as model_name", "timestamp'2024-01-01' as init_time", "cast(id as int) as time_step"
+    )
+    links = nodes.alias("a").join(nodes.alias("b"), F.expr("a.model_name = b.model_name and (b.node_id - a.node_id = 3 or b.node_id - a.node_id = 120)"))
+    links = links.selectExpr("a.model_name", "a.init_time", "a.node_id as src", "b.node_id as dst")
+    outside = links.limit(3).selectExpr("model_name", "init_time", "src", "cast(5000 as bigint) as dst")  # leads nowhere
+    want = {}
+    for r in nodes.collect():
+        if r.model_name == "big":
+            want[r.node_id] = r.node_id % 3
+        else:
+            want[r.node_id] = min(i for i in range(300, 900) if i % 60 == r.node_id % 60 and (i - r.node_id) % 120 == 0)
+    for closed, e in ((True, links), (False, links.unionByName(outside))):
+        got = {r.id: r.label for r in track.components_of_runs(nodes, e.repartition(4), closed, one_task).collect()}
+        assert got == want
+
+
 # ---------------------------------------------------------------- brute force
 
 
@@ -136,11 +178,128 @@ def test_reduction_equals_step_by_step_order(spark, seed):
     s_set = {(r.src, r.dst) for r in same.collect()}
     l_set = {(r.src, r.dst) for r in links.collect()}
     want = brute_reduce({i: r[0] for i, r in enumerate(rows)}, {i: r[3] for i, r in enumerate(rows)}, s_set, l_set)
-    left, _, _ = track.reduce_same_step(n, same, links)
-    assert ids(left) == want
+    for one_task in [1 << 20, 0][: 2 if seed == 2 else 1]:
+        left, s_left, l_left = track.reduce_same_step(n, same, links, one_task)
+        assert ids(left) == want
+        assert {(r.src, r.dst) for r in s_left.collect()} == {(a, b) for a, b in s_set if a in want and b in want}
+        assert {(r.src, r.dst) for r in l_left.collect()} == {(a, b) for a, b in l_set if a in want and b in want}
     assert len(want) < len(rows)
 
 
+def random_storms(seed, steps=16):
+    """Two or three storms that come near each other and part again."""
+    rng = random.Random(seed)
+    rows, seen = [], set()
+    lons = [0.0, 6.5, 13.0][: rng.choice([2, 3])]
+    for s in range(steps):
+        for i, lon in enumerate(lons):
+            pull = rng.choice([0, 0, 0, 2.5]) * (1 if i == 0 else -1)
+            for _ in range(rng.choice([1, 1, 2])):
+                p = (6 * s, round(10 + rng.random(), 1), round(lon + pull + rng.random(), 1))
+                if p not in seen and rng.random() < 0.95:
+                    seen.add(p)
+                    rows.append((*p, 980 + rng.randrange(40)))
+    return rows
+
+
+def brute_simplify(step, mslp, place, component, same, links, length):
+    """The whole separation straight from its rules, on sets."""
+    alive, same, links = set(step), {*same, *((b, a) for a, b in same)}, set(links)
+
+    def clusters(s, members):
+        return pieces([n for n in members if n in alive and step[n] == s], same)
+
+    def stretches():
+        for c in set(component.values()):
+            mine = [n for n in alive if component[n] == c]
+            order = sorted({step[n] for n in mine})
+            flags = [len(clusters(s, mine)) > 1 for s in order] + [False]
+            i = 0
+            while i < len(order):
+                j = i
+                while flags[j]:
+                    j += 1
+                if j - i >= length:
+                    yield mine, order[j - 1], j < len(order)
+                i = max(j, i + 1)
+
+    while True:
+        before = (len(alive), len(same), len(links))
+        live = brute_reduce({n: step[n] for n in alive}, mslp, same, links)
+        alive &= live
+        same = {(a, b) for a, b in same if a in alive and b in alive}
+        links = {(a, b) for a, b in links if a in alive and b in alive}
+        while True:
+            follow = []
+            for mine, last, more in stretches():
+                if more:
+                    follow += [{b for a, b in links if a in g} for g in clusters(last, mine)]
+            cut = set()
+            for x in alive:
+                own = [f for f in follow if x in f]
+                if len(own) == 1:
+                    cut |= {(a, b) for a, b in same if a == x and b not in own[0]}
+            if cut:
+                same -= cut
+                continue
+            drop = set()
+            if any(True for _ in stretches()):
+                for x in alive:
+                    groups = pieces({a for a, b in links if b == x}, same)
+                    for g in groups:
+                        rest = set().union(*groups) - g
+                        closer = lambda n: all(
+                            abs(mslp[n] - mslp[x]) < abs(mslp[o] - mslp[x]) and far(place[n], place[x]) < far(place[o], place[x]) for o in rest
+                        )
+                        if rest and any(closer(n) for n in g):
+                            drop |= {(o, x) for o in rest}
+            if not drop:
+                break
+            links -= drop
+        if (len(alive), len(same), len(links)) == before:
+            return alive, same, links
+
+
+def far(a, b):
+    (la, lo), (lb, lob) = ([math.radians(c) for c in p] for p in (a, b))
+    h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lob - lo) / 2) ** 2
+    return math.asin(math.sqrt(h))
+
+
+def test_separation_equals_its_rules(spark):
+    cuts = 0
+    for seed in range(60):
+        rows = random_storms(seed)
+        step = {i: r[0] for i, r in enumerate(rows)}
+        lat, lon = [r[1] for r in rows], [r[2] for r in rows]
+        near = lambda i, j, r: abs(lat[i] - lat[j]) <= r and abs(lon[i] - lon[j]) <= r  # noqa: E731, B023
+        same = {(i, j) for i in step for j in step if i < j and step[i] == step[j] and near(i, j, 5)}
+        links = {(i, j) for i in step for j in step if step[j] == step[i] + 6 and near(i, j, 3)}
+        component = {}
+        for k, group in enumerate(pieces(step, same | links)):
+            component |= dict.fromkeys(group, k)
+        mslp, place = [r[3] for r in rows], [(r[1], r[2]) for r in rows]
+        run = separate.Run([step[i] for i in range(len(rows))], mslp, [*same, *((b, a) for a, b in same)], links, place, [component[i] for i in range(len(rows))])
+        run.simplify(3)
+        alive, s_left, l_left = brute_simplify(step, mslp, place, component, same, links, 3)
+        assert {i for i, a in enumerate(run.alive) if a} == alive
+        assert {(a, b) for a, near_ in enumerate(run.out) for b in near_} == s_left
+        assert {(a, b) for a, near_ in enumerate(run.after) for b in near_} == l_left
+        cuts += len(l_left) < len([e for e in links if e[0] in alive and e[1] in alive])
+    assert cuts >= 3  # the cases are not idle
+
+
+@pytest.mark.parametrize("seed", [4])
+def test_separation_by_run_equals_the_wide_form(spark, seed):
+    rows = random_storms(seed, 7)
+    comp, same, links = labelled(spark, rows)
+    by = []
+    for one_task in (0, 1 << 20):
+        nodes, s, l_ = track.simplify(comp, same, links, 3, one_task)
+        by.append((ids(nodes), {(r.src, r.dst) for r in s.collect()}, {(r.src, r.dst) for r in l_.collect()}))
+    assert by[0] == by[1]
+
+
 def two_storms(merge_at=6, steps=9):
     """Two tracks 6 degrees apart that one point between them ties together."""
     rows = []
