@@ -60,12 +60,12 @@ class Model:
         """Language, cosine, and the cosine that the text should have."""
         names, score, least = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         rows = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
-        for at in range(0, len(rows), 128):
-            part = rows[at : at + 128]
-            counts = np.stack([count(texts[i]) for i in part])
-            near = vectors.tf_idf(counts, self.idf) @ self.centroids.T
+        for at in range(0, len(rows), vectors.BLOCK):
+            part = rows[at : at + vectors.BLOCK]
+            counts = vectors.block([count(texts[i]) for i in part])
+            near = (vectors.tf_idf(counts, self.idf) @ self.centroids.T)[: len(part)]
             best = near.argmax(axis=1)
-            least[part] = self.least[self.owner[best]] * np.minimum(1, (counts > 0).sum(axis=1) / ENOUGH)
+            least[part] = self.least[self.owner[best]] * np.minimum(1, (counts[: len(part)] > 0).sum(axis=1) / ENOUGH)
             score[part] = np.clip(near[np.arange(len(part)), best], 0, 1)
             for i, b in zip(part, best):
                 names[i] = self.languages[self.owner[b]]
@@ -106,7 +106,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS)
     x = vectors.tf_idf(counts, idf)
     own = [clusters(x[label == name], k) for name in languages]
     least = SLACK * np.array([reached(x[label == name], k) for name in languages])
-    return Model(languages, idf, np.vstack(own).astype(np.float32), np.repeat(np.arange(len(own)), [len(c) for c in own]), least)
+    return Model(languages, idf, np.vstack(own).astype(float), np.repeat(np.arange(len(own)), [len(c) for c in own]), least)
 
 
 def identify(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:

@@ -84,21 +84,26 @@ class Model:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         score = np.empty(len(texts))
         mean = float(self.labels.mean()) if len(self.labels) else 0.5
-        for at in range(0, len(texts), 128):
-            part = texts[at : at + 128]
+        for at in range(0, len(texts), vectors.BLOCK):
+            part = texts[at : at + vectors.BLOCK]
             if not len(self.points):
-                score[at : at + 128] = mean
+                score[at : at + len(part)] = mean
                 continue
-            near = self.latent(np.stack([count(t) for t in part])) @ self.points.T
-            k = min(self.k, near.shape[1])
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.clip(np.take_along_axis(near, top, axis=1), 0, None).astype(np.float64)
+            near = self.latent(vectors.block([count(t) for t in part])) @ self.points.T
+            weight = np.where(nearest(near, min(self.k, near.shape[1])), np.clip(near, 0, None), 0)
             total = weight.sum(axis=1)
-            vote = (weight * self.labels[top]).sum(axis=1)
-            score[at : at + 128] = np.where(total > 0, vote / np.where(total > 0, total, 1), mean)
+            vote = weight @ self.labels
+            score[at : at + len(part)] = np.where(total > 0, vote / np.where(total > 0, total, 1), mean)[: len(part)]
         return np.clip(score, 0, 1)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Marks of the k largest of each row; of equal ones the first."""
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+    more, equal = near > least, near == least
+    return more | equal & (np.cumsum(equal, axis=1) <= k - more.sum(axis=1, keepdims=True))
+
+
 def latent_axes(x: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
     """Leading right singular vectors by subspace iteration."""
     rank = min(rank, *x.shape)
@@ -119,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = LABELLED, rank: int =
     idf = vectors.idf_of(counts)
     x = weighted(counts, idf).astype(np.float32)
     axes = latent_axes(x, rank)
-    return Model(idf, axes, vectors.unit_rows(x @ axes).astype(np.float32), label.astype(float), k)
+    return Model(idf, axes.astype(float), vectors.unit_rows(x.astype(float) @ axes), label.astype(float), k)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -72,6 +72,74 @@ def test_quality_odd_rows(spark):
     assert quality.score(table.limit(0), model).collect() == []
 
 
+def batches(model, texts, size):
+    """Scores of ``texts`` by a language or quality model, so many at a time."""
+    got = [model(texts[i : i + size]) for i in range(0, len(texts), size)]
+    return [x for g in got for x in (zip(g[0], g[1].tolist(), g[2].tolist()) if isinstance(g, tuple) else g.tolist())]
+
+
+def some_texts(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    texts = [t[:3000] for t in texts if t]
+    return [*texts, *ODD, *texts[::-1]]
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = table.selectExpr("doc_id", "cast(doc_id % 3 > 0 as int) as quality")
+    return {"language": langid.learn(table), "quality": quality.learn(table, labels, size=150)}
+
+
+@pytest.mark.parametrize("kind", ["language", "quality"])
+def test_equal_texts_have_equal_scores_in_any_batch(spark, models, kind):
+    texts = some_texts(spark)
+    want = batches(models[kind], texts, 128)
+    assert all(batches(models[kind], texts, size) == want for size in (1, 7, len(texts)))
+    of = {}
+    assert all(of.setdefault(t, x) == x for t, x in zip(texts, want))
+
+
+def unit(row):
+    size = math.sqrt(math.fsum(x * x for x in row))
+    return [x / size for x in row] if size else list(row)
+
+
+def dot(a, b):
+    return math.fsum(x * y for x, y in zip(a, b))
+
+
+def test_language_by_plain_loops(spark, models):
+    model = models["language"]
+    texts = [t for t in some_texts(spark)[::9] if langid.has_letter(t)]
+    for text, name, score, least in zip(texts, *model(texts)):
+        counts = langid.count(text).tolist()
+        x = unit([math.log1p(c) * w for c, w in zip(counts, model.idf.tolist())])
+        near = [dot(x, c) for c in model.centroids.tolist()]
+        best = max(range(len(near)), key=near.__getitem__)
+        enough = min(1, sum(c > 0 for c in counts) / langid.ENOUGH)
+        assert name == model.languages[model.owner[best]] and score == pytest.approx(near[best], abs=1e-6)
+        assert least == pytest.approx(model.least[model.owner[best]] * enough, abs=1e-9)
+
+
+def test_vote_by_plain_loops(spark, models):
+    model = models["quality"]
+    points, labels = model.points.tolist(), model.labels.tolist()
+    texts = some_texts(spark)[::7]
+    for text, score in zip(texts, model(texts)):
+        x = unit((quality.weighted(quality.count(text)[None], model.idf)[0] @ model.axes).tolist())
+        near = sorted(((-dot(x, p), i) for i, p in enumerate(points)))[: model.k]
+        weight = [(max(0, -s), labels[i]) for s, i in near]
+        total = sum(w for w, _ in weight)
+        want = sum(w * v for w, v in weight) / total if total else sum(labels) / len(labels)
+        assert score == pytest.approx(want, abs=1e-6)
+
+
+def test_nearest_takes_the_first_of_ties():
+    got = quality.nearest(np.array([[0.5, 0.7, 0.5, 0.5, 0.1], [0.0, 0.0, 0.0, 0.0, 0.0]]), 3)
+    assert got.tolist() == [[True, True, True, False, False], [True, True, True, False, False]]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for n, top in ((0, 1), (1, 1), (1, 2**63), (5, 3), (4000, 10**6), (3000, 2**62), (2000, 50)):
