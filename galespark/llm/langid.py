@@ -63,7 +63,7 @@ class Model:
         for at in range(0, len(rows), vectors.BLOCK):
             part = rows[at : at + vectors.BLOCK]
             counts = vectors.block([count(texts[i]) for i in part])
-            near = (vectors.tf_idf(counts, self.idf) @ self.centroids.T)[: len(part)]
+            near = vectors.product(vectors.tf_idf(counts, self.idf), self.centroids)[: len(part)]
             best = near.argmax(axis=1)
             least[part] = self.least[self.owner[best]] * np.minimum(1, (counts[: len(part)] > 0).sum(axis=1) / ENOUGH)
             score[part] = np.clip(near[np.arange(len(part)), best], 0, 1)

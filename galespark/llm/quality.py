@@ -73,13 +73,13 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     idf: np.ndarray
-    axes: np.ndarray
+    axes: np.ndarray  # a row per latent dimension
     points: np.ndarray  # unit rows
     labels: np.ndarray
     k: int
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        return vectors.unit_rows(weighted(counts, self.idf) @ self.axes)
+        return vectors.unit_rows(vectors.product(weighted(counts, self.idf), self.axes))
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         score = np.empty(len(texts))
@@ -89,10 +89,10 @@ class Model:
             if not len(self.points):
                 score[at : at + len(part)] = mean
                 continue
-            near = self.latent(vectors.block([count(t) for t in part])) @ self.points.T
+            near = vectors.product(self.latent(vectors.block([count(t) for t in part])), self.points)
             weight = np.where(nearest(near, min(self.k, near.shape[1])), np.clip(near, 0, None), 0)
             total = weight.sum(axis=1)
-            vote = weight @ self.labels
+            vote = (weight * self.labels).sum(axis=1)
             score[at : at + len(part)] = np.where(total > 0, vote / np.where(total > 0, total, 1), mean)[: len(part)]
         return np.clip(score, 0, 1)
 
@@ -124,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = LABELLED, rank: int =
     idf = vectors.idf_of(counts)
     x = weighted(counts, idf).astype(np.float32)
     axes = latent_axes(x, rank)
-    return Model(idf, axes.astype(float), vectors.unit_rows(x.astype(float) @ axes), label.astype(float), k)
+    return Model(idf, np.ascontiguousarray(axes.T, float), vectors.unit_rows(x.astype(float) @ axes), label.astype(float), k)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -29,14 +29,20 @@ def ngram_counts(raw: bytes, bits: int = BITS) -> np.ndarray:
 
 
 def block(rows: list[np.ndarray]) -> np.ndarray:
-    """At most ``BLOCK`` rows in a matrix of exactly that many, in doubles. A
-    product of one fixed shape sums each row alike wherever it stands, so equal
-    texts get equal scores in any batch."""
+    """At most ``BLOCK`` rows in a matrix of exactly that many, in doubles."""
     out = np.zeros((BLOCK, len(rows[0])))
     out[: len(rows)] = rows
     return out
 
 
+def product(block: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Dot products of all rows with all points, each summed in one order.
+
+    A library's matrix product sums a row in another order at another place or
+    with another number of threads; here equal texts get equal scores in any batch."""
+    return np.einsum("ij,kj->ik", block, points)
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(size > 0, size, 1)

@@ -127,7 +127,7 @@ def test_vote_by_plain_loops(spark, models):
     points, labels = model.points.tolist(), model.labels.tolist()
     texts = some_texts(spark)[::7]
     for text, score in zip(texts, model(texts)):
-        x = unit((quality.weighted(quality.count(text)[None], model.idf)[0] @ model.axes).tolist())
+        x = unit((quality.weighted(quality.count(text)[None], model.idf)[0] @ model.axes.T).tolist())
         near = sorted(((-dot(x, p), i) for i, p in enumerate(points)))[: model.k]
         weight = [(max(0, -s), labels[i]) for s, i in near]
         total = sum(w for w, _ in weight)
