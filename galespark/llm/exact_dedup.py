@@ -11,7 +11,7 @@ is taken apart by the texts themselves.
 Defined results: a null text equals the empty one; a null identifier is smaller
 than any other; of repeated rows with one identifier the one with the larger
 locator stays; an empty table gives an empty result; further columns are ignored
-(``events``) or kept (``keep_one``).
+(``events``) or kept, whatever their names (``keep_one``).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galespark.llm.names import free, quoted
 from galespark.session import cut, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -155,13 +156,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # written, so that the join by digest stands alone and a hot digest can be split
     verdict = cut(dedup(docs).select("doc_id", "digest", "kept"))
     drop = cut(verdict.groupBy("doc_id", "digest").agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("n")).filter("not any or n > 1"))
-    key = F.col("doc_id").cast("bigint"), sha256(normalised(F.col("text")))
-    keyed = docs.withColumns({"__id": key[0], "__digest": key[1]})
-    gone = drop.filter("not any").select(F.col("doc_id").alias("__drop_id"), F.col("digest").alias("__drop_digest"))
-    twice = drop.filter("any").select(F.col("doc_id").alias("__drop_id"), F.col("digest").alias("__drop_digest"))
-    same = F.col("__id").eqNullSafe(F.col("__drop_id")) & (F.col("__digest") == F.col("__drop_digest"))
-    gone, twice = (F.broadcast(x) if n <= BROADCAST_ROWS else x for x, n in ((gone, gone.count()), (twice, twice.count())))
+    id_, digest_, gone_id, gone_digest = free(docs.columns, "id", "digest", "gone_id", "gone_digest")
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("bigint"), digest_: sha256(normalised(F.col("text")))})
+    listed = lambda rows: rows.select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest))
+    same = F.col(id_).eqNullSafe(F.col(gone_id)) & (F.col(digest_) == F.col(gone_digest))
+    gone, twice = (F.broadcast(x) if x.count() <= BROADCAST_ROWS else x for x in (listed(drop.filter("not any")), listed(drop.filter("any"))))
     left = keyed.join(gone, same, "left_anti")
     once = left.join(twice, same, "left_anti")
-    again = left.join(twice, same, "left_semi").dropDuplicates(["__id", "__digest"])
-    return once.unionByName(again).select(*docs.columns)
+    again = left.join(twice, same, "left_semi").dropDuplicates([id_, digest_])
+    return once.unionByName(again).select(*quoted(docs))

@@ -27,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
 from galespark.llm import vectors
+from galespark.llm.names import widened
 
 PER_LANGUAGE, CENTROIDS, ROUNDS = 300, 4, 12
 LIMIT = 0.95  # cosine distance from which a document of any length is in no known language
@@ -109,11 +111,15 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS)
     return Model(languages, idf, np.vstack(own).astype(float), np.repeat(np.arange(len(own)), [len(c) for c in own]), least)
 
 
-def identify(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_rejected``."""
+VERDICT = ("lang_pred", "lang_score", "lang_rejected")
+
+
+def identify(docs: DataFrame, model: Model, limit: float = LIMIT, names: tuple[str, str, str] = VERDICT) -> DataFrame:
+    """``docs`` with the language, its score and whether it is rejected, under
+    ``names``; columns that have these names before are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids per language
-    rest = docs.drop("lang_pred", "lang_score", "lang_rejected")
-    schema = rest.select("*").schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
+    rest = docs.drop(*names)
+    added = [StructField(n, k) for n, k in zip(names, (StringType(), DoubleType(), BooleanType()))]
     at = rest.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,4 +129,4 @@ def identify(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
             new = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[f"c{i}" for i in range(b.num_columns)] + ["p", "s", "r"])
 
-    return rest.mapInArrow(run, schema)
+    return widened(rest, run, added)

@@ -19,53 +19,106 @@ import functools
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galespark.llm.token_counts import SPACE, Memory
+from galespark.llm.token_counts import SPACE
 from galespark.session import cut
 
 LENGTH, SEPARATOR = 2048, 0
-REMEMBERED = 600_000  # chunks in each of two generations, some 250 MB in a Python worker
+REMEMBERED = 100_000_000  # bytes of remembered chunks in a Python worker, about
+ENTRY = 220  # of them for an entry beside its characters
+TEXT = 2_000_000  # characters encoded together
+TOGETHER = 4096  # chunks in one call of the library
+WORD_END = "</w>"  # mark of a word's last token
+# texts of plain characters: ASCII and European letters that stay one letter in lower case
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+PLAIN = re.compile(f"[ \\t\\n\\r!-~{LETTERS}]*")
+# fixed values: the contractions of the vocabulary's rule for words; then letters, single digits, runs of others
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[!-/:-@\\[-`{{-~]+")
 SLACK = 8  # a bin with no more room than this is nearly full
 CHUNK, FAN_IN = 50_000, 8
 
 
 class Encoder:
-    """Identifiers of a text by a vocabulary that drops white space: chunks
-    between white space are independent, so each is encoded once and remembered."""
+    """Identifiers of texts by a vocabulary that drops white space and case.
 
-    def __init__(self, path: str):
+    Texts of plain characters are cut, in lower case, into the words that the
+    vocabulary's own rule gives; others into chunks between white space, which
+    are independent too. A word or chunk is encoded once and remembered. What
+    is remembered is bounded by its size."""
+
+    def __init__(self, path: str, limit: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.chunk = re.compile(f"[^{SPACE}]+")
-        self.odd = re.compile(r"[\x1c-\x1f]")  # str.split() takes them for white space, the vocabulary does not
-        self.known = Memory(lambda chunk: self._encode([chunk])[0], REMEMBERED)
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Many chunks as one text, which spares the library's cost per call;
-        the tokens' offsets tell which chunk each came from."""
-        got = self.library.encode(" ".join(chunks), add_special_tokens=False)
-        raw = np.array(got.ids, "<u4").tobytes()
+        self.limit = limit
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith(WORD_END)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.size, self.ids, self.lengths = 0, [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+
+    def _encode(self, chunks: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Many chunks as one text, which spares the library's cost per call.
+        The last token of a word is marked as such; other chunks are told apart
+        by the tokens' offsets."""
+        text = " ".join(chunks)
+        if words:
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(chunks):
+                return ids, np.diff(last, prepend=-1)
+        got = self.library.encode(text, add_special_tokens=False)
         starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        ends = (4 * np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), starts)).tolist()
-        return [raw[a:b] for a, b in zip(ends, ends[1:])]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").split() if not self.odd.search(t or "") else self.chunk.findall(t) for t in texts]
-        known, old = self.known, self.known.old
-        new = [c for c in set().union(*chunks) if c not in known and c not in old]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, ids in zip(part, self._encode(part)):
-                known.put(c, ids)
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+        return np.array(got.ids, "<u4"), np.diff(np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), starts))
+
+    def _learn(self, chunks: list[str], words: bool) -> None:
+        for at in range(0, len(chunks), TOGETHER):
+            part = chunks[at : at + TOGETHER]
+            ids, lengths = self._encode(part, words)
+            self.ids.append(ids)
+            self.lengths.append(lengths)
+            self.rows.update(zip(part, range(len(self.rows), len(self.rows) + len(part))))
+            self.size += sum(map(len, part)) + ENTRY * len(part) + ids.nbytes
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' identifiers in one array, and how many each text has."""
+        if self.size > self.limit:
+            self.forget()
+        lists, plain = [], []
+        for t in texts:
+            plain.append(t is None or (PLAIN.fullmatch(t) is not None and not any(s in t or s in t.lower() for s in self.special)))
+            lists.append(() if t is None else WORDS.findall(t.lower()) if plain[-1] else self.chunk.findall(t))
+        sizes = np.array([len(x) for x in lists], np.int64)
+        chunks = list(chain.from_iterable(lists))
+        row = np.fromiter(map(self.rows.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            word = np.repeat(plain, sizes)[new]
+            for words in (True, False):
+                some = dict.fromkeys(chunks[i] for i in new[word == words].tolist())
+                self._learn([c for c in some if words or c not in self.rows], words)
+            row[new] = np.fromiter((self.rows[chunks[i]] for i in new.tolist()), np.int64, len(new))
+        self.ids, self.lengths = [np.concatenate(self.ids)], [np.concatenate(self.lengths)]
+        lengths = self.lengths[0]
+        start = np.cumsum(lengths) - lengths
+        taken = lengths[row]
+        ends = np.append(0, np.cumsum(taken))
+        ids = self.ids[0][np.repeat(start[row] - ends[:-1], taken) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.append(0, np.cumsum(sizes))])
 
 
 @functools.lru_cache(maxsize=2)
@@ -73,27 +126,38 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Consecutive texts of some ``TEXT`` characters together."""
+    first, size = 0, 0
+    for i, n in enumerate(lengths):
+        if i > first and size + n > TEXT:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if len(lengths) > first:
+        yield first, len(lengths)
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, on demand, the identifiers (little-endian 32 bit)."""
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + ids]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([SEPARATOR], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
+            for a, b in slices(pc.fill_null(pc.utf8_length(whole.column(1)), 0).to_pylist()):
+                here = whole.slice(a, b - a)
+                found, sizes = encode(here.column(1).to_pylist())
                 rows = []
-                b = whole.slice(at, 512)
-                for doc_id, raw in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                    raw += end
+                for doc_id, text in zip(here.column(0).to_pylist(), np.split(found, np.cumsum(sizes)[:-1])):
+                    raw = text.tobytes() + end
                     for i in range(0, len(raw), 4 * length):
                         part = raw[i : i + 4 * length]
                         rows.append((doc_id, i // (4 * length), i // 4, len(part) // 4, zlib.crc32(part), part))
-                if rows:
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + ids]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                        names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids],
-                    )
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        encode.forget()  # the worker lives on, for other stages
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 

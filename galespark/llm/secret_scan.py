@@ -17,16 +17,18 @@ exclusive.
 Defined results: a null text counts as empty; an empty table gives an empty
 result; repeated rows are scanned each on their own; a null identifier stays
 null; overlapping spans of different kinds are all reported; further columns
-are ignored by ``scan`` and kept by ``redact``.
+are ignored by ``scan`` and kept, whatever their names, by ``redact``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galespark.llm.names import free, quoted
 from galespark.session import cut
 
 SCOPE, BUCKET = 200, 1000
@@ -47,6 +49,18 @@ SECRETS = [0, 2, 4]  # kinds that are the secret part of a credential
 MARK = "[secret]"
 
 
+class Names(NamedTuple):
+    """Helper columns, under names that clash with none of the caller's."""
+
+    key: str = "__key"
+    strong: str = "__strong"
+    weak: str = "__weak"
+    cross: str = "__cross"
+    loose: str = "__loose"
+    linked: str = "__linked"
+    new: str = "__new"
+
+
 def found(text, pattern: str, kind: int, keep=None) -> F.Column:
     """Spans (start, kind, end) of all matches, leftmost first, without overlap.
 
@@ -95,19 +109,23 @@ def weak(text) -> F.Column:
     )
 
 
-def _parts(docs: DataFrame, *columns) -> DataFrame:
+def _names(docs: DataFrame) -> Names:
+    return Names(*free(docs.columns, *Names._fields))
+
+
+def _parts(docs: DataFrame, n: Names, *columns) -> DataFrame:
     """``columns`` with a row key, strong spans, weak spans that cross no strong one, and those that do."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*columns, strong(text).alias("__strong"), weak(text).alias("__loose"), F.monotonically_increasing_id().alias("__key"))
-    crosses = lambda w: F.exists("__strong", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
-    return rows.withColumns({"__weak": F.filter("__loose", lambda w: ~crosses(w)), "__cross": F.filter("__loose", crosses)}).drop("__loose")
+    rows = docs.select(*columns, strong(text).alias(n.strong), weak(text).alias(n.loose), F.monotonically_increasing_id().alias(n.key))
+    crosses = lambda w: F.exists(n.strong, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
+    return rows.withColumns({n.weak: F.filter(n.loose, lambda w: ~crosses(w)), n.cross: F.filter(n.loose, crosses)}).drop(n.loose)
 
 
-def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(__key, __linked): weak spans with a complementary part in scope."""
+def linked(parts: DataFrame, scope: int = SCOPE, n: Names = Names()) -> DataFrame:
+    """(key, linked): weak spans with a complementary part in scope."""
     part = lambda spans, weak: F.transform(spans, lambda x: F.struct(x["start"], x["kind"], x["end"], F.lit(weak).alias("weak")))
-    spans = F.concat(part("__strong", False), part("__cross", False), part("__weak", True))
-    spans = parts.filter(F.size("__weak") > 0).select("__key", F.explode(spans).alias("x")).select("__key", "x.*")
+    spans = F.concat(part(n.strong, False), part(n.cross, False), part(n.weak, True))
+    spans = parts.filter(F.size(n.weak) > 0).select(F.col(n.key).alias("key"), F.explode(spans).alias("x")).select("key", "x.*")
     secret = F.col("kind").isin(SECRETS)
     sides = []
     for side, reach in ((spans.filter(secret), scope), (spans.filter(~secret), 0)):
@@ -115,11 +133,12 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         sides.append(side.withColumn("bucket", F.explode(F.sequence(first, last))))
     hits = []
     for own, other in (sides, sides[::-1]):
-        near = other.select(F.col("__key").alias("k"), F.col("bucket").alias("b"), F.col("start").alias("s"), F.col("end").alias("e"))
+        near = other.select(F.col("key").alias("k"), F.col("bucket").alias("b"), F.col("start").alias("s"), F.col("end").alias("e"))
         within = (F.col("s") <= F.col("end") + scope) & (F.col("e") + scope >= F.col("start"))
-        same = (F.col("__key") == F.col("k")) & (F.col("bucket") == F.col("b"))
-        hits.append(own.filter("weak").join(near, same & within, "left_semi").select("__key", "start", "kind", "end"))
-    return hits[0].unionByName(hits[1]).groupBy("__key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("__linked"))
+        same = (F.col("key") == F.col("k")) & (F.col("bucket") == F.col("b"))
+        hits.append(own.filter("weak").join(near, same & within, "left_semi").select("key", "start", "kind", "end"))
+    found = F.collect_set(F.struct("start", "kind", "end")).alias(n.linked)
+    return hits[0].unionByName(hits[1]).groupBy(F.col("key").alias(n.key)).agg(found)
 
 
 def _written(spans) -> F.Column:
@@ -133,23 +152,25 @@ def _all(strong_spans, linked_spans) -> F.Column:
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """One row per document: counts of strong spans, their digest, all spans."""
-    parts = cut(_parts(docs, F.col("doc_id").cast("bigint").alias("doc_id")))
-    of = lambda kind: F.size(F.filter("__strong", lambda x: x["kind"] == kind)).cast("bigint")
-    return parts.join(linked(parts, scope), "__key", "left").select(
+    n = _names(docs)
+    parts = cut(_parts(docs, n, F.col("doc_id").cast("bigint").alias("doc_id")))
+    of = lambda kind: F.size(F.filter(n.strong, lambda x: x["kind"] == kind)).cast("bigint")
+    return parts.join(linked(parts, scope, n), n.key, "left").select(
         "doc_id", *(of(k).alias(f"n_{KINDS[k]}") for k in range(STRONG)),
-        F.sha2(F.encode(_written(F.col("__strong")), "utf-8"), 256).alias("base_sha256"),
-        _written(_all(F.col("__strong"), F.col("__linked"))).alias("spans"),
-        F.coalesce(F.size("__linked"), F.lit(0)).alias("n_linked"),
+        F.sha2(F.encode(_written(F.col(n.strong)), "utf-8"), 256).alias("base_sha256"),
+        _written(_all(F.col(n.strong), F.col(n.linked))).alias("spans"),
+        F.coalesce(F.size(n.linked), F.lit(0)).alias("n_linked"),
     )
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span replaced by a mark; other texts stay as they are."""
+    n = _names(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     some = reduce(lambda a, b: a | b, (text.rlike(p) for p in (ASSIGN, ACCESS, HEX, NAMED_ID, NAMED_SECRET, BARE_SECRET, IN_URL, ENDPOINT)))
-    parts = cut(_parts(docs.filter(some), *(F.col(f"`{c}`") for c in docs.columns)))
-    rows = parts.join(linked(parts, scope), "__key", "left")
-    spans = _all(F.col("__strong"), F.col("__linked"))
+    parts = cut(_parts(docs.filter(some), n, *quoted(docs)))
+    rows = parts.join(linked(parts, scope, n), n.key, "left")
+    spans = _all(F.col(n.strong), F.col(n.linked))
 
     def step(acc, x):
         gap = F.col("text").substr(acc["pos"] + 1, x["start"] - acc["pos"])
@@ -161,8 +182,8 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         lambda acc: F.concat(acc["out"], F.col("text").substr(acc["pos"] + 1, F.length("text"))),
     )
     changed = F.size(spans) > 0
-    rows = rows.withColumn("__new", F.when(changed, whole).otherwise(F.col("text")))
+    rows = rows.withColumn(n.new, F.when(changed, whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(changed, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    done = rows.withColumn("text", F.col("__new")).select(*(F.col(f"`{c}`") for c in docs.columns))
+        rows = rows.withColumn("n_chars", F.when(changed, F.length(n.new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    done = rows.withColumn("text", F.col(n.new)).select(*quoted(docs))
     return docs.filter(~some).unionByName(done)

@@ -15,7 +15,8 @@ returns a spanning forest of the links it found, never all pairs.
 Defined results: null and empty texts have fingerprint zero and link like any
 other; fewer than four words are one shingle; repeated rows share a component;
 a null identifier never names a component unless it has no other; an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; further columns are ignored (``near_duplicates``)
+or kept, whatever their names (``keep_one``).
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from galespark.llm.components import components
+from galespark.llm.names import free, quoted, widened
 from galespark.session import cut
 
 SHINGLE, SEED, DISTANCE, MAX_NODE, FAN = 4, 42, 4, 4096, 16
@@ -227,8 +230,23 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, max_node: int = M
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose identifier names their group, all columns; rows without identifier stay."""
-    named = near_duplicates(docs)
-    drop = cut(named.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")))
+    """One row of each group of linked fingerprints, all columns: the one with
+    the smallest identifier (a row without one only where none has), of rows
+    that share it the first in the order they were written down in."""
+    fp, at = free(docs.columns, "fp", "at")
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = np.array([fingerprint(t.as_py()) for t in b.column(text)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code, pa.int64())], names=[f"c{i}" for i in range(b.num_columns + 1)])
+
+    rows = cut(widened(docs, run, [StructField(fp, LongType())]).withColumn(at, F.monotonically_increasing_id()))  # written, so places are fixed
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("bigint"), F.col(at))
+    codes = cut(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("least")))
+    label = components(link_edges(codes.select("fp")))
+    rooted = codes.join(label.withColumnRenamed("id", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    stay = rooted.agg(F.min("least").alias("least")).select(F.col(f"least.{at}").alias(at))
+    drop = cut(rows.select(at).join(stay, at, "left_anti"))
     hint = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
-    return docs.join(hint, docs["doc_id"].cast("bigint") == F.col("__drop"), "left_anti")
+    return rows.join(hint, at, "left_anti").select(*quoted(docs))

@@ -7,7 +7,7 @@ from test_secrets import expected
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from galespark.llm import secret_scan
+from galespark.llm import exact_dedup, secret_scan, simhash
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -66,3 +66,34 @@ def test_stages_take_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty_out = stage(spark, empty, SF)
         assert empty_out.collect() == []
+
+
+CLASH = ["__id", "__digest", "__key", "__strong", "__new", "__drop", "__fp", "__AT", "lang_pred", "lang_score", "lang_rejected", "a.b", "c`d", "fp", "digest"]
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    texts = ["the and of to in it is a plain text", "x password=abcdefgh12 the and of to in", "the and of to in it is another plain text of words"]
+    rows = [(i, t, "en", "s", len(t), *(f"mine {c}" for c in CLASH)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *CLASH])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) == 3, name
+        assert all(tuple(r)[5:] == tuple(f"mine {c}" for c in CLASH) for r in got), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 3
+
+
+def test_stages_lose_no_rows_that_share_an_identifier(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words)
+    rows = [(1, near), (7, near + " more"), (7, "a text of its own that resembles nothing else here at all"), (None, near + " less"), (None, "one text without a name at all")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    kept = sorted(r.text for r in simhash.keep_one(docs).collect())
+    alone = [rows[2][1], rows[4][1]]
+    assert set(alone) < set(kept) and near in kept
+    group = {t for _, t in rows} - set(alone)
+    linked = [t for t in group if (print_of(t) ^ print_of(near)).bit_count() <= 4]
+    assert len(kept) == len(alone) + 1 + len(group) - len(linked)
+    copies = spark.createDataFrame([(7, near, "en", "s", 1), (7, near + " ", "en", "s", 2), (None, near, "en", "s", 3)], DOC)
+    assert [r.doc_id for r in simhash.keep_one(copies).collect()] == [7]
+    assert len(exact_dedup.keep_one(docs).collect()) == 5
