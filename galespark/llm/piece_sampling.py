@@ -30,6 +30,7 @@ import functools
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 K, SEED = 2, 11
 BATCH_CHARS = 3_000_000
+LOW = 512  # characters below it are looked up two at a time
 SPACE = "▁"
 U64 = np.uint64
 
@@ -86,9 +88,20 @@ class Pieces:
         first = self.keys[self.keys < 1 << 21]  # characters from the root, looked up directly
         self.root = np.zeros(int(first.max()) + 1, np.int64)
         self.root[first] = self.next[: len(first)]
+        # the node of two characters, for the common ones
+        self.two = np.zeros((LOW, LOW), np.int64)
+        for c in first[first < LOW].tolist():
+            a, b = np.searchsorted(self.keys, [int(self.root[c]) << 21, (int(self.root[c]) << 21) + LOW])
+            self.two[c, self.keys[a:b] & (LOW - 1)] = self.next[a:b]
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", b.decode("utf-8", "ignore")) for b in self.bytes_of)
         self.chunk = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
 
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Next nodes, 0 where the trie goes no further."""
+        key = node << 21 | code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], 0)
+
     def normalised(self, text: str | None) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
@@ -121,11 +134,17 @@ class Lattice:
                 node = np.where(code < len(voc.root), voc.root[np.minimum(code, len(voc.root) - 1)], 0)
                 on = node > 0
                 pos, node = pos[on], node[on]
+            elif length == 2:
+                a, b = code[pos], code[pos + 1]
+                low = (a < LOW) & (b < LOW)
+                node[low] = voc.two[a[low], b[low]]
+                node[~low] = voc.step(node[~low], b[~low])
+                on = node > 0
+                pos, node = pos[on], node[on]
             else:
-                key = node << 21 | code[pos + length - 1]
-                at = np.minimum(np.searchsorted(voc.keys, key), len(voc.keys) - 1)
-                on = voc.keys[at] == key
-                pos, node = pos[on], voc.next[at[on]]
+                node = voc.step(node, code[pos + length - 1])
+                on = node > 0
+                pos, node = pos[on], node[on]
             whole = voc.piece[node] >= 0
             found.append((pos[whole], np.full(int(whole.sum()), length), voc.piece[node[whole]]))
             if length == 1:
@@ -135,17 +154,27 @@ class Lattice:
             length += 1
         src, span, piece = (np.concatenate(x) for x in zip(*found))
         bare = np.flatnonzero(~single)  # characters as bytes
-        self.spelled = [[voc.byte_id[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in code[bare].tolist()]
-        n_bytes = np.array([len(x) for x in self.spelled], np.float64)
+        spelled = [[voc.byte_id[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in code[bare].tolist()]
+        n_bytes = np.array([len(x) for x in spelled], np.int64)
+        self.spelled, self.spelled_at = np.fromiter(chain.from_iterable(spelled), np.int32), np.append(0, np.cumsum(n_bytes))
         w = np.concatenate([n_bytes * voc.weight[voc.byte_id[0]], voc.weight[piece]])
         src, span = np.concatenate([bare, src]), np.concatenate([np.ones(len(bare), np.int64), span])
         piece = np.concatenate([-1 - np.arange(len(bare)), piece])
         s = src + owner[src]
-        order = np.argsort(s, kind="stable")  # edges were found by growing length
-        self.src, self.dst, self.piece, w = s[order], (s + span)[order], piece[order], w[order]
         nodes = len(code) + len(chunks)
-        self.start = np.searchsorted(self.src, np.arange(nodes + 1))
-        far = np.repeat(self.last, size + 1)[self.src] - self.src  # characters to the chunk's end
+        self.start = np.append(0, np.cumsum(np.bincount(s, minlength=nodes)))
+        # edges were found by growing length; each goes to its node's next free place
+        free, place = self.start[:-1].copy(), np.empty(len(s), np.int64)
+        bounds = np.cumsum([0, len(bare), *(len(x[0]) for x in found)])
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            place[a:b] = free[s[a:b]]
+            free[s[a:b]] += 1
+        order = np.empty(len(s), np.int64)
+        order[place] = np.arange(len(s))
+        degree = np.diff(self.start)
+        self.src = np.repeat(np.arange(nodes), degree)
+        self.dst, self.piece, w = self.src + span[order], piece[order].astype(np.int32), w[order]
+        far = np.repeat(np.repeat(self.last, size + 1) - np.arange(nodes), degree)  # characters to the chunk's end
         narrow = np.int16 if len(far) and far.max() < 1 << 15 else np.int64  # sixteen bits sort by radix
         by = np.argsort(far.astype(narrow), kind="stable")  # nodes stay together inside a distance
         cuts = np.searchsorted(far[by], np.arange(1, int(far.max()) + 2)) if len(by) else []
@@ -155,37 +184,64 @@ class Lattice:
             own = self.src[e]
             new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             beta[own[new]] = np.logaddexp.reduceat(w[e] + beta[self.dst[e]], new)
-        self.logp = np.minimum(w + beta[self.dst] - beta[self.src], 0)
+        self.logp = np.minimum(w + beta[self.dst] - np.repeat(beta, degree), 0)
         p = np.exp(self.logp)
         run = np.cumsum(p)
-        before = np.r_[0, run][self.start[self.src]]
+        before = np.repeat(np.append(0, run)[self.start[:-1]], degree)
         self.up_to = self.src + np.minimum(run - before, 1)
-        several = np.diff(self.start)[self.src] > 1
+        several = np.repeat(degree > 1, degree)
         self.left = np.where(several, np.log(np.maximum(-np.expm1(self.logp), 1e-300)), -np.inf)  # of leaving the edge's node by another
 
-    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge of each node by its conditional probabilities."""
-        low, high = self.start[node], self.start[node + 1] - 1
-        several = np.flatnonzero(low < high)
-        edge = low.copy()
-        edge[several] = np.clip(np.searchsorted(self.up_to, node[several] + u[several], side="right"), low[several], high[several])
+    def ids(self, edge: np.ndarray) -> np.ndarray:
+        """Pieces of a path, characters without one as bytes."""
+        ids = self.piece[edge]
+        bare = np.flatnonzero(ids < 0)
+        if not len(bare):
+            return ids
+        which = -1 - ids[bare].astype(np.int64)
+        size = np.ones(len(ids), np.int64)
+        size[bare] = self.spelled_at[which + 1] - self.spelled_at[which]
+        out = np.repeat(ids, size)
+        begin = (np.cumsum(size) - size)[bare]
+        for i in range(int(size.max())):
+            on = size[bare] > i
+            out[begin[on] + i] = self.spelled[self.spelled_at[which[on]] + i]
+        return out
+
+    def draw(self, node: np.ndarray, uniform) -> np.ndarray:
+        """An edge of each node by its conditional probabilities; ``uniform``
+        gives the random numbers of some places. Long pieces are the likelier
+        ones, so the search goes down from a node's last edge."""
+        low, edge = self.start[node], self.start[node + 1] - 1
+        todo = np.flatnonzero(low < edge)
+        goal = node[todo] + uniform(todo)
+        low, at = low[todo], edge[todo]
+        while len(todo):
+            on = np.flatnonzero((at > low) & (self.up_to[at - 1] > goal))
+            todo, goal, low, at = todo[on], goal[on], low[on], at[on] - 1
+            edge[todo] = at
         return edge
 
 
 def _sample(lattice, key, occ_doc, occ_rank, occ_end, occ, node, step, draw):
-    """Walk to the end of each chunk; (place in text order, step, edge) of every piece."""
-    out = []
-    while len(occ):
-        edge = lattice.draw(node, mixed(draw, key[occ_doc[occ]], occ_rank[occ] << 24 | step))
-        out.append((occ, step, edge))
+    """Walk to the end of each chunk; (occurrence, step, edge) of every piece in
+    text order. Occurrences come in rising order, each once."""
+    out, first, number = [], step, np.zeros(len(occ), np.int64)
+    walker, every = np.arange(len(occ)), occ
+    while len(walker):
+        mine = every[walker]
+        edge = lattice.draw(node, lambda i: mixed(draw, key[occ_doc[mine[i]]], occ_rank[mine[i]] << 24 | step[i]))  # noqa: B023
+        out.append((walker, edge))
+        number[walker] += 1
         node = lattice.dst[edge]
-        on = node < occ_end[occ]
-        occ, node, step = occ[on], node[on], step[on] + 1
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    occ, step, edge = (np.concatenate(x) for x in zip(*out))
-    order = np.argsort(occ << 24 | step)
-    return occ[order], step[order], edge[order]
+        on = node < occ_end[mine]
+        walker, node, step = walker[on], node[on], step[on] + 1
+    start = np.cumsum(number) - number
+    edges = np.empty(int(number.sum()), np.int64)
+    for i, (walker, edge) in enumerate(out):
+        edges[start[walker] + i] = edge
+    steps = np.arange(len(edges)) - np.repeat(start - first, number)
+    return np.repeat(every, number), steps, edges
 
 
 def _log_inclusion(x: float) -> float:
@@ -196,14 +252,18 @@ def _log_inclusion(x: float) -> float:
 def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -> list[list[tuple]]:
     """Per text the drawn paths as (log p, log inclusion, ids), best perturbed first."""
     n = len(texts)
-    number: dict[str, int] = {}
-    chunks = [[number.setdefault(c, len(number)) for c in voc.chunk.findall(voc.normalised(t))] for t in texts]
+    chunks = [voc.chunk.findall(voc.normalised(t)) for t in texts]
+    count = np.array([len(c) for c in chunks])
+    every = list(chain.from_iterable(chunks))
+    del chunks
     result: list[list] = [[] for _ in range(n)]
-    if not number:
+    if not every:
         return [[(0.0, 0.0, np.zeros(0, np.int32))] for _ in range(n)]
-    lat = Lattice(voc, list(number))
-    count = np.array([len(c) for c in chunks])
-    occ_chunk = np.concatenate([np.array(c, np.int64) for c in chunks])
+    distinct = list(dict.fromkeys(every))
+    number = dict(zip(distinct, range(len(distinct))))
+    occ_chunk = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+    del every, number
+    lat = Lattice(voc, distinct)
     occ_doc = np.repeat(np.arange(n), count)
     doc_occ = np.r_[0, np.cumsum(count)]
     occ_rank = np.arange(len(occ_doc)) - doc_occ[occ_doc]
@@ -268,10 +328,7 @@ def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -
         rows = []
         for logp, edge in result[d]:
             q = _log_inclusion(logp - threshold)
-            ids = lat.piece[edge]
-            if (ids < 0).any():
-                ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else lat.spelled[-1 - i])])
-            rows.append((logp, q, ids.astype(np.int32)))
+            rows.append((logp, q, lat.ids(edge)))
         final.append(rows or [(0.0, 0.0, np.zeros(0, np.int32))])
     return final
 
