@@ -129,22 +129,30 @@ def box_values(candidates: DataFrame, field: DataFrame, value: str, radius: int,
 def _rise(boxes_: np.ndarray) -> np.ndarray:
     """Smallest rise over the centre that any path from it to a cell must cross.
 
-    ``boxes_`` is (n, s, s). The answer spreads from the centre to 4-neighbours
-    until it rests; all boxes of a batch move together."""
+    ``boxes_`` is (n, s, s). Paths grow along whole rows and columns: one pass
+    goes down, up, right and left, each row handing its answer on to the next,
+    so a path takes as many passes as it turns back, not as many as it has
+    cells. Boxes that a pass does not change are done and left out of the next."""
     n, s, _ = boxes_.shape
     c = s // 2
-    above = boxes_ - boxes_[:, c, c][:, None, None]
-    rise = np.full((n, s + 2, s + 2), np.inf)
-    inner = rise[:, 1:-1, 1:-1]
-    inner[:, c, c] = 0.0
-    while True:
-        near = np.minimum(
-            np.minimum(rise[:, :-2, 1:-1], rise[:, 2:, 1:-1]), np.minimum(rise[:, 1:-1, :-2], rise[:, 1:-1, 2:])
-        )
-        nxt = np.minimum(inner, np.maximum(above, near))
-        if np.array_equal(nxt, inner):
-            return nxt
-        inner[:] = nxt
+    above = np.ascontiguousarray((boxes_ - boxes_[:, c, c][:, None, None]).transpose(1, 2, 0))  # boxes last
+    rise = np.full((s, s, n), np.inf)
+    rise[c, c] = 0.0
+    out = np.empty((n, s, s))
+    left = np.arange(n)
+    down, up = range(1, s), range(s - 2, -1, -1)
+    while len(left):
+        before = rise.copy()
+        for steps, back in ((down, -1), (up, 1)):
+            for k in steps:
+                np.minimum(rise[k], np.maximum(above[k], rise[k + back]), out=rise[k])
+            for k in steps:
+                np.minimum(rise[:, k], np.maximum(above[:, k], rise[:, k + back]), out=rise[:, k])
+        on = (rise != before).any(axis=(0, 1))
+        if not on.all():
+            out[left[~on]] = rise[:, :, ~on].transpose(2, 0, 1)
+            left, rise, above = left[on], rise[:, :, on], above[:, :, on]
+    return out
 
 
 def _barrier(rise: np.ndarray, ring: int) -> np.ndarray:

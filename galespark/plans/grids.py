@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from galespark.operators import grid
+from galespark.operators import grid, regions
 from galespark.plans.base import basin_case, registry
+from galespark.plans.tracks import COAST, coast
 from galespark.session import cut
 from galespark.sources import dims
 from galespark.sources.adapters import GRID_COLS, GRID_ROWS, view, with_views
@@ -126,11 +127,13 @@ def box_wind_roci(spark, sf_dir):
 
 @query(
     "basin_assign",
-    CELLS + MINIMA + f" select * from (select {KEY}, x, y, {basin_case('lat', 'lon')} as basin from minima) t where basin is not null",
+    CELLS + ", " + with_views("coast_corners").removeprefix("with ") + MINIMA + f""", mb as materialized (select *, row_number() over () as id from (select {KEY}, x, y, lat, lon, {basin_case('lat', 'lon')} as basin from minima) t where basin is not null)"""
+    + COAST.format(at="mb") + f" select {KEY}, x, y, basin, region from mb left join first_region using (id)",
 )
 def basin_assign(spark, sf_dir):
-    c = grid.local_minima(field_strips(spark, sf_dir, ["mslp"]))
-    return grid.assign_basin(c).select(*grid.CELL, "basin")
+    """The fixed basin, without which a candidate goes, and the region of a layer."""
+    c = grid.assign_basin(grid.local_minima(field_strips(spark, sf_dir, ["mslp"])))
+    return regions.assign(c, coast(spark, sf_dir)).select(*grid.CELL, "basin", "region")
 
 
 CLOSED = f""", cb as (select c.*, dx.i, dy.j, g.mslp as v from minima c, range(-5,6) dx(i), range(-5,6) dy(j), grid_cells g

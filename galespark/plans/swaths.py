@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from galespark.functions import geo, units
+from galespark.functions import geo, geodesic, units
 from galespark.operators import passes
 from galespark.operators.ranking import quantiles
 from galespark.plans.base import azimuth, dest_lat, dest_lon, hav, registry, signed
@@ -20,26 +20,71 @@ SWATHS = {"SAT0": (336000, 550000), "SAT1": (0, 900000)}
 TP = with_views("track_points")
 
 
+# a way of up to 19,970 km, the longest that is the shortest between its ends in every direction
+WAY = "cast(case when event_id%3=0 then (event_id*7919)%19950*1000 else 19900000+(event_id*389)%70000 end as double)"
+
+
 @query(
     "geo_distance",
-    TP + f" select event_id, round({hav('lat', 'lon', 'lat+1.5e0', 'lon+event_id%9')},3) as distance_m, round({azimuth('lat', 'lon', 'lat+1.5e0', 'lon+event_id%9')},8) as azimuth from track_points",
+    TP + f""" select event_id, round({hav('lat', 'lon', 'lat+1.5e0', 'lon+event_id%9')},3) as distance_m, round({azimuth('lat', 'lon', 'lat+1.5e0', 'lon+event_id%9')},8) as azimuth,
+      {WAY} as way_m, 20003931.459e0 as opposite_m from track_points""",
 )
 def geo_distance(spark, sf_dir):
-    p = view(spark, sf_dir, "track_points")
+    """On the sphere; on the ellipsoid back from where a way leads to, most of
+    them nearly to the other side of the globe; and to the opposite point."""
+    p = view(spark, sf_dir, "track_points").withColumn("way", F.expr(WAY))
+    p = p.withColumn("end", geodesic.wgs84_direct("lat", "lon", (F.col("event_id") % 360).cast("double"), "way"))
     a = [F.col("lat"), F.col("lon"), F.col("lat") + 1.5, F.col("lon") + F.col("event_id") % 9]
-    return p.select("event_id", F.round(geo.distance_m(*a), 3).alias("distance_m"), F.round(geo.azimuth_deg(*a), 8).alias("azimuth"))
+    back = geodesic.wgs84_inverse("lat", "lon", "end.lat", "end.lon")
+    opposite = geodesic.wgs84_inverse("lat", "lon", -F.col("lat"), F.col("lon") + 180)
+    return p.select(
+        "event_id", F.round(geo.distance_m(*a), 3).alias("distance_m"), F.round(geo.azimuth_deg(*a), 8).alias("azimuth"),
+        F.round(back["distance_m"], 3).alias("way_m"), F.round(opposite["distance_m"], 3).alias("opposite_m"),
+    )
+
+
+def along(g):
+    """One step of the arc of the direct problem on the ellipsoid."""
+    m = f"cos(2*s1+{g})"
+    return f"arc+bb*sin({g})*({m}+bb/4*(cos({g})*(2*pow({m},2)-1)-bb/6*{m}*(4*pow(sin({g}),2)-3)*(4*pow({m},2)-3)))"
+
+
+WGS_AXIS, WGS_FLAT = "6378137.0e0", "(1/298.257223563e0)"
+# one step of the series per table: a name used again in one SELECT would be written out again and again
+WGS_STEPS = [
+    f"*, {WGS_AXIS}*(1-{WGS_FLAT}) as minor, atan((1-{WGS_FLAT})*tan(radians(lat))) as u1, radians(az) as al",
+    "*, atan2(tan(u1), cos(al)) as s1, cos(u1)*sin(al) as sa, 1-pow(cos(u1)*sin(al),2) as ca",
+    f"*, ca*({WGS_AXIS}*{WGS_AXIS}-minor*minor)/(minor*minor) as uu, {WGS_FLAT}/16*ca*(4+{WGS_FLAT}*(4-3*ca)) as cc",
+    "*, 1+uu/16384*(4096+uu*(uu*(320-175*uu)-768)) as aa, uu/1024*(256+uu*(uu*(74-47*uu)-128)) as bb",
+    "*, dist/(minor*aa) as arc, dist/(minor*aa) as g",
+    *[f"* replace ({along('g')} as g)"] * 4,
+    "*, cos(2*s1+g) as gm",
+    f"""*, degrees(atan2(sin(u1)*cos(g)+cos(u1)*sin(g)*cos(al), (1-{WGS_FLAT})*sqrt(sa*sa+pow(sin(u1)*sin(g)-cos(u1)*cos(g)*cos(al),2)))) as wlat,
+      degrees(atan2(sin(g)*sin(al), cos(u1)*cos(g)-sin(u1)*sin(g)*cos(al))-(1-cc)*{WGS_FLAT}*sa*(g+cc*sin(g)*(gm+cc*cos(g)*(2*gm*gm-1)))) as dlon""",
+]
+
+
+def wgs84_direct(start: str) -> str:
+    """Tables ``w0`` to ``w`` of the direct problem on the ellipsoid."""
+    names = [*(f"w{i}" for i in range(len(WGS_STEPS))), "w"]
+    return f", w0 as materialized ({start})" + "".join(f", {b} as materialized (select {x} from {a})" for x, a, b in zip(WGS_STEPS, names, names[1:]))
 
 
 @query(
     "geo_direct",
-    TP + f" select event_id, round({dest_lat('lat', 'event_id%360', 'roci')},8) as lat2, round({dest_lon('lat', 'lon', 'event_id%360', 'roci')},8) as lon2 from track_points",
+    TP + wgs84_direct("select *, cast(event_id%360 as double) as az, roci*40.0e0 as dist from track_points") + f"""
+      select event_id, round({dest_lat('lat', 'event_id%360', 'roci')},8) as lat2, round({dest_lon('lat', 'lon', 'event_id%360', 'roci')},8) as lon2,
+        round(wlat,6) as lat_wgs84, round({signed('lon+dlon')},6) as lon_wgs84 from w""",
 )
 def geo_direct(spark, sf_dir):
+    """On the sphere, and forty times as far on the ellipsoid."""
     p = view(spark, sf_dir, "track_points")
     az, d = (F.col("event_id") % 360).cast("double"), F.col("roci")
+    far = geodesic.wgs84_direct("lat", "lon", az, d * 40.0)
     return p.select(
         "event_id", F.round(geo.dest_lat(F.col("lat"), az, d), 8).alias("lat2"),
         F.round(geo.dest_lon(F.col("lat"), F.col("lon"), az, d), 8).alias("lon2"),
+        F.round(far["lat"], 6).alias("lat_wgs84"), F.round(far["lon"], 6).alias("lon_wgs84"),
     )
 
 

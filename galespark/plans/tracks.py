@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from galespark.operators import link, track
+from galespark.operators import link, regions, track
 from galespark.plans import separation
 from galespark.plans.base import basin_case, hav, registry
 from galespark.session import cut
@@ -257,9 +257,29 @@ def simplify_tracks(spark, sf_dir):
     return track.summary(track.min_pressure(again))
 
 
+# first region of the layer that covers a point of ``at(id, lat, lon)``, by all edges of all rings
+COAST = """, edge as materialized (select rank, region, lon as x1, lat as y1, coalesce(lead(lon) over w, first_value(lon) over w) as x2,
+    coalesce(lead(lat) over w, first_value(lat) over w) as y2 from coast_corners window w as (partition by region order by corner)),
+  covering as materialized (select a.id, e.rank, e.region from {at} a join edge e on a.lat between least(y1, y2) and greatest(y1, y2) and a.lon<=greatest(x1, x2)
+    group by 1,2,3 having bool_or((x2-x1)*(a.lat-y1)=(a.lon-x1)*(y2-y1) and a.lon>=least(x1, x2)) or
+      count(*) filter ((y1>a.lat)<>(y2>a.lat) and case when y2>y1 then (x2-x1)*(a.lat-y1)-(a.lon-x1)*(y2-y1)>0 else (x2-x1)*(a.lat-y1)-(a.lon-x1)*(y2-y1)<0 end)%2=1),
+  first_region as (select id, min_by(region, rank) as region from covering group by 1)"""
+
+
+def coast(spark, sf_dir):
+    """The layer of regions as a tree of cells; rings have thousands of corners."""
+    corner = F.sort_array(F.collect_list(F.struct("corner", "lon", "lat")))
+    rings = view(spark, sf_dir, "coast_corners").groupBy("region", "rank").agg(corner.alias("ring"))
+    return cut(regions.leaves(rings.select("region", "rank", F.transform("ring", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("ring"))))
+
+
 @query(
     "basin_point",
-    with_views("track_points") + f" select event_id, {basin_case('lat', 'lon')} as basin from track_points",
+    with_views("track_points", "coast_corners") + COAST.format(at="(select event_id as id, lat, lon from track_points)")
+    + f" select event_id, {basin_case('lat', 'lon')} as basin, region from track_points left join first_region on id=event_id",
 )
 def basin_point(spark, sf_dir):
-    return view(spark, sf_dir, "track_points").select("event_id", basin_of(F.col("lat"), F.col("lon")).alias("basin"))
+    """The fixed basin, and the region of a layer."""
+    points = view(spark, sf_dir, "track_points").select("event_id", "lat", "lon")
+    found = regions.assign(points, coast(spark, sf_dir))
+    return found.select("event_id", basin_of(F.col("lat"), F.col("lon")).alias("basin"), "region")

@@ -38,6 +38,11 @@ VIEWS = {
         select distinct model_name, init_time, cast(45+8*(n%4) as int) as expected_files, cast(22+n%3 as int) as expected_members
         from (select concat('M', cast(cast(floor(user_id/30) as bigint) as string)) as model_name, date_trunc('day', ts) as init_time,
           cast(floor(user_id/30) as int) as n from {events}) p where n%5<>4""",
+    "coast_corners": """
+        select cast(o_orderkey%5 as int) as rank, concat('R', cast(o_orderkey%5 as string)) as region, cast(floor(o_orderkey/5) as bigint) as corner,
+          round(-130+40*(o_orderkey%5)+(16+4*sin(2*pi()*5*floor(o_orderkey/5)/n)+(o_custkey%40)/20.0e0)*cos(2*pi()*floor(o_orderkey/5)/n),6) as lon,
+          round(15+(16+4*sin(2*pi()*5*floor(o_orderkey/5)/n)+(o_custkey%40)/20.0e0)*sin(2*pi()*floor(o_orderkey/5)/n),6) as lat
+        from (select o_orderkey, o_custkey, count(*) over (partition by o_orderkey%5) as n from {orders}) o""",
     "storm_points": """
         select model_name, init_time, storm_no, time_step, init_time + interval '1' hour * time_step as valid_time, event_id, lat, lon, vmax, rmw, roci
         from (select *, row_number() over (partition by model_name, init_time, storm_no, time_step order by event_id) as r

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: extensions that are not data
 IGNORED = ["asc", "idx", "json", "index"]
 
-# fixed values: where a file name carries its forecast step or member
-STEP_PATTERN = {
-    "GFS": r"\.f(\d\d\d)_",
-    "ECM": r"-(\d+)h-oper-fc",
-    "CMC": r"\d+_P(\d+)",
-    "NAV": r"navgem_\d{10}f(\d\d\d)",
+# fixed values: what stands before and after the forecast step in a file name ('#' is any digit), and the step's digits (0: any number)
+STEP_PLACE = {
+    "GFS": (".f", 3, "_"),
+    "ECM": ("-", 0, "h-oper-fc"),
+    "CMC": ("#_P", 0, ""),
+    "NAV": ("navgem_##########f", 3, ""),
 }
+
+
+def step_pattern(before: str, digits: int, after: str) -> str:
+    literal = lambda text: "".join("[0-9]" if c == "#" else re.escape(c) for c in text)
+    return f"{literal(before)}([0-9]{f'{{{digits}}}' if digits else '+'}){literal(after)}"
+
+
+STEP_PATTERN = {model: step_pattern(*place) for model, place in STEP_PLACE.items()}
 MEMBER_PATTERN = {
     "EPS-TCGEN": r"A_JSXX\d+(EC..)",
     "GEFS-TCGEN": r"storms\.([a-z0-9]+)\.",

@@ -69,6 +69,49 @@ def test_closed_isobar_equals_flood(spark):
             assert got == {s for s in spots if flood(field, *s, 5, t, ring)[0]}
 
 
+def spiral(side, turns):
+    """A low channel winding out from the centre between high walls, to the edge or not."""
+    p = np.full((side, side), 1010.0)
+    x = y = side // 2
+    p[x, y] = 1000.0
+    length, way = 2, 0
+    for t in range(2 * turns):
+        for _ in range(length):
+            x, y = x + (0, 1, 0, -1)[way], y + (1, 0, -1, 0)[way]
+            if 0 <= x < side and 0 <= y < side:
+                p[x, y] = 1000.5 + 0.01 * t
+        way = (way + 1) % 4
+        length += 2 * (t % 2)
+    return p
+
+
+def plain_rise(box):
+    """Least highest cell on the way from the centre, one cell after another in order of height."""
+    import heapq
+
+    s = len(box)
+    c = s // 2
+    done, todo = {}, [(0.0, c, c)]
+    while todo:
+        h, a, b = heapq.heappop(todo)
+        if (a, b) not in done:
+            done[a, b] = h
+            for i, j in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                if 0 <= i < s and 0 <= j < s and (i, j) not in done:
+                    heapq.heappush(todo, (max(h, box[i, j] - box[c, c]), i, j))
+    return np.array([[done[i, j] for j in range(s)] for i in range(s)])
+
+
+def test_rise_on_spirals_and_noise():
+    rng = np.random.default_rng(3)
+    fields = [spiral(21, t) for t in (1, 3, 5, 11)] + [spiral(21, t).T for t in (4, 6)] + [spiral(21, 5) + rng.normal(0, 0.3, (21, 21)) for _ in range(4)]
+    fields += [rng.normal(1000, 2, (21, 21)).round(1) for _ in range(8)] + [np.full((21, 21), 1000.0)]
+    got = grid._rise(np.stack(fields))
+    for f, r in zip(fields, got):
+        assert np.array_equal(r, plain_rise(f))
+    assert grid._barrier(got, 0)[0] == 10 and grid._barrier(got, 0)[3] < 1  # a short spiral is closed, a long one leads out
+
+
 def test_bowl_is_closed_and_ridge_cut_is_not(spark):
     g = grid.Grid(41, 41, 20.0, -1.0, 1.0)
     for cut, n in ((False, 1), (True, 0)):

@@ -343,12 +343,26 @@ def test_one_row_of_a_new_key_is_inserted(spark):
     assert len(catalog.absent(stored, new, ["k"]).collect()) == 3
 
 
-def test_nearly_opposite_points_have_no_geodesic_rather_than_a_wrong_one():
+def test_nearly_opposite_points_have_a_geodesic():
     import numpy as np
     from galespark.functions import geodesic
 
-    dist, az = geodesic.inverse([0.0, 10.0], [0.0, 20.0], [0.5, 11.0], [179.7, 20.0])
-    assert np.isnan(dist[0]) and np.isnan(az[0]) and 110_000 < dist[1] < 111_500
+    rng = np.random.default_rng(1)
+    n = 4000
+    lat, lon, az = rng.uniform(-90, 90, n), rng.uniform(-180, 180, n), rng.uniform(-180, 180, n)
+    way = np.concatenate([rng.uniform(0, 1.9970e7, n // 2), rng.uniform(1.985e7, 1.9970e7, n // 2)])
+    lat[:300], az[:100], az[100:200], lat[-100:] = 0, 90, 0, 90  # along the equator and meridians, from the pole
+    lat[300:400] = rng.uniform(-1e-6, 1e-6, 100)
+    lat2, lon2 = geodesic.direct(lat, lon, az, way)
+    dist, back = geodesic.inverse(lat, lon, lat2, lon2)
+    assert np.abs(dist - way).max() < 1e-3
+    again = geodesic.direct(lat, lon, back, dist)
+    off = np.radians((again[1] - lon2 + 180) % 360 - 180) * np.cos(np.radians(lat2))
+    assert 6.4e6 * np.hypot(np.radians(again[0] - lat2), off).max() < 1e-3
+    opposite, _ = geodesic.inverse(lat, lon, -lat, lon + 180)  # half a meridian wherever one starts
+    assert np.abs(opposite - 20003931.4586).max() < 1e-3
+    dist, az = geodesic.inverse([0.0, 10.0, 1.0, np.nan], [0.0, 20.0, 2.0, 1.0], [0.0, 11.0, 1.0, 2.0], [179.5, 20.0, 2.0, 3.0])
+    assert dist[0] == pytest.approx(19980861.9089, abs=1e-3) and 110_000 < dist[1] < 111_500 and dist[2] == 0 and np.isnan(dist[3])
 
 
 def test_detection_names_a_missing_field(spark):
