@@ -291,7 +291,7 @@ def ace_by_track(points: DataFrame, keys: list[str], last_step: Column) -> DataF
         F.sum(F.when(named, F.lit(1e-4) * kt * kt).otherwise(0.0)).alias("ace"),
         (F.count(F.when(named, 1)) * 0.25).alias("named_storm_days"),
         F.max("time_step").alias("last_step"),
-        F.max_by(kt, "time_step").alias("last_kt"),
+        F.max_by(kt, F.struct(F.col("time_step"), kt)).alias("last_kt"),
         F.max(kt).alias("max_kt"),
     )
     end = (

@@ -296,8 +296,9 @@ def tracks_current_ensemble(spark, sf_dir):
 @query(
     "source_status",
     with_views(*ENS_VIEWS[1:]) + STATE
-    + """ select 'ALL-TCGEN' as source, model_name, ensemble_name, l.init_date, completed_date, exists (select 1 from ens_status e
-      where e.completed and e.ensemble_name=m.ensemble_name and e.init_date=l.init_date) as ensemble_done from latest l join members m using (model_name)""",
+    + """ select case when ensemble_name is null then 'GLOBAL-DET' else 'ALL-TCGEN' end as source, model_name, ensemble_name, l.init_date, completed_date,
+      exists (select 1 from ens_status e where e.completed and e.ensemble_name=m.ensemble_name and e.init_date=l.init_date) as ensemble_done
+      from latest l left join members m using (model_name)""",
 )
 def source_status(spark, sf_dir):
     return catalog.status_of_sources(*ens(spark, sf_dir), at())
@@ -318,7 +319,7 @@ def ensemble_cycles(spark, sf_dir):
     with_views(*ENS_VIEWS[1:]) + STATE
     + """ select model_name, greatest(l.init_date, case when complete and n_cycles=1 then s.completed_date end) as recent,
       strftime(greatest(l.init_date, case when complete and n_cycles=1 then s.completed_date end), '%d/%HZ') as label
-      from latest l join members m using (model_name) left join state s using (ensemble_name)""",
+      from latest l left join members m using (model_name) left join state s using (ensemble_name)""",
 )
 def model_recency(spark, sf_dir):
     done, status, members = ens(spark, sf_dir)
@@ -437,13 +438,13 @@ def pass_start_list(spark, sf_dir):
     + """, k as (select model_name, init_time, cast(floor((lon+150)/80) as int) as component_id, time_step, event_id, vmax*1.94384e0 as kt from track_points)
       select model_name, init_time, component_id, round(sum(case when kt>=34 then 0.0001e0*kt*kt else 0 end),5) as ace,
         count(case when kt>=34 then 1 end)*0.25 as named_storm_days, max(time_step) as last_step, round(max(kt),4) as max_kt,
-        case when max(time_step)<>138 then 'before end of run' else 'ends with run' end as status from k group by 1,2,3""",
+        case when max(time_step)<>138 then 'before end of run' when max_by(kt, {'t': time_step, 'k': kt})>=34 then 'at/above 34 kt at end of run'
+          else 'below 34 kt at end of run' end as status from k group by 1,2,3""",
 )
 def ace_nsd_by_track(spark, sf_dir):
     p = view(spark, sf_dir, "track_points").withColumn("component_id", F.floor((F.col("lon") + 150) / 80).cast("int"))
     a = catalog.ace_by_track(p, ["model_name", "init_time", "component_id"], F.lit(138))
-    ends = F.when(F.col("status") == "before end of run", F.col("status")).otherwise("ends with run")
     return a.select(
         "model_name", "init_time", "component_id", F.round("ace", 5).alias("ace"), "named_storm_days", "last_step",
-        F.round("max_kt", 4).alias("max_kt"), ends.alias("status"),
+        F.round("max_kt", 4).alias("max_kt"), "status",
     )

@@ -100,19 +100,25 @@ def circle_ring(spark, sf_dir):
     )
 
 
+CORNERS5 = [(-1, -1), (2, -1), (1, 1), (-1, 2), (-1, -1)]  # a quadrilateral, closed
+
+
 @query(
     "ring_ccw",
-    TP + """ select event_id, case when event_id%2=0 then round(lon-1,4) else round(lon-1,4) end as lon1, case when event_id%2=0 then round(lat-1,4) else round(lat-1,4) end as lat1,
-      round(lon+1,4) as lon2, round(lat-1,4) as lat2 from track_points""",
+    TP + ", way as (select event_id, lat, lon, k, dx, dy from track_points, (values "
+    + ", ".join(f"({k},{x},{y})" for k, (x, y) in enumerate(CORNERS5))
+    + """) c(k, dx, dy)),
+      drawn as (select *, case when event_id%2=0 then k else 4-k end as nth, lon+dx as x, lat+dy as y from way),
+      area as (select event_id, sum((x2-x)*(y2+y)) as a from (select *, lead(x) over w as x2, lead(y) over w as y2 from drawn window w as (partition by event_id order by nth)) q
+        where x2 is not null group by 1)
+      select event_id, cast(case when a<0 then nth else 4-nth end as int) as pos, round(x,4) as lon, round(y,4) as lat from drawn join area using (event_id)""",
 )
 def ring_ccw(spark, sf_dir):
-    """Squares drawn either way round come out counter-clockwise."""
+    """Rings drawn either way round come out counter-clockwise, point by point."""
     p = view(spark, sf_dir, "track_points")
-    pt = lambda dx, dy: F.struct((F.col("lon") + dx).alias("lon"), (F.col("lat") + dy).alias("lat"))
-    ccw = F.array(pt(-1, -1), pt(1, -1), pt(1, 1), pt(-1, 1), pt(-1, -1))
+    ccw = F.array(*(F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat")) for x, y in CORNERS5))
     r = geo.counter_clockwise(F.when(F.col("event_id") % 2 == 0, ccw).otherwise(F.reverse(ccw)))
-    rnd = lambda i, c: F.round(F.get(r, F.lit(i))[c], 4)
-    return p.select("event_id", rnd(0, "lon").alias("lon1"), rnd(0, "lat").alias("lat1"), rnd(1, "lon").alias("lon2"), rnd(1, "lat").alias("lat2"))
+    return p.select("event_id", F.posexplode(r).alias("pos", "q")).select("event_id", "pos", F.round("q.lon", 4).alias("lon"), F.round("q.lat", 4).alias("lat"))
 
 
 @query(

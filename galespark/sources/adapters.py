@@ -132,7 +132,7 @@ VIEWS = {
           count(distinct floor(user_id/30)) as expected from {events} group by 1) e using (ensemble_name)""",
     "members": """
         select distinct concat('M', cast(cast(floor(user_id/30) as bigint) as string)) as model_name,
-          concat('E', cast(cast(floor(floor(user_id/30)/3) as bigint) as string)) as ensemble_name from {events}""",
+          concat('E', cast(cast(floor(floor(user_id/30)/3) as bigint) as string)) as ensemble_name from {events} where floor(user_id/30)%4<>3""",
 }
 
 # fixed values: model of a grid run, by run number modulo five
