@@ -82,6 +82,8 @@ class Pieces:
                     node = nxt
                 self.piece[node] = i
         self.weight = -np.log(rank + 2.7) - math.log(math.log(n))
+        size = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.letters, self.size, self.begin = np.frombuffer(b"".join(self.bytes_of), np.uint8), size, np.cumsum(size) - size
         self.keys = np.array(sorted(trie), np.int64)
         self.next = np.array([trie[k] for k in self.keys.tolist()], np.int64)
         self.piece = np.array(self.piece, np.int64)
@@ -105,6 +107,12 @@ class Pieces:
     def normalised(self, text: str | None) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes of a segmentation."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.letters[np.repeat(self.begin[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
     def decode(self, ids) -> str:
         """The text of a segmentation."""
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
@@ -189,8 +197,11 @@ class Lattice:
         run = np.cumsum(p)
         before = np.repeat(np.append(0, run)[self.start[:-1]], degree)
         self.up_to = self.src + np.minimum(run - before, 1)
-        several = np.repeat(degree > 1, degree)
-        self.left = np.where(several, np.log(np.maximum(-np.expm1(self.logp), 1e-300)), -np.inf)  # of leaving the edge's node by another
+        self.several = np.repeat(degree > 1, degree)
+
+    def left(self, edge: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """Log probability of leaving each edge's node by another."""
+        return np.where(self.several[edge], np.log(np.maximum(-np.expm1(logp), 1e-300)), -np.inf)
 
     def ids(self, edge: np.ndarray) -> np.ndarray:
         """Pieces of a path, characters without one as bytes."""
@@ -244,6 +255,17 @@ def _sample(lattice, key, occ_doc, occ_rank, occ_end, occ, node, step, draw):
     return np.repeat(every, number), steps, edges
 
 
+def largest(x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest numbers; k is small."""
+    if len(x) <= k or k > 3:
+        return np.argsort(-x, kind="stable")[:k]
+    out, x = [], x.copy()
+    for _ in range(k):
+        out.append(int(x.argmax()))
+        x[out[-1]] = -np.inf
+    return np.array(out)
+
+
 def _log_inclusion(x: float) -> float:
     """log(1 - exp(-exp(x))); long texts need the logarithm, their paths have tiny probabilities."""
     return 0.0 if x > 6 else x if x < -30 else math.log(-math.expm1(-math.exp(x)))
@@ -276,7 +298,9 @@ def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -
     for r in range(k):
         # the sets taken from the queues: prefix, one edge that leaves the old path, the rest drawn anew
         head, occ, node, step = {}, [], [], []
-        for d, (g, old, t, banned) in todo.items():
+        if r == 0:  # the whole lattices of all texts
+            occ, node, step = [np.arange(len(occ_chunk))], [lat.first[occ_chunk]], [np.zeros(len(occ_chunk), np.int64)]
+        for d, (g, old, t, banned) in todo.items() if r else ():
             a, b = doc_occ[d], doc_occ[d + 1]
             if old is not None:
                 o, s, e = kept[old]
@@ -284,7 +308,7 @@ def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -
                 edges = np.array([x for x in range(lat.start[here], lat.start[here + 1]) if x not in banned])
                 p = np.cumsum(np.exp(lat.logp[edges] - lat.logp[edges].max()))
                 pick = edges[min(np.searchsorted(p, mixed(keys[d], r, -2, t) * p[-1]), len(edges) - 1)]
-                head[d] = np.r_[o[:t], o[t]], np.r_[s[:t], s[t]], np.r_[e[:t], pick]
+                head[d] = o[: t + 1], s[: t + 1], np.append(e[:t], pick)
                 if lat.dst[pick] < occ_end[o[t]]:
                     occ.append(np.array([o[t]]))
                     node.append(np.array([lat.dst[pick]]))
@@ -307,14 +331,14 @@ def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -
             upto = np.cumsum(logp)
             result[d].append((float(upto[-1]), edge))
             places = np.arange(t, len(edge))
-            left = lat.left[edge[t:]]
+            left = lat.left(edge[t:], logp[t:])
             out = (*banned, int(edge[t]))
             here = lat.src[edge[t]]
             rest = [x for x in range(lat.start[here], lat.start[here + 1]) if x not in out]
             left[0] = np.logaddexp.reduce(lat.logp[rest]) if len(rest) else -np.inf
             mass = upto[t:] - logp[t:] + left
             free = mass - np.log(-np.log(mixed(keys[d], r, -3, places)))  # Gumbel maxima, and in the same order truncated at g
-            top = np.argsort(-free, kind="stable")[: k - r] if len(free) <= k else np.argpartition(-free, k - r - 1)[: k - r]
+            top = largest(free, k - r)
             new = -np.logaddexp(-free[top], -g)
             queue[d] += [(float(x), (d, r), int(t + i), out if i == 0 else (int(edge[t + i]),)) for x, i in zip(new, top) if x > -np.inf]
         todo = {}
@@ -347,7 +371,7 @@ def sample(docs: DataFrame, path: str, k: int = K) -> DataFrame:
             for i, t, found in zip(ids, texts, segmentations(voc, texts, key, k)):
                 want = voc.normalised(t).encode("utf-8", "surrogatepass")
                 rows += [
-                    (i, j + 1, lp, q, x.astype("<i4").tobytes(), len(x), b"".join(map(voc.bytes_of.__getitem__, x.tolist())) == want) for j, (lp, q, x) in enumerate(found)
+                    (i, j + 1, lp, q, x.astype("<i4").tobytes(), len(x), voc.spelled(x) == want) for j, (lp, q, x) in enumerate(found)
                 ]
             kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
