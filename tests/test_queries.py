@@ -8,8 +8,6 @@ from oracle import compare, connect
 from galespark.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-# graph rounds of many small jobs; test_tracks.py checks the same code on drawn cases
-LONG = {"simplify_tracks", "reduce_same_step"}
 ORACLE = registry.oracle_sql()
 
 
@@ -24,7 +22,7 @@ def test_matches_sql(spark, con, name):
     assert why is None, why
 
 
-@pytest.mark.parametrize("name", [q for q in registry.queries() if q not in ORACLE and q not in LONG])
+@pytest.mark.parametrize("name", [q for q in registry.queries() if q not in ORACLE])
 def test_runs(spark, name):
     df = registry.queries()[name](spark, SF)
     assert df.columns and df.count() >= 0
