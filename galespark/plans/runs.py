@@ -12,7 +12,7 @@ from galespark.plans.base import registry
 from galespark.session import cut, scratch_path
 from galespark.sinks import writers
 from galespark.sources import files
-from galespark.sources.adapters import tables, view, with_views
+from galespark.sources.adapters import oracle_view, tables, view, with_views
 
 QUERIES, ORACLE, query = registry()
 T = "2024-01-20 12:00:00"
@@ -273,8 +273,11 @@ STATE = f""", latest as (select model_name, max(init_date) as init_date, max(com
 ENS_VIEWS = ("tc_candidates", "runs_completed", "ens_status", "members")
 
 
-def ens(spark, sf_dir):
-    return [view(spark, sf_dir, v) for v in ("runs_completed", "ens_status", "members")]
+EVERY_MEMBER = f", members as materialized ({oracle_view('all_members')})"
+
+
+def ens(spark, sf_dir, members="members"):
+    return [view(spark, sf_dir, v) for v in ("runs_completed", "ens_status", members)]
 
 
 @query("ensemble_status_query", with_views(*ENS_VIEWS[1:]) + STATE + " select * from state")
@@ -284,12 +287,12 @@ def ensemble_status_query(spark, sf_dir):
 
 @query(
     "tracks_current_ensemble",
-    with_views(*ENS_VIEWS) + STATE
+    with_views(*ENS_VIEWS[:-1]) + EVERY_MEMBER + STATE
     + """ select t.model_name, t.init_date, component_id, ensemble_name, ws_max_10m from tc_candidates t join latest using (model_name, init_date)
       left join members m on m.model_name=t.model_name left join state using (ensemble_name) where not coalesce(complete and t.init_date<>latest_cycle, false)""",
 )
 def tracks_current_ensemble(spark, sf_dir):
-    t = catalog.current_tracks(view(spark, sf_dir, "tc_candidates"), *ens(spark, sf_dir), at())
+    t = catalog.current_tracks(view(spark, sf_dir, "tc_candidates"), *ens(spark, sf_dir, "all_members"), at())
     return t.select("model_name", "init_date", "component_id", "ensemble_name", "ws_max_10m")
 
 
@@ -306,12 +309,12 @@ def source_status(spark, sf_dir):
 
 @query(
     "ensemble_cycles",
-    with_views("runs_completed", "members")
+    with_views("runs_completed") + EVERY_MEMBER
     + """ select ensemble_name, count(distinct init_date) as n_cycles, count(distinct model_name) as n_members, min(init_date) as first_cycle,
       max(init_date) as last_cycle, max(completed_date) as last_completed from runs_completed join members using (model_name) group by 1""",
 )
 def ensemble_cycles(spark, sf_dir):
-    return catalog.ensemble_cycles(view(spark, sf_dir, "runs_completed"), view(spark, sf_dir, "members"))
+    return catalog.ensemble_cycles(view(spark, sf_dir, "runs_completed"), view(spark, sf_dir, "all_members"))
 
 
 @query(

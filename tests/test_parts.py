@@ -13,6 +13,7 @@ from galespark.functions import geo, geodesic
 from galespark.functions import text as text_fn
 from galespark.operators import ensemble, microwave, passes, sequence, verify, winds
 from galespark.operators.ranking import quantiles, ranked
+from galespark.plans import runs
 from galespark.sinks import writers
 from galespark.sources import advisory, deck, dims, files, tracker
 from galespark.streaming import streams
@@ -417,3 +418,14 @@ def test_old_partitions_are_dropped(spark, tmp_path):
     assert writers.drop_partitions(spark, f"{tmp_path}/t", "day", "2024-01-03") == ["2024-01-01", "2024-01-02"]
     assert sorted(r.v for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [3, 4, 5]
     assert writers.drop_partitions(spark, f"{tmp_path}/t", "day", "2024-01-03") == []
+
+
+def test_ensembles_have_all_their_members(spark, tmp_path):
+    """The fourth model belongs to an ensemble as the others do."""
+    start = datetime(2024, 1, 2)
+    rows = [(i, 30 * n, start + timedelta(days=d), "view", 10.0) for i, (n, d) in enumerate((n, d) for n in range(8) for d in range(9))]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.ensemble_name: r.n_members for r in runs.ensemble_cycles(spark, str(tmp_path)).collect()}
+    assert got == {"E0": 3, "E1": 3, "E2": 2}
+    tracks = runs.tracks_current_ensemble(spark, str(tmp_path)).collect()
+    assert tracks and all(r.ensemble_name is not None for r in tracks)
