@@ -4,7 +4,9 @@ A layer is cut into a tree of cells: tiles of ``TILE`` degrees, each split by
 ``SPLIT`` as long as an edge runs through it, ``LEVELS`` deep. A leaf lists the
 regions that cover or cut it, in order of rank. Points find their leaf by an
 equi-join on the cell; only where a leaf is cut they are compared with edges,
-and then with those of the leaf's own band of latitudes, not with whole rings.
+and then with those round the leaf, not with whole rings: of edges wholly to
+the east a ray's crossings depend on the latitude alone, and where such edges
+follow one another only the ends of their chain matter.
 """
 
 from __future__ import annotations
@@ -14,27 +16,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galespark.session import broadcast_if_small, cut
+from galespark.session import cut
 
 TILE, SPLIT, LEVELS = 10.0, 4, 3
-LEAVES = 100_000  # leaves that may be broadcast
-EDGE = "struct<x1: double, y1: double, x2: double, y2: double>"
+LEAVES, HELD = 100_000, 1_000_000  # leaves that may be broadcast, and edges in them
+APART = 1e-6  # degrees between a cell and edges that count as wholly east of it
 
 
 def edges_of(ring: Column) -> Column:
-    """Edges of a ring of (lon, lat); its last point leads back to the first."""
-    turned = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
-    return F.zip_with(
-        ring, turned,
+    """Edges of a ring of (lon, lat); its last point leads back to the first.
+    ``x0`` and ``x3`` are where the edge before starts and the next one ends."""
+    size = F.size(ring)
+    turned = lambda k: F.concat(F.slice(ring, F.lit(k + 1), F.greatest(size - k, F.lit(0))), F.slice(ring, F.lit(1), F.lit(k)))
+    back = F.concat(F.slice(ring, F.greatest(size, F.lit(1)), F.lit(1)), F.slice(ring, F.lit(1), F.greatest(size - 1, F.lit(0))))
+    beside = F.zip_with(back, turned(2), lambda o, r: F.struct(o["lon"].alias("x0"), r["lon"].alias("x3")))
+    ends = F.zip_with(
+        ring, turned(1),
         lambda p, q: F.struct(p["lon"].alias("x1"), p["lat"].alias("y1"), q["lon"].alias("x2"), q["lat"].alias("y2")),
     )
+    names = ("x1", "y1", "x2", "y2")
+    return F.zip_with(ends, beside, lambda e, b: F.struct(*(e[c].alias(c) for c in names), *(b[c].alias(c) for c in ("x0", "x3"))))
 
 
-def covered(edges: Column, lon: Column, lat: Column) -> Column:
+def covered(edges: Column, lon: Column, lat: Column, odd: Column | None = None) -> Column:
     """Whether the region of some edges covers a point; points on an edge count.
 
     A ray to the east crosses the boundary an odd number of times. It is enough
-    to have all edges that reach the point's latitude and its longitude or more."""
+    to have all edges that reach the point's latitude and its longitude or more;
+    ``odd`` says whether it crosses further ones an odd number of times."""
 
     def step(acc, e):
         turn = (e["x2"] - e["x1"]) * (lat - e["y1"]) - (lon - e["x1"]) * (e["y2"] - e["y1"])
@@ -45,7 +54,7 @@ def covered(edges: Column, lon: Column, lat: Column) -> Column:
         crosses = ((e["y1"] > lat) != (e["y2"] > lat)) & ((rises & (turn > 0)) | (~rises & (turn < 0)))
         return F.struct((acc["on"] | ((turn == 0) & within)).alias("on"), (acc["odd"] != crosses).alias("odd"))
 
-    start = F.struct(F.lit(False).alias("on"), F.lit(False).alias("odd"))
+    start = F.struct(F.lit(False).alias("on"), (F.lit(False) if odd is None else odd).alias("odd"))
     return F.aggregate(edges, start, step, lambda acc: acc["on"] | acc["odd"])
 
 
@@ -81,6 +90,25 @@ def _classified(rows: DataFrame, level: int) -> DataFrame:
     return rows.withColumn("whole", ~F.col("cut") & inside).filter("cut or whole")
 
 
+def _entry(level: int) -> Column:
+    """A region in a leaf; where it is cut, with the edges that reach the leaf's
+    meridians (``edges``), and of those further east the latitudes within the
+    leaf at which the number of crossings changes (``turns``) and whether it is
+    odd below them. Edges with an unknown end are never left out."""
+    s = _size(level)
+    y0, east = F.col("cy") * s - 90.0, (F.col("cx") + 1) * s - 180.0 + APART
+    far = lambda e: F.coalesce((e["x1"] > east) & (e["x2"] > east) & e["y1"].isNotNull() & e["y2"].isNotNull(), F.lit(False))
+    beyond = F.filter("edges", far)
+    within = lambda y, x: F.when(y.between(y0, y0 + s) & ~F.coalesce(x > east, F.lit(False)), y)  # the edge beside it ends the chain
+    turns = F.flatten(F.transform(beyond, lambda e: F.array(within(e["y1"], e["x0"]), within(e["y2"], e["x3"]))))
+    below = F.aggregate(beyond, F.lit(False), lambda odd, e: odd != ((e["y1"] < y0) != (e["y2"] < y0)))
+    near = F.transform(F.filter("edges", lambda e: ~far(e)), lambda e: F.struct(*(e[c].alias(c) for c in ("x1", "y1", "x2", "y2"))))
+    if_cut = lambda c: F.when(~F.col("whole"), c)
+    return F.struct(
+        "rank", "region", "whole", if_cut(near).alias("edges"), if_cut(F.filter(turns, lambda y: y.isNotNull())).alias("turns"), if_cut(below).alias("below")
+    )
+
+
 def _key(level: Column, cx: Column, cy: Column) -> Column:
     return (level.cast("bigint") * (1 << 40) + cx.cast("bigint") * (1 << 20) + cy.cast("bigint")).alias("leaf")
 
@@ -105,14 +133,13 @@ def leaves(layer: DataFrame) -> DataFrame:
         df.withColumn("i", F.explode(parts)).withColumn("j", F.explode(parts))
         .withColumns({"cx": F.col("cx") * SPLIT + F.col("i"), "cy": F.col("cy") * SPLIT + F.col("j")}).drop("i", "j")
     )
-    entry = F.struct("rank", "region", "whole", F.when(~F.col("whole"), F.col("edges")).alias("edges"))
     out = [spark.range(1).select(F.lit(NOWHERE).cast("bigint").alias("leaf"), F.lit(None).alias("regions"))]
     for level in range(LEVELS):
         rows = cut(_classified(rows, level))
         # a cell is split for all its regions where an edge of any runs through it
         split = rows.groupBy("cx", "cy").agg(F.max("cut").alias("split")).filter("split").select("cx", "cy") if level < LEVELS - 1 else rows.select("cx", "cy").limit(0)
         split = cut(split)
-        here = rows.groupBy("cx", "cy").agg(F.sort_array(F.collect_list(entry)).alias("regions"))
+        here = rows.select("cx", "cy", _entry(level).alias("entry")).groupBy("cx", "cy").agg(F.sort_array(F.collect_list("entry")).alias("regions"))
         kept = cells.join(split, ["cx", "cy"], "left_anti").join(here, ["cx", "cy"], "left")
         out.append(kept.select(_key(F.lit(level), F.col("cx"), F.col("cy")), "regions"))
         rows = deeper(rows.join(split, ["cx", "cy"], "left_semi").drop("cut"))
@@ -131,7 +158,12 @@ def assign(points: DataFrame, tree: DataFrame, name: str = "region", lat: str =
     placed = F.coalesce(x.between(-180, 180) & y.between(-90, 90) & ~F.isnan(x) & ~F.isnan(y), F.lit(False))
     here = F.array(*(_key(F.lit(k), _cell(x, -180.0, k), _cell(y, -90.0, k)) for k in range(LEVELS)))
     nowhere = F.array(F.lit(NOWHERE).cast("bigint"))
-    tree = broadcast_if_small(tree.select(F.col("leaf").alias("__leaf"), F.col("regions").alias("__regions")), LEAVES)
+    held = F.aggregate("regions", F.lit(0), lambda n, r: n + F.coalesce(F.size(r["edges"]) + F.size(r["turns"]), F.lit(0)))
+    size = tree.agg(F.count(F.lit(1)).alias("leaves"), F.coalesce(F.sum(held), F.lit(0)).alias("held")).first()
+    tree = tree.select(F.col("leaf").alias("__leaf"), F.col("regions").alias("__regions"))
+    if size.leaves <= LEAVES and size.held <= HELD:
+        tree = F.broadcast(tree)
     rows = points.withColumn("__leaf", F.explode(F.when(placed, here).otherwise(nowhere))).join(tree, "__leaf")
-    hit = F.filter("__regions", lambda r: r["whole"] | F.coalesce(covered(r["edges"], x, y), F.lit(False)))
+    odd = lambda r: r["below"] != (F.size(F.filter(r["turns"], lambda t: y >= t)) % 2 == 1)
+    hit = F.filter("__regions", lambda r: r["whole"] | F.coalesce(covered(r["edges"], x, y, odd(r)), F.lit(False)))
     return rows.withColumn(name, F.get(hit, F.lit(0))["region"]).drop("__leaf", "__regions")

@@ -66,6 +66,17 @@ def test_a_leaf_holds_few_edges(spark):
     assert most[0] < 600 and most[1] > 50  # of 4,000 edges; and leaves that need none
 
 
+def test_edges_further_east_are_folded(spark):
+    """A leaf holds the edges round it, not those on the other side of a wide region."""
+    ring = [(40 * math.cos(2 * math.pi * i / 4000), 40 * math.sin(2 * math.pi * i / 4000)) for i in range(4000)]
+    layer = spark.createDataFrame([("R", 0, ring)], LAYER)
+    r = regions.leaves(layer).filter("regions is not null").select(F.explode("regions").alias("r")).filter("not r.whole")
+    west = r.withColumn("first", F.array_min(F.transform("r.edges", lambda e: F.least(e["x1"], e["x2"]))))
+    west = west.withColumn("last", F.array_max(F.transform("r.edges", lambda e: F.greatest(e["x1"], e["x2"]))))
+    assert west.agg(F.max(F.col("last") - F.col("first"))).first()[0] < 11
+    assert r.select(F.explode("r.edges").alias("e")).distinct().count() == 4000
+
+
 @pytest.mark.parametrize("touching", [(0.0, 0.0, 1.0, 1.0), (-1.0, 0.5, 2.0, 0.5), (1.0, -1.0, 1.0, 3.0), (0.2, 0.2, 0.3, 0.3)])
 def test_edges_that_touch_a_cell(spark, touching):
     e = F.struct(*(F.lit(v).alias(n) for v, n in zip(touching, ("x1", "y1", "x2", "y2"))))
