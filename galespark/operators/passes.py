@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galespark.functions import geo, units
-from galespark.operators.sequence import islands, running_sum, with_previous
+from galespark.operators.sequence import islands
 from galespark.session import cut
 
 # fixed values: satellite -> nadir gap and swath width to each side, metres
@@ -19,7 +19,7 @@ SWATHS = {
 }
 TRACK = ["model_name", "init_time", "storm_no"]
 MINUTES_PER_CHUNK = 1440
-SLOT_SECONDS = 600
+SLOT_SECONDS, SLOTS_PER_HOUR = 600, 6
 CORNERS = ["a", "b", "c", "d"]
 
 
@@ -30,15 +30,47 @@ def steps(nadir: DataFrame, order: str = "minute_id") -> DataFrame:
     """Consecutive nadir points with the number and direction of their pass.
 
     A pass ends where the latitude turns; a step without any change of
-    latitude continues the pass."""
-    s = with_previous(nadir, ["satellite"], order, ["lat", "lon", "valid_time"], MINUTES_PER_CHUNK)
-    s = s.filter(F.col("prev").isNotNull()).withColumn("way", F.signum(F.col("lat") - F.col("prev.lat")).cast("int"))
-    s = s.withColumnsRenamed({"prev": "start"})
-    moving = with_previous(s.filter("way <> 0").select("satellite", order, "way"), ["satellite"], order, ["way"], MINUTES_PER_CHUNK)
-    turns = moving.filter(F.col("prev.way") != F.col("way")).select("satellite", order, F.lit(1).alias("turn"))
-    s = s.join(turns, ["satellite", order], "left").withColumn("turn", F.coalesce("turn", F.lit(0)))
-    s = running_sum(s, ["satellite"], order, "turn", "pass_number", MINUTES_PER_CHUNK)
-    return s.withColumn("ascending", F.col("way") > 0).drop("turn")
+    latitude continues the pass.
+
+    Paths are shuffled once, by chunks. What a chunk cannot know by itself, the
+    point and the direction before it and the passes so far, comes from one
+    small row per chunk. All rows of a minute in which the path turns count, so
+    a minute that comes twice numbers two passes."""
+    key = ["satellite", "chunk"]
+    w = Window.partitionBy(*key).orderBy(order)
+    minute = Window.partitionBy(*key, order)
+    s = nadir.withColumn("chunk", F.floor(F.col(order) / MINUTES_PER_CHUNK)).withColumn("point", F.struct(order, "lat", "lon", "valid_time"))
+    s = s.withColumns({"start": F.lag("point").over(w), "place": F.row_number().over(w), "twins": F.count(F.lit(1)).over(minute)})
+    way = lambda here, before: F.signum(F.col(here) - F.col(before)).cast("int")
+    moved = lambda c: F.when(F.col(c) != 0, F.col(c))
+    s = s.withColumn("way", way("lat", "start.lat"))
+    s = s.withColumn("before", F.last(moved("way"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("turn", F.max(F.coalesce(moved("way") != F.col("before"), F.lit(False)).cast("int")).over(minute))
+    s = s.withColumn("turns", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    moves = F.when(F.col("way") != 0, F.col("place"))
+    ends = s.groupBy(*key).agg(
+        F.min_by("point", "place").alias("head"), F.max_by("point", "place").alias("tail"), F.min_by("twins", "place").alias("head_rows"),
+        F.min_by(F.struct("way", "place", "twins"), moves).alias("first"), F.max_by("way", moves).alias("last_way"), F.max("turns").alias("inside"),
+    )
+    v = Window.partitionBy("satellite").orderBy("chunk")
+    before = v.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("start0", F.lag("tail").over(v)).withColumn("way0", way("head.lat", "start0.lat"))
+    ends = ends.withColumn("carried", F.last(F.coalesce("last_way", moved("way0")), ignorenulls=True).over(before))
+    turns = lambda now, then: F.coalesce(now != then, F.lit(False)).cast("int")
+    # turns that only the chunk before shows: at the first minute, and where the path first moves within the chunk
+    ends = ends.withColumns({"turn0": turns(moved("way0"), F.col("carried")), "turn1": turns(F.col("first.way"), F.coalesce(moved("way0"), "carried"))})
+    total = F.col("inside") + F.col("turn0") * F.col("head_rows") + F.col("turn1") * F.coalesce("first.twins", F.lit(0))
+    ends = ends.withColumn("passed", F.coalesce(F.sum(total).over(before), F.lit(0)))
+    s = s.join(ends.drop("head", "tail", "last_way", "inside", "carried"), key)
+    at_head = F.col("place") == 1
+    since_first = F.greatest(F.lit(0), F.least(F.col("place") - F.col("first.place") + 1, F.col("first.twins")))
+    number = (
+        F.col("passed") + F.col("turns") + F.col("turn0") * F.least("place", "head_rows")
+        + F.col("turn1") * F.when(F.col("first").isNotNull(), since_first).otherwise(0)
+    )
+    s = s.withColumns({"start": F.when(at_head, F.col("start0")).otherwise(F.col("start")), "way": F.when(at_head, F.col("way0")).otherwise(F.col("way")), "pass_number": number})
+    s = s.filter(F.col("start").isNotNull())
+    return s.select(*nadir.columns, "start", "way", "pass_number", (F.col("way") > 0).alias("ascending"))
 
 
 def pass_points(nadir: DataFrame, order: str = "minute_id") -> DataFrame:
@@ -117,12 +149,9 @@ def time_window(swaths: DataFrame, as_of: Column, before_hours: int, after_hours
 # ---------------------------------------------------------------- minute tracks
 
 
-def minutes(
-    points: DataFrame, start: Column | None = None, end: Column | None = None, epoch: str = "2024-01-01", near: DataFrame | None = None
-) -> DataFrame:
-    """Tracks at every minute, end points left out. A missing closed-isobar
-    radius counts as 0. With a time span, minutes outside are never made, and
-    with swath areas ``near`` neither are those far from all of them."""
+def _pieces(points: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Tracks from point to point, with the first and last whole minute (within
+    a time span, if there is one), the way they go and its direction."""
     w = Window.partitionBy(*TRACK).orderBy("valid_time")
     cols = ["valid_time", "lat", "lon", "vmax", "rmw", "roci"]
     p = points.select(*TRACK, *cols).withColumn("z", F.lead(F.struct(*cols)).over(w)).filter(F.col("z").isNotNull())
@@ -132,14 +161,14 @@ def minutes(
     if start is not None:
         since = lambda t: (F.unix_timestamp(t) - F.unix_timestamp("valid_time")) / 60
         first, last = F.greatest(first, F.ceil(since(start)).cast("int")), F.least(last, F.floor(since(end)).cast("int"))
-        p = p.withColumns({"i0": first, "i1": last}).filter(F.col("i0") <= F.col("i1"))
-        first, last = F.col("i0"), F.col("i1")
+    p = p.withColumns({"i0": first, "i1": last}).filter(F.col("i0") <= F.col("i1"))
     a, z = [F.col("lat"), F.col("lon")], [F.col("z.lat"), F.col("z.lon")]
-    p = p.withColumns({"dist": geo.distance_m(*a, *z), "az": geo.azimuth_deg(*a, *z)})
-    if near is not None:
-        p = close_pieces(p.withColumns({"i0": first, "i1": last}), near, epoch)
-        first, last = F.col("i0"), F.col("i1")
-    p = p.withColumn("i", F.explode(F.sequence(first, last))).withColumn("share", F.col("i") / F.col("n"))
+    return p.withColumns({"dist": geo.distance_m(*a, *z), "az": geo.azimuth_deg(*a, *z)})
+
+
+def _at_minute(pieces: DataFrame, epoch: str, *further: str) -> DataFrame:
+    """Pieces at their minute ``i``: place, wind and radii in between."""
+    p = pieces.withColumn("share", F.col("i") / F.col("n"))
     blend = lambda x, y: x + F.col("share") * (y - x)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     step = F.col("dist") * F.col("share")
@@ -151,37 +180,48 @@ def minutes(
         F.when(moved, geo.dest_lat(F.col("lat"), F.col("az"), step)).otherwise(F.col("lat")).alias("lat"),
         F.when(moved, geo.dest_lon(F.col("lat"), F.col("lon"), F.col("az"), step)).otherwise(F.col("lon")).alias("lon"),
         blend(F.col("vmax"), F.col("z.vmax")).alias("vmax"), blend(F.col("rmw"), F.col("z.rmw")).alias("rmw"),
-        blend(zero("roci"), zero("z.roci")).alias("roci"),
+        blend(zero("roci"), zero("z.roci")).alias("roci"), *further,
     )
 
 
+def minutes(points: DataFrame, start: Column | None = None, end: Column | None = None, epoch: str = "2024-01-01") -> DataFrame:
+    """Tracks at every minute, end points left out. A missing closed-isobar
+    radius counts as 0. With a time span, minutes outside are never made."""
+    p = _pieces(points, start, end)
+    return _at_minute(p.withColumn("i", F.explode(F.sequence("i0", "i1"))), epoch)
+
+
 def close_pieces(pieces: DataFrame, quads: DataFrame, epoch: str) -> DataFrame:
-    """Track pieces cut into slots of ten minutes, less the slots in which no
-    swath comes near.
+    """Track pieces by the slot of ten minutes, satellite and side in which a
+    swath comes near; ``since`` is the start of the piece in seconds.
 
-    A slot has a few boxes only, one for each satellite and side, so this is a
-    semi-join on the slot with a test of boxes. The piece's box is its start
-    grown by the way it goes and its radius; it holds every minute of it."""
+    A slot has a few boxes only, one for each satellite and side. Pieces meet
+    them hour by hour, and only what is near becomes rows. The piece's box is its start grown by the way it goes and its radius; it holds
+    every minute of it."""
     corner = {c: [F.col(f"{k}_{c}") for k in CORNERS] for c in ("lat", "lon")}
     boxes = quads.groupBy(F.floor(F.col("interp_id") / SLOT_SECONDS).alias("slot"), "satellite", "side").agg(
         F.min(F.least(*corner["lat"])).alias("south"), F.max(F.greatest(*corner["lat"])).alias("north"),
         F.min(F.least(*corner["lon"])).alias("west"), F.max(F.greatest(*corner["lon"])).alias("east"),
     )
+    boxes = boxes.withColumn("in_hour", F.floor(F.col("slot") / SLOTS_PER_HOUR))
     reach = (F.col("dist") + F.greatest("rmw", "z.rmw")) * 1.01 + 1000
     since = F.unix_timestamp("valid_time") - F.unix_timestamp(F.lit(epoch).cast("timestamp"))
-    slot = lambda i: F.floor((since + 60 * F.col(i)) / SLOT_SECONDS)
+    slot = lambda i: F.floor((F.col("since") + 60 * F.col(i)) / SLOT_SECONDS)
     p = pieces.withColumns({"since": since, "dlat": reach / units.M_PER_DEGREE * 1.01})
     narrow = F.cos(F.radians(F.least(F.lit(89.9), F.abs("lat") + F.col("dlat"))))
-    p = p.withColumn("dlon", F.col("dlat") / narrow).withColumn("slot", F.explode(F.sequence(slot("i0"), slot("i1"))))
+    p = p.withColumns({"dlon": F.col("dlat") / narrow, "s0": slot("i0"), "s1": slot("i1")})
+    p = p.withColumn("hour", F.explode(F.sequence(F.floor(F.col("s0") / SLOTS_PER_HOUR), F.floor(F.col("s1") / SLOTS_PER_HOUR))))
     middle, half = (F.col("west") + F.col("east")) / 2, (F.col("east") - F.col("west")) / 2
-    meet = (F.col("lat") - F.col("dlat") <= F.col("north")) & (F.col("lat") + F.col("dlat") >= F.col("south")) & (
-        F.abs(units.signed_lon(F.col("lon") - middle)) <= half + F.col("dlon")
-    )
-    p = p.join(boxes.withColumnRenamed("slot", "at"), (F.col("slot") == F.col("at")) & meet, "left_semi")
+    meet = F.col("slot").between(F.col("s0"), F.col("s1")) & (F.col("lat") - F.col("dlat") <= F.col("north")) & (
+        F.col("lat") + F.col("dlat") >= F.col("south")
+    ) & (F.abs(units.signed_lon(F.col("lon") - middle)) <= half + F.col("dlon"))
+    # rows of pieces shrink so well in a shuffle that a broadcast of them looks cheaper than it is
+    p = p.join(boxes.hint("merge"), (F.col("hour") == F.col("in_hour")) & meet)
+    p = p.drop("hour", "in_hour", "s0", "s1", "dlat", "dlon", "south", "north", "west", "east")
     first = F.ceil((F.col("slot") * SLOT_SECONDS - F.col("since")) / 60).cast("int")
     last = F.floor(((F.col("slot") + 1) * SLOT_SECONDS - 1 - F.col("since")) / 60).cast("int")
     p = p.withColumns({"i0": F.greatest("i0", first), "i1": F.least("i1", last)})
-    return p.filter("i0 <= i1").drop("since", "dlat", "dlon", "slot")
+    return p.filter("i0 <= i1")
 
 
 def storm_box(lat: Column, lon: Column, radius: Column) -> dict[str, Column]:
@@ -198,7 +238,11 @@ def sensed(storms: DataFrame, quads: DataFrame, radius: str = "rmw") -> DataFram
 
     An equi-join on the minute. Bounding boxes come first, then the centre inside the convex area or an edge of it
     within the radius, on the local plane round the storm."""
-    hits = storms.join(quads.drop("valid_time"), "interp_id")
+    return _meeting(storms.join(quads.drop("valid_time"), "interp_id"), radius)
+
+
+def _meeting(hits: DataFrame, radius: str = "rmw") -> DataFrame:
+    """Of storm minutes with a swath of their minute, those that it meets."""
     lat, lon, r = F.col("lat"), F.col("lon"), F.col(radius)
     turn = F.lit(360.0) * F.round((lon - F.col("a_lon")) / 360)
     scale = F.lit(units.M_PER_DEGREE)
@@ -257,10 +301,15 @@ def predict(points: DataFrame, nadir: DataFrame, swaths: dict = SWATHS, compat:
     return dedupe_sensing(sensed_tracks(points, quads), compat)
 
 
-def sensed_tracks(points: DataFrame, quads: DataFrame) -> DataFrame:
-    """Storm minutes that a swath meets; minutes are made only where one is near."""
+def sensed_tracks(points: DataFrame, quads: DataFrame, epoch: str = "2024-01-01") -> DataFrame:
+    """Storm minutes that a swath meets. Slots with a swath near meet its areas,
+    and the areas name the minutes, so minutes are never rows of a shuffle."""
     span = quads.agg(F.min("valid_time").alias("t0"), F.max("valid_time").alias("t1"))
-    return sensed(minutes(points, span.select("t0").scalar(), span.select("t1").scalar(), near=quads), quads)
+    pieces = close_pieces(_pieces(points, span.select("t0").scalar(), span.select("t1").scalar()), quads, epoch)
+    areas = quads.drop("valid_time").withColumnRenamed("interp_id", "at").withColumn("slot", F.floor(F.col("at") / SLOT_SECONDS))
+    pairs = pieces.join(areas.hint("merge"), ["slot", "satellite", "side"]).withColumn("i", F.col("at") - F.col("since"))
+    pairs = pairs.filter("i % 60 = 0 and i between 60 * i0 and 60 * i1").withColumn("i", (F.col("i") / 60).cast("int"))
+    return _meeting(_at_minute(pairs, epoch, *[c for c in areas.columns if c not in ("at", "slot")]))
 
 
 def time_overlap(storms: DataFrame, passes: DataFrame, hours: int = 6) -> DataFrame:

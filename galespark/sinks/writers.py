@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import and_
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +21,30 @@ def overwrite_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def log_passes(runs: DataFrame, passes: DataFrame, path: str) -> None:
-    """Replace the passes logged for some runs, one partition per run.
+    """Replace the passes logged for some runs, one partition per start of runs.
 
     A run that no pass sees gets one row without a pass, which clears what was
-    logged for it and tells a run without passes from one not predicted yet."""
-    keys = ["model_name", "init_time"]
-    rows = runs.select(*keys).distinct().join(passes, keys, "left")
-    overwrite_partitions(rows.withColumn("run", run_name("init_time")), path, ["model_name", "run"])
+    logged for it and tells a run without passes from one not predicted yet.
+    Runs that start together share a partition, so that files number the starts,
+    not the models times the starts. What other models have there is carried
+    over through a side table; one that a crash has left whole is put in first."""
+    keys, spark, side = ["model_name", "init_time"], runs.sparkSession, f"{path}_side"
+    named = runs.select(*keys).distinct().withColumn("run", run_name("init_time"))
+    rows = named.join(passes, keys, "left")
+
+    def put():
+        overwrite_partitions(spark.read.schema(rows.schema).parquet(side), path, ["run"])
+        remove(spark, side)
+
+    if exists(spark, f"{side}/_SUCCESS"):
+        put()
+    if exists(spark, path):
+        same = lambda a, b, names: reduce(and_, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names))
+        stored = spark.read.schema(rows.schema).parquet(path).alias("s")
+        stored = stored.join(named.select("run").distinct().alias("d"), same("s", "d", ["run"]), "left_semi")
+        rows = rows.unionByName(stored.alias("s").join(named.alias("n"), same("s", "n", keys), "left_anti"))
+    rows.write.mode("overwrite").parquet(side)
+    put()
 
 
 def partitions(spark: SparkSession, path: str, column: str) -> list[tuple[str, str]]:

@@ -429,3 +429,68 @@ def test_ensembles_have_all_their_members(spark, tmp_path):
     assert got == {"E0": 3, "E1": 3, "E2": 2}
     tracks = runs.tracks_current_ensemble(spark, str(tmp_path)).collect()
     assert tracks and all(r.ensemble_name is not None for r in tracks)
+
+
+def nadir_rows(spark, n, twice=()):
+    """Paths of two satellites with standstills and gaps, over several chunks."""
+    rng = random.Random(4)
+    rows = []
+    for sat in ("SAT0", "SAT1"):
+        lat, way = 0.0, 1
+        for m in range(n):
+            if rng.random() < 0.02:
+                way = -way
+            lat += way * rng.choice([0, 0.5, 0.5, 0.5])
+            if rng.random() < 0.95:
+                rows += [(sat, m, datetime(2024, 1, 1) + timedelta(minutes=m), round(lat, 1), (m * 3.7) % 360 - 180)] * (2 if m in twice else 1)
+    return spark.createDataFrame(rows, "satellite string, minute_id bigint, valid_time timestamp, lat double, lon double"), rows
+
+
+def test_passes_are_numbered_over_chunk_edges(spark, monkeypatch):
+    monkeypatch.setattr(passes, "MINUTES_PER_CHUNK", 7)
+    frame, rows = nadir_rows(spark, 400)
+    want = set()
+    for sat in ("SAT0", "SAT1"):
+        before, number, way = None, 0, 0
+        for _, m, _, lat, _ in sorted(r for r in rows if r[0] == sat):
+            if before is not None:
+                now = (lat > before[1]) - (lat < before[1])
+                number += bool(now and way and now != way)
+                way = now or way
+                want.add((sat, m, before[0], number, now > 0))
+            before = m, lat
+    s = passes.steps(frame)
+    assert {(r.satellite, r.minute_id, r.start.minute_id, r.pass_number, r.ascending) for r in s.collect()} == want
+    # the path is shuffled by chunk once; the other exchanges carry a row per chunk or use it again
+    assert s._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(satellite") <= 5
+
+
+def test_sensed_tracks_are_the_sensed_minutes(spark):
+    frame, _ = nadir_rows(spark, 900)
+    quads = passes.swath_quads(frame, {"SAT0": (336000, 550000), "SAT1": (0, 900000)}).cache()
+    rng = random.Random(9)
+    points = [(f"M{k}", datetime(2024, 1, 1), 0, datetime(2024, 1, 1, h), rng.uniform(-40, 40), rng.uniform(-180, 180), 20.0 + h, 40000, 200000 if h % 2 else None)
+              for k in range(12) for h in (0, 5, 6, 14)]
+    storms = spark.createDataFrame(points, "model_name string, init_time timestamp, storm_no int, valid_time timestamp, lat double, lon double, vmax double, rmw int, roci int")
+    got, want = passes.sensed_tracks(storms, quads), passes.sensed(passes.minutes(storms), quads)
+    cols = [*passes.TRACK, "interp_id", "satellite", "side", "pass_number", "lat", "lon", "vmax", "roci"]
+    rows = sorted(map(tuple, want.select(*cols).collect()))
+    assert sorted(got.columns) == sorted(want.columns) and len(rows) > 20
+    assert sorted(map(tuple, got.select(*cols).collect())) == rows
+    assert "hashpartitioning(interp_id" not in got._jdf.queryExecution().executedPlan().toString()  # minutes are not shuffled
+
+
+def test_log_of_passes_has_a_partition_per_start(spark, tmp_path):
+    """Not one per model and start: sixty times the models are not sixty times the files."""
+    start = [datetime(2024, 1, d) for d in (1, 2)]
+    schema = "model_name string, init_time timestamp, pass_number int"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    runs_of = [(f"M{k}", t) for k in range(20) for t in start]
+    known = lambda rows: spark.createDataFrame(rows, "model_name string, init_time timestamp")
+    writers.log_passes(known(runs_of), frame([(m, t, 1) for m, t in runs_of[:30]]), f"{tmp_path}/log")
+    again = [("M3", start[0]), (None, start[0]), ("M4", start[1])]
+    writers.log_passes(known(again), frame([("M3", start[0], 7), ("M3", start[0], 8)]), f"{tmp_path}/log")
+    got = sorted(((r.model_name or "", r.init_time, r.pass_number or 0) for r in spark.read.parquet(f"{tmp_path}/log").collect()))
+    kept = [(m, t, 1 if (m, t) in runs_of[:30] else 0) for m, t in runs_of if (m, t) not in again]
+    assert got == sorted([*kept, ("M3", start[0], 7), ("M3", start[0], 8), ("", start[0], 0), ("M4", start[1], 0)])
+    assert sorted(p.name for p in (tmp_path / "log").iterdir() if p.is_dir()) == ["run=2024-01-01T0000", "run=2024-01-02T0000"]
