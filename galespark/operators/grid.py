@@ -97,7 +97,8 @@ def boxes(candidates: DataFrame, field: DataFrame, values: list[str], radius: in
     probe = candidates.withColumn("r", r.cast("int")).withColumn("dx", F.explode(F.sequence(-F.col("r"), F.col("r"))))
     probe = probe.withColumn("sx", F.pmod(F.col("x") + F.col("dx"), F.lit(rows)))
     near = field.select(*RUN, F.col("x").alias("sx"), *[F.col(v).alias(f"s_{v}") for v in values])
-    hit = probe.join(near, [*RUN, "sx"])
+    # cells shrink so well in a shuffle that a broadcast of them looks cheaper than it is
+    hit = probe.join(near.hint("merge"), [*RUN, "sx"])
     return hit.withColumns({f"s_{v}": _cut_strip(f"s_{v}", F.col("y"), F.col("r")) for v in values})
 
 
@@ -112,7 +113,7 @@ def box_extreme(
         F.max(F.array_max(f"s_{value}")).alias("hi"), F.min(F.array_min(f"s_{value}")).alias("lo"), F.first("lat").alias("lat_")
     )
     pick = F.when(F.col("lat_") < 0, F.col("lo")).otherwise(F.col("hi")) if by_hemisphere else F.col("hi")
-    return candidates.join(best.select(*CELL, pick.alias(out)), CELL, "left")
+    return candidates.join(best.select(*CELL, pick.alias(out)).hint("merge"), CELL, "left")
 
 
 def box_values(candidates: DataFrame, field: DataFrame, value: str, radius: int, rows: int) -> DataFrame:
@@ -120,7 +121,7 @@ def box_values(candidates: DataFrame, field: DataFrame, value: str, radius: int,
     b = boxes(candidates.select(*CELL), field, [value], radius, rows)
     rows_in_order = F.sort_array(F.collect_list(F.struct("dx", F.col(f"s_{value}").alias("v"))))
     flat = b.groupBy(*CELL).agg(F.flatten(rows_in_order["v"]).alias("box"))
-    return candidates.join(flat, CELL)
+    return candidates.join(flat.hint("merge"), CELL)
 
 
 # ---------------------------------------------------------------- isobars
