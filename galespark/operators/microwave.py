@@ -148,10 +148,12 @@ def regrid_nearest(samples: DataFrame, mesh: DataFrame, keys: list[str], payload
     without a position or in a group without usable samples get NULL."""
     usable = lambda a, b: F.abs(a).between(0, 1e6) & F.abs(b).between(0, 1e6)  # NULL and NaN are neither
     sites = samples.filter(usable(F.col("lat"), F.col("lon"))).groupBy(*keys, "lat", "lon").agg(F.min(F.struct(*payload)).alias("payload"))
-    with_sites = mesh.filter(usable(F.col("mlat"), F.col("mlon"))).join(sites.select(*keys).distinct(), keys, "left_semi")
+    sites = cut(sites)  # read by every round
+    # mesh points shrink so well in a shuffle that a broadcast of them looks cheaper than it is: no join may turn to one
+    with_sites = mesh.filter(usable(F.col("mlat"), F.col("mlon"))).join(sites.select(*keys).distinct().hint("merge"), keys, "left_semi")
     open_points = cut(with_sites.select(*keys, "i", "j", "mlat", "mlon"))
     kinds = {f.name: f.dataType for f in samples.schema}
-    bare = mesh.select(*keys, "i", "j").join(open_points.select(*keys, "i", "j"), [*keys, "i", "j"], "left_anti")
+    bare = mesh.select(*keys, "i", "j").join(open_points.select(*keys, "i", "j").hint("merge"), [*keys, "i", "j"], "left_anti")
     done = cut(bare.select(*keys, "i", "j", *(F.lit(None).cast(kinds[c]).alias(c) for c in payload)))
     while not open_points.isEmpty():
         def index(c):
@@ -166,12 +168,12 @@ def regrid_nearest(samples: DataFrame, mesh: DataFrame, keys: list[str], payload
         d2 = (F.col("lat") - F.col("mlat")) * (F.col("lat") - F.col("mlat")) + (F.col("lon") - F.col("mlon")) * (
             F.col("lon") - F.col("mlon")
         )
-        hits = probes.join(tiled, [*keys, "tu", "tv"])
+        hits = probes.join(tiled.hint("merge"), [*keys, "tu", "tv"])
         best = hits.groupBy(*keys, "i", "j").agg(F.min(F.struct(d2.alias("d2"), "payload")).alias("best"))
         final = best.filter(F.col("best.d2") <= tile * tile)
         found = cut(final.select(*keys, "i", "j", "best.payload.*"))
         done = done.unionByName(found)
-        open_points = cut(open_points.join(found.select(*keys, "i", "j"), [*keys, "i", "j"], "left_anti"))
+        open_points = cut(open_points.join(found.select(*keys, "i", "j").hint("merge"), [*keys, "i", "j"], "left_anti"))
         tile *= 2
     return done
 

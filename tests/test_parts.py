@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from galespark.functions import geo, geodesic
 from galespark.functions import text as text_fn
-from galespark.operators import ensemble, microwave, passes, sequence, verify, winds
+from galespark.operators import ensemble, grid, microwave, passes, sequence, verify, winds
 from galespark.operators.ranking import quantiles, ranked
 from galespark.plans import runs
 from galespark.sinks import writers
@@ -494,3 +494,29 @@ def test_log_of_passes_has_a_partition_per_start(spark, tmp_path):
     kept = [(m, t, 1 if (m, t) in runs_of[:30] else 0) for m, t in runs_of if (m, t) not in again]
     assert got == sorted([*kept, ("M3", start[0], 7), ("M3", start[0], 8), ("", start[0], 0), ("M4", start[1], 0)])
     assert sorted(p.name for p in (tmp_path / "log").iterdir() if p.is_dir()) == ["run=2024-01-01T0000", "run=2024-01-02T0000"]
+
+
+def test_regridding_broadcasts_no_mesh(spark, monkeypatch):
+    """A mesh shrinks to a few bytes a point in a shuffle, not in a broadcast."""
+    plans, write = [], microwave.cut
+
+    def seen(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(microwave, "cut", seen)
+    rng = random.Random(1)
+    s = spark.createDataFrame([(k % 2, k, 1, rng.uniform(0, 5), rng.uniform(0, 5)) for k in range(60)], "file_no int, scan int, pixel int, lat double, lon double")
+    assert microwave.regrid_nearest(s, microwave.mesh_of(s, ["file_no"], 4, 4), ["file_no"], ["scan", "pixel"]).count() == 32
+    assert len(plans) > 4 and not any("BroadcastHashJoin" in p.split("Initial Plan")[0] for p in plans)
+
+
+def test_boxes_broadcast_no_cells(spark):
+    cells = spark.createDataFrame([("M", 0, 0, x, y, 1.0 * x, 0.0, float(x * 7 % 5 + y)) for x in range(6) for y in range(6)],
+                                  "model_name string, init_time int, time_step int, x int, y int, lat double, lon double, v double")
+    field = grid.strips(cells, ["lon", "v"])
+    got = grid.box_extreme(cells.select(*grid.CELL, "lat"), field, "v", "best", 1, 6)
+    best = {(r.x, r.y): r.best for r in got.collect()}
+    assert best[2, 2] == max(float(x * 7 % 5 + y) for x in (1, 2, 3) for y in (1, 2, 3)) and len(best) == 36
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
