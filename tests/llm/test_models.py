@@ -205,6 +205,19 @@ def test_scores_equal_plain_computation(spark, size):
         assert r.base_score == pytest.approx(base, rel=1e-9) and abs(r.score - score) <= 0.003 * len(x)
 
 
+def test_scores_do_not_depend_on_which_words_have_numbers(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    every = docs(spark, ODD + [r.text for r in table.collect()] + ["never seen words", "der unseen und"]).repartition(5)
+    train = every.filter("doc_id % 7 <> 2")
+    (voc, model), (few, others) = lm.learn(train), lm.learn(train, numbered=40)
+    assert len(few.hashes) <= 40 < len(voc.hashes)
+    want, got = ({r.doc_id: r for r in lm.score(every, *m).collect()} for m in ((voc, model), (few, others)))
+    assert len(want) == len(got) == every.count()
+    for i, r in want.items():
+        assert got[i][:4] == r[:4]
+        assert got[i].base_score == pytest.approx(r.base_score, rel=1e-9) and got[i].score == pytest.approx(r.score, rel=1e-5)
+
+
 def test_pair_seen_once_is_kept(spark):
     table = docs(spark, ["a b", "a c", "d b", "b"])
     voc, model = lm.learn(table.filter("doc_id < 3"))
