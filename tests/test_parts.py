@@ -520,3 +520,23 @@ def test_boxes_broadcast_no_cells(spark):
     best = {(r.x, r.y): r.best for r in got.collect()}
     assert best[2, 2] == max(float(x * 7 % 5 + y) for x in (1, 2, 3) for y in (1, 2, 3)) and len(best) == 36
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_bracket_meets_one_stretch_of_each_run(spark):
+    """Points and advisories without time among others; only stretches go into the join, without arrays of points."""
+    at = lambda h: None if h is None else datetime(2024, 1, 1 + h // 24, h % 24)
+    runs = {"A": [None, 6, 12, 30], "B": [12], "C": [None], "D": [0, 3]}
+    rows = [("S", m, at(0), at(h), float(i), 0.0, i, i, i, i) for m, hours in runs.items() for i, h in enumerate(hours)]
+    deck = spark.createDataFrame(rows, "storm_id string, model_id string, init_time timestamp, valid_time timestamp, lat double, lon double, vmax int, mslp int, dir int, speed int")
+    hours = [None, 0, 3, 6, 7, 12, 29, 30, 40]
+    given = spark.createDataFrame([(s, at(h)) for s in ("S", None, "X") for h in hours], "storm_id string, advisory_time timestamp")
+    got = verify.bracket(deck, given)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "points" not in plan.split("Join Inner")[0]
+    found = {(r.model_id, r.advisory_time): (r.prior.vmax, r.future.vmax, r.inside) for r in got.collect()}
+    want = {}
+    for m, own in runs.items():
+        for h in hours:
+            k, last = sum(x is not None and h is not None and x <= h for x in own), len(own) - 1
+            want[m, at(h)] = max(k - 1, 0), min(k, last), 1 <= k <= last
+    assert found == want and got.count() == len(want)
