@@ -23,13 +23,17 @@ def nodes(points: DataFrame, order: str = "event_id") -> DataFrame:
     return last.select(F.col(f"r.{order}").alias("node_id"), *key, *[f"r.{c}" for c in rest if c != order])
 
 
-def _cells(deg: Column, offset: float, period: float, radius: float) -> tuple[Column, int]:
-    """Cell of a coordinate on a circle of ``period`` degrees; cells are at
-    least one radius wide, so neighbours hold every possible partner."""
-    n = int(period // radius)
-    if n < 3:
+EDGE = 1e-6  # degrees by which a box is widened against rounding at the border of a cell
+
+
+def _cells(deg: Column, offset: float, period: float, radius: float) -> tuple[Column, Column]:
+    """Cell of a coordinate on a circle of ``period`` degrees, and the one or two
+    cells that a box round it meets: a cell is as wide as a box at least."""
+    if int(period // radius) < 3:
         raise ValueError("radius too large for the bucketed join")
-    return F.pmod(F.floor((deg + offset) / (period / n)), F.lit(n)), n
+    n = max(1, int(period // (2 * (radius + 2 * EDGE))))
+    cell = lambda x: F.pmod(F.floor((x + offset) / (period / n)), F.lit(n))
+    return cell(deg), F.array_distinct(F.array(cell(deg - (radius + EDGE)), cell(deg + (radius + EDGE))))
 
 
 def within_box(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float) -> Column:
@@ -40,19 +44,15 @@ def box_join(left: DataFrame, right: DataFrame, on: list[str], radius: float) ->
     """Pairs (src, dst) of ``node_id`` whose positions lie within a box.
 
     An equi-join on the common keys and the cell: the left side looks into
-    the 3x3 cells round its own. Both coordinates are circular (latitude by a
-    half turn), so the poles and the antimeridian need no special case.
-    Nodes are distinct positions, which bounds what one cell can hold."""
-    lat_cell, n_lat = _cells(F.col("lat"), 90.0, 180.0, radius)
-    lon_cell, n_lon = _cells(F.col("lon"), 180.0, 360.0, radius)
-    shifts = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    the cells that its box meets, four at most. Both coordinates are circular
+    (latitude by a half turn), so the poles and the antimeridian need no special
+    case. Nodes are distinct positions, which bounds what one cell can hold."""
+    lat_cell, lat_cells = _cells(F.col("lat"), 90.0, 180.0, radius)
+    lon_cell, lon_cells = _cells(F.col("lon"), 180.0, 360.0, radius)
     probe = (
         left.select(F.col("node_id").alias("src"), *on, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"),
-                    lat_cell.alias("u"), lon_cell.alias("v"))
-        .withColumn("du", F.explode(shifts)).withColumn("dv", F.explode(shifts))
-        .withColumn("u", F.pmod(F.col("u") + F.col("du"), F.lit(n_lat)))
-        .withColumn("v", F.pmod(F.col("v") + F.col("dv"), F.lit(n_lon)))
-        .drop("du", "dv")
+                    lat_cells.alias("us"), lon_cells.alias("vs"))
+        .withColumn("u", F.explode("us")).withColumn("v", F.explode("vs")).drop("us", "vs")
     )
     build = right.select(F.col("node_id").alias("dst"), *on, "lat", "lon", lat_cell.alias("u"), lon_cell.alias("v"))
     hits = probe.join(build, [*on, "u", "v"])

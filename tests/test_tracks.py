@@ -362,3 +362,19 @@ def test_summary_of_a_track(spark):
     assert (h.start_basin, h.start_time_step, h.last_time_step, h.n_points, h.min_mslp) == ("AL", 0, 24, 5, 996.0)
     pts = track.nested(track.min_pressure(comp)).select(F.col("points.time_step").alias("s")).first().s
     assert pts == [0, 6, 12, 18, 24]
+
+
+@pytest.mark.parametrize("radius", [1.0, 3.0, 5.0])
+def test_box_meets_four_cells_at_most(spark, radius):
+    """At the borders of cells, the poles and the antimeridian, against every pair."""
+    n_lat, n_lon = int(180 // (2 * radius)), int(360 // (2 * radius))
+    lats = [-90.0, 90.0, 0.0, -radius, radius, 180 / n_lat - 90, 360 / n_lat - 90, 90 - radius]
+    lons = [-180.0, 180.0, 179.5, -180 + radius, 360 / n_lon - 180, 720 / n_lon - 180, 0.1, 0.1 + radius]
+    points = [(i, "M", lat, lon) for i, (lat, lon) in enumerate((a, o) for a in lats for o in lons)]
+    nodes = spark.createDataFrame(points, "node_id long, model_name string, lat double, lon double")
+    gap = lambda a, b, turn: min(abs(a - b), abs(abs(a - b) - turn))
+    want = {(i, j) for i, _, a, o in points for j, _, b, p in points if gap(a, b, 180.0) <= radius and gap(o, p, 360.0) <= radius}
+    got = [(r.src, r.dst) for r in link.box_join(nodes, nodes, ["model_name"], radius).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    _, cells = link._cells(F.col("lat"), 90.0, 180.0, radius)
+    assert nodes.select(F.max(F.size(cells))).first()[0] <= 2
