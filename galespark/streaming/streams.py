@@ -48,11 +48,17 @@ def sensing_sessions(points: DataFrame, keys: list[str], column: str = "ts", gap
 def storms_in_sessions(sessions: DataFrame, storms: DataFrame, keys: list[str], time: str, margin: str = "30 minutes") -> DataFrame:
     """Storm points next to a stretch of sensing, by an interval join of two
     streams. Both carry a watermark, so that each side's state goes once the
-    other can no longer reach it; stretches come in when they are closed."""
-    own = [F.col(f"s.{k}") == F.col(f"p.{k}") for k in keys]
+    other can no longer reach it; stretches come in when they are closed.
+
+    A stretch counts in every hour that it reaches and a storm point in its own.
+    The hour is a key of the join, so that a row meets the state of its hour,
+    not all that the state holds of its keys."""
+    own = [F.col(f"s.{k}") == F.col(f"p.{k}") for k in (*keys, "hour")]
     gap = F.expr(f"interval {margin}")
     near = (F.col(f"p.{time}") >= F.col("s.w.start") - gap) & (F.col(f"p.{time}") <= F.col("s.w.end") + gap)
-    hits = sessions.alias("s").join(storms.alias("p"), reduce(and_, own, near))
+    hour = lambda t: F.floor(F.unix_micros(t) / 3_600_000_000)
+    reached = F.explode(F.sequence(hour(F.col("w.start") - gap), hour(F.col("w.end") + gap)))
+    hits = sessions.withColumn("hour", reached).alias("s").join(storms.withColumn("hour", hour(F.col(time))).alias("p"), reduce(and_, own, near))
     rest = [F.col(f"p.{c}") for c in storms.columns if c not in keys]
     return hits.select(*(F.col(f"s.{k}") for k in keys), F.col("s.w.start").alias("first"), F.col("s.w.end").alias("closed"), "s.n", *rest)
 

@@ -540,3 +540,16 @@ def test_bracket_meets_one_stretch_of_each_run(spark):
             k, last = sum(x is not None and h is not None and x <= h for x in own), len(own) - 1
             want[m, at(h)] = max(k - 1, 0), min(k, last), 1 <= k <= last
     assert found == want and got.count() == len(want)
+
+
+def test_sessions_meet_the_storms_of_their_hours(spark):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    spans = [("A", 0, 10), ("A", 29, 91), ("A", 300, 3000), ("B", 60, 60), ("B", 90, 100)]
+    times = [(k, m) for k in "AB" for m in (0, 29, 30, 40, 41, 60, 90, 121, 122, 130, 131, 269, 270, 1000, 3030, 3031)]
+    sessions = spark.createDataFrame([(k, (at(a), at(b)), 1) for k, a, b in spans], "k string, w struct<start timestamp, end timestamp>, n long")
+    storms = spark.createDataFrame([(k, at(m)) for k, m in times], "k string, t timestamp")
+    hits = streams.storms_in_sessions(sessions, storms, ["k"], "t")
+    want = sorted((k, at(a), at(b), 1, at(m)) for k, a, b in spans for j, m in times if j == k and a - 30 <= m <= b + 30)
+    assert hits.columns == ["k", "first", "closed", "n", "t"] and sorted(map(tuple, hits.collect())) == want
+    join = next(x for x in hits._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+    assert "hour" in join  # a session does not meet all storm points of its model
