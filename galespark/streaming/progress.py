@@ -1,7 +1,8 @@
 """Progress of forecast runs as their files arrive, in keyed state.
 
 State of a run holds what it may come to: its files, members and steps. They
-are lists bounded by what a run consists of. A run is complete when a marker
+are lists bounded by what a run consists of, in one string, since state is
+handed over value by value. A run is complete when a marker
 file says so, or when as many files and members are there as the schedule
 expects (a run that is not on the schedule completes by its marker only). Each
 micro-batch that brings new files gives one row of an incomplete run: ``partial``
@@ -12,6 +13,7 @@ behind: an incomplete one gives a last row ``expired``, and the state goes.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -22,8 +24,9 @@ KEYS = ["model_name", "init_time"]
 OUT = "model_name string, init_time timestamp, version int, status string, n_files int, n_members int, n_steps int"
 STATE = (
     "expected_files int, expected_members int, version int, status string, marked boolean, "
-    "files array<string>, members array<string>, steps array<int>"
+    "seen string"
 )
+NOTHING = "[[], [], []]"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEPT_SETTINGS = ["spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled"]
 
@@ -45,16 +48,15 @@ class Progress(StatefulProcessor):
         return int(moment.timestamp() * 1000) + self.days * 86_400_000
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.state.update((initialState.expected_files, initialState.expected_members, 0, None, False, [], [], []))
+        self.state.update((initialState.expected_files, initialState.expected_members, 0, None, False, NOTHING))
         self.handle.registerTimer(self._end(key[1]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.state.exists():
-            want, members_wanted, version, status, marked, files, members, steps = self.state.get()
-        else:
-            want, members_wanted, version, status, marked, files, members, steps = -1, -1, 0, None, False, [], [], []
+        kept = self.state.get()
+        want, members_wanted, version, status, marked, held = kept or (-1, -1, 0, None, False, NOTHING)
+        if kept is None:
             self.handle.registerTimer(self._end(key[1]))
-        seen, who, when = set(files), set(members), set(steps)
+        seen, who, when = map(set, json.loads(held))
         before = len(seen), marked
         for r in rows:
             if r.is_marker:
@@ -73,13 +75,17 @@ class Progress(StatefulProcessor):
             )
         if status == "complete":  # counts are all that is needed from now on
             seen, who, when = (), (), ()
-        self.state.update((want, members_wanted, version, status, marked, sorted(seen), sorted(who), sorted(when)))
+        now = (want, members_wanted, version, status, marked, json.dumps([sorted(x, key=str) for x in (seen, who, when)]))
+        if kept is None or now[2:] != tuple(kept)[2:]:
+            self.state.update(now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.state.exists():
-            _, _, version, status, _, files, members, steps = self.state.get()
+        kept = self.state.get()
+        if kept is not None:
+            _, _, version, status, _, held = kept
             self.state.clear()
             if version and status != "complete":
+                files, members, steps = json.loads(held)
                 yield Row(
                     model_name=key[0], init_time=key[1], version=version + 1, status="expired",
                     n_files=len(files), n_members=len(members), n_steps=len(steps),

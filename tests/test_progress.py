@@ -127,3 +127,23 @@ def test_closed_sessions_leave_the_state(spark, tmp_path):
         q.awaitTermination()
         left.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
     assert spark.read.parquet(f"{tmp_path}/out").count() >= 59 and max(left) <= 3  # of 60 sessions
+
+
+def test_state_is_one_value_written_only_when_it_changes():
+    from types import SimpleNamespace as Made
+
+    class Value:
+        held, calls = None, []
+
+        def __getattr__(self, name):
+            return lambda *x: self.calls.append(name) or (setattr(self, "held", x[0]) if name == "update" else self.held if name == "get" else None)
+
+    p, value = progress.Progress(), Value()
+    p.init(Made(getValueState=lambda *_: value, registerTimer=lambda *_: value.calls.append("timer")))
+    key, files = ("A", day(1)), lambda *names: [Made(is_marker=False, path=f, member=f[:1], time_step=len(f)) for f in names]
+    p.handleInitialState(key, Made(expected_files=3, expected_members=2), None)
+    got = [tuple(r) for rows in (files("a1", "a22"), files("a1"), files("b1"), files("c1")) for r in p.handleInputRows(key, rows, None)]
+    assert got == [(*key, 1, "partial", 2, 1, 2), (*key, 2, "complete", 3, 2, 2)]
+    # a repeated file and files after the end change nothing; state is asked for once per batch
+    assert value.calls == ["update", "timer", "get", "update", "get", "get", "update", "get"]
+    assert list(p.handleExpiredTimer(key, None, None)) == []
