@@ -166,19 +166,35 @@ def _pieces(points: DataFrame, start: Column | None = None, end: Column | None =
     return p.withColumns({"dist": geo.distance_m(*a, *z), "az": geo.azimuth_deg(*a, *z)})
 
 
-def _at_minute(pieces: DataFrame, epoch: str, *further: str) -> DataFrame:
-    """Pieces at their minute ``i``: place, wind and radii in between."""
+def _headed(pieces: DataFrame) -> DataFrame:
+    """Pieces with the sines and cosines that all their minutes share."""
+    turns = {f"{fn}_{c}": getattr(F, fn)(F.radians(c)) for fn in ("sin", "cos") for c in ("lat", "az")}
+    return pieces.withColumns(turns)
+
+
+def _since(epoch: str) -> Column:
+    """Start of a piece in seconds."""
+    return F.unix_timestamp("valid_time") - F.unix_timestamp(F.lit(epoch).cast("timestamp"))
+
+
+def _at_minute(pieces: DataFrame, *further: str) -> DataFrame:
+    """Pieces (:func:`_headed`, with ``since``) at their minute ``i``: place, wind and radii in between.
+
+    The place is that of ``geo.dest_lat`` and ``geo.dest_lon``, each sine taken once."""
     p = pieces.withColumn("share", F.col("i") / F.col("n"))
+    p = p.withColumn("arc", F.col("dist") * F.col("share") / F.lit(geo.EARTH_RADIUS_M))
+    p = p.withColumns({"sin_arc": F.sin("arc"), "cos_arc": F.cos("arc")})
+    up = F.col("sin_lat") * F.col("cos_arc") + F.col("cos_lat") * F.col("sin_arc") * F.col("cos_az")
+    p = p.withColumn("sin_to", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up)))
+    east = F.atan2(F.col("sin_az") * F.col("sin_arc") * F.col("cos_lat"), F.col("cos_arc") - F.col("sin_lat") * F.col("sin_to"))
     blend = lambda x, y: x + F.col("share") * (y - x)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    step = F.col("dist") * F.col("share")
-    valid = F.timestamp_add("MINUTE", F.col("i"), F.col("valid_time"))
     moved = F.col("dist") > 0
     return p.select(
-        *TRACK, valid.alias("minute_time"),
-        (F.unix_timestamp(valid) - F.unix_timestamp(F.lit(epoch).cast("timestamp"))).alias("interp_id"),
-        F.when(moved, geo.dest_lat(F.col("lat"), F.col("az"), step)).otherwise(F.col("lat")).alias("lat"),
-        F.when(moved, geo.dest_lon(F.col("lat"), F.col("lon"), F.col("az"), step)).otherwise(F.col("lon")).alias("lon"),
+        *TRACK, F.timestamp_add("MINUTE", F.col("i"), F.col("valid_time")).alias("minute_time"),
+        (F.col("since") + F.lit(60).cast("bigint") * F.col("i")).alias("interp_id"),
+        F.when(moved, F.degrees(F.asin("sin_to"))).otherwise(F.col("lat")).alias("lat"),
+        F.when(moved, units.signed_lon(F.col("lon") + F.degrees(east))).otherwise(F.col("lon")).alias("lon"),
         blend(F.col("vmax"), F.col("z.vmax")).alias("vmax"), blend(F.col("rmw"), F.col("z.rmw")).alias("rmw"),
         blend(zero("roci"), zero("z.roci")).alias("roci"), *further,
     )
@@ -186,9 +202,13 @@ def _at_minute(pieces: DataFrame, epoch: str, *further: str) -> DataFrame:
 
 def minutes(points: DataFrame, start: Column | None = None, end: Column | None = None, epoch: str = "2024-01-01") -> DataFrame:
     """Tracks at every minute, end points left out. A missing closed-isobar
-    radius counts as 0. With a time span, minutes outside are never made."""
-    p = _pieces(points, start, end)
-    return _at_minute(p.withColumn("i", F.explode(F.sequence("i0", "i1"))), epoch)
+    radius counts as 0. With a time span, minutes outside are never made.
+
+    Pieces are few bytes and many minutes: they are spread by number, which the
+    adaptive planner does not fold to a few tasks by their size."""
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = _headed(_pieces(points.repartition(parts, *TRACK), start, end).withColumn("since", _since(epoch)))
+    return _at_minute(p.withColumn("i", F.explode(F.sequence("i0", "i1"))))
 
 
 def close_pieces(pieces: DataFrame, quads: DataFrame, epoch: str) -> DataFrame:
@@ -205,9 +225,8 @@ def close_pieces(pieces: DataFrame, quads: DataFrame, epoch: str) -> DataFrame:
     )
     boxes = boxes.withColumn("in_hour", F.floor(F.col("slot") / SLOTS_PER_HOUR))
     reach = (F.col("dist") + F.greatest("rmw", "z.rmw")) * 1.01 + 1000
-    since = F.unix_timestamp("valid_time") - F.unix_timestamp(F.lit(epoch).cast("timestamp"))
     slot = lambda i: F.floor((F.col("since") + 60 * F.col(i)) / SLOT_SECONDS)
-    p = pieces.withColumns({"since": since, "dlat": reach / units.M_PER_DEGREE * 1.01})
+    p = pieces.withColumns({"since": _since(epoch), "dlat": reach / units.M_PER_DEGREE * 1.01})
     narrow = F.cos(F.radians(F.least(F.lit(89.9), F.abs("lat") + F.col("dlat"))))
     p = p.withColumns({"dlon": F.col("dlat") / narrow, "s0": slot("i0"), "s1": slot("i1")})
     p = p.withColumn("hour", F.explode(F.sequence(F.floor(F.col("s0") / SLOTS_PER_HOUR), F.floor(F.col("s1") / SLOTS_PER_HOUR))))
@@ -309,7 +328,7 @@ def sensed_tracks(points: DataFrame, quads: DataFrame, epoch: str = "2024-01-01"
     areas = quads.drop("valid_time").withColumnRenamed("interp_id", "at").withColumn("slot", F.floor(F.col("at") / SLOT_SECONDS))
     pairs = pieces.join(areas.hint("merge"), ["slot", "satellite", "side"]).withColumn("i", F.col("at") - F.col("since"))
     pairs = pairs.filter("i % 60 = 0 and i between 60 * i0 and 60 * i1").withColumn("i", (F.col("i") / 60).cast("int"))
-    return _meeting(_at_minute(pairs, epoch, *[c for c in areas.columns if c not in ("at", "slot")]))
+    return _meeting(_at_minute(_headed(pairs), *[c for c in areas.columns if c not in ("at", "slot")]))
 
 
 def time_overlap(storms: DataFrame, passes: DataFrame, hours: int = 6) -> DataFrame:

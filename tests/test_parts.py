@@ -542,6 +542,25 @@ def test_bracket_meets_one_stretch_of_each_run(spark):
     assert found == want and got.count() == len(want)
 
 
+def test_minutes_are_spread_and_lie_on_the_great_circle(spark):
+    rows = [("A", datetime(2024, 1, 1), k, datetime(2024, 1, 1, h), lat, lon, 20.0 + h, 40000, None) for k, track in enumerate(
+        ([(10.0, 179.5), (12.0, -179.0)], [(-30.0, 5.0), (-30.0, 5.0)], [(89.5, 0.0), (89.5, 170.0)])) for h, (lat, lon) in zip((0, 6), track)]
+    storms = spark.createDataFrame(rows, "model_name string, init_time timestamp, storm_no int, valid_time timestamp, lat double, lon double, vmax double, rmw int, roci int")
+    found = passes.minutes(storms)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()  # tasks are not folded by the size of the pieces
+    step = F.col("dist") * F.col("i") / F.col("n")
+    p = passes._pieces(storms).withColumn("i", F.explode(F.sequence("i0", "i1")))
+    moved = [F.when(F.col("dist") > 0, to).otherwise(F.col(c)) for c, to in (
+        ("lat", geo.dest_lat(F.col("lat"), F.col("az"), step)), ("lon", geo.dest_lon(F.col("lat"), F.col("lon"), F.col("az"), step)))]
+    second = F.unix_timestamp("valid_time") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + 60 * F.col("i")
+    want = {(r[0], r[1]): r for r in p.select("storm_no", second, *moved).collect()}
+    got = {(r.storm_no, r.interp_id): r for r in found.collect()}
+    assert got.keys() == want.keys() and len(got) == 3 * 360
+    for k, r in got.items():
+        assert r.lat == pytest.approx(want[k][2], abs=1e-9) and r.lon == pytest.approx(want[k][3], abs=1e-9)
+        assert (r.minute_time - datetime(2024, 1, 1)).total_seconds() == r.interp_id
+
+
 def test_sessions_meet_the_storms_of_their_hours(spark):
     at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
     spans = [("A", 0, 10), ("A", 29, 91), ("A", 300, 3000), ("B", 60, 60), ("B", 90, 100)]
