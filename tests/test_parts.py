@@ -16,6 +16,7 @@ from galespark.operators.ranking import quantiles, ranked
 from galespark.plans import runs
 from galespark.sinks import writers
 from galespark.sources import advisory, deck, dims, files, tracker
+from galespark.sources import grid as grid_rows
 from galespark.streaming import streams
 
 LINE = (
@@ -561,6 +562,21 @@ def test_minutes_are_spread_and_lie_on_the_great_circle(spark):
         assert (r.minute_time - datetime(2024, 1, 1)).total_seconds() == r.interp_id
 
 
+def test_fields_of_a_cell_are_one_row_of_one_shuffle(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(grid_rows, "cut", lambda df: written.append(df) or df.cache())
+    every = [(p, lv) for p, lv in grid_rows.FIELDS]
+    rows = [("A", datetime(2024, 1, 1), s, x, 0, p, lv, "Pa" if p == "prmsl" else "m/s", 100.0 * (x + 1))
+            for s in range(5) for x in range(2) for p, lv in every if not (s == 1 and p == "gh") and not (s == 2 and (p, lv, x) == ("u", 10, 0))]
+    rows += [("A", datetime(2024, 1, 1), 3, 0, 0, "absv", 850, "1/s", 0.5), ("A", datetime(2024, 1, 1), 0, 0, 0, "other", 1, "x", 9.0)]
+    rows += [("A", datetime(2024, 1, 1), 4, x, 0, "absv", 850, "1/s", 0.5) for x in range(2)]
+    long = spark.createDataFrame(rows, "model_name string, init_time timestamp, time_step int, x int, y int, param string, level int, unit string, value double")
+    got = {(r.time_step, r.x): (r.mslp, r.v10, r.vort850) for r in grid_rows.select_fields(long).collect()}
+    # no geopotential, a cell short, an optional field in half the cells: these steps go whole
+    assert got == {(s, x): (x + 1.0, 100.0 * (x + 1), v) for s, v in ((0, None), (4, 0.5)) for x in range(2)}
+    assert [len(w.columns) for w in written] == [5 + 2 * 10, 3]
+
+
 def test_sessions_meet_the_storms_of_their_hours(spark):
     at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
     spans = [("A", 0, 10), ("A", 29, 91), ("A", 300, 3000), ("B", 60, 60), ("B", 90, 100)]
