@@ -29,6 +29,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -44,16 +45,22 @@ SPACE = "▁"
 U64 = np.uint64
 
 
-def mixed(*parts) -> np.ndarray:
-    """Uniform numbers in (0, 1) of integer coordinates."""
-    x = U64(SEED)
+def stirred(x, *parts) -> np.ndarray:
+    """The state ``x`` of the random numbers, moved on by integer coordinates."""
     with np.errstate(over="ignore"):
         for p in parts:
             x = (x ^ np.asarray(p).astype(np.int64).view(U64)) + U64(0x9E3779B97F4A7C15)
-            x = (x ^ x >> U64(30)) * U64(0xBF58476D1CE4E5B9)
-            x = (x ^ x >> U64(27)) * U64(0x94D049BB133111EB)
-            x = x ^ x >> U64(31)
-    return ((x >> U64(12)).astype(np.float64) + 0.5) / 2.0**52
+            x ^= x >> U64(30)
+            x *= U64(0xBF58476D1CE4E5B9)
+            x ^= x >> U64(27)
+            x *= U64(0x94D049BB133111EB)
+            x ^= x >> U64(31)
+    return x
+
+
+def mixed(*parts, start=U64(SEED)) -> np.ndarray:
+    """Uniform numbers in (0, 1) of integer coordinates."""
+    return ((stirred(start, *parts) >> U64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
 class Pieces:
@@ -87,6 +94,8 @@ class Pieces:
         self.keys = np.array(sorted(trie), np.int64)
         self.next = np.array([trie[k] for k in self.keys.tolist()], np.int64)
         self.piece = np.array(self.piece, np.int64)
+        self.inner = np.zeros(len(self.piece), bool)  # nodes that go on
+        self.inner[self.keys >> 21] = True
         first = self.keys[self.keys < 1 << 21]  # characters from the root, looked up directly
         self.root = np.zeros(int(first.max()) + 1, np.int64)
         self.root[first] = self.next[: len(first)]
@@ -157,7 +166,7 @@ class Lattice:
             found.append((pos[whole], np.full(int(whole.sum()), length), voc.piece[node[whole]]))
             if length == 1:
                 single[pos[whole]] = True
-            more = pos + length < limit[pos]
+            more = (pos + length < limit[pos]) & voc.inner[node]
             pos, node = pos[more], node[more]
             length += 1
         src, span, piece = (np.concatenate(x) for x in zip(*found))
@@ -237,11 +246,11 @@ class Lattice:
 def _sample(lattice, key, occ_doc, occ_rank, occ_end, occ, node, step, draw):
     """Walk to the end of each chunk; (occurrence, step, edge) of every piece in
     text order. Occurrences come in rising order, each once."""
-    out, first, number = [], step, np.zeros(len(occ), np.int64)
+    out, first, number, drawn = [], step, np.zeros(len(occ), np.int64), stirred(U64(SEED), draw, key)
     walker, every = np.arange(len(occ)), occ
     while len(walker):
         mine = every[walker]
-        edge = lattice.draw(node, lambda i: mixed(draw, key[occ_doc[mine[i]]], occ_rank[mine[i]] << 24 | step[i]))  # noqa: B023
+        edge = lattice.draw(node, lambda i: mixed(occ_rank[mine[i]] << 24 | step[i], start=drawn[occ_doc[mine[i]]]))  # noqa: B023
         out.append((walker, edge))
         number[walker] += 1
         node = lattice.dst[edge]
@@ -281,9 +290,10 @@ def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -
     result: list[list] = [[] for _ in range(n)]
     if not every:
         return [[(0.0, 0.0, np.zeros(0, np.int32))] for _ in range(n)]
-    distinct = list(dict.fromkeys(every))
-    number = dict(zip(distinct, range(len(distinct))))
+    number: defaultdict = defaultdict()
+    number.default_factory = number.__len__  # a new chunk gets the next number
     occ_chunk = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+    distinct = list(number)
     del every, number
     lat = Lattice(voc, distinct)
     occ_doc = np.repeat(np.arange(n), count)
@@ -320,7 +330,7 @@ def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -
         if not occ:
             break
         o, s, e = _sample(lat, keys, occ_doc, occ_rank, occ_end, np.concatenate(occ), np.concatenate(node), np.concatenate(step), r)
-        cut = np.searchsorted(occ_doc[o], np.arange(n + 1))
+        cut, gumbel = np.searchsorted(occ_doc[o], np.arange(n + 1)), stirred(U64(SEED), keys, r, -3)
         for d, (g, old, t, banned) in todo.items():
             path = o[cut[d] : cut[d + 1]], s[cut[d] : cut[d + 1]], e[cut[d] : cut[d + 1]]
             if old is not None:
@@ -337,7 +347,7 @@ def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -
             rest = [x for x in range(lat.start[here], lat.start[here + 1]) if x not in out]
             left[0] = np.logaddexp.reduce(lat.logp[rest]) if len(rest) else -np.inf
             mass = upto[t:] - logp[t:] + left
-            free = mass - np.log(-np.log(mixed(keys[d], r, -3, places)))  # Gumbel maxima, and in the same order truncated at g
+            free = mass - np.log(-np.log(mixed(places, start=gumbel[d])))  # Gumbel maxima, and in the same order truncated at g
             top = largest(free, k - r)
             new = -np.logaddexp(-free[top], -g)
             queue[d] += [(float(x), (d, r), int(t + i), out if i == 0 else (int(edge[t + i]),)) for x, i in zip(new, top) if x > -np.inf]

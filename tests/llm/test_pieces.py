@@ -90,3 +90,20 @@ def test_table_round_trips(spark):
     text = {(r.doc_id, r.draw): r.text for r in X.decode(out, PATH).collect()}
     assert all(text[d, j] == (texts[d] or "").replace("▁", " ") for d, v in by.items() for j, _ in v)
     assert X.sample(table.limit(0), PATH).collect() == []
+
+
+def test_walks_end_where_no_piece_goes_on(monkeypatch):
+    voc = X.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    asked = []
+    step = X.Pieces.step
+    monkeypatch.setattr(X.Pieces, "step", lambda self, node, code: asked.append(node) or step(self, node, code))
+    lat = X.Lattice(voc, ["▁understanding", "▁the", "zz", "€ü"])
+    goes_on = set((voc.keys >> 21).tolist())
+    assert asked and goes_on.issuperset(np.concatenate(asked).tolist())
+    # all pieces are found for all that
+    found = {(int(s), int(d)) for s, d, p in zip(lat.src, lat.dst, lat.piece) if s < 14}
+    ids = {b.decode("utf-8", "ignore") for b in voc.bytes_of}
+    text = "▁understanding"
+    assert found == {(i, j) for i in range(14) for j in range(i + 1, 15) if text[i:j] in ids}
+    part = X.stirred(X.U64(X.SEED), 3, np.arange(4))
+    assert (X.mixed(7, start=part) == X.mixed(3, np.arange(4), 7)).all()
