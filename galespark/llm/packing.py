@@ -38,9 +38,11 @@ TOGETHER = 4096  # chunks in one call of the library
 WORD_END = "</w>"  # mark of a word's last token
 # texts of plain characters: ASCII and European letters that stay one letter in lower case
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
-PLAIN = re.compile(f"[ \\t\\n\\r!-~{LETTERS}]*")
-# fixed values: the contractions of the vocabulary's rule for words; then letters, single digits, runs of others
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[!-/:-@\\[-`{{-~]+")
+# bytes of plain texts: 0 white space, 1 letters with all beyond ASCII, 2 digits, 3 others
+KIND = np.array([0 if c in b" \t\n\r" else 1 if c > 127 or chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
+DOUBTFUL = np.array([c > 126 or (c < 32 and KIND[c] > 0) for c in range(256)])  # bytes that plain texts do not have but in pairs
+PAIRS = np.zeros((256, 256), bool)  # plain letters of two bytes
+PAIRS[tuple(np.array([list(c.encode()) for c in map(chr, range(128, 0x180)) if re.match(f"[{LETTERS}]", c)]).T)] = True
 SLACK = 8  # a bin with no more room than this is nearly full
 CHUNK, FAN_IN = 50_000, 8
 
@@ -50,15 +52,20 @@ class Encoder:
 
     Texts of plain characters are cut, in lower case, into the words that the
     vocabulary's own rule gives; others into chunks between white space, which
-    are independent too. A word or chunk is encoded once and remembered. What
-    is remembered is bounded by its size."""
+    are independent too. A word or chunk is encoded once and remembered; words
+    go to the library without its rules for words, which they have gone
+    through. What is remembered is bounded by its size."""
 
     def __init__(self, path: str, limit: int = REMEMBERED):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.ready = Tokenizer(self.library.model)  # for what went through the rules
+        self.ready.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+        ])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.chunk = re.compile(f"[^{SPACE}]+")
         self.limit = limit
@@ -77,7 +84,7 @@ class Encoder:
         by the tokens' offsets."""
         text = " ".join(chunks)
         if words:
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.ready.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(chunks):
                 return ids, np.diff(last, prepend=-1)
@@ -94,24 +101,44 @@ class Encoder:
             self.rows.update(zip(part, range(len(self.rows), len(self.rows) + len(part))))
             self.size += sum(map(len, part)) + ENTRY * len(part) + ids.nbytes
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, texts: pa.StringArray) -> np.ndarray:
+        """Which texts consist of plain characters and hold no special token."""
+        raw, at = content(texts)
+        odd = np.flatnonzero(DOUBTFUL[raw])
+        around = np.concatenate([[0], raw, [0]])
+        odd = odd[~(PAIRS[around[odd], raw[odd]] | PAIRS[raw[odd], around[odd + 2]])]
+        plain = np.ones(len(texts), bool)
+        plain[np.searchsorted(at, odd, side="right") - 1] = False
+        small = raw.tobytes().lower()
+        for s in self.special:
+            if s.lower().encode() in small:
+                plain &= ~pc.match_substring(texts, s, ignore_case=True).to_numpy(zero_copy_only=False)
+        return plain
+
+    def _rows(self, chunks: list[str], words: bool) -> np.ndarray:
+        """Where the chunks are remembered, new ones after they are learnt."""
+        row = np.fromiter(map(self.rows.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(row < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(chunks[i] for i in new)), words)
+            row[new] = [self.rows[chunks[i]] for i in new]
+        return row
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' identifiers in one array, and how many each text has."""
         if self.size > self.limit:
             self.forget()
-        lists, plain = [], []
-        for t in texts:
-            plain.append(t is None or (PLAIN.fullmatch(t) is not None and not any(s in t or s in t.lower() for s in self.special)))
-            lists.append(() if t is None else WORDS.findall(t.lower()) if plain[-1] else self.chunk.findall(t))
-        sizes = np.array([len(x) for x in lists], np.int64)
-        chunks = list(chain.from_iterable(lists))
-        row = np.fromiter(map(self.rows.get, chunks, repeat(-1)), np.int64, len(chunks))
-        new = np.flatnonzero(row < 0)
-        if len(new):
-            word = np.repeat(plain, sizes)[new]
-            for words in (True, False):
-                some = dict.fromkeys(chunks[i] for i in new[word == words].tolist())
-                self._learn([c for c in some if words or c not in self.rows], words)
-            row[new] = np.fromiter((self.rows[chunks[i]] for i in new.tolist()), np.int64, len(new))
+        texts = pc.fill_null(texts, "")
+        plain, sizes = self._plain(texts), np.zeros(len(texts), np.int64)
+        found, sizes[plain] = words(pc.utf8_lower(texts.filter(pa.array(plain))))
+        found = found.dictionary_encode()
+        row = self._rows(found.dictionary.to_numpy(zero_copy_only=False).tolist(), True)[found.indices.to_numpy()]
+        if not plain.all():
+            lists = [self.chunk.findall(t) for t in texts.filter(pa.array(~plain)).to_pylist()]
+            sizes[~plain] = [len(x) for x in lists]
+            word, of_words = np.repeat(plain, sizes), row
+            row = np.empty(len(word), np.int64)
+            row[word], row[~word] = of_words, self._rows(list(chain.from_iterable(lists)), False)
         self.ids, self.lengths = [np.concatenate(self.ids)], [np.concatenate(self.lengths)]
         lengths = self.lengths[0]
         start = np.cumsum(lengths) - lengths
@@ -121,6 +148,39 @@ class Encoder:
         return ids, np.diff(ends[np.append(0, np.cumsum(sizes))])
 
 
+def content(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, none of them null, and where each text begins and the last ends."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of plain texts in lower case, and how many each text has. As in
+    the vocabulary's rule words are an apostrophe with s, t, re, ve, m, ll or d;
+    letters; single digits; runs of others."""
+    raw, at = content(texts)
+    kind = KIND[raw]
+    begin = kind == 2
+    begin[1:] |= kind[1:] != kind[:-1]
+    begin[at[:-1][at[:-1] < at[1:]]] = True
+    begin &= kind > 0
+    mark = np.flatnonzero(begin & (raw == ord("'")))
+    end = at[np.searchsorted(at, mark, side="right")]
+    one, two = np.append(raw, [0, 0])[mark + 1], np.append(raw, [0, 0])[mark + 2]
+    pair = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    letters = np.where(np.isin(one, list(b"stmd")), 1, np.where(pair, 2, 0))
+    on = (letters > 0) & (mark + letters < end)
+    begin[mark[on] + 1] = False
+    after = (mark + letters + 1)[on]
+    after = after[after < len(raw)]
+    begin[after[kind[after] == 1]] = True
+    start = np.flatnonzero(begin)
+    black = kind > 0
+    bounds = np.append(0, np.cumsum(black))[np.append(start, len(raw))].astype(np.int32)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(raw[black])), np.diff(np.searchsorted(start, at))
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -149,7 +209,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, ids: bool = False)
         for whole in batches:
             for a, b in slices(pc.fill_null(pc.utf8_length(whole.column(1)), 0).to_pylist()):
                 here = whole.slice(a, b - a)
-                found, sizes = encode(here.column(1).to_pylist())
+                found, sizes = encode(here.column(1))
                 rows = []
                 for doc_id, text in zip(here.column(0).to_pylist(), np.split(found, np.cumsum(sizes)[:-1])):
                     raw = text.tobytes() + end

@@ -1,9 +1,12 @@
 """Token counts and packing against the library and a plain packing check."""
 
+import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -66,6 +69,28 @@ def test_packing_is_whole_and_tight(spark):
     assert len(by) <= 1.03 * sum(r.length for r in rows) / 2048 + 2
 
 
+def test_words_follow_the_rule_and_are_looked_up_once(monkeypatch):
+    rng, library = random.Random(3), Tokenizer.from_file(WORD)
+    plain, odd = "aAsStTrReEvVmMlLdD'\"!.,<|>09 \t\n\réÉŸÿžŽßÇ" + 4 * "'", "½²İſ中😀\x00\x7f×÷ŉ́\xa0　Δς"
+    texts = ["".join(rng.choice(plain) for _ in range(rng.randrange(12))) for _ in range(5000)]
+    found, sizes = packing.words(pa.array([t.lower() for t in texts], pa.string()))
+    shown = token_counts._shown_bytes()
+    rule = [[w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(t))] for t in texts]
+    assert sizes.tolist() == [len(r) for r in rule]
+    assert ["".join(shown[b] for b in w.encode()) for w in found.to_pylist()] == [w for r in rule for w in r]
+    letters = "".join(c for c in map(chr, range(0x180)) if re.match(f"[{packing.LETTERS}]", c))
+    assert packing.pc.utf8_lower(pa.array([letters])).to_pylist() == [letters.lower()]
+
+    texts += ["".join(rng.choice(plain + odd) for _ in range(rng.randrange(12))) for _ in range(3000)] + ODD
+    rng.shuffle(texts)
+    asked, rows = [], packing.Encoder._rows
+    monkeypatch.setattr(packing.Encoder, "_rows", lambda self, chunks, words: (words and asked.extend(chunks)) or rows(self, chunks, words))
+    ids, sizes = packing.Encoder(WORD)(pa.array(texts, pa.string()).slice(5))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts[5:]]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(asked) == len(set(asked)) > 1000  # not once for each occurrence
+
+
 def test_best_fit_against_plain_search():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 101, 300)
