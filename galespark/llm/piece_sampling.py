@@ -29,7 +29,6 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -40,6 +39,7 @@ from pyspark.sql import functions as F
 
 K, SEED = 2, 11
 BATCH_CHARS = 3_000_000
+BLOCK = 100_000  # characters whose lattices are built together, so that arrays stay in the processor's cache
 LOW = 512  # characters below it are looked up two at a time
 SPACE = "▁"
 U64 = np.uint64
@@ -104,8 +104,8 @@ class Pieces:
         for c in first[first < LOW].tolist():
             a, b = np.searchsorted(self.keys, [int(self.root[c]) << 21, (int(self.root[c]) << 21) + LOW])
             self.two[c, self.keys[a:b] & (LOW - 1)] = self.next[a:b]
-        crossing = any(re.search(f"[^{SPACE}]{SPACE}", b.decode("utf-8", "ignore")) for b in self.bytes_of)
-        self.chunk = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
+        # whether pieces go on over spaces; if not, chunks end before each run of them
+        self.crossing = any(re.search(f"[^{SPACE}]{SPACE}", b.decode("utf-8", "ignore")) for b in self.bytes_of)
 
     def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Next nodes, 0 where the trie goes no further."""
@@ -116,6 +116,22 @@ class Pieces:
     def normalised(self, text: str | None) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def chunks(self, texts: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+        """The distinct chunks of texts, which one each chunk is, and how many chunks each text has."""
+        normal = [self.normalised(t) for t in texts]
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal))))
+        code = np.frombuffer(utf32("".join(normal)), np.uint32)
+        begin = np.zeros(len(code), bool)
+        if not self.crossing:
+            space = code == ord(SPACE)
+            begin[1:] = space[1:] & ~space[:-1]
+        begin[ends[:-1][ends[:-1] < ends[1:]]] = True
+        start = np.flatnonzero(begin)
+        bounds = 4 * np.append(start, len(code))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(code)])
+        found = found.dictionary_encode()
+        return found.dictionary, found.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(start, ends))
+
     def spelled(self, ids: np.ndarray) -> bytes:
         """The bytes of a segmentation."""
         size = self.size[ids]
@@ -133,80 +149,34 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def utf32(text: str) -> bytes:
+    return text.encode("utf-32-le", "surrogatepass")
+
+
+def content(texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of texts of four bytes each, and where each text begins and the last ends."""
+    at = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint32)[: at[-1] // 4], at // 4
+
+
 class Lattice:
     """Edges of all distinct chunks of a batch, with conditional log probabilities."""
 
-    def __init__(self, voc: Pieces, chunks: list[str]):
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        owner = np.repeat(np.arange(len(chunks)), size)
-        end = np.cumsum(size)
-        self.first, self.last = end - size + np.arange(len(chunks)), end + np.arange(len(chunks))  # nodes
-        limit = end[owner]
-        pos, node, found = np.arange(len(code)), np.zeros(len(code), np.int64), []
-        single = np.zeros(len(code), bool)
-        length = 1
-        while len(pos):
-            if length == 1:
-                node = np.where(code < len(voc.root), voc.root[np.minimum(code, len(voc.root) - 1)], 0)
-                on = node > 0
-                pos, node = pos[on], node[on]
-            elif length == 2:
-                a, b = code[pos], code[pos + 1]
-                low = (a < LOW) & (b < LOW)
-                node[low] = voc.two[a[low], b[low]]
-                node[~low] = voc.step(node[~low], b[~low])
-                on = node > 0
-                pos, node = pos[on], node[on]
-            else:
-                node = voc.step(node, code[pos + length - 1])
-                on = node > 0
-                pos, node = pos[on], node[on]
-            whole = voc.piece[node] >= 0
-            found.append((pos[whole], np.full(int(whole.sum()), length), voc.piece[node[whole]]))
-            if length == 1:
-                single[pos[whole]] = True
-            more = (pos + length < limit[pos]) & voc.inner[node]
-            pos, node = pos[more], node[more]
-            length += 1
-        src, span, piece = (np.concatenate(x) for x in zip(*found))
-        bare = np.flatnonzero(~single)  # characters as bytes
-        spelled = [[voc.byte_id[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in code[bare].tolist()]
-        n_bytes = np.array([len(x) for x in spelled], np.int64)
-        self.spelled, self.spelled_at = np.fromiter(chain.from_iterable(spelled), np.int32), np.append(0, np.cumsum(n_bytes))
-        w = np.concatenate([n_bytes * voc.weight[voc.byte_id[0]], voc.weight[piece]])
-        src, span = np.concatenate([bare, src]), np.concatenate([np.ones(len(bare), np.int64), span])
-        piece = np.concatenate([-1 - np.arange(len(bare)), piece])
-        s = src + owner[src]
-        nodes = len(code) + len(chunks)
-        self.start = np.append(0, np.cumsum(np.bincount(s, minlength=nodes)))
-        # edges were found by growing length; each goes to its node's next free place
-        free, place = self.start[:-1].copy(), np.empty(len(s), np.int64)
-        bounds = np.cumsum([0, len(bare), *(len(x[0]) for x in found)])
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            place[a:b] = free[s[a:b]]
-            free[s[a:b]] += 1
-        order = np.empty(len(s), np.int64)
-        order[place] = np.arange(len(s))
-        degree = np.diff(self.start)
-        self.src = np.repeat(np.arange(nodes), degree)
-        self.dst, self.piece, w = self.src + span[order], piece[order].astype(np.int32), w[order]
-        far = np.repeat(np.repeat(self.last, size + 1) - np.arange(nodes), degree)  # characters to the chunk's end
-        narrow = np.int16 if len(far) and far.max() < 1 << 15 else np.int64  # sixteen bits sort by radix
-        by = np.argsort(far.astype(narrow), kind="stable")  # nodes stay together inside a distance
-        cuts = np.searchsorted(far[by], np.arange(1, int(far.max()) + 2)) if len(by) else []
-        beta = np.zeros(nodes)
+    def __init__(self, voc: Pieces, chunks: list[str] | pa.LargeBinaryArray):
+        if isinstance(chunks, list):
+            chunks = pa.array([utf32(c) for c in chunks], pa.large_binary())
+        code, ends = content(chunks)
+        size = np.diff(ends)
+        self.first, self.last = ends[:-1] + np.arange(len(size)), ends[1:] + np.arange(len(size))  # nodes
+        block = ends[:-1] // BLOCK
+        cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(size)]
+        parts, edges, bare = [], 0, 0
         for a, b in zip(cuts[:-1], cuts[1:]):
-            e = by[a:b]
-            own = self.src[e]
-            new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            beta[own[new]] = np.logaddexp.reduceat(w[e] + beta[self.dst[e]], new)
-        self.logp = np.minimum(w + beta[self.dst] - np.repeat(beta, degree), 0)
-        p = np.exp(self.logp)
-        run = np.cumsum(p)
-        before = np.repeat(np.append(0, run)[self.start[:-1]], degree)
-        self.up_to = self.src + np.minimum(run - before, 1)
-        self.several = np.repeat(degree > 1, degree)
+            parts.append(_lattice(voc, code[ends[a] : ends[b]].astype(np.int64), size[a:b], int(ends[a]) + a, edges, bare))
+            edges, bare = edges + len(parts[-1][0]), bare + len(parts[-1][-1])
+        self.src, self.dst, self.piece, self.logp, self.up_to, self.several, start, spelled, n_bytes = map(np.concatenate, zip(*parts))
+        self.start = np.append(start, edges)
+        self.spelled, self.spelled_at = spelled, np.append(0, np.cumsum(n_bytes))
 
     def left(self, edge: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Log probability of leaving each edge's node by another."""
@@ -243,6 +213,79 @@ class Lattice:
         return edge
 
 
+def _lattice(voc: Pieces, code: np.ndarray, size: np.ndarray, node0: int, edge0: int, bare0: int) -> tuple:
+    """The part of a lattice over some chunks, which begins at a node, an edge
+    and a character without a piece: source, target, piece, log probability,
+    bound and having others beside it of each edge, first edge of each node, bytes of the characters
+    without a piece, and how many bytes each has."""
+    owner = np.repeat(np.arange(len(size)), size)
+    end = np.cumsum(size)
+    limit = end[owner]
+    pos, node, found = np.arange(len(code)), np.zeros(len(code), np.int64), []
+    single = np.zeros(len(code), bool)
+    length = 1
+    while len(pos):
+        if length == 1:
+            node = np.where(code < len(voc.root), voc.root[np.minimum(code, len(voc.root) - 1)], 0)
+            on = node > 0
+            pos, node = pos[on], node[on]
+        elif length == 2:
+            a, b = code[pos], code[pos + 1]
+            low = (a < LOW) & (b < LOW)
+            node[low] = voc.two[a[low], b[low]]
+            node[~low] = voc.step(node[~low], b[~low])
+            on = node > 0
+            pos, node = pos[on], node[on]
+        else:
+            node = voc.step(node, code[pos + length - 1])
+            on = node > 0
+            pos, node = pos[on], node[on]
+        whole = voc.piece[node] >= 0
+        found.append((pos[whole], np.full(int(whole.sum()), length), voc.piece[node[whole]]))
+        if length == 1:
+            single[pos[whole]] = True
+        more = (pos + length < limit[pos]) & voc.inner[node]
+        pos, node = pos[more], node[more]
+        length += 1
+    src, span, piece = (np.concatenate(x) for x in zip(*found))
+    bare = np.flatnonzero(~single)  # characters as bytes
+    spelled = [[voc.byte_id[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in code[bare].tolist()]
+    n_bytes = np.array([len(x) for x in spelled], np.int64)
+    w = np.concatenate([n_bytes * voc.weight[voc.byte_id[0]], voc.weight[piece]])
+    src, span = np.concatenate([bare, src]), np.concatenate([np.ones(len(bare), np.int64), span])
+    piece = np.concatenate([-1 - bare0 - np.arange(len(bare)), piece])
+    s = src + owner[src]
+    nodes = len(code) + len(size)
+    degree = np.bincount(s, minlength=nodes)
+    start = np.cumsum(degree) - degree
+    # edges were found by growing length; each goes to its node's next free place
+    free, place = start.copy(), np.empty(len(s), np.int64)
+    bounds = np.cumsum([0, len(bare), *(len(x[0]) for x in found)])
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        place[a:b] = free[s[a:b]]
+        free[s[a:b]] += 1
+    order = np.empty(len(s), np.int64)
+    order[place] = np.arange(len(s))
+    src = np.repeat(np.arange(nodes), degree)
+    dst, piece, w = src + span[order], piece[order].astype(np.int32), w[order]
+    far = np.repeat(np.repeat(end + np.arange(len(size)), size + 1) - np.arange(nodes), degree)  # characters to the chunk's end
+    narrow = np.int16 if len(far) and far.max() < 1 << 15 else np.int64  # sixteen bits sort by radix
+    by = np.argsort(far.astype(narrow), kind="stable")  # nodes stay together inside a distance
+    cuts = np.searchsorted(far[by], np.arange(1, int(far.max()) + 2)) if len(by) else []
+    beta = np.zeros(nodes)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        e = by[a:b]
+        own = src[e]
+        new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        beta[own[new]] = np.logaddexp.reduceat(w[e] + beta[dst[e]], new)
+    logp = np.minimum(w + beta[dst] - np.repeat(beta, degree), 0)
+    run = np.cumsum(np.exp(logp))
+    before = np.repeat(np.append(0, run)[start], degree)
+    src += node0
+    up_to = src + np.minimum(run - before, 1)
+    return src, dst + node0, piece, logp, up_to, np.repeat(degree > 1, degree), start + edge0, np.fromiter(chain.from_iterable(spelled), np.int32), n_bytes
+
+
 def _sample(lattice, key, occ_doc, occ_rank, occ_end, occ, node, step, draw):
     """Walk to the end of each chunk; (occurrence, step, edge) of every piece in
     text order. Occurrences come in rising order, each once."""
@@ -283,18 +326,10 @@ def _log_inclusion(x: float) -> float:
 def segmentations(voc: Pieces, texts: list[str], keys: np.ndarray, k: int = K) -> list[list[tuple]]:
     """Per text the drawn paths as (log p, log inclusion, ids), best perturbed first."""
     n = len(texts)
-    chunks = [voc.chunk.findall(voc.normalised(t)) for t in texts]
-    count = np.array([len(c) for c in chunks])
-    every = list(chain.from_iterable(chunks))
-    del chunks
     result: list[list] = [[] for _ in range(n)]
-    if not every:
+    distinct, occ_chunk, count = voc.chunks(texts)
+    if not len(occ_chunk):
         return [[(0.0, 0.0, np.zeros(0, np.int32))] for _ in range(n)]
-    number: defaultdict = defaultdict()
-    number.default_factory = number.__len__  # a new chunk gets the next number
-    occ_chunk = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-    distinct = list(number)
-    del every, number
     lat = Lattice(voc, distinct)
     occ_doc = np.repeat(np.arange(n), count)
     doc_occ = np.r_[0, np.cumsum(count)]

@@ -1,6 +1,7 @@
 """Sampled segmentations against all paths of small lattices."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -107,3 +108,24 @@ def test_walks_end_where_no_piece_goes_on(monkeypatch):
     assert found == {(i, j) for i in range(14) for j in range(i + 1, 15) if text[i:j] in ids}
     part = X.stirred(X.U64(X.SEED), 3, np.arange(4))
     assert (X.mixed(7, start=part) == X.mixed(3, np.arange(4), 7)).all()
+
+
+def test_lattices_of_a_batch_are_built_in_blocks(monkeypatch):
+    voc = X.pieces(PATH)
+    texts = [t or "" for t in ODD] + [f"word{i % 7} of a text  with {i} chunks" for i in range(60)]
+    distinct, which, count = voc.chunks(texts)
+    rule = re.compile(f"{X.SPACE}*[^{X.SPACE}]+|{X.SPACE}+")
+    want = [rule.findall(voc.normalised(t)) for t in texts]
+    chunks = [c.decode("utf-32-le") for c in distinct.to_pylist()]
+    assert count.tolist() == [len(w) for w in want] and [chunks[i] for i in which] == [c for w in want for c in w]
+    assert chunks == list(dict.fromkeys(c for w in want for c in w))
+
+    whole, built, build = X.Lattice(voc, distinct), [], X._lattice
+    monkeypatch.setattr(X, "BLOCK", 30)
+    monkeypatch.setattr(X, "_lattice", lambda voc, code, size, *at: built.append(size.tolist()) or build(voc, code, size, *at))
+    parts = X.Lattice(voc, chunks)
+    assert [n for b in built for n in b] == [len(c) for c in chunks] and all(sum(b[:-1]) <= 30 for b in built) and len(built) > 5
+    for name in ("first", "last", "start", "src", "dst", "piece", "several", "spelled", "spelled_at"):
+        assert (getattr(whole, name) == getattr(parts, name)).all(), name
+    assert np.allclose(whole.logp, parts.logp, rtol=0, atol=1e-12) and np.allclose(whole.up_to, parts.up_to, rtol=0, atol=1e-8)
+    assert (parts.ids(np.arange(len(parts.src))) == whole.ids(np.arange(len(whole.src)))).all()
