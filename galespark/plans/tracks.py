@@ -267,10 +267,8 @@ COAST = """, edge as materialized (select rank, region, lon as x1, lat as y1, co
 
 
 def coast(spark, sf_dir):
-    """The layer of regions as a tree of cells; rings have thousands of corners."""
-    corner = F.sort_array(F.collect_list(F.struct("corner", "lon", "lat")))
-    rings = view(spark, sf_dir, "coast_corners").groupBy("region", "rank").agg(corner.alias("ring"))
-    return cut(regions.leaves(rings.select("region", "rank", F.transform("ring", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("ring"))))
+    """The layer of regions as a tree of cells; rings may have millions of corners."""
+    return cut(regions.leaves(regions.ring_edges(view(spark, sf_dir, "coast_corners"), ["region", "rank"], "corner")))
 
 
 @query(

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,57 @@ def test_edges_that_touch_a_cell(spark, touching):
     assert spark.range(1).select(regions.touches(e, *cell)).first()[0]
     far = F.struct(F.lit(1.5).alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.9).alias("x2"), F.lit(2.0).alias("y2"))
     assert not spark.range(1).select(regions.touches(far, *cell)).first()[0]
+
+
+def test_edges_of_corner_rows(spark):
+    """Rings dealt out by stretches close on themselves, whatever their corners' order or number."""
+    rng = random.Random(9)
+    sizes = {"one": 1, "two": 2, "five": 5, "many": 41}
+    rings = {k: [(None if (i, k) == (3, "five") else rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(n)] for k, n in sizes.items()}
+    rows = [(k, 1, i // 2 * 3 if k == "many" else i, *p) for k, r in rings.items() for i, p in enumerate(r)]
+    rng.shuffle(rows)
+    corners = spark.createDataFrame([*rows, (None, None, None, 1.0, 2.0)], "region string, rank int, corner long, lon double, lat double")
+    got = regions.ring_edges(corners, ["region", "rank"], "corner", chunk=4)
+    ring = F.sort_array(F.collect_list(F.struct("corner", "lon", "lat")))
+    whole = corners.groupBy("region", "rank").agg(ring.alias("r")).select("region", "rank", F.explode(regions.edges_of(F.col("r"))).alias("e"))
+    whole = whole.select("region", "rank", *(F.col(f"e.{c}").alias(c) for c in regions.EDGE))
+    assert got.count() == len(rows) + 1
+    assert got.drop("no").exceptAll(whole).isEmpty() and whole.exceptAll(got.drop("no")).isEmpty()
+
+
+def test_many_edges_and_points_in_few_leaves(spark, monkeypatch):
+    """Edges of a leaf come in pieces, points in blocks; few pairs of them are compared."""
+    rng = random.Random(3)
+    rings = {"fine": star(rng, 0.3, 0.3, 0.25, 3000), "wide": star(rng, 2.0, 1.0, 9, 500)}
+    rows = [(k, i, n, x, y) for i, (k, r) in enumerate(rings.items()) for n, (x, y) in enumerate(r)]
+    corners = spark.createDataFrame(rows, "region string, rank int, corner long, lon double, lat double")
+    monkeypatch.setattr(regions, "PIECE", 64)
+    monkeypatch.setattr(regions, "BLOCK", 100)
+    tree = regions.leaves(regions.ring_edges(corners, ["region", "rank"], "corner", chunk=300)).persist()
+    r = tree.filter("regions is not null").select(F.explode("regions").alias("r"))
+    assert r.agg(F.max(F.size("r.edges"))).first()[0] < 200
+    points = [(rng.uniform(0, 0.6), rng.uniform(0, 0.6)) for _ in range(400)] + [rng.choice(rings["fine"]) for _ in range(50)] * 4
+    frame = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id int, lon double, lat double")
+    got = {r.id: r.region for r in regions.assign(frame, tree).collect()}
+    tree.unpersist()
+    assert len(got) == len(points)
+    for i, (x, y) in enumerate(points):
+        assert got[i] == next((k for k, ring in rings.items() if plain(ring, x, y)), None), (x, y)
+
+
+def test_points_and_edges_are_halved_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(regions, "PAIRS", 64)
+    at = np.round(rng.uniform(0, 5, (300, 2)), 1)  # rounded: edges level with points, points on corners
+    x1, y1 = at.T
+    x2, y2 = np.roll(at, -1, axis=0).T
+    x, y = np.round(rng.uniform(-1, 6, (500, 2)), 1).T
+    odd = rng.uniform(size=500) < 0.5
+    got = regions._covered(x, y, x1, y1, x2, y2, odd)
+    turn = (x2 - x1) * (y[:, None] - y1) - (x[:, None] - x1) * (y2 - y1)
+    crossed = ((y1 > y[:, None]) != (y2 > y[:, None])) & np.where(y2 > y1, turn > 0, turn < 0)
+    box = (x[:, None] >= np.minimum(x1, x2)) & (x[:, None] <= np.maximum(x1, x2)) & (y[:, None] >= np.minimum(y1, y2)) & (y[:, None] <= np.maximum(y1, y2))
+    want = ((turn == 0) & box).any(axis=1) | (odd ^ (crossed.sum(axis=1) % 2 == 1))
+    assert (got == want).all()
+    y2[7] = np.nan  # an edge with an unknown end: only points on an edge are known to be covered
+    assert (regions._covered(x, y, x1, y1, x2, y2, odd) <= want).all()
