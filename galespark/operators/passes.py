@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galespark.functions import geo, units
 from galespark.operators.sequence import islands
-from galespark.session import cut
+from galespark.session import broadcast_if_small, cut
 
 # fixed values: satellite -> nadir gap and swath width to each side, metres
 SWATHS = {
@@ -19,14 +22,45 @@ SWATHS = {
 }
 TRACK = ["model_name", "init_time", "storm_no"]
 MINUTES_PER_CHUNK = 1440
-SLOT_SECONDS, SLOTS_PER_HOUR = 600, 6
+SLOT_SECONDS, SLOTS_PER_KEY = 600, 18  # slots of three hours meet under one key
+HELD_AREAS = 200_000  # areas, or chunks of paths, that may be broadcast
 CORNERS = ["a", "b", "c", "d"]
 
 
 # ---------------------------------------------------------------- passes
 
 
-def steps(nadir: DataFrame, order: str = "minute_id") -> DataFrame:
+def span_of(points: DataFrame) -> tuple[Column, Column]:
+    """First and last moment of some tracks."""
+    span = points.agg(F.min("valid_time").alias("t0"), F.max("valid_time").alias("t1"))
+    return span.select("t0").scalar(), span.select("t1").scalar()
+
+
+def _chunk(order: str) -> Column:
+    return F.floor(F.col(order) / MINUTES_PER_CHUNK)
+
+
+def _way(here: str, before: str) -> Column:
+    return F.signum(F.col(here) - F.col(before)).cast("int")
+
+
+def _moved(c: str) -> Column:
+    return F.when(F.col(c) != 0, F.col(c))
+
+
+def _within_chunks(nadir: DataFrame, order: str) -> DataFrame:
+    """What a chunk of a path knows by itself of its steps."""
+    w = Window.partitionBy("satellite", "chunk").orderBy(order)
+    minute = Window.partitionBy("satellite", "chunk", order)
+    s = nadir.withColumn("chunk", _chunk(order)).withColumn("point", F.struct(order, "lat", "lon", "valid_time"))
+    s = s.withColumns({"start": F.lag("point").over(w), "place": F.row_number().over(w), "twins": F.count(F.lit(1)).over(minute)})
+    s = s.withColumn("way", _way("lat", "start.lat"))
+    s = s.withColumn("before", F.last(_moved("way"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("turn", F.max(F.coalesce(_moved("way") != F.col("before"), F.lit(False)).cast("int")).over(minute))
+    return s.withColumn("turns", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def steps(nadir: DataFrame, order: str = "minute_id", during: tuple[Column, Column] | None = None) -> DataFrame:
     """Consecutive nadir points with the number and direction of their pass.
 
     A pass ends where the latitude turns; a step without any change of
@@ -35,33 +69,31 @@ def steps(nadir: DataFrame, order: str = "minute_id") -> DataFrame:
     Paths are shuffled once, by chunks. What a chunk cannot know by itself, the
     point and the direction before it and the passes so far, comes from one
     small row per chunk. All rows of a minute in which the path turns count, so
-    a minute that comes twice numbers two passes."""
+    a minute that comes twice numbers two passes. Of a time span (``during``)
+    all chunks are numbered, but only the steps of its own become rows."""
     key = ["satellite", "chunk"]
-    w = Window.partitionBy(*key).orderBy(order)
-    minute = Window.partitionBy(*key, order)
-    s = nadir.withColumn("chunk", F.floor(F.col(order) / MINUTES_PER_CHUNK)).withColumn("point", F.struct(order, "lat", "lon", "valid_time"))
-    s = s.withColumns({"start": F.lag("point").over(w), "place": F.row_number().over(w), "twins": F.count(F.lit(1)).over(minute)})
-    way = lambda here, before: F.signum(F.col(here) - F.col(before)).cast("int")
-    moved = lambda c: F.when(F.col(c) != 0, F.col(c))
-    s = s.withColumn("way", way("lat", "start.lat"))
-    s = s.withColumn("before", F.last(moved("way"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("turn", F.max(F.coalesce(moved("way") != F.col("before"), F.lit(False)).cast("int")).over(minute))
-    s = s.withColumn("turns", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = _within_chunks(nadir, order)
     moves = F.when(F.col("way") != 0, F.col("place"))
     ends = s.groupBy(*key).agg(
         F.min_by("point", "place").alias("head"), F.max_by("point", "place").alias("tail"), F.min_by("twins", "place").alias("head_rows"),
         F.min_by(F.struct("way", "place", "twins"), moves).alias("first"), F.max_by("way", moves).alias("last_way"), F.max("turns").alias("inside"),
+        *([F.min("valid_time").alias("since"), F.max("valid_time").alias("until")] if during else []),
     )
     v = Window.partitionBy("satellite").orderBy("chunk")
     before = v.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("start0", F.lag("tail").over(v)).withColumn("way0", way("head.lat", "start0.lat"))
-    ends = ends.withColumn("carried", F.last(F.coalesce("last_way", moved("way0")), ignorenulls=True).over(before))
+    ends = ends.withColumn("start0", F.lag("tail").over(v)).withColumn("way0", _way("head.lat", "start0.lat"))
+    ends = ends.withColumn("carried", F.last(F.coalesce("last_way", _moved("way0")), ignorenulls=True).over(before))
     turns = lambda now, then: F.coalesce(now != then, F.lit(False)).cast("int")
     # turns that only the chunk before shows: at the first minute, and where the path first moves within the chunk
-    ends = ends.withColumns({"turn0": turns(moved("way0"), F.col("carried")), "turn1": turns(F.col("first.way"), F.coalesce(moved("way0"), "carried"))})
+    ends = ends.withColumns({"turn0": turns(_moved("way0"), F.col("carried")), "turn1": turns(F.col("first.way"), F.coalesce(_moved("way0"), "carried"))})
     total = F.col("inside") + F.col("turn0") * F.col("head_rows") + F.col("turn1") * F.coalesce("first.twins", F.lit(0))
     ends = ends.withColumn("passed", F.coalesce(F.sum(total).over(before), F.lit(0)))
-    s = s.join(ends.drop("head", "tail", "last_way", "inside", "carried"), key)
+    ends = ends.drop("head", "tail", "last_way", "inside", "carried")
+    if during:
+        ends = cut(ends.filter((F.col("until") >= during[0]) & (F.col("since") <= during[1])).drop("since", "until"))
+        chunks = broadcast_if_small(ends.select(F.col("satellite").alias("of"), F.col("chunk").alias("nth")), HELD_AREAS)
+        s = _within_chunks(nadir.join(chunks, (F.col("satellite") == F.col("of")) & (_chunk(order) == F.col("nth")), "left_semi"), order)
+    s = s.join(ends, key)
     at_head = F.col("place") == 1
     since_first = F.greatest(F.lit(0), F.least(F.col("place") - F.col("first.place") + 1, F.col("first.twins")))
     number = (
@@ -70,6 +102,8 @@ def steps(nadir: DataFrame, order: str = "minute_id") -> DataFrame:
     )
     s = s.withColumns({"start": F.when(at_head, F.col("start0")).otherwise(F.col("start")), "way": F.when(at_head, F.col("way0")).otherwise(F.col("way")), "pass_number": number})
     s = s.filter(F.col("start").isNotNull())
+    if during:
+        s = s.filter(F.col("valid_time").between(*during))
     return s.select(*nadir.columns, "start", "way", "pass_number", (F.col("way") > 0).alias("ascending"))
 
 
@@ -84,10 +118,13 @@ def pass_points(nadir: DataFrame, order: str = "minute_id") -> DataFrame:
 # ---------------------------------------------------------------- swaths
 
 
-def swath_quads(nadir: DataFrame, swaths: dict[str, tuple[float, float]] = SWATHS, epoch: str = "2024-01-01") -> DataFrame:
+def swath_quads(
+    nadir: DataFrame, swaths: dict[str, tuple[float, float]] = SWATHS, epoch: str = "2024-01-01", during: tuple[Column, Column] | None = None
+) -> DataFrame:
     """Swath areas between consecutive nadir points: one on each side of the
     blind range, or one across where there is none. Corners keep unrolled
-    longitudes, so an area never jumps at the antimeridian."""
+    longitudes, so an area never jumps at the antimeridian. ``during`` is a time
+    span of which areas are wanted, such as that of the storms they are to meet."""
 
     def side(n, near_turn, near, far_turn, far):
         return F.struct(
@@ -104,7 +141,7 @@ def swath_quads(nadir: DataFrame, swaths: dict[str, tuple[float, float]] = SWATH
     pick = F.lit(None)
     for name, area in areas.items():
         pick = F.when(F.col("satellite") == name, area).otherwise(pick)
-    s = steps(nadir).select(
+    s = steps(nadir, during=during).select(
         "satellite", "pass_number", F.col("ascending").cast("int").alias("ascending"), "valid_time", "lat",
         (F.col("start.lon") + units.signed_lon(F.col("lon") - F.col("start.lon"))).alias("lon"),
         F.col("start.lat").alias("lat0"), F.col("start.lon").alias("lon0"),
@@ -212,35 +249,44 @@ def minutes(points: DataFrame, start: Column | None = None, end: Column | None =
 
 
 def close_pieces(pieces: DataFrame, quads: DataFrame, epoch: str) -> DataFrame:
-    """Track pieces by the slot of ten minutes, satellite and side in which a
-    swath comes near; ``since`` is the start of the piece in seconds.
-
-    A slot has a few boxes only, one for each satellite and side. Pieces meet
-    them hour by hour, and only what is near becomes rows. The piece's box is its start grown by the way it goes and its radius; it holds
-    every minute of it."""
+    """Track pieces at each minute ``i`` whose swath area comes near, with the
+    area; ``since`` is the start of the piece in seconds.
+
+    A slot of ten minutes has a few boxes only, one for each satellite and side,
+    and its box carries its areas. Pieces meet the boxes of their hours, and what
+    is near opens to the areas, so that pieces are dealt out once at most, and
+    not at all where the areas are few. The piece's box is its start grown by the way it goes and its
+    radius; it holds every minute of it."""
     corner = {c: [F.col(f"{k}_{c}") for k in CORNERS] for c in ("lat", "lon")}
-    boxes = quads.groupBy(F.floor(F.col("interp_id") / SLOT_SECONDS).alias("slot"), "satellite", "side").agg(
-        F.min(F.least(*corner["lat"])).alias("south"), F.max(F.greatest(*corner["lat"])).alias("north"),
-        F.min(F.least(*corner["lon"])).alias("west"), F.max(F.greatest(*corner["lon"])).alias("east"),
+    west, east = F.least(*corner["lon"]), F.greatest(*corner["lon"])
+    areas = quads.drop("valid_time").withColumnRenamed("interp_id", "at")
+    own = [c for c in areas.columns if c not in ("satellite", "side")]
+    box = {"south": F.least(*corner["lat"]), "north": F.greatest(*corner["lat"]), "middle": (west + east) / 2, "half": (east - west) / 2}
+    areas = areas.withColumns(box | {"slot": F.floor(F.col("at") / SLOT_SECONDS)})
+    middle, half = (F.min(west) + F.max(east)) / 2, (F.max(east) - F.min(west)) / 2
+    boxes = areas.groupBy("slot", "satellite", "side").agg(
+        F.min("south").alias("box_south"), F.max("north").alias("box_north"), middle.alias("box_middle"), half.alias("box_half"),
+        F.collect_list(F.struct(*own, *box)).alias("areas"),
     )
-    boxes = boxes.withColumn("in_hour", F.floor(F.col("slot") / SLOTS_PER_HOUR))
+    boxes = boxes.withColumn("in_hours", F.floor(F.col("slot") / SLOTS_PER_KEY))
     reach = (F.col("dist") + F.greatest("rmw", "z.rmw")) * 1.01 + 1000
     slot = lambda i: F.floor((F.col("since") + 60 * F.col(i)) / SLOT_SECONDS)
-    p = pieces.withColumns({"since": _since(epoch), "dlat": reach / units.M_PER_DEGREE * 1.01})
+    p = pieces.select("*", _apart({"since": _since(epoch), "dlat": reach / units.M_PER_DEGREE * 1.01}))
     narrow = F.cos(F.radians(F.least(F.lit(89.9), F.abs("lat") + F.col("dlat"))))
     p = p.withColumns({"dlon": F.col("dlat") / narrow, "s0": slot("i0"), "s1": slot("i1")})
-    p = p.withColumn("hour", F.explode(F.sequence(F.floor(F.col("s0") / SLOTS_PER_HOUR), F.floor(F.col("s1") / SLOTS_PER_HOUR))))
-    middle, half = (F.col("west") + F.col("east")) / 2, (F.col("east") - F.col("west")) / 2
-    meet = F.col("slot").between(F.col("s0"), F.col("s1")) & (F.col("lat") - F.col("dlat") <= F.col("north")) & (
-        F.col("lat") + F.col("dlat") >= F.col("south")
-    ) & (F.abs(units.signed_lon(F.col("lon") - middle)) <= half + F.col("dlon"))
+    p = p.withColumn("hours", F.explode(F.sequence(F.floor(F.col("s0") / SLOTS_PER_KEY), F.floor(F.col("s1") / SLOTS_PER_KEY))))
+
+    def near(of: str) -> Column:
+        south, north, middle, half = (F.col(f"{of}{c}") for c in ("south", "north", "middle", "half"))
+        level = (F.col("lat") - F.col("dlat") <= north) & (F.col("lat") + F.col("dlat") >= south)
+        return level & (F.abs(units.signed_lon(F.col("lon") - middle)) <= half + F.col("dlon"))
+
     # rows of pieces shrink so well in a shuffle that a broadcast of them looks cheaper than it is
-    p = p.join(boxes.hint("merge"), (F.col("hour") == F.col("in_hour")) & meet)
-    p = p.drop("hour", "in_hour", "s0", "s1", "dlat", "dlon", "south", "north", "west", "east")
-    first = F.ceil((F.col("slot") * SLOT_SECONDS - F.col("since")) / 60).cast("int")
-    last = F.floor(((F.col("slot") + 1) * SLOT_SECONDS - 1 - F.col("since")) / 60).cast("int")
-    p = p.withColumns({"i0": F.greatest("i0", first), "i1": F.least("i1", last)})
-    return p.filter("i0 <= i1")
+    boxes = F.broadcast(boxes) if quads.count() <= HELD_AREAS else boxes.hint("merge")
+    p = p.join(boxes, (F.col("hours") == F.col("in_hours")) & F.col("slot").between(F.col("s0"), F.col("s1")) & near("box_"))
+    p = p.select(*pieces.columns, "since", "dlat", "dlon", "satellite", "side", F.inline("areas")).filter(near(""))
+    p = p.withColumn("i", F.col("at") - F.col("since")).filter("i % 60 = 0 and i between 60 * i0 and 60 * i1")
+    return p.withColumn("i", (F.col("i") / 60).cast("int")).drop("dlat", "dlon", "at", *box)
 
 
 def storm_box(lat: Column, lon: Column, radius: Column) -> dict[str, Column]:
@@ -260,37 +306,45 @@ def sensed(storms: DataFrame, quads: DataFrame, radius: str = "rmw") -> DataFram
     return _meeting(storms.join(quads.drop("valid_time"), "interp_id"), radius)
 
 
-def _meeting(hits: DataFrame, radius: str = "rmw") -> DataFrame:
-    """Of storm minutes with a swath of their minute, those that it meets."""
-    lat, lon, r = F.col("lat"), F.col("lon"), F.col(radius)
-    turn = F.lit(360.0) * F.round((lon - F.col("a_lon")) / 360)
-    scale = F.lit(units.M_PER_DEGREE)
-    y = {k: (F.col(f"{k}_lat") - lat) * scale for k in CORNERS}
-    x = {k: (F.col(f"{k}_lon") + turn - lon) * scale * F.cos(F.radians(lat)) for k in CORNERS}
-    ys, xs = list(y.values()), list(x.values())
-    boxes = (F.least(*ys) <= r) & (F.greatest(*ys) >= -r) & (F.least(*xs) <= r) & (F.greatest(*xs) >= -r)
-    shape = F.array(*[F.struct(x[k].alias("x"), y[k].alias("y")) for k in CORNERS])
-
-    def edge(p, q):
-        ux, uy = q["x"] - p["x"], q["y"] - p["y"]
-        length = F.greatest(ux * ux + uy * uy, F.lit(1e-9))
-        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(p["x"] * ux + p["y"] * uy) / length))
-        gap = F.pow(p["x"] + t * ux, F.lit(2)) + F.pow(p["y"] + t * uy, F.lit(2))
-        return F.struct((p["x"] * q["y"] - q["x"] * p["y"]).alias("cross"), gap.alias("gap"))
-
-    def meets(p):
-        edges = F.zip_with(p, F.concat(F.slice(p, 2, 3), F.slice(p, 1, 1)), edge)
-        state = F.struct(F.lit(True).alias("left"), F.lit(True).alias("right"), F.lit(False).alias("near"))
-        return F.aggregate(
-            edges, state,
-            lambda s, e: F.struct(
-                (s["left"] & (e["cross"] >= 0)).alias("left"), (s["right"] & (e["cross"] <= 0)).alias("right"),
-                (s["near"] | (e["gap"] <= r * r)).alias("near"),
-            ),
-            lambda s: s["left"] | s["right"] | s["near"],
-        )
+def _whole(x: Column) -> Column:
+    """``F.round`` to whole numbers, halves away from zero, without decimals in between."""
+    up = F.floor(F.abs(x) + 0.5)
+    return F.signum(x) * F.when(up - 0.5 > F.abs(x), up - 1).otherwise(up)  # the sum above may be rounded up
 
-    return hits.filter(boxes & meets(shape))
+
+def _meeting(hits: DataFrame, radius: str = "rmw") -> DataFrame:
+    """Of storm minutes with a swath of their minute, those that it meets.
+
+    What is unknown is NaN here, and no radius is below all: columns without null
+    keep the test in a method that is small enough to be compiled."""
+    known = lambda c: F.coalesce(c, F.lit(float("nan")))
+    lat, lon, scale = known(F.col("lat")), known(F.col("lon")), F.lit(units.M_PER_DEGREE)
+    at = {"__lat": lat, "__lon": lon, "__narrow": F.cos(F.radians(lat)), "__turn": known(F.lit(360.0) * _whole((lon - F.col("a_lon")) / 360))}
+    own, hits = hits.columns, hits.withColumns(at)
+    y = {f"__{k}_y": (known(F.col(f"{k}_lat")) - F.col("__lat")) * scale for k in CORNERS}
+    x = {f"__{k}_x": (known(F.col(f"{k}_lon")) + F.col("__turn") - F.col("__lon")) * scale * F.col("__narrow") for k in CORNERS}
+    reach = {"__r": F.coalesce(F.col(radius).cast("double"), F.lit(float("-inf")))}
+    hits = hits.select(*own, _apart(x | y | reach))
+    xs, ys, r = [F.col(n) for n in x], [F.col(n) for n in y], F.col("__r")
+    hits = hits.filter((F.least(*ys) <= r) & (F.least(*(-v for v in ys)) <= r) & (F.least(*xs) <= r) & (F.least(*(-v for v in xs)) <= r))
+    edges = [*zip(CORNERS, xs, ys, xs[1:] + xs[:1], ys[1:] + ys[:1])]
+    ways = {f"__{k}_u": qx - px for k, px, _, qx, _ in edges} | {f"__{k}_v": qy - py for k, _, py, _, qy in edges}
+    hits = hits.withColumns(ways)
+    u, v = (lambda k: F.col(f"__{k}_u")), (lambda k: F.col(f"__{k}_v"))
+    along = lambda k, px, py: known(-(px * u(k) + py * v(k)) / F.greatest(u(k) * u(k) + v(k) * v(k), F.lit(1e-9)))
+    hits = hits.withColumns({f"__{k}_t": F.least(F.lit(1.0), F.greatest(F.lit(0.0), along(k, px, py))) for k, px, py, _, _ in edges})
+    hits = hits.withColumns({f"__{k}_n": px + F.col(f"__{k}_t") * u(k) for k, px, _, _, _ in edges} | {f"__{k}_m": py + F.col(f"__{k}_t") * v(k) for k, _, py, _, _ in edges})
+    gaps = {f"__{k}_gap": F.col(f"__{k}_n") * F.col(f"__{k}_n") + F.col(f"__{k}_m") * F.col(f"__{k}_m") for k in CORNERS}
+    sides = {f"__{k}_side": px * qy - qx * py for k, px, py, qx, qy in edges}
+    hits = hits.select(*own, "__r", _apart(gaps | sides))
+    left, right = (reduce(and_, [c <= 0.0 for c in of]) for of in ([-F.col(n) for n in sides], [F.col(n) for n in sides]))
+    return hits.filter(left | right | (F.least(*(F.col(n) for n in gaps)) <= F.col("__r") * F.col("__r"))).select(*own)
+
+
+def _apart(columns: dict[str, Column]) -> Column:
+    """Columns as a generated row: a filter on them is not moved below it, where
+    it would work out each of them again wherever it names it."""
+    return F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
 
 
 def corner_distance() -> Column:
@@ -316,19 +370,17 @@ def dedupe_sensing(matches: DataFrame, compat: bool = False) -> DataFrame:
 
 def predict(points: DataFrame, nadir: DataFrame, swaths: dict = SWATHS, compat: bool = False) -> DataFrame:
     """Which pass sees which storm, and when."""
-    quads = cut(swath_quads(nadir, swaths))
+    quads = cut(swath_quads(nadir, swaths, during=span_of(points)))
     return dedupe_sensing(sensed_tracks(points, quads), compat)
 
 
 def sensed_tracks(points: DataFrame, quads: DataFrame, epoch: str = "2024-01-01") -> DataFrame:
-    """Storm minutes that a swath meets. Slots with a swath near meet its areas,
-    and the areas name the minutes, so minutes are never rows of a shuffle."""
+    """Storm minutes that a swath meets. Slots with a swath near open to its
+    areas, and the areas name the minutes, so minutes are never rows of a shuffle."""
     span = quads.agg(F.min("valid_time").alias("t0"), F.max("valid_time").alias("t1"))
-    pieces = close_pieces(_pieces(points, span.select("t0").scalar(), span.select("t1").scalar()), quads, epoch)
-    areas = quads.drop("valid_time").withColumnRenamed("interp_id", "at").withColumn("slot", F.floor(F.col("at") / SLOT_SECONDS))
-    pairs = pieces.join(areas.hint("merge"), ["slot", "satellite", "side"]).withColumn("i", F.col("at") - F.col("since"))
-    pairs = pairs.filter("i % 60 = 0 and i between 60 * i0 and 60 * i1").withColumn("i", (F.col("i") / 60).cast("int"))
-    return _meeting(_at_minute(_headed(pairs), *[c for c in areas.columns if c not in ("at", "slot")]))
+    pairs = close_pieces(_pieces(points, span.select("t0").scalar(), span.select("t1").scalar()), quads, epoch)
+    area = [c for c in quads.columns if c not in ("interp_id", "valid_time")]
+    return _meeting(_at_minute(_headed(pairs), *area))
 
 
 def time_overlap(storms: DataFrame, passes: DataFrame, hours: int = 6) -> DataFrame:

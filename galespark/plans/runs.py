@@ -418,7 +418,7 @@ def passes_log(spark, sf_dir):
     path = scratch_path(spark)
     points = view(spark, sf_dir, "storm_points")
     runs = cut(points.select("model_name", "init_time").distinct())
-    predicted = cut(passes.predict(points, cut(view(spark, sf_dir, "nadir")), swaths.SWATHS))
+    predicted = cut(passes.predict(points, view(spark, sf_dir, "nadir"), swaths.SWATHS))
     writers.log_passes(runs, predicted.filter("storm_no<>3"), path)
     writers.log_passes(runs.filter(F.dayofmonth("init_time") % 3 == 1), predicted, path)
     log = spark.read.parquet(path)

@@ -209,8 +209,8 @@ QUADS = STEPS + f""", q0 as (select *, lat as lat1, lon0+{signed('lon-lon0')} as
 CORNER_COLS = [f"{k}_{c}" for k in "abcd" for c in ("lat", "lon")]
 
 
-def quads(spark, sf_dir):
-    return passes.swath_quads(view(spark, sf_dir, "nadir"), SWATHS)
+def quads(spark, sf_dir, during=None):
+    return passes.swath_quads(view(spark, sf_dir, "nadir"), SWATHS, during=during)
 
 
 @query(
@@ -355,7 +355,8 @@ SENSED = QUADS + MIN_PAIRS + minute_rows(
 
 
 def matched(spark, sf_dir):
-    return passes.sensed_tracks(view(spark, sf_dir, "storm_points"), cut(quads(spark, sf_dir)))
+    points = view(spark, sf_dir, "storm_points")
+    return passes.sensed_tracks(points, cut(quads(spark, sf_dir, passes.span_of(points))))
 
 
 PASS_KEY = ["model_name", "init_time", "storm_no", "satellite", "pass_number"]
@@ -393,7 +394,7 @@ def dedupe_sensing(spark, sf_dir):
     SP + SENSED + DEDUPED + " select model_name, init_time, storm_no, satellite, ascending, pass_number, interp_id, round(vmax,3) as vmax from best where r=1",
 )
 def predict_passes(spark, sf_dir):
-    p = passes.predict(view(spark, sf_dir, "storm_points"), cut(view(spark, sf_dir, "nadir")), SWATHS)
+    p = passes.predict(view(spark, sf_dir, "storm_points"), view(spark, sf_dir, "nadir"), SWATHS)
     return p.select("model_name", "init_time", "storm_no", "satellite", "ascending", "pass_number", "interp_id", F.round("vmax", 3).alias("vmax"))
 
 

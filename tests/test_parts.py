@@ -1,6 +1,7 @@
 """Readers, writers, sequences, geometry, geodesics, products."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -588,3 +589,47 @@ def test_sessions_meet_the_storms_of_their_hours(spark):
     assert hits.columns == ["k", "first", "closed", "n", "t"] and sorted(map(tuple, hits.collect())) == want
     join = next(x for x in hits._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
     assert "hour" in join  # a session does not meet all storm points of its model
+
+
+def storms_of(spark, rng):
+    points = [(f"M{k}", datetime(2024, 1, 1), 0, datetime(2024, 1, 1, h), rng.uniform(-40, 40), rng.uniform(-180, 180), 20.0 + h, 40000, 200000)
+              for k in range(12) for h in (3, 5, 6, 11)]
+    return spark.createDataFrame(points, "model_name string, init_time timestamp, storm_no int, valid_time timestamp, lat double, lon double, vmax double, rmw int, roci int")
+
+
+def test_swaths_of_a_span_keep_their_passes(spark, monkeypatch):
+    """Only the steps and areas of the span become rows; passes are numbered over the whole path."""
+    monkeypatch.setattr(passes, "MINUTES_PER_CHUNK", 50)
+    frame, _ = nadir_rows(spark, 900)
+    storms, sats = storms_of(spark, random.Random(4)), {"SAT0": (336000, 550000), "SAT1": (0, 900000)}
+    within = F.col("valid_time").between(datetime(2024, 1, 1, 3), datetime(2024, 1, 1, 11))
+    for build in (passes.steps, lambda n, **k: passes.swath_quads(n, sats, **k)):
+        got, want = build(frame, during=passes.span_of(storms)), build(frame).filter(within)
+        assert got.count() == want.count() > 300
+        assert got.exceptAll(want).isEmpty()
+    assert passes.predict(storms, frame, sats).exceptAll(passes.dedupe_sensing(passes.sensed_tracks(storms, passes.swath_quads(frame, sats)))).isEmpty()
+
+
+@pytest.mark.parametrize("held", [0, 1 << 30])
+def test_pieces_meet_areas_in_small_methods(spark, monkeypatch, held):
+    """Few areas are broadcast, more are merged; either way the machine code of
+    the test of a pair is compiled, for which a method has 8,000 bytes at most."""
+    monkeypatch.setattr(passes, "HELD_AREAS", held)
+    frame, _ = nadir_rows(spark, 900)
+    storms, quads = storms_of(spark, random.Random(5)), passes.swath_quads(frame, {"SAT0": (336000, 550000), "SAT1": (0, 900000)}).cache()
+    got, want = passes.sensed_tracks(storms, quads), passes.sensed(passes.minutes(storms), quads)
+    cols = [*passes.TRACK, "interp_id", "satellite", "side", "pass_number", "lat", "lon", "vmax"]
+    assert got.count() == want.count() > 20 and got.select(*cols).exceptAll(want.select(*cols)).isEmpty()
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(passes.sensed_tracks(storms, quads)._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000
+
+
+def test_whole_numbers_are_those_of_round(spark):
+    values = [0.0, 0.3, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.49999999999999994, 179.99999999999997, None]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    assert all(r.a == r.b for r in frame.select(passes._whole(F.col("v")).alias("a"), F.round("v").alias("b")).collect())
