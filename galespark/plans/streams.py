@@ -182,7 +182,7 @@ def stream_dedupe(spark, sf_dir):
 def stream_trigger(spark, sf_dir):
     """Runs that complete have their passes predicted and logged, each in one batch."""
     root = scratch_path(spark)
-    quads = cut(swaths.quads(spark, sf_dir))
+    quads = cut(swaths.quads(spark, sf_dir, passes.span_of(view(spark, sf_dir, "storm_points"))))
 
     def predict(runs):
         points = view(spark, sf_dir, "storm_points").join(runs, progress.KEYS, "left_semi")
